@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,10 +23,18 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors."""
-    path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors.
+
+    Its shuffle files go when the write ends; the plan is not run again, so nothing would read them.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, what)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:

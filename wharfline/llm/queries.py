@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wharfline.llm import decontaminate, jpeg_media, pii, secret_scan, warc
+from wharfline.llm import decontaminate, jaccard_join, jpeg_media, pii, secret_scan, suffix_dedup, warc
 from wharfline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -20,6 +24,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.digest(jpeg_media.features(jpeg_media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
 
@@ -29,5 +37,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_overlaps(docs.select("doc_id", "text"), benchmark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op5_pii, op6_media, op8_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
