@@ -43,7 +43,7 @@ MOST_MATCHES = 4
 #: What verifying a candidate costs, in postings.
 VERIFY_COST = 20
 CELL_BITS = 18
-SLICES = 64
+SLICES = 8
 BLOCK_BYTES = 2 << 20
 PAIR_BYTES = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -140,7 +140,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slice": list(total), "counts": [v.tobytes() for v in total.values()]}, schema=schema)
 
     summed = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint64)
-    for row in rows.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
+    for row in rows.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, counts binary").collect():
         summed[row["slice"]] += np.frombuffer(row["counts"], np.uint64)
     return summed.ravel()
 

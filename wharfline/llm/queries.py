@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wharfline.llm import decontaminate, jaccard_join, jpeg_media, pii, secret_scan, suffix_dedup, warc
+from wharfline.llm import decontaminate, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, suffix_dedup, warc
 from wharfline.llm.common import table
 
 
@@ -16,6 +16,16 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, langid.fit_documents(docs))
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -37,5 +47,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_overlaps(docs.select("doc_id", "text"), benchmark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
