@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wharfline.llm import decontaminate, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, suffix_dedup, warc
+from wharfline.llm import decontaminate, html_extract, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, suffix_dedup, warc
 from wharfline.llm.common import table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.find_overlaps(docs.select("doc_id", "text"), benchmark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op9_html, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}

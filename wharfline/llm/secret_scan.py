@@ -24,7 +24,7 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import row_key, text_or_empty
+from wharfline.llm.common import text_or_empty
 from wharfline.llm.spans import SPAN, joined, matches, sha256_hex
 
 
@@ -112,22 +112,42 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def scan(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text, spans): spans is an array of (kind, start, stop, found) in code points, unordered."""
-    texts = df.select(F.col(id_col), text_or_empty(text_col).alias("text")).withColumn("key", row_key(id_col, "text"))
+    """df's columns and found_spans: an array of (kind, start, stop, found) in code points, unordered."""
+    if clash := {"found_spans", "__key", "__text", "__kinds"} & set(df.columns):
+        raise ValueError(f"columns of the documents already: {sorted(clash)}")
+    texts = df.withColumn("__text", text_or_empty(text_col)).withColumn("__key", F.xxhash64(F.col(id_col), F.col("__text")))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     wanted = sorted({t for query in queries.values() for q in query for t in q})
-    found = texts.withColumn("kinds", F.array().cast("array<string>"))
     if wanted:
-        index = postings(texts.select("key", "text"), wanted)
-        found = texts.join(candidates(index, [r for r in rules if queries[r.kind]]), "key", "left")
+        index = postings(texts.select(F.col("__key").alias("key"), F.col("__text").alias("text")), wanted)
+        met = candidates(index, [r for r in rules if queries[r.kind]]).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
+        found = texts.join(met, "__key", "left")
+    else:
+        found = texts.withColumn("__kinds", F.array().cast("array<string>"))
 
     def spans(rule: Rule) -> Column:
-        every = matches(F.col("text"), rule.pattern, lambda part: F.length(part) >= rule.at_least, rule.group)
+        every = matches(F.col("__text"), rule.pattern, lambda part: F.length(part) >= rule.at_least, rule.group)
         tagged = F.transform(every, lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["found"].alias("found")))
         none = F.array().cast(SPAN.replace("start", "kind:string,start"))
-        return F.when(F.array_contains("kinds", rule.kind), tagged).otherwise(none) if queries[rule.kind] else tagged
+        return F.when(F.array_contains("__kinds", rule.kind), tagged).otherwise(none) if queries[rule.kind] else tagged
 
-    return found.select(id_col, "text", F.concat(*[spans(rule) for rule in rules]).alias("spans"))
+    return found.select(*df.columns, F.concat(*[spans(rule) for rule in rules]).alias("found_spans"))
+
+
+def redact(scanned: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """scanned without found_spans, each span of its texts (overlapping ones together) replaced by mask."""
+    text = F.col(text_col)
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.when(
+            s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))
+        ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+
+    ordered = F.array_sort(F.transform("found_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return scanned.withColumn(text_col, F.when(F.size("found_spans") > 0, clean).otherwise(text)).drop("found_spans")
 
 
 def order_of(rules: Sequence[Rule]):
@@ -138,11 +158,11 @@ def order_of(rules: Sequence[Rule]):
 def digest(scanned: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id") -> DataFrame:
     """Counts, hash of the base spans and all spans as text."""
     base = [r.kind for r in rules if r.base]
-    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    basic = F.filter("spans", lambda s: s["kind"].isin(base))
+    of = lambda kind: F.size(F.filter("found_spans", lambda s: s["kind"] == kind)).cast("long")
+    basic = F.filter("found_spans", lambda s: s["kind"].isin(base))
     return scanned.select(
         id_col,
         *[of(kind).alias(f"n_{kind}") for kind in base],
         sha256_hex(joined(basic, order_of(rules))).alias("base_sha256"),
-        joined(F.col("spans"), order_of(rules)).alias("spans"),
+        joined(F.col("found_spans"), order_of(rules)).alias("spans"),
     )
