@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.llm.common import map_arrow
+
 WINDOW = 10
 BLOCK_BYTES = 64 << 20
 #: One byte to one byte, so offsets stay: A-Z to a-z, ASCII that is no letter or digit to a space; bytes of other characters stay.
@@ -112,7 +114,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 new_columns = {"n_words": pa.array(counts, pa.int64()), "hit_runs": pa.array(runs, batch.schema.field("hit_runs").type), "hit_items": pa.array(ids, batch.schema.field("hit_items").type)}
                 yield pa.RecordBatch.from_arrays([new_columns.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names)], schema=batch.schema)
 
-        out = out.mapInArrow(scan, out.schema)
+        out = map_arrow(out, scan, out.schema)
     return out
 
 

@@ -25,6 +25,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wharfline.llm.common import map_arrow
+
 TRAINING_PAGES = 400
 EPOCHS = 8
 SEED = 11
@@ -337,4 +339,4 @@ def extract(pages: DataFrame, model: Field | None = None, id_col: str = "page_id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     source = pages.select(id_col, url_col, html_col)
-    return source.mapInArrow(run, source.drop(html_col).schema.add("text", "string").add("n_chars", "long"))
+    return map_arrow(source, run, source.drop(html_col).schema.add("text", "string").add("n_chars", "long"))

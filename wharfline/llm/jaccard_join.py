@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import written
+from wharfline.llm.common import map_arrow, written
 from wharfline.llm.components import components
 from wharfline.llm.suffix_dedup import mix, piece_hash, prefix_hashes
 
@@ -124,7 +124,7 @@ def shingled(texts: DataFrame) -> DataFrame:
         parts = [p.tobytes() for p in np.split(sketch, SLICES)]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, "id long, node long, n long, slice int, counts binary")
+    return map_arrow(texts, run, "id long, node long, n long, slice int, counts binary")
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
@@ -140,7 +140,7 @@ def sketch_of(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"slice": list(total), "counts": [v.tobytes() for v in total.values()]}, schema=schema)
 
     summed = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), np.uint64)
-    for row in rows.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(run, "slice int, counts binary").collect():
+    for row in map_arrow(rows.where("slice is not null").select("slice", "counts").repartition("slice"), run, "slice int, counts binary").collect():
         summed[row["slice"]] += np.frombuffer(row["counts"], np.uint64)
     return summed.ravel()
 
@@ -185,7 +185,7 @@ def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
             mine = owner[use]
             yield pa.RecordBatch.from_arrays([pa.array(hashes[order][use].view(np.int64)), pa.array(nodes[mine]), pa.array(size[mine].astype(np.int32)), pa.array(matches[mine].astype(np.int32))], schema=schema)
 
-    return texts.mapInArrow(run, POSTINGS)
+    return map_arrow(texts, run, POSTINGS)
 
 
 def shared(postings: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def shared(postings: DataFrame) -> DataFrame:
             last = (s[-1], v[-1], n[-1], m[-1])
 
     ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return ordered.mapInArrow(run, f"{POSTINGS}, first long, first_n int, previous long, previous_n int")
+    return map_arrow(ordered, run, f"{POSTINGS}, first long, first_n int, previous long, previous_n int")
 
 
 def close_sizes(a: str, b: str) -> str:
@@ -268,7 +268,7 @@ def verified(pairs: DataFrame, ids: DataFrame, texts: DataFrame) -> DataFrame:
         if rows:
             yield settle(rows)
 
-    return full.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(full, run, "a long, b long").distinct()
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.llm.common import map_arrow
+
 ROW = 192
 MOST_ROWS = 8191
 GROUP_BYTES = 1 << 20
@@ -338,7 +340,7 @@ def store(df: DataFrame, text_col: str = "text") -> DataFrame:
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes[a:b], pa.int64()), pa.array(media, pa.binary())], names=[*part.schema.names, "n_bytes", "media"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 FEATURES = [("width", T.LongType()), ("height", T.LongType()), ("thumb_hash", T.StringType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType())]
@@ -368,7 +370,7 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([r[k] for r in rows], ARROW[t]) for k, (_, t) in enumerate(FEATURES)]], names=[*part.schema.names, *[n for n, _ in FEATURES]])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def digest(featured: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wharfline.llm.common import map_arrow
+
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 DIMENSION = 8
@@ -152,7 +154,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 buckets, shares = counts_of(text.as_py())
                 yield pa.RecordBatch.from_pydict({"lang": [lang.as_py()], "draw": [number.as_py()], "buckets": [buckets], "shares": [shares]}, schema=schema)
 
-    found = drawn.select("lang", "draw", "text").mapInArrow(features, "lang string, draw long, buckets array<long>, shares array<double>")
+    found = map_arrow(drawn.select("lang", "draw", "text"), features, "lang string, draw long, buckets array<long>, shares array<double>")
     taken: dict[str, list] = {}
     for row in found.orderBy("draw").limit(2 * rows + 100 * len(languages)).toLocalIterator():
         if len(mine := taken.setdefault(row["lang"], [])) < each:
@@ -201,7 +203,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import text_or_empty, written
+from wharfline.llm.common import map_arrow, text_or_empty, written
 
 LENGTH = 50
 GRAM = 16
@@ -155,7 +155,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
             gram = np.where(bits != 0, mix((place * 31 + ids).astype(np.uint64)).view(np.int64), gram)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gram, ids, place, bits)], schema=ANCHORS)
 
-    return texts.mapInArrow(run, ANCHOR_COLUMNS)
+    return map_arrow(texts, run, ANCHOR_COLUMNS)
 
 
 def shared(anchors: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def shared(anchors: DataFrame) -> DataFrame:
                 yield from held.filter(pa.array(bits != 0)).combine_chunks().to_batches()
 
     dealt = anchors.repartition("gram").sortWithinPartitions("gram", "id")
-    return dealt.mapInArrow(run, ANCHOR_COLUMNS)
+    return map_arrow(dealt, run, ANCHOR_COLUMNS)
 
 
 def by_document(rows: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def surroundings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
                 around = [data[p - m : p + LENGTH] for p, m in zip(mine.tolist(), left.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram[a:b]), pa.array(np.full(b - a, ids[k])), pa.array(keys[k] << 32 | mine), pa.array(left.astype(np.int32)), pa.array(around, pa.binary())], schema=schema)
 
-    return texts.join(by_document(anchors.where("bits = 0").drop("bits")), ["id", "key"]).select("id", "key", "text", "found").mapInArrow(run, AROUND)
+    return map_arrow(texts.join(by_document(anchors.where("bits = 0").drop("bits")), ["id", "key"]).select("id", "key", "text", "found"), run, AROUND)
 
 
 def common(hashes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -354,7 +354,7 @@ def repeated_strings(around: DataFrame) -> DataFrame:
         if size:
             yield settle(pa.Table.from_batches(held))
 
-    return around.repartition("gram").sortWithinPartitions("gram", "id").mapInArrow(run, "id long, place long, bits long")
+    return map_arrow(around.repartition("gram").sortWithinPartitions("gram", "id"), run, "id long, place long, bits long")
 
 
 def covered(size: int, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -398,4 +398,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_by
             yield pa.RecordBatch.from_arrays([batch.column("own").cast(own), *[pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(fields)]], names=[id_col, *[n for n, _ in fields]])
 
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return texts.join(marks, ["id", "key"], "left").select("own", "text", "found").mapInArrow(run, schema)
+    return map_arrow(texts.join(marks, ["id", "key"], "left").select("own", "text", "found"), run, schema)

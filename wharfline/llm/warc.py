@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import shared_folder
+from wharfline.llm.common import map_arrow, shared_folder
 
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 4 << 20
 #: Fixed value of the format's deduplication rule here: smaller payloads always respond.
 LEAST_REVISIT = 100
 GZIP = 31
@@ -88,7 +88,7 @@ def write_monolithic(planned: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
         if size:
             yield close()
 
-    return planned.mapInArrow(run, ARCHIVES)
+    return map_arrow(planned, run, ARCHIVES)
 
 
 def split_records(content: bytes) -> Iterator[bytes]:
@@ -136,7 +136,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                     at += lengths[-1]
                 yield pa.RecordBatch.from_pydict({"archive": [name.as_py()], "content": [b"".join(members)], "offsets": [offsets], "lengths": [lengths]}, schema=schema)
 
-    return archives.mapInArrow(run, f"{ARCHIVES}, offsets array<long>, lengths array<long>")
+    return map_arrow(archives, run, f"{ARCHIVES}, offsets array<long>, lengths array<long>")
 
 
 def sidecar(normalised: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def read_back(normalised: DataFrame) -> DataFrame:
                 rows = [_read(whole.slice(a, n).to_pybytes()) for a, n in zip(offsets.as_py(), lengths.as_py(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return normalised.mapInArrow(run, READ)
+    return map_arrow(normalised, run, READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
