@@ -4,17 +4,18 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
 
 1. `anchor_rows`, map-only. In every LENGTH-byte string the GRAM-byte piece with the least hash (the leftmost of equals) is an
    anchor: equal strings have equal anchors at the same place. A text has an anchor every 17 bytes or so. Of anchors whose whole
-   surroundings are equal, those of a block of texts are settled at once against the smallest id (bytes compared); only
-   that one's travels on. So exact copies and the inside of common passages send a row for each block, not for each text.
-2. `shared`: anchors sorted by piece; a streaming pass keeps those whose piece more than one document holds.
+   surroundings are equal, those of a block of texts are settled at once against the smallest id (bytes compared), as ranges of
+   bytes; only that one's travels on. So exact copies and the inside of common passages send a row for each block, not for each text.
+2. `shared`: anchors sorted by piece and surroundings (64-bit hashes of both); a streaming pass settles those whose surroundings
+   a smaller id has, and keeps, of pieces with different surroundings, one anchor of each.
 3. `surroundings`: the kept anchors meet their texts once more and bring the bytes around them.
 4. `repeated_strings`, by piece: suffixes from the anchor to the right, and from it to the left, are sorted by a mergesort
    that compares two of them by a binary search over prefix polynomial hashes; common extensions of neighbours are then
    compared byte by byte, so a collision can neither hide nor make a match. Strings that have an anchor at the same
    place are equal where both extensions are long enough; of each such class all but the smallest id's are marked.
-5. `dedup`: the marks meet the texts, and the marked bytes go.
+5. `dedup`: the ranges meet the texts, and the marked bytes go.
 
-Scale: what is shuffled is 24 bytes an anchor once, the surroundings of shared anchors, and the texts by document. The rows of
+Scale: what is shuffled is 40 bytes an anchor once, the surroundings of shared anchors, and the texts by document. The rows of
 one anchor piece meet in one task, and stay in memory there if they are CHUNK or fewer or their group is larger; see the README
 for what that means for a passage whose edges differ in very many documents.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.llm.common import map_arrow, text_or_empty, written
@@ -91,15 +92,13 @@ def find_anchors(data: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.
     return np.flatnonzero(chosen)
 
 
-def whole_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A bit for each string around an anchor that fits in left bytes before and right bytes from it; bit j: it starts j before."""
-    most, least = np.minimum(left, SPAN).astype(np.int64), np.maximum(0, LENGTH - right).astype(np.int64)
-    one = np.int64(1)
-    return np.where(most >= least, (one << (most + 1)) - (one << np.minimum(least, 62)), 0)
+def whole_range(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of what the LENGTH-byte strings over an anchor cover that fit in left bytes before and right bytes from it."""
+    return at - np.minimum(left, SPAN), at - np.maximum(0, LENGTH - right) + LENGTH
 
 
-def anchors_of_block(texts: list[bytes], ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """gram, id, place (key in the high half, position in the low), bits: not 0 where the anchor is settled."""
+def anchors_of_block(texts: list[bytes], ids: np.ndarray, keys: np.ndarray) -> tuple[tuple, tuple]:
+    """Open anchors (gram, around, id, place, -right), and settled ranges (id, place, stop). A place is key * 2 ** 32 + position."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     starts = np.r_[0, np.cumsum(sizes)]
@@ -108,26 +107,38 @@ def anchors_of_block(texts: list[bytes], ids: np.ndarray, keys: np.ndarray) -> t
     at = find_anchors(data, starts[1:][owner], hashes)
     doc = owner[at]
     left, right = np.minimum(at - starts[doc], SPAN), np.minimum(starts[doc + 1] - at, LENGTH)
-    around = mix(piece_hash(hashes, at - left, at + right) + (left * 64 + right).astype(np.uint64))
+    around = mix(piece_hash(hashes, at - left, at + right) + (left * 64 + right).astype(np.uint64)).view(np.int64)
     gram = mix(piece_hash(hashes, at, at + GRAM)).view(np.int64)
-    bits = np.zeros(len(at), np.int64)
-    order = np.lexsort((ids[doc], around))
-    new = np.r_[True, around[order][1:] != around[order][:-1]] if len(order) else np.empty(0, bool)
-    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-    later = ids[doc[order]] > ids[doc[lead]]
-    mine, first = order[later], lead[later]
-    if len(mine):
+    settled = np.zeros(len(at), bool)
+    if len(at):
+        order = np.lexsort((ids[doc], around))
+        new = np.r_[True, around[order][1:] != around[order][:-1]]
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        later = ids[doc[order]] > ids[doc[lead]]
+        mine, first = order[later], lead[later]
         reach = np.arange(SPAN + LENGTH)
-        place = lambda x: data[np.minimum((at - left)[x][:, None] + reach, len(data) - 1)]
-        same = (left[mine] == left[first]) & (right[mine] == right[first])
-        same &= ((place(mine) == place(first)) | (reach >= (left + right)[mine][:, None])).all(axis=1)
-        bits[mine[same]] = whole_bits(left[mine[same]], right[mine[same]])
-    where = (at - starts[doc]).astype(np.int64)
-    return gram, ids[doc], keys[doc].astype(np.int64) << 32 | where, bits
-
-
-ANCHORS = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("bits", pa.int64())])
-ANCHOR_COLUMNS = "gram long, id long, place long, bits long"
+        for a in range(0, len(mine), 1 << 16):
+            x, y = mine[a : a + (1 << 16)], first[a : a + (1 << 16)]
+            place = lambda k: data[np.minimum((at - left)[k][:, None] + reach, len(data) - 1)]
+            same = ((place(x) == place(y)) | (reach >= (left + right)[x][:, None])).all(axis=1)
+            settled[x[same & (left[x] == left[y]) & (right[x] == right[y])]] = True
+    position = at - starts[doc]
+    on = np.flatnonzero(settled)
+    start, stop = whole_range(position[on], left[on], right[on])
+    fresh = np.r_[True, (doc[on][1:] != doc[on][:-1]) | (start[1:] > stop[:-1])] if len(on) else np.empty(0, bool)
+    begins = np.flatnonzero(fresh)
+    ends = np.r_[begins[1:], len(on)] - 1 if len(on) else begins
+    d = doc[on][begins]
+    high = keys.astype(np.int64) << 32
+    free = ~settled
+    return (gram[free], around[free], ids[doc][free], (high[doc] | position)[free], -right[free]), (ids[d], high[d] | start[begins], stop[ends])
+
+
+ANCHORS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
+ANCHOR_COLUMNS = "gram long, around long, id long, place long, stop int"
+#: Of `shared`: stop is where a settled range stops, or, with a gram, minus the bytes from the anchor on.
+KEPT = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
+KEPT_COLUMNS = "gram long, id long, place long, stop int"
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -147,71 +158,100 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[l
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """Of texts (id, key, text). A settled anchor's gram is of no use any more and is drawn anew, to spread such rows."""
+    """Of texts (id, key, text). A settled range needs no gram; it gets a hash of its own, which spreads such rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks_of(batches, BLOCK_BYTES):
-            gram, ids, place, bits = anchors_of_block(*block)
-            gram = np.where(bits != 0, mix((place * 31 + ids).astype(np.uint64)).view(np.int64), gram)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gram, ids, place, bits)], schema=ANCHORS)
+            anchors, (ids, place, stop) = anchors_of_block(*block)
+            own = mix((place * 31 + ids).astype(np.uint64)).view(np.int64)
+            columns = [np.r_[a, b] for a, b in zip(anchors, (own, own, ids, place, stop), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k == 4 else c) for k, c in enumerate(columns)], schema=ANCHORS)
 
     return map_arrow(texts, run, ANCHOR_COLUMNS)
 
 
+def settle_sorted(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pass over anchors (gram, around, id, place, stop) sorted by the first three: rows (gram, id, place, stop) to keep.
+
+    What is held between batches: the open gram's anchors of one document, until a second document and other surroundings show.
+    """
+    gram = around = leader = first = None  # of the row before: its gram and surroundings, their least id, and the gram's first id
+    several = apart = False  # whether the gram has several surroundings; several documents
+    held: list[tuple] = []
+    for g, a, i, p, s in batches:
+        if not len(g):
+            continue
+        new_gram = np.r_[g[0] != gram, g[1:] != g[:-1]]
+        new_run = new_gram | np.r_[a[0] != around, a[1:] != a[:-1]]
+        at = np.maximum.accumulate(np.where(new_run, np.arange(len(g)), -1))
+        least = np.where(at < 0, i[0] if leader is None else leader, i[at])
+        late = i > least
+        segment = np.cumsum(new_gram)  # 0: the open gram goes on
+        n = int(segment[-1]) + 1
+        begins = np.maximum.accumulate(np.where(new_gram, np.arange(len(g)), -1))
+        first_id = np.where(begins < 0, i[0] if first is None else first, i[begins])
+        many = np.bincount(segment[new_run & ~new_gram], minlength=n) > 0
+        differ = np.bincount(segment[i != first_id], minlength=n) > 0
+        many[0] |= several
+        differ[0] |= apart
+        need = many & differ
+        if held and (need[0] or n > 1):
+            if need[0]:
+                yield from held
+            held = []
+        reps = ~late
+        out = reps & need[segment]
+        wait = reps & (segment == n - 1) & ~need[-1]
+        yield g[out], i[out], p[out], s[out]
+        if late.any():
+            position, right = p[late] & 0xFFFFFFFF, -s[late].astype(np.int64)
+            start, stop = whole_range(position, np.minimum(position, SPAN), right)
+            yield g[late], i[late], (p[late] >> 32 << 32) | start, stop.astype(np.int32)
+        if wait.any():
+            held.append((g[wait], i[wait], p[wait], s[wait]))
+        gram, around, leader, first = g[-1], a[-1], least[-1], first_id[-1]
+        several, apart = bool(many[-1]), bool(differ[-1])
+
+
 def shared(anchors: DataFrame) -> DataFrame:
-    """Settled anchors, and those whose gram occurs in more than one document."""
+    """Settled ranges, and one anchor of each surroundings of a gram that has different ones in different documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the rows of the last gram, while all are of one document
+        waiting: list[pa.RecordBatch] = []
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=KEPT)
 
-        def keep(gram: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-            new = np.r_[True, gram[1:] != gram[:-1]]
-            first = np.flatnonzero(new)
-            mixed = np.r_[False, (ids[1:] != ids[:-1]) & ~new[1:]]
-            many = np.logical_or.reduceat(mixed, first)
-            return np.repeat(many, np.diff(np.r_[first, len(gram)])) | (bits != 0)
+        def anchors_only() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                g, a, i, p, s = (batch.column(k).to_numpy() for k in range(5))
+                done = s >= 0
+                if done.any():
+                    waiting.append(made((g[done], i[done], p[done], s[done])))
+                yield tuple(x[~done] for x in (g, a, i, p, s))
 
-        open_gram: int | None = None  # a gram known to be of several documents whose rows go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-            gram, ids, bits = (rows.column(n).to_numpy() for n in ("gram", "id", "bits"))
-            use = keep(gram, ids, bits) | (gram == open_gram if open_gram is not None else False)
-            last = gram == gram[-1]
-            if use[last].any() and not (bits[last] != 0).all():
-                open_gram, held, ready = int(gram[-1]), None, use
-            else:
-                held = rows.filter(pa.array(last))
-                ready = use & ~last
-                open_gram = None
-            if ready.any():
-                yield from rows.filter(pa.array(ready)).combine_chunks().to_batches()
-        if held is not None:
-            bits = held.column("bits").to_numpy()
-            if (bits != 0).any():
-                yield from held.filter(pa.array(bits != 0)).combine_chunks().to_batches()
-
-    dealt = anchors.repartition("gram").sortWithinPartitions("gram", "id")
-    return map_arrow(dealt, run, ANCHOR_COLUMNS)
-
-
-def by_document(rows: DataFrame) -> DataFrame:
-    """The rows of each document in one, in arrays; as many as its text has anchors at most."""
-    split = rows.select("id", F.shiftright("place", 32).cast("int").alias("key"), F.struct(F.col("place").bitwiseAND(0x7FFFFFFF).alias("at"), *[F.col(c) for c in rows.columns if c not in ("id", "place")]).alias("x"))
-    return split.groupBy("id", "key").agg(F.collect_list("x").alias("found"))
-
-
-def listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
-    """Offsets of a column of lists of structs, and the structs' fields, end to end."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-    flat = column.flatten()
-    return (offsets, *[flat.field(n).to_numpy(zero_copy_only=False) for n in names])
+        for rows in settle_sorted(anchors_only()):
+            yield from waiting
+            waiting.clear()
+            if len(rows[0]):
+                yield made(rows)
+        yield from waiting
+
+    dealt = anchors.repartition("gram").sortWithinPartitions("gram", "around", "id")
+    return map_arrow(dealt, run, KEPT_COLUMNS)
+
+
+def by_document(rows: DataFrame, **lists: Column) -> DataFrame:
+    """(id, key, lists..): the rows (id, place, ..) of each document in arrays, as many as its text has anchors at most."""
+    split = rows.withColumn("key", F.shiftright("place", 32).cast("int")).withColumn("at", F.col("place").bitwiseAND(0xFFFFFFFF))
+    return split.groupBy("id", "key").agg(*[F.collect_list(c).alias(n) for n, c in lists.items()])
+
+
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of a column of lists, and their values end to end."""
+    return np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))], column.flatten().to_numpy(zero_copy_only=False)
 
 
 AROUND = "gram long, id long, place long, left int, around binary"
+AROUND_ROWS = 20_000
 
 
 def surroundings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -219,19 +259,25 @@ def surroundings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     schema = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("left", pa.int32()), ("around", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([*[pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], pa.array([x for h in held for x in h[4]], pa.binary())], schema=schema)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            offsets, at, gram = listed(batch.column("found"), "at", "gram")
+            (offsets, at), (_, gram) = listed(batch.column("ats")), listed(batch.column("grams"))
             ids, keys, texts = batch.column("id").to_numpy(), batch.column("key").to_numpy().astype(np.int64), batch.column("text").cast(pa.binary())
             for k in range(batch.num_rows):
-                a, b = offsets[k], offsets[k + 1]
-                data, mine = texts[k].as_py(), at[a:b]
-                left = np.minimum(mine, SPAN)
-                around = [data[p - m : p + LENGTH] for p, m in zip(mine.tolist(), left.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[a:b]), pa.array(np.full(b - a, ids[k])), pa.array(keys[k] << 32 | mine), pa.array(left.astype(np.int32)), pa.array(around, pa.binary())], schema=schema)
+                mine = at[offsets[k] : offsets[k + 1]]
+                data, left = texts[k].as_py(), np.minimum(mine, SPAN)
+                around = [data[p:q] for p, q in zip((mine - left).tolist(), (mine + LENGTH).tolist(), strict=True)]
+                held.append((gram[offsets[k] : offsets[k + 1]], np.full(len(mine), ids[k]), keys[k] << 32 | mine, left.astype(np.int32), around))
+                size += len(mine)
+                if size >= AROUND_ROWS:
+                    yield made()
+                    held, size = [], 0
+        if size:
+            yield made()
 
-    return map_arrow(texts.join(by_document(anchors.where("bits = 0").drop("bits")), ["id", "key"]).select("id", "key", "text", "found"), run, AROUND)
+    asked = by_document(anchors.where("stop < 0"), ats=F.col("at"), grams=F.col("gram"))
+    return map_arrow(texts.join(asked, ["id", "key"]).select("id", "key", "text", "ats", "grams"), run, AROUND)
 
 
 def common(hashes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -298,15 +344,14 @@ def extensions(signs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.r_[-1, np.where(group[order[1:]] == group[order[:-1]], length, -1)]
 
 
-def repeated_bits(group: np.ndarray, ids: np.ndarray, left: np.ndarray, around: list[bytes]) -> np.ndarray:
-    """For each anchor, sorted by group and id: bit j if its string from j before it is also an anchor's of a smaller id."""
+def repeated_bits(group: np.ndarray, ids: np.ndarray, left: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each anchor, sorted by group and id: bit j if its string from j before it is also an anchor's of a smaller id. Anchor k's surroundings
+    are data[offsets[k]:offsets[k + 1]]."""
     n = len(ids)
-    data = np.frombuffer(b"".join(around) + bytes(1), np.uint8)
-    sizes = np.array([len(x) for x in around])
-    at = np.r_[0, np.cumsum(sizes)][:-1] + left
-    right = sizes - left
+    at, right = offsets[:-1] + left, np.diff(offsets) - left
+    last = len(data) - 1
     reach = np.arange(LENGTH)
-    forward = np.where(reach < right[:, None], data[np.minimum(at[:, None] + reach, len(data) - 1)].astype(np.uint16) + 1, 0).astype(np.uint16)
+    forward = np.where(reach < right[:, None], data[np.minimum(at[:, None] + reach, last)].astype(np.uint16) + 1, 0).astype(np.uint16)
     back = np.arange(SPAN)
     backward = np.where(back < left[:, None], data[np.maximum(at[:, None] - 1 - back, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
     ahead, shared_ahead = extensions(forward, group)
@@ -328,19 +373,33 @@ def repeated_bits(group: np.ndarray, ids: np.ndarray, left: np.ndarray, around:
     return bits
 
 
+def bit_ranges(at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop): for each run of set bits what its strings cover."""
+    on = (bits[:, None] >> np.arange(SPAN + 2) & 1).astype(np.int8)
+    edge = np.diff(on, axis=1, prepend=0)
+    row, low = np.nonzero(edge == 1)
+    _, over = np.nonzero(edge == -1)
+    return row, at[row] - (over - 1), at[row] - low + LENGTH
+
+
 def repeated_strings(around: DataFrame) -> DataFrame:
-    """(id, place, bits) of anchors with repeated strings; the anchors of one gram in one chunk."""
-    schema = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("bits", pa.int64())])
+    """(id, place, stop): ranges that repeat what a smaller id has; the anchors of one gram in one chunk."""
+    schema = pa.schema([("id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
         ids, place = rows.column("id").to_numpy(), rows.column("place").to_numpy()
-        bits = repeated_bits(rows.column("gram").to_numpy(), ids, rows.column("left").to_numpy().astype(np.int64), rows.column("around").to_pylist())
-        on = bits != 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(place[on]), pa.array(bits[on])], schema=schema)
+        binary = rows.column("around").chunk(0)
+        offsets = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
+        bits = repeated_bits(rows.column("gram").to_numpy(), ids, rows.column("left").to_numpy().astype(np.int64), np.frombuffer(binary.buffers()[2], np.uint8), offsets)
+        row, start, stop = bit_ranges(place & 0xFFFFFFFF, bits)
+        return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((place[row] >> 32 << 32) | start), pa.array(stop.astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.num_rows
             if size >= CHUNK:
@@ -354,16 +413,14 @@ def repeated_strings(around: DataFrame) -> DataFrame:
         if size:
             yield settle(pa.Table.from_batches(held))
 
-    return map_arrow(around.repartition("gram").sortWithinPartitions("gram", "id"), run, "id long, place long, bits long")
+    return map_arrow(around.repartition("gram").sortWithinPartitions("gram", "id"), run, "id long, place long, stop int")
 
 
-def covered(size: int, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which of size bytes the strings of bits around anchors at cover."""
-    change = np.zeros(size + LENGTH + 1, np.int32)
-    for j in range(SPAN + 1):
-        start = at[(bits >> j & 1) == 1] - j
-        np.add.at(change, start, 1)
-        np.add.at(change, start + LENGTH, -1)
+def covered(size: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which of size bytes the ranges cover."""
+    change = np.zeros(size + 1, np.int32)
+    np.add.at(change, start, 1)
+    np.add.at(change, stop, -1)
     return np.cumsum(change[:size]) > 0
 
 
@@ -374,28 +431,28 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_by
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is what stays of each text's bytes."""
     rows = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     texts = rows.withColumn("key", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
-    anchors = written(shared(anchor_rows(texts.where(F.octet_length("text") >= LENGTH).select("id", "key", "text"))), "anchors")
-    found = repeated_strings(surroundings(texts, anchors))
-    marks = by_document(found.unionByName(anchors.where("bits != 0").select("id", "place", "bits")))
-    own = pa.int64()
+    kept = written(shared(anchor_rows(texts.where(F.octet_length("text") >= LENGTH).select("id", "key", "text"))), "anchors")
+    found = written(repeated_strings(surroundings(texts, kept)), "ranges")
+    marks = by_document(found.unionByName(kept.where("stop >= 0").select("id", "place", "stop")), ranges=F.shiftleft("at", 32).bitwiseOR(F.col("stop").cast("long")))
     fields = [f for f in RESULT if with_bytes or f[0] != "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            offsets, at, bits = listed(batch.column("found"), "at", "bits")
+            offsets, ranges = listed(batch.column("ranges"))
             out = []
             for k, text in enumerate(batch.column("text").cast(pa.binary())):
                 data = text.as_py()
                 if offsets[k + 1] > offsets[k]:
-                    gone = covered(len(data), at[offsets[k] : offsets[k + 1]], bits[offsets[k] : offsets[k + 1]])
+                    mine = ranges[offsets[k] : offsets[k + 1]].astype(np.int64)
+                    gone = covered(len(data), mine >> 32, mine & 0xFFFFFFFF)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     spans = int((np.diff(np.r_[0, gone.astype(np.int8)]) == 1).sum())
                 else:
                     kept, spans = data, 0
                 out.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([batch.column("own").cast(own), *[pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(fields)]], names=[id_col, *[n for n, _ in fields]])
+            yield pa.RecordBatch.from_arrays([batch.column("own").cast(pa.int64()), *[pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(fields)]], names=[id_col, *[n for n, _ in fields]])
 
     schema = f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return map_arrow(texts.join(marks, ["id", "key"], "left").select("own", "text", "found"), run, schema)
+    return map_arrow(texts.join(marks, ["id", "key"], "left").select("own", "text", "ranges"), run, schema)
