@@ -32,7 +32,7 @@ EPOCHS = 8
 SEED = 11
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attributes>(?:[^>"'<]++|"[^"<>]*+"|'[^'<>]*+'|["'])*+)>|<[!?][^>]*+(?:>|\Z)|<[/A-Za-z][^<>]*+\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attributes>(?:[^>"'<]++|"[^"<>]*+"|'[^'<>]*+'|["'])*+)>|<[!?][^>]*+(?:>|\Z)|<(?:[/A-Za-z][^<>]*+)?\Z""",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -279,7 +279,8 @@ def labelled_page(rng: random.Random) -> list[Block]:
         many = lambda make: "".join(make() for _ in range(rng.randint(1, 6)))
         links = lambda: many(lambda: f"<li>{span('link')}</li>")
         name = lambda family: rng.choice(FAMILIES[family].split())
-        of = lambda family, inner: f'<{rng.choice(["div", "section", "div"])} {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "page "])}{name(family)}">{inner}</{rng.choice(["div", "div", "section"])}>'
+        whole = lambda tag, family, inner: f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "page "])}{name(family)}">{inner}</{tag}>'
+        of = lambda family, inner: whole(rng.choice(["div", "div", "section"]), family, inner)
         some = lambda: rng.choice([text(1, 40), f"<p>{text(1, 60)}</p>", many(lambda: f"<p>{text(3, 30)}</p>")])
         either = [
             lambda: of("ads", some()), lambda: of("share", f"<ul>{links()}</ul>"), lambda: of("notice", some()), lambda: of("comments", many(lambda: f"<p>{text(2, 80)}</p>")),
