@@ -89,10 +89,8 @@ def in_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: i
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with n_words, hit_runs (runs of hit words, [first, last)) and hit_items (sorted ids) added after its own columns."""
+    """docs with n_words, hit_runs (runs of hit words, [first, last)) and hit_items (sorted ids); columns of those names are replaced."""
     spark = docs.sparkSession
-    if clash := {"n_words", "hit_runs", "hit_items"} & set(docs.columns):
-        raise ValueError(f"columns of the documents already: {sorted(clash)}")
     seen = 0
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_runs": F.array().cast("array<struct<first:long,last:long>>"), "hit_items": F.array().cast("array<string>")})
     for block in chain(in_blocks(benchmark, item_col, item_text, block_bytes), [[]]):
@@ -138,9 +136,10 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any hit, with their own columns."""
-    return find_overlaps(docs, benchmark, **options).where(F.size("hit_runs") == 0).select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents without any hit, with their own columns, whatever those are called."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return find_overlaps(packed, benchmark, **options).where(F.size("hit_runs") == 0).select("row.*")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -326,8 +326,9 @@ def payload(text: bytes | None) -> bytes:
 
 
 def store(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with its text replaced by n_bytes and media, the text's payload as JPEG."""
-    others = [f for f in df.schema.fields if f.name != text_col]
+    """df with its text (and any columns of these names) replaced by n_bytes and media, the text's payload as JPEG."""
+    others = [f for f in df.schema.fields if f.name not in (text_col, "n_bytes", "media")]
+    df = df.select(*[f.name for f in others], text_col)
     schema = T.StructType([*others, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +349,11 @@ ARROW = {T.LongType(): pa.int64(), T.StringType(): pa.string()}
 
 
 def features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df with its media replaced by dimensions, thumbnail hash, and digests of the thumbnail's samples (payload) and of the media."""
-    others = [f for f in df.schema.fields if f.name != media_col]
+    """df with its media replaced by dimensions, thumbnail hash, and digests of the thumbnail's samples (payload) and of the media.
+    Columns of these names are replaced."""
+    made = {n for n, _ in FEATURES}
+    others = [f for f in df.schema.fields if f.name != media_col and f.name not in made]
+    df = df.select(*[f.name for f in others], media_col)
     schema = T.StructType([*others, *[T.StructField(n, t) for n, t in FEATURES]])
 
     def row(data: bytes | None, images: list[Image], thumbs: list[np.ndarray]) -> tuple:

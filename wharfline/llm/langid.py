@@ -33,6 +33,8 @@ DIMENSION = 8
 SAMPLE_ROWS = 2000
 MOST_LANGUAGES = 200
 EPOCHS = 12
+#: Small samples are gone over more often, for at least so many steps.
+LEAST_STEPS = 800
 BATCH = 32
 RATE = 1.0
 SEED = 7
@@ -102,8 +104,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     def means(buckets: np.ndarray, share: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(owner, embed[buckets, d] * share, minlength=n) for d in range(DIMENSION)], axis=1)
 
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(learn))))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         rng.shuffle(learn)
         for at in range(0, len(learn), BATCH):
             ids = learn[at : at + BATCH]
@@ -217,7 +220,6 @@ def fit_documents(docs: DataFrame) -> Model:
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose prediction is not rejected, with their own columns."""
-    narrow = [c for c in docs.columns if c != "text"]
-    marked = predict(docs.withColumn("__copy", F.col("text")), model, keep=(*narrow, "__copy"))
-    return marked.where("not rejected").withColumnRenamed("__copy", "text").select(*docs.columns)
+    """The documents whose prediction is not rejected, with their own columns, whatever those are called."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return predict(packed, model, keep=("row",)).where("not rejected").select("row.*")

@@ -101,8 +101,8 @@ def select_prefix(docs: DataFrame, budgets: DataFrame, seed: int = SEED) -> Data
 
 
 def default_domain() -> Column:
-    """Documents name no domain; three are made from the checksum of the source."""
-    return F.when(F.col("source").isNotNull(), F.concat(F.lit("domain"), (F.crc32("source") % 3).cast("string")))
+    """Documents name no domain; three are made from a digest of the source."""
+    return F.concat(F.lit("domain"), (F.conv(F.substring(F.md5("source"), 1, 4), 16, 10).cast("int") % 3).cast("string"))
 
 
 def mix(df: DataFrame, domain: Column | None = None, share: tuple[int, int] = SHARE, weights: Mapping = WEIGHTS, most_epochs: int = MOST_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

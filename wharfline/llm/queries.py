@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wharfline.llm import decontaminate, html_extract, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, suffix_dedup, warc
 from wharfline.llm.common import table
+from wharfline.llm.oracles import ORACLE_SQL
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +53,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op9_html, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

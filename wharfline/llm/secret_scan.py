@@ -112,26 +112,23 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def scan(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's columns and found_spans: an array of (kind, start, stop, found) in code points, unordered."""
-    if clash := {"found_spans", "__key", "__text", "__kinds"} & set(df.columns):
-        raise ValueError(f"columns of the documents already: {sorted(clash)}")
-    texts = df.withColumn("__text", text_or_empty(text_col)).withColumn("__key", F.xxhash64(F.col(id_col), F.col("__text")))
+    """df's columns and found_spans (a column of that name is replaced): an array of (kind, start, stop, found) in code points, unordered."""
+    own = [c for c in df.columns if c != "found_spans"]
+    texts = df.select(F.struct(*own).alias("row"), text_or_empty(text_col).alias("text"), F.col(id_col).alias("id")).select("row", "text", F.xxhash64("id", "text").alias("key"))
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     wanted = sorted({t for query in queries.values() for q in query for t in q})
     if wanted:
-        index = postings(texts.select(F.col("__key").alias("key"), F.col("__text").alias("text")), wanted)
-        met = candidates(index, [r for r in rules if queries[r.kind]]).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-        found = texts.join(met, "__key", "left")
+        found = texts.join(candidates(postings(texts.select("key", "text"), wanted), [r for r in rules if queries[r.kind]]), "key", "left")
     else:
-        found = texts.withColumn("__kinds", F.array().cast("array<string>"))
+        found = texts.withColumn("kinds", F.array().cast("array<string>"))
 
     def spans(rule: Rule) -> Column:
-        every = matches(F.col("__text"), rule.pattern, lambda part: F.length(part) >= rule.at_least, rule.group)
+        every = matches(F.col("text"), rule.pattern, lambda part: F.length(part) >= rule.at_least, rule.group)
         tagged = F.transform(every, lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["found"].alias("found")))
         none = F.array().cast(SPAN.replace("start", "kind:string,start"))
-        return F.when(F.array_contains("__kinds", rule.kind), tagged).otherwise(none) if queries[rule.kind] else tagged
+        return F.when(F.array_contains("kinds", rule.kind), tagged).otherwise(none) if queries[rule.kind] else tagged
 
-    return found.select(*df.columns, F.concat(*[spans(rule) for rule in rules]).alias("found_spans"))
+    return found.select("row.*", F.concat(*[spans(rule) for rule in rules]).alias("found_spans"))
 
 
 def redact(scanned: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
