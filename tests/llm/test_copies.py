@@ -78,11 +78,12 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100}
 
 
-def test_repeats_random(table):
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 4, 0])
+def test_repeats_random(table, large):
     rnd = random.Random(1)
     pool = ["".join(rnd.choice("ab ") for _ in range(rnd.randrange(10, 120))) for _ in range(30)]
     docs = [(i, "".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 6))) + rnd.choice(["", "é", "aaaa" * 40, "ab" * 60])) for i in range(200)] + [(1000, ""), (1001, None)]
-    got = suffix_dedup.dedup(table(docs), with_bytes=False).collect()
+    got = suffix_dedup.dedup(table(docs), with_bytes=False, large=large).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == plain.repeats(docs)
 
 

@@ -13,11 +13,12 @@ A byte goes if a LENGTH-byte string over it also starts in a document with a sma
    that compares two of them by a binary search over prefix polynomial hashes; common extensions of neighbours are then
    compared byte by byte, so a collision can neither hide nor make a match. Strings that have an anchor at the same
    place are equal where both extensions are long enough; of each such class all but the smallest id's are marked.
+   Pieces with more than LARGE anchors, whose group no task should hold, go another way: `by_strings` names every string around them,
+   and the smallest id of each comes from an aggregation that map tasks combine.
 5. `dedup`: the ranges meet the texts, and the marked bytes go.
 
-Scale: what is shuffled is 40 bytes an anchor once, the surroundings of shared anchors, and the texts by document. The rows of
-one anchor piece meet in one task, and stay in memory there if they are CHUNK or fewer or their group is larger; see the README
-for what that means for a passage whose edges differ in very many documents.
+Scale: what is shuffled is 40 bytes an anchor once, the surroundings of shared anchors, and the texts by document. A task holds
+CHUNK anchors of small groups, or one group of LARGE at most; no group is larger, whatever a passage's edges look like.
 
 Defined results: null text is no bytes. A null id counts as larger than every other, and rows with equal ids (repeated rows among
 them) never remove from each other. Texts shorter than LENGTH keep every byte. An empty table gives an empty result.
@@ -40,6 +41,7 @@ GRAM = 16
 SPAN = LENGTH - GRAM  # the most bytes of a string before its anchor
 BLOCK_BYTES = 2 << 20
 CHUNK = 30_000
+LARGE = 100_000
 #: Odd, so that it has an inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -276,7 +278,7 @@ def surroundings(texts: DataFrame, anchors: DataFrame) -> DataFrame:
         if size:
             yield made()
 
-    asked = by_document(anchors.where("stop < 0"), ats=F.col("at"), grams=F.col("gram"))
+    asked = by_document(anchors, ats=F.col("at"), grams=F.col("gram"))
     return map_arrow(texts.join(asked, ["id", "key"]).select("id", "key", "text", "ats", "grams"), run, AROUND)
 
 
@@ -416,6 +418,26 @@ def repeated_strings(around: DataFrame) -> DataFrame:
     return map_arrow(around.repartition("gram").sortWithinPartitions("gram", "id"), run, "id long, place long, stop int")
 
 
+def by_strings(around: DataFrame) -> DataFrame:
+    """What repeated_strings gives, without gathering a gram's anchors: every string is a key of its own."""
+    schema = pa.schema([("string", pa.binary()), ("id", pa.int64()), ("place", pa.int64()), ("stop", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, place, left, data in zip(*(batch.column(n).to_pylist() for n in ("id", "place", "left", "around")), strict=True):
+                starts = range(len(data) - LENGTH + 1)
+                base = place - left
+                at = (place & 0xFFFFFFFF) - left
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([data[k : k + LENGTH] for k in starts], pa.binary()), pa.array([i] * len(starts), pa.int64()), pa.array([base + k for k in starts], pa.int64()), pa.array([at + k + LENGTH for k in starts], pa.int32())],
+                    schema=schema,
+                )
+
+    strings = map_arrow(around.select("id", "place", "left", "around"), run, "string binary, id long, place long, stop int")
+    least = strings.groupBy("string").agg(F.min("id").alias("first"))
+    return strings.join(least, "string").where("id > first").select("id", "place", "stop")
+
+
 def covered(size: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Which of size bytes the ranges cover."""
     change = np.zeros(size + 1, np.int32)
@@ -427,12 +449,17 @@ def covered(size: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, large: int = LARGE) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is what stays of each text's bytes."""
     rows = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     texts = rows.withColumn("key", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
     kept = written(shared(anchor_rows(texts.where(F.octet_length("text") >= LENGTH).select("id", "key", "text"))), "anchors")
-    found = written(repeated_strings(surroundings(texts, kept)), "ranges")
+    anchors = kept.where("stop < 0")
+    crowded = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > large).select("gram"), "crowded")
+    ranges = repeated_strings(surroundings(texts, anchors.join(crowded, "gram", "left_anti")))
+    if not crowded.isEmpty():
+        ranges = ranges.unionByName(by_strings(surroundings(texts, anchors.join(crowded, "gram", "left_semi"))))
+    found = written(ranges, "ranges")
     marks = by_document(found.unionByName(kept.where("stop >= 0").select("id", "place", "stop")), ranges=F.shiftleft("at", 32).bitwiseOR(F.col("stop").cast("long")))
     fields = [f for f in RESULT if with_bytes or f[0] != "kept"]
 
