@@ -6,12 +6,14 @@
 2. `prefixes`: if two sets have Jaccard 0.8, the l rarest shingles that they share lie in both sets' prefixes of
    size - ceil(0.8 size) + l. Each document takes the l from 1 to MOST_MATCHES whose estimated cost is least: what its postings cost
    to send, and what the candidates cost to verify that share l of them. A pair must share the lesser l of both to be verified.
-3. `shared`: postings by shingle, sorted; one streaming pass drops shingles of a single node and notes for each posting
-   the first and the previous node of its shingle.
-4. Those neighbours are verified first. A group of thousands of near copies thus becomes one component through some
-   pairs a document rather than all pairs of the group.
-5. Then all pairs that share enough prefix shingles and are not yet in one component are verified: every link between
-   components is found, so the components are exact.
+3. `shared`: postings by shingle, sorted; one streaming pass drops shingles of a single node. The first common shingle of two sets that
+   link lies in both prefixes, so what comes before a set's first posting that is left is shared with nobody: `bounded` notes how
+   much of each set can be shared at most, and two sets can only link if both bounds reach the overlap that their sizes ask for.
+4. Of each shingle's nodes the one that can share most is verified against the others first. A group of thousands of near copies thus
+   becomes one component through about a pair a document rather than all pairs of the group.
+5. Then all pairs that share enough prefix shingles, fit each other's bounds and are not yet in one component are verified: every
+   link between components is found, so the components are exact. One more bound drops most near misses before they become pairs: two
+   sets differ in at least as many shingles as the parity signatures (SIGNATURE bits) of both differ in bits.
 
 Verification compares whole sets, from whole texts. Shingles are compared by 64-bit hashes.
 
@@ -44,6 +46,7 @@ MOST_MATCHES = 4
 VERIFY_COST = 20
 CELL_BITS = 18
 SLICES = 8
+SIGNATURE = 512
 BLOCK_BYTES = 2 << 20
 PAIR_BYTES = 4 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -89,6 +92,19 @@ def node_keys(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(size == 0, 0, np.where(key == 0, 1, key))
 
 
+def signatures(offsets: np.ndarray, hashes: np.ndarray) -> list[list[int]]:
+    """For each set SIGNATURE bits, in longs: whether an odd number of its shingles fall on a bit."""
+    size = np.diff(offsets)
+    out = []
+    for a in range(0, len(size), 2000):
+        b = min(a + 2000, len(size))
+        mine = hashes[offsets[a] : offsets[b]]
+        place = np.repeat(np.arange(b - a), size[a:b]) * SIGNATURE + (mine >> np.uint64(17) & np.uint64(SIGNATURE - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=(b - a) * SIGNATURE) & 1).astype(np.uint8)
+        out += np.packbits(odd.reshape(b - a, SIGNATURE), axis=1).view(np.int64).tolist()
+    return out
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[list[bytes], list]]:
     """Texts (null: empty) and ids, some limit bytes at a time."""
     texts, ids, size = [], [], 0
@@ -106,8 +122,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) ->
 
 
 def shingled(texts: DataFrame) -> DataFrame:
-    """Of texts (id, text): rows (id, node, n), and each task's sketch as rows (slice, counts)."""
-    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """Of texts (id, text): rows (id, node, n, signature), and each task's sketch as rows (slice, counts)."""
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("signature", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << CELL_BITS, np.uint32)
@@ -120,11 +136,11 @@ def shingled(texts: DataFrame) -> DataFrame:
             counted = np.zeros(len(block), bool)
             counted[once] = True
             sketch += np.bincount((hashes[np.repeat(counted, size)] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes), pa.array(size), *none(len(block))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes), pa.array(size), pa.array(signatures(offsets, hashes), pa.list_(pa.int64())), *none(len(block))], schema=schema)
         parts = [p.tobytes() for p in np.split(sketch, SLICES)]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 3, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 3, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    return map_arrow(texts, run, "id long, node long, n long, slice int, counts binary")
+    return map_arrow(texts, run, "id long, node long, n long, signature array<long>, slice int, counts binary")
 
 
 def sketch_of(rows: DataFrame) -> np.ndarray:
@@ -160,13 +176,13 @@ def choose_matches(size: np.ndarray, offsets: np.ndarray, others: np.ndarray) ->
     return best + 1, length[best, np.arange(len(size))]
 
 
-POSTINGS = "shingle long, node long, n int, matches int"
+POSTINGS = "shingle long, node long, n int, mark int"
 
 
 def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """Postings (shingle, node, n, matches) of each set's prefix; sets under 4 shingles can only equal others and have none."""
+    """Postings (shingle, node, n, mark) of each set's prefix; mark is the place in the set's order * 8 + matches; sets under 4 shingles can only equal others and have none."""
     sent = texts.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("matches", pa.int32())])
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("mark", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -181,20 +197,20 @@ def prefixes(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
             matches, length = choose_matches(size, offsets, others)
             once = np.zeros(len(block), bool)
             once[np.unique(nodes, return_index=True)[1]] = True
-            use = (np.arange(len(hashes)) - offsets[owner] < length[owner]) & (once & (size >= NUMERATOR))[owner]
+            place = np.arange(len(hashes)) - offsets[owner]
+            use = (place < length[owner]) & (once & (size >= NUMERATOR))[owner]
             mine = owner[use]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][use].view(np.int64)), pa.array(nodes[mine]), pa.array(size[mine].astype(np.int32)), pa.array(matches[mine].astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][use].view(np.int64)), pa.array(nodes[mine]), pa.array(size[mine].astype(np.int32)), pa.array((place[use] * 8 + matches[mine]).astype(np.int32))], schema=schema)
 
     return map_arrow(texts, run, POSTINGS)
 
 
 def shared(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that several nodes hold, each once, with the first and the previous node of the shingle by size."""
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("matches", pa.int32()), ("first", pa.int64()), ("first_n", pa.int32()), ("previous", pa.int64()), ("previous_n", pa.int32())])
+    """Postings of shingles that several nodes hold, each once."""
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("mark", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = last = None  # the first row of the open shingle; the last row seen and whether it is out yet
-        out = False
+        last, out = None, False  # the last row seen; whether it is out already, since its shingle had another node before
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -203,25 +219,33 @@ def shared(postings: DataFrame) -> DataFrame:
                 s, v, n, m = (np.r_[np.array([old], x.dtype), x] for old, x in zip(last, (s, v, n, m), strict=True))
             fresh = np.r_[True, (s[1:] != s[:-1]) | (v[1:] != v[:-1])]
             s, v, n, m = s[fresh], v[fresh], n[fresh], m[fresh]
-            new = np.r_[last is None or lead[0] != s[0], s[1:] != s[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            f_v, f_n = np.where(at < 0, lead[1] if lead else 0, v[at]), np.where(at < 0, lead[2] if lead else 0, n[at]).astype(np.int32)
-            p_v, p_n = np.r_[v[:1], v[:-1]], np.r_[n[:1], n[:-1]]
-            p_v, p_n = np.where(new, v, p_v), np.where(new, n, p_n)
-            many = ~new | np.r_[~new[1:], False]
+            same = s[1:] == s[:-1]
+            many = np.r_[False, same] | np.r_[same, False]
+            shown = many.copy()
             if last is not None and out:
-                many[0] = False  # written already
-            # the last row waits: whether its shingle goes on is not known
-            alone = not many[-1]
-            rows = [pa.array(x[many]) for x in (s, v, n, m, f_v, f_n, p_v, p_n)]
-            if many.any():
-                yield pa.RecordBatch.from_arrays(rows, schema=schema)
-            out = (not alone) or (len(s) == 1 and out)
-            lead = (int(s[-1]), int(f_v[-1]), int(f_n[-1]))
+                shown[0] = False
+            if shown.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[shown]) for x in (s, v, n, m)], schema=schema)
+            out = bool(many[-1]) or (len(s) == 1 and out)
             last = (s[-1], v[-1], n[-1], m[-1])
 
-    ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return map_arrow(ordered, run, f"{POSTINGS}, first long, first_n int, previous long, previous_n int")
+    ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "node")
+    return map_arrow(ordered, run, POSTINGS)
+
+
+def bounded(postings: DataFrame) -> DataFrame:
+    """(shingle, node, n, matches, place, head): head is the place of the node's first posting; what comes before it nobody shares. Nodes
+    that cannot share enough with any other are gone."""
+    rows = postings.select("shingle", "node", "n", F.col("mark").bitwiseAND(7).alias("matches"), F.shiftright("mark", 3).alias("place"))
+    heads = rows.groupBy("node", "n").agg(F.min("place").alias("head")).where(f"(n - head) * {DENOMINATOR} >= n * {NUMERATOR}").select("node", "head")
+    return rows.join(heads, "node")
+
+
+def can_link(a: str, b: str) -> str:
+    """Of two sides (n, place, head) of a common shingle: J >= 4/5 asks for an overlap of 4/9 of both sizes together; before the shingle no more
+    than the shorter stretch from a head is common, after it no more than the shorter rest."""
+    most = f"least(place_{a} - head_{a}, place_{b} - head_{b}) + least(n_{a} - place_{a}, n_{b} - place_{b})"
+    return f"({most}) * {NUMERATOR + DENOMINATOR} >= (n_{a} + n_{b}) * {NUMERATOR} AND {close_sizes(f'n_{a}', f'n_{b}')}"
 
 
 def close_sizes(a: str, b: str) -> str:
@@ -275,27 +299,38 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """(id_col, n_shingles, component_id): documents linked directly or through others have the same component_id, the least id."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = written(shingled(texts), "shingled")
-    docs = first.where("slice is null").select("id", "node", "n")
-    ids = written(docs.where("id is not null and n > 0").groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    docs = first.where("slice is null").select("id", "node", "n", "signature")
+    nodes = written(docs.where("id is not null and n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "nodes")
+    ids = nodes.select("node", "id")
     known = texts.where("id is not null and text is not null")
-    postings = written(shared(prefixes(known, sketch_of(first))), "postings")
+    postings = written(bounded(written(shared(prefixes(known, sketch_of(first))), "postings")), "bounded")
 
-    near = postings.select("node", "n", F.explode(F.array(F.struct(F.col("first").alias("o"), F.col("first_n").alias("m")), F.struct(F.col("previous").alias("o"), F.col("previous_n").alias("m")))).alias("x"))
-    near = near.where(f"x.o != node and {close_sizes('n', 'x.m')}").select(F.greatest("node", "x.o").alias("a"), F.least("node", "x.o").alias("b")).distinct()
+    sides = ("node", "n", "place", "head")
+    best = postings.groupBy("shingle").agg(F.min_by(F.struct(*sides), F.struct((F.col("head") / F.col("n")).alias("part"), "node")).alias("h"))
+    star = postings.join(best.select("shingle", *[F.col(f"h.{c}").alias(f"{c}_h") for c in sides]), "shingle")
+    star = star.withColumnsRenamed({c: f"{c}_x" for c in sides}).where(f"node_h != node_x AND {can_link('h', 'x')}")
+    near = written(star.select(F.greatest("node_x", "node_h").alias("a"), F.least("node_x", "node_h").alias("b")).distinct(), "near")
     seeds = written(verified(near, ids, known), "links")
     grown = components(seeds)
 
     label = lambda rows, of: rows.join(of.select(F.col("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    labelled = written(label(postings.select("shingle", "node", "n", "matches"), grown), "labelled")
+    labelled = written(label(postings, grown), "labelled")
     several = labelled.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-    across = labelled.join(several, "shingle", "left_semi")
-    x, y = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "matches", "c")]) for side in "xy")
-    met = x.join(y, "shingle").where(f"c_x != c_y and node_x > node_y and {close_sizes('n_x', 'n_y')}")
-    enough = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("matches_x", "matches_y")).alias("least")).where("met >= least")
+    across = labelled.join(several, "shingle", "left_semi").join(nodes.select("node", *[F.get("signature", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE // 64)]), "node")
+    x, y = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in across.columns if c != "shingle"]) for side in "xy")
+    differ = " + ".join(f"bit_count(s{k}_x ^ s{k}_y)" for k in range(SIGNATURE // 64))
+    met = x.join(y, "shingle").where(f"c_x != c_y AND node_x > node_y AND {can_link('x', 'y')} AND ({differ}) * {NUMERATOR + DENOMINATOR} <= n_x + n_y")
+    enough = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
+        F.count("*").alias("met"), F.max(F.struct("n_x", "n_y", "place_x", "place_y", F.least("matches_x", "matches_y").alias("least"))).alias("l")
+    )
+    # up to the last common shingle of both prefixes exactly the met ones are common
+    enough = enough.where(f"met >= l.least AND (met + least(l.n_x - l.place_x, l.n_y - l.place_y) - 1) * {NUMERATOR + DENOMINATOR} >= (l.n_x + l.n_y) * {NUMERATOR}")
     more = written(verified(enough.select("a", "b").join(near, ["a", "b"], "left_anti"), ids, known), "links")
-    final = components(seeds.unionByName(more))
-
-    placed = label(ids, final)
+    # links between components are few, however many pairs they rest on
+    between = label(more.select(F.col("a").alias("node"), F.col("b").alias("other")), grown).select(F.col("c").alias("a"), F.col("other").alias("node"))
+    between = label(between, grown).select("a", F.col("c").alias("b")).distinct()
+    joined = components(between).select(F.col("node").alias("c"), F.col("component").alias("whole"))
+    placed = label(ids, grown).join(joined, "c", "left").select("node", "id", F.coalesce("whole", "c").alias("c"))
     least = placed.groupBy("c").agg(F.min("id").alias("component_id"))
     of_node = placed.join(least, "c").select("node", "component_id")
     linked = docs.where("id is not null and n > 0").join(of_node, "node")
