@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wharfline.llm.common import map_arrow, written
@@ -234,11 +234,12 @@ def shared(postings: DataFrame) -> DataFrame:
 
 
 def bounded(postings: DataFrame) -> DataFrame:
-    """(shingle, node, n, matches, place, head): head is the place of the node's first posting; what comes before it nobody shares. Nodes
+    """(shingle, node, n, matches, place, head, before): before is the node's posting before this one, head is the place of the node's first posting; what comes before it nobody shares. Nodes
     that cannot share enough with any other are gone."""
     rows = postings.select("shingle", "node", "n", F.col("mark").bitwiseAND(7).alias("matches"), F.shiftright("mark", 3).alias("place"))
     heads = rows.groupBy("node", "n").agg(F.min("place").alias("head")).where(f"(n - head) * {DENOMINATOR} >= n * {NUMERATOR}").select("node", "head")
-    return rows.join(heads, "node")
+    before = F.lag("shingle").over(Window.partitionBy("node").orderBy("place"))
+    return rows.join(heads, "node").withColumn("before", before)
 
 
 def can_link(a: str, b: str) -> str:
@@ -317,14 +318,21 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     labelled = written(label(postings, grown), "labelled")
     several = labelled.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     across = labelled.join(several, "shingle", "left_semi").join(nodes.select("node", *[F.get("signature", F.lit(k)).alias(f"s{k}") for k in range(SIGNATURE // 64)]), "node")
-    x, y = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in across.columns if c != "shingle"]) for side in "xy")
+    x, y = (across.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in across.columns if c not in ("shingle", "matches")]) for side in "xy")
     differ = " + ".join(f"bit_count(s{k}_x ^ s{k}_y)" for k in range(SIGNATURE // 64))
-    met = x.join(y, "shingle").where(f"c_x != c_y AND node_x > node_y AND {can_link('x', 'y')} AND ({differ}) * {NUMERATOR + DENOMINATOR} <= n_x + n_y")
-    enough = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(
-        F.count("*").alias("met"), F.max(F.struct("n_x", "n_y", "place_x", "place_y", F.least("matches_x", "matches_y").alias("least"))).alias("l")
-    )
-    # up to the last common shingle of both prefixes exactly the met ones are common
-    enough = enough.where(f"met >= l.least AND (met + least(l.n_x - l.place_x, l.n_y - l.place_y) - 1) * {NUMERATOR + DENOMINATOR} >= (l.n_x + l.n_y) * {NUMERATOR}")
+    # two sets that also share the posting before have met there already
+    anew = "(before_x IS NULL OR before_y IS NULL OR before_x != before_y)"
+    met = x.join(y, "shingle").where(f"c_x != c_y AND node_x > node_y AND {anew} AND {can_link('x', 'y')} AND ({differ}) * {NUMERATOR + DENOMINATOR} <= n_x + n_y")
+    pairs = met.select("node_x", "node_y").distinct()
+    held = across.groupBy("node", "n", "matches").agg(F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("h"))
+    of = lambda side: held.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "matches")], F.col("h.shingle").alias(f"h_{side}"), F.col("h.place").alias(f"places_{side}"))
+    both = pairs.join(of("x"), "node_x").join(of("y"), "node_y").withColumn("common", F.array_intersect("h_x", "h_y"))
+    for side in "xy":
+        last = F.array_position(F.col(f"h_{side}"), F.element_at("common", -1)).cast("int")
+        both = both.withColumn(f"rest_{side}", F.col(f"n_{side}") - F.element_at(f"places_{side}", last) - 1)
+    # up to the last common shingle of both prefixes no others are common
+    enough = both.where(f"size(common) >= least(matches_x, matches_y) AND (size(common) + least(rest_x, rest_y)) * {NUMERATOR + DENOMINATOR} >= (n_x + n_y) * {NUMERATOR}")
+    enough = enough.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     more = written(verified(enough.select("a", "b").join(near, ["a", "b"], "left_anti"), ids, known), "links")
     # links between components are few, however many pairs they rest on
     between = label(more.select(F.col("a").alias("node"), F.col("b").alias("other")), grown).select(F.col("c").alias("a"), F.col("other").alias("node"))
