@@ -71,6 +71,20 @@ def test_checks_and_context(table):
     assert pii.redact(found).where("doc_id = 5").first().text == "card <card>"
 
 
+def test_account_numbers_end_with_their_country_s_length(table):
+    spaced, plain_ = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = [
+        (f"IBAN {plain_} Bitte zahlen", [plain_]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{plain_} BIC COBADEFFXXX", [plain_]), (f"an {spaced} GB82 WEST 1234 5698 7654 32 BIC X", [spaced, "GB82 WEST 1234 5698 7654 32"]),
+        ("NO93 8601 1117 947 OSLO", ["NO93 8601 1117 947"]), ("MT84 MALT 0110 0001 2345 MTLC AST0 01S BIC", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+        (f"PL12 IBAN {spaced} BIC", [spaced]), (f"{plain_}0 BIC", []), (f"{plain_[:-1]}1 BIC", []), (f"X{plain_} BIC", []), ("DE89 3704 0044 0532", []), ("AB12 " * 3000 + plain_ + " Z", [plain_]),
+    ]
+    got = {r.doc_id: r.spans for r in pii.detect(table([(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    for i, (text, wanted) in enumerate(texts):
+        found = [s for s in got[i] if s.kind == "iban"]
+        assert [s.found for s in found] == wanted
+        assert all(text[s.start : s.stop] == s.found for s in found)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="a0@.-+ ()9_%é", max_size=60), min_size=1, max_size=8))
 def test_pii_random(spark, texts):

@@ -52,7 +52,8 @@ def digit_count(found: Column, least: int, most: int) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """needs: what a text must hold for the pattern to be tried; check: confirms a span; words: context that raises its score."""
+    """needs: what a text must hold for the pattern to be tried; check: confirms a span; words: context that raises its score;
+    ahead: the span is group 1, in a lookahead."""
 
     kind: str
     pattern: str
@@ -61,15 +62,25 @@ class Kind:
     words: str
     prior: float
     base: bool = False
+    ahead: bool = False
 
 
+#: The length of an account number by country, of the IBAN registry and of countries that use the format outside it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE GG IE IM JE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BF BI BL CF CG CM DJ FR GA GF GP GQ GR IT KM MC MF MG MQ NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG MR PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: The country sets where a number ends, so what follows it after a space never counts in.
+IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+
 #: Fixed values. Base kinds come first and always count; others count from MIN_SCORE on.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda s: F.lit(True), "mail|contact|write|kontakt|correo|courriel", 0.8, True),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", octets, "ip|host|server|address|adresse", 0.6, True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", lambda s: F.when(digit_count(s, 13, 19), luhn(s)).otherwise(False), "card|visa|credit|payment|karte|carte|tarjeta", 0.6, True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda s: digit_count(s, 9, 15), "phone|tel|call|mobile|fax|anruf", 0.6, True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", mod97, "iban|account|bank|konto|compte|cuenta", 0.7),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({IBAN})(?![A-Za-z0-9]))[A-Z]{{2}}[0-9]{{2}}", "", mod97, "iban|account|bank|konto|compte|cuenta", 0.7, ahead=True),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", lambda s: F.lit(True), "ssn|social|security", 0.4),
 )
 
@@ -85,7 +96,7 @@ def detect(df: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id",
 
     def spans(kind: Kind) -> Column:
         text = F.col("text")
-        every = matches(text, kind.pattern, kind.check)
+        every = matches(text, kind.pattern, kind.check, int(kind.ahead), kind.ahead)
         every = F.when(F.contains(text, F.lit(kind.needs)), every).otherwise(empty) if kind.needs else every
 
         def scored(s: Column) -> Column:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,stop:int,found:string>>"
 
 
-def matches(text: Column, pattern: str, keep: Callable[[Column], Column], group: int = 0) -> Column:
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column], group: int = 0, ahead: bool = False) -> Column:
     """Leftmost non-overlapping matches for which keep(group's text) holds: array of (start, stop, found), stop exclusive.
 
-    A failing match is dropped and its text stays consumed. Cost: one pass a pattern, and copies of the kept spans only.
+    A failing match is dropped and its text stays consumed. With ahead, the group is a lookahead's, from the start of the match: the
+    span is the group, only the match is consumed, and a failing group hides none that starts after the match. Cost: one pass a pattern, and copies of the kept spans only.
     """
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
@@ -28,7 +29,9 @@ def matches(text: Column, pattern: str, keep: Callable[[Column], Column], group:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         stop = start + F.coalesce(F.length(x["found"]), F.lit(0))
-        hit = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found")))
+        whole = x["part"] if ahead else x["found"]
+        end = start + F.length(whole) if ahead else stop
+        hit = F.array(F.struct(start.alias("start"), end.alias("stop"), whole.alias("found")))
         return F.struct(
             stop.alias("at"),
             F.when(x["found"].isNotNull() & F.coalesce(keep(x["part"]), F.lit(False)), F.concat(acc["spans"], hit)).otherwise(acc["spans"]).alias("spans"),
