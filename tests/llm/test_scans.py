@@ -54,6 +54,29 @@ def test_added_kinds_and_masks(table):
     assert masked == {1: "[SECRET] [SECRET] [SECRET]", 2: "plain", 3: None}
 
 
+def test_private_keys_are_masked_whole(table):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = ["MIIEowIBAAKCAQEA" + "aB3+/xYz" * 6, "Zq9/" * 16, "k7Lm=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    keys = [
+        "\n".join([head, *body, end]), "\r\n".join([head, *body, end]), "\\n".join([head, *body, end]), " ".join([head, *body, end]), head + "".join(body[:2]) + end,
+        "\n".join([head, fields + body[0], *body[1:], end]), "\n    ".join([head, *body, end]), "\n> ".join([head, *body, end]), '\\n" +\n  "'.join([head, *body, end]), "<br>".join([head, *body, end]),
+        "\n".join([head, *body]), "\n".join([head, fields + body[0], *body[1:]]), "\\n".join([head, *body]), " ".join([head, *body[:2]]),
+        "\n".join([head, "c2hvcnQ", end]), "\n".join([head, "QUJD", "REVG"]), head + end, "\n".join([head, *["A" * 64] * 4000, end]),
+    ]
+    around = [("see ", "\nThat was the key."), ("a ", ""), ("", "\n\nThanks\n")]
+    rows = [(i * 10 + k, before + key + after) for i, key in enumerate(keys) for k, (before, after) in enumerate(around)]
+    masked = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.scan(table(rows))).collect()}
+    for i in range(len(keys)):
+        for k, (before, after) in enumerate(around):
+            assert masked[i * 10 + k] == f"{before}[SECRET]{after}", keys[i][:200]
+    two = f"{keys[0]}\ntext between the keys\n{keys[10]}\n\nA last line.\n{keys[2]}"
+    prose = [f"A file starts with {head} and then has lines.", f"{head}, the header\nSome words follow here.", (head + "\nA: ") * 3000]
+    masked = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.scan(table(list(enumerate([two, *prose]))))).collect()}
+    assert masked[0] == "[SECRET]\ntext between the keys\n[SECRET]\n\nA last line.\n[SECRET]"
+    assert [masked[i + 1] for i in range(len(prose))] == [t.replace(head, "[SECRET]") for t in prose]
+
+
 def test_pii(table, rows):
     got = pii.digest(pii.detect(table(rows))).collect()
     assert {r.doc_id: tuple(r)[1:6] for r in got} == {i: plain.pii(t) for i, t in rows}

@@ -39,13 +39,32 @@ class Rule:
     base: bool = False
 
 
+#: A private key as PEM, from its header to its END line or, without one, to the last line of base64. Line ends may be escaped and
+#: lines quoted, indented or prefixed, as keys stand in JSON, source code and mails; where line ends are lost, long runs count as lines;
+#: whatever else stands around a long run between header and END line is the key too. Every part is possessive and none passes five dashes that begin no END line, so the time stays linear.
+_HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+_PAD = r"""[\x20\t"'+,;>#|*]*+"""
+_END_OF_LINE = r"""(?:(?:\\r)?\\n(?:["'+,;\x20\t]*+\\?\r?\n)?|["'+,;\x20\t]*+\\?\r?\n|\r)"""
+_GAP = r"""(?:[\s"'+,;>#|*]|\\[nrt]|\\\r?\n)"""
+_ALONE = r"""(?=[\x20\t\r"'+,;)}\]`]*+(?:\n|\\[nr]|\Z))"""
+_LINE = rf"{_PAD}{_END_OF_LINE}{_PAD}[A-Za-z0-9+/]++={{0,2}}+{_ALONE}|{_GAP}++[A-Za-z0-9+/=]{{16,}}+{_ALONE}|{_GAP}++[A-Za-z0-9+/=]{{40,}}+(?![^\s\"'\\,;)}}\]`<-])"
+_UNDASHED = r"(?:[^-]|-(?!----))"
+_VALUE = r"(?:[^\n\\-]|-(?!----))*+"
+_FIELD = rf"{_PAD}{_END_OF_LINE}{_PAD}[A-Za-z][A-Za-z0-9-]*+:{_VALUE}"
+_DIRECT = r"(?:[A-Za-z0-9+/=]{16,}+)?+"
+_END = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_CLOSED = rf"{_DIRECT}(?:{_LINE}|{_FIELD})*+(?:{_GAP}*+[A-Za-z0-9+/=]++)?+{_GAP}*+{_END}"
+_BETWEEN = rf"(?={_UNDASHED}*?[A-Za-z0-9+/=]{{40}}){_UNDASHED}*+{_END}"
+_BROKEN = rf"{_DIRECT}(?:{_PAD}{_END_OF_LINE}{_PAD}(?:Proc-Type|DEK-Info):{_VALUE})*+(?:{_LINE})*+"
+PEM = rf"{_HEADER}(?:{_CLOSED}|{_BETWEEN}|{_BROKEN})"
+
 #: The base kinds' patterns and lengths, then public token formats. A run of [0-9a-f] shorter than 16, or an
 #: AKIA run shorter than 18, can neither count nor hide another match, so the length stands in the pattern.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
