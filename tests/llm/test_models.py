@@ -81,6 +81,25 @@ def test_main_text(page, wanted):
     assert html_extract.main_text(page, html_extract.default_field()) == wanted
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<p>a</p><svg class=x /><p>b</p><svg><g><path d=x></g></svg><p>c</p>", "a b c"), ("<div><p>a</p><video src=x></div><p>b</p>", "a b"),
+        ("<div><p>a</p><select><option>no<option>no</div><p>b</p>", "a b"), ("<p>a</p><svg><svg><text>no</text></svg><text>no</text></svg><p>b</p>", "a b"),
+        ("<p>a<object data=x><object>no</object>no</object>b</p>c", "a b c"), ("<p>a</p><div><object><p>no</p></div><p>b</p><object>no</object><p>c</p>", "a b c"),
+        ("<p>a<video src=x><p>b<svg></p><p>c</p>", "a b c"), ("<ul><li>a<canvas><li>b</ul>c", "a b c"), ("<p>a <span>b<svg><path></span> c</p>", "a b c"), ("<p>a <a href=x><svg><a>no</a>no</svg>b</a></p>", "a b"),
+        ("<noscript><p>no</p></noscript>a<template><div>no</div></template>b<audio>no", "a b"), ("<p>a</p><script>no</p>", "a"), ("a<textarea><p>no</textarea>b<iframe>no</iframe>c<style>no", "a b c"),
+    ],
+)
+def test_elements_without_text_hide_nothing_else(page, wanted):
+    assert " ".join(b.text for b in html_extract.leaf_blocks(page)) == wanted
+
+
+def test_hidden_elements_keep_the_link_around_them():
+    assert [(b.text, b.linked) for b in html_extract.leaf_blocks("<p><a href=x>ab<svg><g></g></svg>cd</a>ef</p>")] == [("ab", 2), ("cdef", 2)]
+    assert [(b.text, b.linked) for b in html_extract.leaf_blocks("<div><a href=x>ab<svg></div>cd")] == [("ab", 2), ("cd", 0)]
+
+
 def test_extraction_of_pages(spark, sf):
     """The pages' articles, cut out with what is known of their layout."""
     import html as h

@@ -9,7 +9,7 @@ composed from layouts with known main text (seeded); the words in them are rando
 Scale: map-only. Pages go through one at a time and whole; the model, some hundred weights, travels with the task.
 
 Defined results: null or empty html, or a page without content, gives an empty text of 0 characters. Pages that break off inside a tag lose
-that tag only. Repeated rows give repeated rows; an empty table an empty result; extra columns are left alone.
+that tag only. An element of HIDDEN that is not closed hides text until its parent closes; one of RAW, as HTML reads it, to the end of the page. Repeated rows give repeated rows; an empty table an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -36,8 +37,11 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-#: Fixed values of HTML: elements whose inside is no text, elements without an inside, and elements that begin a block.
-RAW = frozenset("script style template noscript iframe svg textarea select object canvas audio video".split())
+#: Fixed values of HTML: elements whose inside is read raw up to their end tag, others whose inside is no text, those of them that do not keep
+#: a tag inside from ending their parent, elements without an inside, and elements that begin no block.
+RAW = frozenset("script style iframe textarea".split())
+HIDDEN = frozenset("template noscript svg select object canvas audio video".split())
+THROUGH = frozenset("svg canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An element of the key's kind ends when one of these begins.
@@ -63,6 +67,8 @@ class _Open:
     parts: list = field(default_factory=list)
     linked: int = 0
     in_link: int = 0
+    hidden: int | None = None  # length of the path outside the outermost open element of HIDDEN
+    inline: tuple = field(default_factory=lambda: (Counter(), Counter()))  # open inline elements, outside of it and inside
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
@@ -77,12 +83,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
         now.parts, now.linked = [], 0
 
     def add(text: str) -> None:
-        if text:
+        if text and now.hidden is None:
             text = html.unescape(text)
             now.parts.append(text)
             if now.in_link:
                 now.linked += len(text)
 
+    def show() -> None:
+        if now.hidden is not None:
+            del now.path[now.hidden :]
+            now.hidden = None
+            now.inline[1].clear()
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -93,26 +105,42 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if m["name"] is None:
             continue
         name = m["name"].lower()
+        outer, inner = now.inline
         if name == "br":
-            now.parts.append(" ")
+            add(" ")
         elif name in INLINE:
-            if name == "a":
+            own = outer if now.hidden is None else inner
+            if not m["end"]:
+                own[name] += name not in VOID
+            elif own[name]:
+                own[name] -= 1
+            elif outer[name]:  # the parent of what is hidden
+                outer[name] -= 1
+                show()
+            if name == "a" and now.hidden is None:
                 now.in_link = 0 if m["end"] else 1
         elif m["end"]:
             close_block()
             if any(tag == name for tag, _ in now.path):
                 while now.path.pop()[0] != name:
                     pass
-                now.in_link = 0
+                if now.hidden is None or len(now.path) < now.hidden:
+                    now.in_link = 0
+                if now.hidden is not None and len(now.path) <= now.hidden:
+                    show()
         elif name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             close_block()
             at = close.end() if close else len(page)
         else:
             close_block()
+            if now.hidden and len(now.path) == now.hidden + 1 and now.path[-1][0] in THROUGH and name in ENDED_BY.get(now.path[-2][0], ()):
+                show()
             while now.path and name in ENDED_BY.get(now.path[-1][0], ()):
                 now.path.pop()
             if name not in VOID and not m["attributes"].rstrip().endswith("/"):
+                if name in HIDDEN and now.hidden is None:
+                    now.hidden = len(now.path)
                 now.path.append((name, names_in(m["attributes"])))
     close_block()
     return blocks
