@@ -32,3 +32,8 @@ def test_entry_and_registry(spark):
 
 def test_every_query_names_what_it_covers():
     assert all(q.covers for q in CATALOG.values())
+
+
+@pytest.mark.parametrize(("name", "table"), [("deep_clean_all", "documents"), ("sane_times_all", "events")])
+def test_whole_tables(spark, sf, name, table):
+    assert CATALOG[name].run(spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()

@@ -58,15 +58,35 @@ def many_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("STR-16", "SELECT doc_id, replace(text, 'e', '') AS clean FROM documents WHERE length(text) < 300")
 def deep_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts under 300 characters of deep_clean_all."""
+    return _cleaned(table(spark, sf_dir, "documents").where(F.length("text") < 300))
+
+
+@query("STR-16", "SELECT doc_id, replace(text, 'e', '') AS clean FROM documents")
+def deep_clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NULs come out again of texts that had one put before every e, which goes with it."""
+    return _cleaned(table(spark, sf_dir, "documents"))
+
+
+def _cleaned(documents: DataFrame) -> DataFrame:
     dirty = F.replace(F.col("text"), F.lit("e"), F.lit("\x00"))
-    return table(spark, sf_dir, "documents").where(F.length("text") < 300).select("doc_id", F.regexp_replace(dirty, r"\x00", "").alias("clean"))
+    return documents.select("doc_id", F.regexp_replace(dirty, r"\x00", "").alias("clean"))
 
 
 @query("DT-07", "SELECT event_id, CASE WHEN year(ts) BETWEEN 2020 AND 2030 AND event_id % 3 <> 0 THEN ts END AS at FROM events WHERE user_id < 20")
 def sane_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first users' events of sane_times_all."""
+    return _sane(table(spark, sf_dir, "events").where("user_id < 20"))
+
+
+@query("DT-07", "SELECT event_id, CASE WHEN year(ts) BETWEEN 2020 AND 2030 AND event_id % 3 <> 0 THEN ts END AS at FROM events")
+def sane_times_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sane(table(spark, sf_dir, "events"))
+
+
+def _sane(events: DataFrame) -> DataFrame:
     raw = F.when(F.col("event_id") % 3 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return table(spark, sf_dir, "events").where("user_id < 20").select("event_id", times.sane_timestamp(raw).cast("timestamp_ntz").alias("at"))
+    return events.select("event_id", times.sane_timestamp(raw).cast("timestamp_ntz").alias("at"))
 
 
 @query("JSN-02 JSN-03 SRC-03", f"WITH {MESSAGES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN content_text ELSE content_text || chr(10) || 'done' END AS content, CASE WHEN id % 2 = 1 THEN 'run' END AS tool FROM messages WHERE content_text <> ''")
