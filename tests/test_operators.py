@@ -231,6 +231,14 @@ def test_parent_links_refuse_cycles(spark):
     assert done.count() == links.revert_links(done, links_).where("parent_id IS NULL").count()
 
 
+def test_deep_chains_are_no_cycles(spark):
+    chain = [(k, k + 1) for k in range(300)]
+    into_cycle = [(1000 + k, 1001 + k) for k in range(300)] + [(1300, 1298)]
+    links_ = spark.createDataFrame(chain + into_cycle, "session_id long, parent_id long")
+    assert values(links.cyclic(links_), "session_id") == [(1298,), (1299,), (1300,)]
+    assert links.cyclic(links_.where("session_id < 1000")).count() == links.cyclic(links_.limit(0)).count() == 0
+
+
 def test_merge_projects(spark):
     projects = spark.createDataFrame([(1, "s", "d", "D:/w", "m1", True), (2, "s", "e", "/mnt/d/W", "m1", True), (3, "s", "f", "/home", "m1", True), (4, "s", "g", "raw", "m1", True)], "project_id long, source string, external_id string, path string, machine string, windows_host boolean")
     sessions = spark.createDataFrame([(1, 1, "/x"), (2, 2, "/x"), (3, 2, "/x"), (4, 3, "/home")], "session_id long, project_id long, cwd string")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from wharfline.functions import paths
 from wharfline.storage import written
 
-MOST_DEPTH = 64
-
 
 def parent_links(sessions: DataFrame) -> DataFrame:
     """Of sessions (session_id, project_id, external_id, parent_external_id, parent_id, deleted_at): (session_id, parent_id) to set.
@@ -22,14 +20,20 @@ def parent_links(sessions: DataFrame) -> DataFrame:
     return wanted.join(found, ["project_id", "external_id"]).where("session_id != parent_id").select("session_id", "parent_id")
 
 
-def cyclic(links: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(session_id) of links (session_id, parent_id) that lie on a cycle. Each round doubles how far every pointer reaches, so few rounds do; a
-    pointer that runs off the end of its chain is dropped, and what still points after depth doublings never ends."""
+def cyclic(links: DataFrame) -> DataFrame:
+    """(session_id) of links (session_id, parent_id) that lie on a cycle. Each round doubles how far every pointer reaches; a pointer that runs off
+    the end of its chain is dropped. The sessions pointed at only become fewer, and once a round leaves as many, they are the cycles: in a chain or
+    in the branches that lead into a cycle, the last one would have gone. Rounds grow with the logarithm of the longest chain, and of the links at most."""
     reached = written(links.select("session_id", "parent_id"), "links")
-    rounds = max(1, depth.bit_length())
-    for _ in range(rounds):
+    met = reached.select("parent_id").distinct().count()
+    for _ in range(reached.count().bit_length() + 1):
+        if not met:
+            break
         onward = reached.select(F.col("session_id").alias("parent_id"), F.col("parent_id").alias("next"))
         reached = written(reached.join(onward, "parent_id").select("session_id", F.col("next").alias("parent_id")), "links")
+        before, met = met, reached.select("parent_id").distinct().count()
+        if met == before:
+            break
     return reached.select(F.col("parent_id").alias("session_id")).distinct()
 
 
