@@ -6,7 +6,8 @@ tasks share the corpus evenly and a hot source or a group of copies costs no tas
 Patterns use possessive quantifiers, and start a match only where a run of its characters starts or the last match
 ended. Neither changes a match (what follows a run is never in its class), and both keep the time linear on very long texts.
 
-Defined results: null text is empty text and has no spans. Repeated rows give repeated result rows. Other columns of the input,
+Defined results: null text is empty text and has no spans; a null id stays null. Spans of different kinds may overlap, and all are reported. Very long texts
+are read whole. Repeated rows give repeated result rows. Other columns of the input,
 whatever their names, are left alone. An empty table gives an empty result.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.llm.common import text_or_empty
-from wharfline.llm.spans import SPAN, joined, matches, sha256_hex
+from wharfline.llm.spans import SPAN, joined, matches, replaced, sha256_hex
 
 
 def digits(found: Column) -> Column:
@@ -113,10 +114,11 @@ def detect(df: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id",
     return texts.select(id_col, "text", F.filter(F.concat(*[spans(k) for k in kinds]), kept).alias("spans"))
 
 
-def redact(detected: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, text): each found value replaced by its kind in angle brackets."""
-    one = lambda text, s: F.replace(text, s["found"], F.concat(F.lit("<"), s["kind"], F.lit(">")))
-    return detected.select(id_col, F.aggregate("spans", F.col("text"), one).alias("text"))
+def redact(detected: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, text): what stands at each span replaced by its kind in angle brackets; of spans that overlap, the first by start, then kind as listed, names the whole."""
+    names = F.array(*[F.lit(k.kind) for k in kinds])
+    order = lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["kind"]).alias("place"))
+    return detected.select(id_col, replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">")), order).alias("text"))
 
 
 def digest(detected: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id") -> DataFrame:

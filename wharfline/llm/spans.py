@@ -41,6 +41,20 @@ def matches(text: Column, pattern: str, keep: Callable[[Column], Column], group:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, zero, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
 
 
+def replaced(text: Column, spans: Column, mask: Callable[[Column], Column], order: Callable[[Column], Column]) -> Column:
+    """text with mask(span) at the place of each span, once for spans that overlap: the mask is that of the first of them by order(span), which begins with the start."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        return F.when(
+            s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], gap, mask(s)).alias("out"))
+        ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(order(s).alias("o"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.when(F.size(spans) > 0, F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+
+
 def joined(spans: Column, order: Callable[[Column], Column]) -> Column:
     """kind:start:stop of an array of structs, sorted by order(), joined by commas."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(order(s).alias("o"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))))
