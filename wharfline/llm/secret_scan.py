@@ -6,11 +6,13 @@
 4. `scan` verifies a rule's regex on its candidates only; rules without mandatory trigrams run on every text.
 
 Scale: postings are narrow rows that never group by trigram, so a trigram that every text holds makes no hot group; they
-are grouped by (text key, alternative), which map tasks combine. Candidates meet the texts in one left join by text key.
+are grouped by (text key, alternative), which map tasks combine. Candidates are written, so their size is known when they meet the texts in one
+left join by text key: Spark sends them to the tasks where that size is below its broadcast limit, and no text is shuffled; else it shuffles both.
 The clause table is as large as the rule list, whatever the corpus, so it is broadcast. Keys are 64-bit hashes: texts
 that share one share candidates, and verification stays exact.
 
-Defined results: null text is empty text and has no spans. Repeated rows give repeated result rows. Other columns of the input,
+Defined results: null text is empty text and has no spans; a null id stays null. Spans of different kinds may overlap, and all are reported. Very long texts
+are read whole. Repeated rows give repeated result rows. Other columns of the input,
 whatever their names, are left alone. An empty table gives an empty result.
 """
 
@@ -24,8 +26,8 @@ from re import _parser as regex_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import text_or_empty
-from wharfline.llm.spans import SPAN, joined, matches, sha256_hex
+from wharfline.llm.common import text_or_empty, written
+from wharfline.llm.spans import SPAN, joined, matches, replaced, sha256_hex
 
 
 @dataclass(frozen=True)
@@ -72,6 +74,8 @@ RULES = (
 
 #: A regex that branches into more alternatives than this counts as one without mandatory trigrams there.
 MOST_FORMS = 64
+#: So many trigrams of an alternative are asked for; any part of them is still mandatory, and candidates are verified.
+MOST_BITS = 60
 GAP = None
 
 
@@ -117,17 +121,25 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 def postings(texts: DataFrame, trigrams: Sequence[str] | None = None) -> DataFrame:
     """Inverted index (trigram, key) of texts (key, text): all trigrams of the lower-cased text, or the given ones only."""
-    any_of = "|".join(re.escape(t) for t in sorted(trigrams)) if trigrams is not None else r"[\s\S]{3}"
-    held = F.regexp_extract_all(F.lower(F.col("text")), F.lit(f"(?=({any_of}))"), F.lit(1))
-    return texts.select(F.explode(F.array_distinct(held)).alias("trigram"), "key")
+    if trigrams is None:
+        held = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?=([\s\S]{3}))"), F.lit(1)))
+    else:
+        # the lower-cased text is a lambda's variable, so that it is made once for all trigrams
+        wanted = F.array(*[F.lit(t) for t in sorted(trigrams)])
+        held = F.flatten(F.transform(F.array(F.lower(F.col("text"))), lambda low: F.filter(wanted, lambda t: F.contains(low, t))))
+    return texts.select(F.explode(held).alias("trigram"), "key")
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(key, kinds): texts that hold every trigram of some alternative of a rule."""
-    clauses = [(f"{rule.kind}/{n}", rule.kind, t, len(q)) for rule in rules for n, q in enumerate(trigram_query(rule.pattern)) for t in sorted(q)]
-    wanted = index.sparkSession.createDataFrame(clauses, "clause string, kind string, trigram string, size int")
-    met = index.join(F.broadcast(wanted), "trigram").groupBy("key", "clause", "kind", "size").agg(F.size(F.collect_set("trigram")).alias("n"))
-    return met.where("n = size").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    """(key, kinds): texts that hold every trigram of some alternative of a rule. Postings meet by or-ing a bit for each trigram of the alternative, which repeated rows do not change."""
+    clauses = []
+    for rule in rules:
+        for n, query in enumerate(trigram_query(rule.pattern)):
+            mandatory = sorted(query)[:MOST_BITS]
+            clauses += [(f"{rule.kind}/{n}", rule.kind, t, 1 << k, (1 << len(mandatory)) - 1) for k, t in enumerate(mandatory)]
+    wanted = index.sparkSession.createDataFrame(clauses, "clause string, kind string, trigram string, bit long, whole long")
+    met = index.join(F.broadcast(wanted), "trigram").groupBy("key", "clause", "kind", "whole").agg(F.bit_or("bit").alias("bits"))
+    return met.where("bits = whole").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def scan(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,7 +149,8 @@ def scan(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", t
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     wanted = sorted({t for query in queries.values() for q in query for t in q})
     if wanted:
-        found = texts.join(candidates(postings(texts.select("key", "text"), wanted), [r for r in rules if queries[r.kind]]), "key", "left")
+        known = written(candidates(postings(texts.select("key", "text"), wanted), [r for r in rules if queries[r.kind]]), "candidates")
+        found = texts.join(known, "key", "left")
     else:
         found = texts.withColumn("kinds", F.array().cast("array<string>"))
 
@@ -152,18 +165,8 @@ def scan(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", t
 
 def redact(scanned: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """scanned without found_spans, each span of its texts (overlapping ones together) replaced by mask."""
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(
-            s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))
-        ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
-
-    ordered = F.array_sort(F.transform("found_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return scanned.withColumn(text_col, F.when(F.size("found_spans") > 0, clean).otherwise(text)).drop("found_spans")
+    clean = replaced(F.col(text_col), F.col("found_spans"), lambda s: F.lit(mask), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    return scanned.withColumn(text_col, clean).drop("found_spans")
 
 
 def order_of(rules: Sequence[Rule]):
