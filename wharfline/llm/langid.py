@@ -3,15 +3,17 @@
 Subwords are the runs of 2, 3 and 4 bytes of a text in which ASCII letters are lower-cased and other ASCII is a space; each has a bucket
 among BUCKETS. A text is the mean of its subwords' embeddings. `fit` learns embeddings and softmax together by stochastic
 gradient descent in numpy, on a sample of at most SAMPLE_ROWS labelled rows (this bound is the only one): an equal share of each
-language, chosen by hash, so the sample depends on the rows alone and not on how they are partitioned. A fifth of it, held
-back, sets the temperature of the softmax and the score below which a prediction is rejected.
+language, one row at least, chosen by hash, so the sample depends on the rows alone and not on how they are partitioned. A fifth of it, held
+back, sets the temperature of the softmax and the score below which a prediction is rejected: the least one from which on PRECISION of the
+predictions are right, and never less than half the way from chance to the lowest score of a held-back row that is right. So a
+text of a language never learned, or of no language, can be rejected even where the learned ones are told apart without fault.
 
-`predict` is map-only: since mean and softmax layer are both linear, the layer is folded into a table of one score a
-bucket and language, which is all that is broadcast (BUCKETS x languages x 4 bytes, at most MOST_LANGUAGES languages; labels beyond
-the most frequent MOST_LANGUAGES are not learned). Texts go through whole, BLOCK_BYTES at a time.
+`predict` is map-only. What is broadcast is the model: BUCKETS x DIMENSION embeddings (1 MB) and a layer of DIMENSION numbers a language.
+Texts go through whole, BLOCK_BYTES at a time, longer ones in pieces that overlap by a subword, so memory does not grow with a text.
 
 Defined results: null text or no letter: `und`, score 0, rejected. No labelled rows: everything is `und`, score 0, rejected. A null
-label is not learned from. Repeated rows give repeated rows; an empty table an empty result; extra columns pass through `keep`.
+label is not learned from; nor are rows with a null id in `fit_documents`. Of equal scores the first language by name is predicted. Repeated rows give repeated rows;
+an empty table an empty result; extra columns pass through `keep`.
 """
 
 from __future__ import annotations
@@ -22,16 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import map_arrow
+from wharfline.llm.common import map_arrow, written
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 DIMENSION = 8
 SAMPLE_ROWS = 2000
-MOST_LANGUAGES = 200
 EPOCHS = 12
 #: Small samples are gone over more often, for at least so many steps.
 LEAST_STEPS = 800
@@ -41,7 +42,7 @@ SEED = 7
 #: Of the predictions that are not rejected, this share shall be right on the calibration rows.
 PRECISION = 0.98
 UNKNOWN = "und"
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 GAP = bytes(max(SIZES) - 1)
@@ -50,31 +51,36 @@ GAP = bytes(max(SIZES) - 1)
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # a row for each bucket and, last, one of zeros; a column for each language
+    table: np.ndarray  # an embedding for each bucket and, last, one of zeros
+    layer: np.ndarray  # a column for each language
     bias: np.ndarray
     temperature: float
     least: float  # scores below are rejected
 
 
-def subwords(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: the bucket at each byte of the texts, end to end with GAPs (BUCKETS where a run does not fit)."""
-    data = np.frombuffer(b"".join(t.translate(FOLD) + GAP for t in texts), np.uint8).astype(np.uint32)
-    left = np.concatenate([np.arange(len(t), -len(GAP), -1) for t in texts])
+def pieces_of(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """The text, or its pieces of BLOCK_BYTES, each with the bytes after it that a subword needs; and how many of those there are."""
+    for at in range(0, max(1, len(text)), BLOCK_BYTES):
+        piece = text[at : at + BLOCK_BYTES + len(GAP)]
+        yield piece, max(0, len(piece) - BLOCK_BYTES)
+
+
+def subwords(pieces: list[tuple[bytes, int]]) -> Iterator[np.ndarray]:
+    """For each size: the bucket at each byte of the pieces, end to end with GAPs (BUCKETS where a run does not fit or the next piece has it)."""
+    data = np.frombuffer(b"".join(t.translate(FOLD) + GAP for t, _ in pieces), np.uint8).astype(np.uint32)
+    left = np.concatenate([np.arange(len(t), -len(GAP), -1) for t, _ in pieces])
+    after = np.repeat([n for _, n in pieces], [len(t) + len(GAP) for t, _ in pieces])
     h = data.copy()
     for size in range(2, max(SIZES) + 1):
         h = h[:-1] * np.uint32(0x01000193) ^ data[size - 1 :]
         if size in SIZES:
             mixed = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-            yield np.where(left[: len(h)] >= size, mixed >> np.uint32(17), BUCKETS).astype(np.int64), left
-
-
-def _starts(texts: list[bytes]) -> np.ndarray:
-    return np.r_[0, np.cumsum([len(t) + len(GAP) for t in texts])]
+            yield np.where((left[: len(h)] >= size) & (left[: len(h)] > after[: len(h)]), mixed >> np.uint32(17), BUCKETS).astype(np.int64)
 
 
 def counts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A text's buckets and the share of its subwords in each."""
-    total = sum(np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS] for b, _ in subwords([text]))
+    total = sum(np.bincount(b, minlength=BUCKETS + 1)[:BUCKETS] for piece in pieces_of(text) for b in subwords([piece]))
     on = np.flatnonzero(total)
     return on, total[on] / max(1, total.sum())
 
@@ -89,7 +95,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     languages = sorted({r[2] for r in rows})
     k = len(languages)
     if not k:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((BUCKETS + 1, DIMENSION), np.float32), np.zeros((DIMENSION, 0)), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(SEED)
     label = np.array([languages.index(r[2]) for r in rows])
     order = rng.permutation(len(rows))
@@ -125,7 +131,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     truth = label[test]
     loss = {t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(test)), truth], 1e-12)).mean() for t in np.geomspace(0.1, 5, 40)}
     temperature = float(min(loss, key=loss.get))
-    return Model(languages, np.vstack([embed @ layer, np.zeros((1, k))]).astype(np.float32), bias, temperature, threshold(softmax(logits / temperature), truth))
+    scores = softmax(logits / temperature)
+    return Model(languages, np.vstack([embed, np.zeros((1, DIMENSION))]).astype(np.float32), layer, bias, temperature, max(threshold(scores, truth), least_score(scores, truth)))
 
 
 def threshold(scores: np.ndarray, truth: np.ndarray) -> float:
@@ -138,43 +145,63 @@ def threshold(scores: np.ndarray, truth: np.ndarray) -> float:
     return float(best[order[good[-1]]]) if good[-1] < len(order) - 1 else 0.0
 
 
+def least_score(scores: np.ndarray, truth: np.ndarray) -> float:
+    """Half the way from chance to the lowest score of a right prediction."""
+    right = scores.argmax(axis=1) == truth
+    chance = 1 / scores.shape[1]
+    return float(chance + (scores.max(axis=1)[right].min() - chance) / 2) if right.any() and scores.shape[1] > 1 else 0.0
+
+
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """From (id, text, lang), null labels and texts left out. Only bucket counts of the sampled rows reach the driver."""
     known = labelled.where("lang is not null and text is not null")
-    languages = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not languages:
+    # written, so that its size is known when it meets the texts: they stay where they are unless labels are very many
+    languages = written(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    n = languages.count()
+    if not n:
         return train([])
-    each = -(-rows // len(languages))
-    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
+    each = max(1, rows // n)
     # half as many again as wanted on average, then exactly the least draws
-    share = F.create_map(*[x for r in languages for x in (F.lit(r["lang"]), F.lit(int((1 << 40) * min(1.0, 1.5 * each / r["count"] + 50 / r["count"]))))])
-    drawn = known.withColumn("draw", draw).where(F.col("draw") < F.try_element_at(share, F.col("lang")))
-    schema = pa.schema([("lang", pa.string()), ("draw", pa.int64()), ("buckets", pa.list_(pa.int64())), ("shares", pa.list_(pa.float64()))])
+    share = languages.select("lang", F.least(F.lit(1.0), (1.5 * each + 50) / F.col("rows")).alias("share"))
+    drawn = known.withColumn("draw", F.xxhash64("id", "text")).join(share, "lang").where(F.pmod("draw", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    schema = pa.schema([("lang", pa.string()), ("draw", pa.int64()), ("buckets", pa.binary()), ("shares", pa.binary())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, number, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
                 buckets, shares = counts_of(text.as_py())
-                yield pa.RecordBatch.from_pydict({"lang": [lang.as_py()], "draw": [number.as_py()], "buckets": [buckets], "shares": [shares]}, schema=schema)
+                yield pa.RecordBatch.from_pydict({"lang": [lang.as_py()], "draw": [number.as_py()], "buckets": [buckets.astype(np.uint16).tobytes()], "shares": [shares.astype(np.float32).tobytes()]}, schema=schema)
 
-    found = map_arrow(drawn.select("lang", "draw", "text"), features, "lang string, draw long, buckets array<long>, shares array<double>")
-    taken: dict[str, list] = {}
-    for row in found.orderBy("draw").limit(2 * rows + 100 * len(languages)).toLocalIterator():
-        if len(mine := taken.setdefault(row["lang"], [])) < each:
-            mine.append((np.array(row["buckets"], np.int64), np.array(row["shares"]), row["lang"]))
-    return train([r for mine in taken.values() for r in mine])
+    found = map_arrow(drawn.select("lang", "draw", "text"), features, "lang string, draw long, buckets binary, shares binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw", "buckets"))
+    chosen = found.withColumn("place", place).where(F.col("place") <= each).orderBy("place", "draw", "lang").limit(rows)
+    taken = [(r["lang"], r["place"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float32)) for r in chosen.toLocalIterator()]
+    return train([(b, s, lang) for lang, _, b, s in sorted(taken, key=lambda r: r[:2])])
 
 
 def score_block(model: Model, texts: list[bytes]) -> np.ndarray:
     """Calibrated probabilities, a row for each text."""
-    starts = _starts(texts)
-    sums, n = np.zeros((len(texts), len(model.languages)), np.float64), np.zeros(len(texts))
-    for buckets, _ in subwords(texts):
-        size = len(starts) - 1
-        at = np.minimum(starts[:-1], len(buckets) - 1)
-        sums += np.add.reduceat(model.table[buckets], at, axis=0)
-        n += np.add.reduceat((buckets != BUCKETS).astype(np.int64), at)[:size]
-    return softmax((sums / np.maximum(n, 1)[:, None] + model.bias) / model.temperature)
+    sums, n = np.zeros((len(texts), DIMENSION)), np.zeros(len(texts))
+    pieces, owner, size = [], [], 0
+
+    def add() -> None:
+        starts = np.cumsum([0] + [len(p) + len(GAP) for p, _ in pieces])[:-1]
+        for buckets in subwords(pieces):
+            at = np.minimum(starts, len(buckets) - 1)
+            np.add.at(sums, owner, np.add.reduceat(model.table[buckets], at, axis=0))
+            np.add.at(n, owner, np.add.reduceat((buckets != BUCKETS).astype(np.int64), at))
+
+    for k, text in enumerate(texts):
+        for piece in pieces_of(text):
+            if pieces and size + len(piece[0]) > BLOCK_BYTES:
+                add()
+                pieces, owner, size = [], [], 0
+            pieces.append(piece)
+            owner.append(k)
+            size += len(piece[0])
+    if pieces:
+        add()
+    return softmax((sums / np.maximum(n, 1)[:, None] @ model.layer + model.bias) / model.temperature)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
