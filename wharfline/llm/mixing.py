@@ -7,13 +7,15 @@ than its subtree holds, so a shortage reaches the siblings of the short node fir
 `select_prefix`: a leaf with a budget of e whole epochs and a rest gives all its documents e times, and of epoch e + 1 the prefix
 whose tokens fit in the rest, in an order drawn for that leaf, epoch and seed.
 
-Scale: leaves are summed in map tasks; a leaf's order is cut into 4096 buckets by the first digits of the draw, so a leaf with a
+Scale: leaves are summed in map tasks; children of a node that hold as much at the same weight are one row when its budget is dealt, and those rows are
+first summed in steps of what they hold, so a node with millions of sources is no task's group. A leaf's order is cut into 4096 buckets by the first digits of the draw, so a leaf with a
 third of all documents is summed, placed and joined by (leaf, bucket), and only the one bucket in which its prefix ends is
 sorted. All arithmetic is in whole numbers, so results do not depend on the order of additions.
 
 Defined results: a null domain, language or source is a group named NONE; a null text has no tokens (it comes with whole epochs, and
 with a prefix that reaches its place); weights of 0 give nothing; repeated rows are dealt out like others; an empty table gives an empty
-result; extra columns are left alone.
+result; extra columns are left alone. Children that are as full are full together; documents of a leaf with the same place in the order (rows that repeat
+id and text) are taken in any order, which no count shows; very long texts are documents of many tokens.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SHARE = (1, 2)
 WEIGHTS: dict[str, dict[str, int]] = {"domain": {"domain0": 3, "domain1": 2}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {}}
 WORD = r"[^\x20\x09-\x0D]+"
 BIG = "decimal(38,0)"
+#: Steps a doubling in which the level of full children is sought.
+STEPS = 16
 
 
 def weight_of(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
@@ -43,25 +47,41 @@ def weight_of(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
     return (F.coalesce(F.try_element_at(known, F.col(level)), F.lit(1)) if known is not None else F.lit(1)).cast(BIG)
 
 
+def prices(weighted: DataFrame, parents: list[str]) -> DataFrame:
+    """(parents.., left, rest_w): of each parent whose budget does not fill all children (parents.., holds, w, given), what is left for those that
+    stay short, and their weights. A child that holds h at weight w is full while h / w * (weights from it on) + (what those before it hold) <= given.
+
+    Children with the same h and w are one row, and the level is first sought in steps of h / w; only the rows of the step where it lies are put in order one by one."""
+    ratio = F.col("holds").cast("double") / F.col("w").cast("double")
+    alike = weighted.where("w > 0").groupBy(*parents, "given", "holds", "w").agg(F.count("*").cast(BIG).alias("n")).withColumn("ratio", ratio)
+    alike = alike.withColumn("step", F.floor(F.log2(F.col("ratio") + 1) * STEPS))
+    steps = alike.groupBy(*parents, "given", "step").agg(F.sum(F.col("holds") * F.col("n")).cast(BIG).alias("h"), F.sum(F.col("w") * F.col("n")).cast(BIG).alias("ws"), F.min(F.struct("ratio", "holds", "w")).alias("low"))
+    within = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
+    by_step = within.orderBy("step")
+    steps = steps.select("*", (F.sum("h").over(by_step) - F.col("h")).cast(BIG).alias("before"), F.sum("ws").over(by_step.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast(BIG).alias("from_w"))
+    begins_full = F.col("low.holds") * F.col("from_w") <= F.col("low.w") * (F.col("given").cast(BIG) - F.col("before"))
+    # the last step that begins with a full child, and the one after it
+    last = F.coalesce(F.max(F.when(begins_full, F.col("step"))).over(within), F.lit(-1))
+    after = F.min(F.when(F.col("step") > F.col("last"), F.col("step"))).over(within)
+    sought = steps.withColumn("last", last).withColumn("after", after).where("step = last or step = after")
+    keys = [*parents, "step"]
+    rows = alike.join(sought.select(*keys, "before", "from_w"), keys)
+    by_ratio = Window.partitionBy(*keys).orderBy("ratio", "holds", "w").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(by_ratio), F.lit(0))
+    placed = rows.select(*keys, "ratio", "holds", "w", (F.col("given").cast(BIG) - F.col("before") - sum_before(F.col("holds") * F.col("n"))).cast(BIG).alias("left"), (F.col("from_w") - sum_before(F.col("w") * F.col("n"))).cast(BIG).alias("rest_w"))
+    short = placed.where("holds * rest_w > w * left")
+    return short.groupBy(*parents).agg(F.min_by(F.struct(F.greatest("left", F.lit(0).cast(BIG)).alias("left"), "rest_w"), F.struct("ratio", "holds", "w")).alias("p")).select(*parents, F.col("p.left").alias("left"), F.col("p.rest_w").alias("rest_w"))
+
+
 def deal(children: DataFrame, parents: list[str], level: str, weights: Mapping) -> DataFrame:
     """children (parents.., level, holds, given: the parent's budget) with budget: given is dealt by weight, none above holds."""
-    weighted = children.withColumn("w", weight_of(level, weights)).withColumn("holds_w", F.when(F.col("w") > 0, F.col("holds")).otherwise(F.lit(0)).cast(BIG))
-    full = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    by_room = full.orderBy(F.when(F.col("w") > 0, F.col("holds").cast("double") / F.col("w").cast("double")).otherwise(F.lit(float("inf"))), level)
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = weighted.select(
-        "*",
-        F.greatest(F.col("given").cast(BIG) - F.coalesce(F.sum("holds_w").over(before), F.lit(0)), F.lit(0)).cast(BIG).alias("left"),
-        F.sum("w").over(after).cast(BIG).alias("rest_w"),
-    )
-    # full children come first; the first that is not full sets the price of the rest
-    fits = (F.col("w") > 0) & (F.col("holds_w") * F.col("rest_w") <= F.col("w") * F.col("left"))
-    marked = placed.withColumn("fits", fits)
-    first_short = F.min(F.when(~F.col("fits") & (F.col("w") > 0), F.struct(F.col("holds").cast("double") / F.col("w").cast("double"), F.col(level), F.col("left"), F.col("rest_w")))).over(full)
-    priced = marked.withColumn("p", first_short)
-    share = F.expr("(w * p.left) div p.rest_w")
-    return priced.withColumn("budget", F.when(F.col("w") == 0, 0).when(F.col("fits"), F.col("holds_w")).otherwise(F.least(share, F.col("holds"))).cast("long")).drop("w", "holds_w", "left", "rest_w", "fits", "p", "given")
+    weighted = children.withColumn("w", weight_of(level, weights)).withColumn("holds", F.col("holds").cast(BIG))
+    price = prices(weighted, parents)
+    # a row for each parent, or one row
+    priced = weighted.join(price, parents, "left") if parents else weighted.join(price, F.lit(True), "left")
+    share = F.expr("(w * left) div rest_w")
+    budget = F.when(F.col("w") == 0, F.lit(0)).when(F.col("rest_w").isNull(), F.col("holds")).otherwise(F.least(share, F.col("holds"))).cast("long")
+    return priced.withColumn("budget", budget).withColumn("holds", F.col("holds").cast("long")).drop("w", "left", "rest_w", "given")
 
 
 def leaf_budgets(leaves: DataFrame, budget: int, weights: Mapping = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
