@@ -1,15 +1,19 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
-A page's leaf blocks (text between the edges of block elements) form a chain. Features of a block are the tags, classes and
-ids of its ancestors, shallow facts of its text, and its place; a conditional random field scores chains of the labels content and
-boilerplate, and Viterbi's algorithm picks the best chain. The model is trained here by stochastic gradient ascent on the
-conditional likelihood (forward-backward), on TRAINING_PAGES labelled pages. No table has labels, so those pages are
-composed from layouts with known main text (seeded); the words in them are random and no feature looks at words.
+A page's leaf blocks (text between the edges of block elements) form a chain. Features of a block are the tags and hashed class
+words of its ancestors, facts of its text (length, punctuation, links), the same of its neighbours, its place and depth, and how the page's running
+text is spread over its elements; a conditional random field scores chains of the labels content and boilerplate, and Viterbi's
+algorithm picks the best chain. No feature knows a class name or a word: a class word counts by its hash. The model is trained here by stochastic
+gradient ascent on the conditional likelihood (forward-backward), on 3 * TRAINING_PAGES labelled pages. No table has labels, so those
+pages are composed (seeded) from layouts with known main text: two thirds with semantic elements or names that pages use by convention,
+a third of bare divisions, layout tables and made-up names. The words in them are random.
 
-Scale: map-only. Pages go through one at a time and whole; the model, some hundred weights, travels with the task.
+Scale: map-only. Pages go through one at a time and whole; the model, some thousand weights, travels with the task.
 
 Defined results: null or empty html, or a page without content, gives an empty text of 0 characters. Pages that break off inside a tag lose
-that tag only. An element of HIDDEN that is not closed hides text until its parent closes; one of RAW, as HTML reads it, to the end of the page. Repeated rows give repeated rows; an empty table an empty result; extra columns are left alone.
+that tag only. An element of HIDDEN that is not closed hides text until its parent closes; one of RAW, as HTML reads it, to the end of the page.
+Very long pages are read whole, in time linear in their length. Of equally good chains the one with fewer content blocks is taken.
+Repeated rows give repeated rows; an empty table an empty result; extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import count
+from zlib import crc32
+from itertools import count
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +38,15 @@ from wharfline.llm.common import map_arrow
 
 TRAINING_PAGES = 400
 EPOCHS = 8
+#: Blocks that the model is so sure of move no weight.
+LEAST_ERROR = 1e-3
 SEED = 11
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attributes>(?:[^>"'<]++|"[^"<>]*+"|'[^'<>]*+'|["'])*+)>|<[!?][^>]*+(?:>|\Z)|<(?:[/A-Za-z][^<>]*+)?\Z""",
+    r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attributes>(?:[^>"'<=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>|<[!?][^>]*+(?:>|\Z)|<(?:[/A-Za-z][^<>]*+)?\Z""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 #: Fixed values of HTML: elements whose inside is read raw up to their end tag, others whose inside is no text, those of them that do not keep
 #: a tag inside from ending their parent, elements without an inside, and elements that begin no block.
 RAW = frozenset("script style iframe textarea".split())
@@ -55,7 +65,7 @@ ENDED_BY = {
 @dataclass
 class Block:
     text: str
-    path: tuple  # (tag, its class and id words) from the outside in
+    path: tuple  # (tag, its class and id words, the element's number) from the outside in
     linked: int  # characters inside links
     inputs: int = 0
     label: int | None = None
@@ -73,7 +83,7 @@ class _Open:
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """The page's blocks of text in order: references decoded, white space one space, trimmed."""
-    now, blocks, at = _Open(), [], 0
+    now, blocks, at, number = _Open(), [], 0, count()
     page = page or ""
 
     def close_block() -> None:
@@ -121,7 +131,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 now.in_link = 0 if m["end"] else 1
         elif m["end"]:
             close_block()
-            if any(tag == name for tag, _ in now.path):
+            if any(tag == name for tag, _, _ in now.path):
                 while now.path.pop()[0] != name:
                     pass
                 if now.hidden is None or len(now.path) < now.hidden:
@@ -141,7 +151,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if name not in VOID and not m["attributes"].rstrip().endswith("/"):
                 if name in HIDDEN and now.hidden is None:
                     now.hidden = len(now.path)
-                now.path.append((name, names_in(m["attributes"])))
+                now.path.append((name, names_in(m["attributes"]), next(number)))
     close_block()
     return blocks
 
@@ -150,46 +160,62 @@ def names_in(attributes: str) -> tuple[str, ...]:
     """The words of class, id and role."""
     if "=" not in attributes:
         return ()
-    return tuple(w for m in ATTRIBUTE.finditer(attributes) for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower()))
-
-
-#: Words of class names that pages use by convention, and what they stand for.
-FAMILIES = {
-    "ads": "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar tabs pagination pager",
-    "frame": "header footer masthead copyright colophon foot head",
-    "side": "sidebar aside widget widgets related recommended rail",
-    "notice": "cookie cookies consent notice gdpr alert popup modal overlay disclaimer newsletter subscribe subscription paywall signup",
-    "share": "share sharing social follow tags meta byline author",
-    "comments": "comment comments reply replies respond disqus discussion",
-    "form": "form search login input contact",
-    "body": "article content post entry story main text body maintext prose",
-}
-FAMILY = {w: f for f, words in FAMILIES.items() for w in words.split()}
-OUTER = frozenset("article main nav header footer aside form head title figure ul ol table section dl blockquote pre".split())
-
-
-def features(block: Block, n: int, total: int) -> list[str]:
-    """Names of what holds of the block."""
-    tags = [t for t, _ in block.path]
-    own = tags[-1] if tags else "none"
-    found = ["bias", f"own={own}"]
-    inside = {t for t in tags if t in OUTER}
-    found += [f"in={t}" for t in inside]
-    families = {FAMILY[w] for _, words in block.path for w in words if w in FAMILY}
-    found += [f"class={f}" for f in families]
-    if not inside & {"article", "main"} and "body" not in families:
-        found.append("outside")
-    if inside & {"nav", "header", "footer", "aside", "form", "head", "title"}:
-        found.append("framed")
-    size = len(block.text)
-    found.append(f"size={min(9, int(math.log2(size + 1)))}")
-    share = block.linked / max(1, size)
-    found.append("links=all" if share > 0.9 else "links=many" if share > 0.3 else "links=few" if share else "links=none")
-    if block.text.startswith("©"):
-        found.append("copyright")
-    found.append("place=first" if n == 0 else "place=last" if n == total - 1 else "place=inside")
-    return found
+    return tuple(w for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role") for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower()))
+
+
+#: Fixed values of HTML: elements that say something of what is in them, and those that frame a page.
+TELLING = frozenset("article main nav header footer aside form head title figure ul ol table section dl blockquote pre button label".split())
+FRAMES = frozenset("nav header footer aside form head title".split())
+CLASS_BITS = 16
+STOP = re.compile(r"[.!?;:…。](?:[\"'”»)\]]|\s|$)|,\s")
+#: A block with so many characters that are no link counts as running text.
+RUNNING = 80
+
+
+def _scale(n: float) -> int:
+    return min(9, int(math.log2(n + 1)))
+
+
+def features(blocks: list[Block]) -> list[list[str]]:
+    """For each block the names of what holds of it."""
+    free = [max(0, len(b.text) - b.linked) for b in blocks]
+    stops = [len(STOP.findall(b.text)) for b in blocks]
+    # running text by the elements that hold it directly or as parents of a block's own element
+    held: Counter = Counter()
+    for b, n in zip(blocks, free, strict=True):
+        if n >= RUNNING:
+            for _, _, number in b.path[-2:]:
+                held[number] += n
+    best, most = held.most_common(1)[0] if held else (None, 0)
+    whole = sum(n for n in free if n >= RUNNING)
+    semantic = [any(t in ("article", "main") for t, _, _ in b.path) for b in blocks]
+    marked, total, before = any(semantic), sum(free) or 1, 0
+    kinds = []
+    for b, n, k in zip(blocks, free, stops, strict=True):
+        share = b.linked / max(1, len(b.text))
+        kinds.append(("link" if share > 0.7 else "run" if n >= RUNNING and k else "long" if n >= RUNNING else "line" if k else "short", share))
+    out = []
+    for i, b in enumerate(blocks):
+        tags = [t for t, _, _ in b.path]
+        inside = {t for t in tags if t in TELLING}
+        state = "in" if semantic[i] else "out" if marked else "none"
+        found = ["bias", state, *(f"in={t}" for t in inside), *{f"class={crc32(w.encode()) >> (32 - CLASS_BITS)}" for _, words, _ in b.path for w in words}]
+        if inside & FRAMES:
+            found.append("framed")
+        if b.text.startswith("©"):
+            found.append("copyright")
+        kind, share = kinds[i]
+        numbers = [number for _, _, number in b.path]
+        near = "direct" if best in numbers[-2:] else "inside" if best in numbers else "away"
+        local = [
+            f"own={tags[-1] if tags else ''}", f"parent={tags[-2] if len(tags) > 1 else ''}", f"size={_scale(len(b.text))}", f"free={_scale(free[i])}", f"kind={kind}",
+            f"stops={min(4, stops[i])}", f"density={min(5, stops[i] * 100 // max(1, len(b.text)))}", "links=all" if share > 0.9 else "links=many" if share > 0.3 else "links=few" if share else "links=none",
+            f"prev={kinds[i - 1][0] if i else ''}", f"next={kinds[i + 1][0] if i + 1 < len(blocks) else ''}", f"around={kinds[i - 1][0] if i else ''}/{kind}/{kinds[i + 1][0] if i + 1 < len(blocks) else ''}",
+            f"best={near}", f"best={near}/{kind}", f"best={near}/{tags[-1] if tags else ''}", f"share={most * 4 // max(1, whole)}/{near}", f"depth={min(8, len(tags))}", f"before={before * 5 // total}", "place=first" if i == 0 else "place=last" if i == len(blocks) - 1 else "place=inside",
+        ]
+        out.append(found + [f"{state}|{x}" for x in local])
+        before += free[i]
+    return out
 
 
 @dataclass
@@ -201,7 +227,7 @@ class Field:
 
     def scores(self, blocks: list[Block]) -> list[float]:
         get = self.weight.get
-        return [sum(get(f, 0.0) for f in features(b, n, len(blocks))) for n, b in enumerate(blocks)]
+        return [sum(get(f, 0.0) for f in found) for found in features(blocks)]
 
 
 def viterbi(scores: list[float], pair: list[list[float]]) -> list[int]:
@@ -248,66 +274,95 @@ def marginals(scores: list[float], pair: list[list[float]]) -> tuple[list[float]
 
 
 def fit(pages: list[list[Block]], epochs: int = EPOCHS, seed: int = SEED, rate: float = 0.3, shrink: float = 1e-4) -> Field:
-    """Stochastic gradient ascent on the conditional log-likelihood of labelled chains, with L2 shrinkage."""
+    """Stochastic gradient ascent on the conditional log-likelihood of labelled chains, with L2 shrinkage and steps that shrink with what a weight has moved, so that rare features learn too."""
     rng, model = random.Random(seed), Field({}, [[0.0, 0.0], [0.0, 0.0]])
-    chains = [([features(b, n, len(p)) for n, b in enumerate(p)], [b.label or 0 for b in p]) for p in pages if p]
+    chains = [(features(p), [b.label or 0 for b in p]) for p in pages if p]
+    weight, moved = model.weight, {}
     for epoch in range(epochs):
         step = rate / (1 + epoch)
         rng.shuffle(chains)
         for found, labels in chains:
-            w = model.weight
-            chance, pairs = marginals([sum(w.get(f, 0.0) for f in fs) for fs in found], model.pair)
+            chance, pairs = marginals([sum(weight.get(f, 0.0) for f in fs) for fs in found], model.pair)
             for fs, y, p in zip(found, labels, chance, strict=True):
-                for f in fs:
-                    old = w.get(f, 0.0)
-                    w[f] = old + step * (y - p - shrink * old)
+                if abs(y - p) > LEAST_ERROR:
+                    for f in fs:
+                        old = weight.get(f, 0.0)
+                        g = y - p - shrink * old
+                        moved[f] = moved.get(f, 0.1) + g * g
+                        weight[f] = old + rate * g / math.sqrt(moved[f])
             for a, b in zip(labels, labels[1:], strict=False):
                 pairs[a][b] -= 1
             for x in (0, 1):
                 for y in (0, 1):
-                    model.pair[x][y] -= step * (pairs[x][y] + shrink * model.pair[x][y])
+                    model.pair[x][y] -= step * 0.3 * (pairs[x][y] + shrink * model.pair[x][y])
     return model
 
 
 # --- labelled pages
 
+#: Words of class names that pages use by convention. Training pages bear them; the model sees hashes.
+CONVENTIONS = {
+    "ads": "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar tabs pagination pager",
+    "frame": "header footer masthead copyright colophon foot head",
+    "side": "sidebar aside widget widgets related recommended rail",
+    "notice": "cookie cookies consent notice gdpr alert popup modal overlay disclaimer newsletter subscribe subscription paywall signup",
+    "share": "share sharing social follow tags meta byline author",
+    "comments": "comment comments reply replies respond disqus discussion",
+    "form": "form search login input contact",
+    "body": "article content post entry story main text body maintext prose",
+}
+MARK = "\u0001"
+
 
-def labelled_page(rng: random.Random) -> list[Block]:
-    """A page of a random layout; blocks of its main text are labelled 1. The marker words in it are taken out again."""
-    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(1, 9)))
+class Composer:
+    """Random pages; blocks of main text begin with MARK."""
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def word(self) -> str:
+        return "".join(self.rng.choice("aeioulnrst") for _ in range(self.rng.randint(1, 9)))
 
-    def text(low: int, high: int) -> str:
-        n = rng.randint(low, high)
-        return " ".join(word() for _ in range(n)).capitalize() + rng.choice([".", ".", ".", "", "!!", "%%%"])
+    def text(self, low: int, high: int) -> str:
+        n = self.rng.randint(low, high)
+        return " ".join(self.word() for _ in range(n)).capitalize() + self.rng.choice([".", ".", ".", "", "!!", "%%%"])
 
-    def span(kind: str) -> str:
-        return {"link": f'<a href="/{word()}">{text(1, 3)}</a>', "plain": text(1, 60), "short": text(1, 4)}[kind]
+    def prose(self, low: int, high: int) -> str:
+        """Sentences with commas."""
+        return " ".join(self.text(2, 9)[:-1].rstrip(".!%") + (", " + self.text(2, 9).lower() if self.rng.random() < 0.5 else ".") for _ in range(self.rng.randint(low, high)))
 
-    mark = "\u0001"
+    def link(self, low: int = 1, high: int = 3) -> str:
+        quoted = self.rng.choice(["", "", f' title="{self.word()} > {self.word()}"'])
+        return f'<a href="/{self.word()}"{quoted}>{self.text(low, high)}</a>'
 
-    def content() -> str:
-        some = rng.choice([(1, 3), (4, 30), (20, 120)])
-        body = mark + text(*some)
+    def many(self, make, most: int = 6) -> str:
+        return "".join(make() for _ in range(self.rng.randint(1, most)))
+
+    def content(self) -> str:
+        """A piece of main text."""
+        rng, text = self.rng, self.text
+        body = MARK + text(*rng.choice([(1, 3), (4, 30), (20, 120)]))
         form = rng.random()
         if form < 0.6:
-            return rng.choice([f"<p>{body}</p>", f"<p><b>{body}", f"<p>{body}<br>", f"<p>{body} {span('link')} {text(1, 9)}</p>"])
+            return rng.choice([f"<p>{body}</p>", f"<p><b>{body}", f"<p>{body}<br>", f"<p>{body} {rng.choice([self.link(), text(1, 60), text(1, 4)])} {text(1, 9)}</p>"])
         if form < 0.7:
-            return "<ul>" + "".join(f"<li>{mark}{text(1, 20)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+            return "<ul>" + self.many(lambda: f"<li>{MARK}{text(1, 20)}</li>", 5) + "</ul>"
         if form < 0.78:
-            return f"<h2>{mark}{text(1, 8)}</h2>"
+            return f"<h2>{MARK}{text(1, 8)}</h2>"
         if form < 0.84:
             return f"<blockquote><p>{body}</p></blockquote>"
         if form < 0.9:
-            return f"<figure><figcaption>{mark}{text(2, 12)}</figcaption></figure>"
+            return f"<figure><figcaption>{MARK}{text(2, 12)}</figcaption></figure>"
         if form < 0.95:
-            return f"<table><tr><td>{mark}{text(1, 5)}</td><td>{mark}{text(1, 5)}</td></tr></table>"
+            return f"<table><tr><td>{MARK}{text(1, 5)}</td><td>{MARK}{text(1, 5)}</td></tr></table>"
         return rng.choice([f"<pre>{body}</pre>", f"<div>{body}</div>", body])
 
-    def boiler(inside: bool) -> str:
-        many = lambda make: "".join(make() for _ in range(rng.randint(1, 6)))
-        links = lambda: many(lambda: f"<li>{span('link')}</li>")
-        name = lambda family: rng.choice(FAMILIES[family].split())
-        whole = lambda tag, family, inner: f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "page "])}{name(family)}">{inner}</{tag}>'
+    def boiler(self, inside: bool) -> str:
+        """Something beside the main text, inside its element or outside."""
+        rng, text, many = self.rng, self.text, self.many
+        links = lambda: many(lambda: f"<li>{self.link()}</li>")
+        whole = lambda tag, family, inner: f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["", "site-", "page "])}{rng.choice(CONVENTIONS[family].split())}">{inner}</{tag}>'
         of = lambda family, inner: whole(rng.choice(["div", "div", "section"]), family, inner)
         some = lambda: rng.choice([text(1, 40), f"<p>{text(1, 60)}</p>", many(lambda: f"<p>{text(3, 30)}</p>")])
         either = [
@@ -320,36 +375,93 @@ def labelled_page(rng: random.Random) -> list[Block]:
         ]
         return rng.choice(either if inside else either + outer)()
 
-    title = f"<title>{text(1, 9)}</title>" if rng.random() < 0.9 else ""
-    inner = f"<h1>{mark}{text(1, 9)}</h1>" if rng.random() < 0.8 else ""
-    for _ in range(rng.randint(1, 12)):
-        inner += content()
-        if rng.random() < 0.15:
-            inner += boiler(True)
-    kind = rng.random()
-    if kind < 0.55:
-        main = f"<article>{inner}</article>"
-    elif kind < 0.7:
-        main = f"<main><article>{inner}</article></main>"
-    elif kind < 0.8:
-        main = f"<main>{inner}</main>"
-    else:
-        main = f'<div {rng.choice(["class", "id"])}="{rng.choice(["", "post-", "main "])}{rng.choice(FAMILIES["body"].split())}">{inner}</div>'
-    before, after = ("".join(boiler(False) for _ in range(rng.randint(0, 4))) for _ in range(2))
-    page = f"<!DOCTYPE html><html><head><meta charset='utf-8'>{title}</head><body>{before}{main}{after}</body></html>"
+    def title(self) -> str:
+        return f"<title>{self.text(1, 9)}</title>" if self.rng.random() < 0.9 else ""
+
+    def named(self) -> str:
+        """A page with semantic elements or conventional names."""
+        rng = self.rng
+        inner = f"<h1>{MARK}{self.text(1, 9)}</h1>" if rng.random() < 0.8 else ""
+        for _ in range(rng.randint(1, 12)):
+            inner += self.content()
+            if rng.random() < 0.15:
+                inner += self.boiler(True)
+        kind = rng.random()
+        if kind < 0.55:
+            main = f"<article>{inner}</article>"
+        elif kind < 0.7:
+            main = f"<main><article>{inner}</article></main>"
+        elif kind < 0.8:
+            main = f"<main>{inner}</main>"
+        else:
+            main = f'<div {rng.choice(["class", "id"])}="{rng.choice(["", "post-", "main "])}{rng.choice(CONVENTIONS["body"].split())}">{inner}</div>'
+        before, after = ("".join(self.boiler(False) for _ in range(rng.randint(0, 4))) for _ in range(2))
+        return f"{self.title()}</head><body>{before}{main}{after}</body></html>"
+
+    def bare(self) -> str:
+        """A page whose elements and names say nothing: only the shape of its text tells."""
+        rng, text = self.rng, self.text
+        name = lambda: rng.choice(["", "", f' class="{rng.choice("cxbq")}{rng.randint(1, 99)}"', f' id="{self.word()}"', f' class="{self.word()} {self.word()}"'])
+        box = lambda inner: f"<div{name()}>{inner}</div>"
+        parts = [f"<h1>{MARK}{text(2, 9)}</h1>"] if rng.random() < 0.7 else []
+        wrap = rng.choice(["p", "p", "p", "div", "br"])
+        for _ in range(rng.randint(2, 10)):
+            form, body = rng.random(), MARK + self.prose(2, 9)
+            if form < 0.8:
+                parts.append(body + "<br><br>" if wrap == "br" else f"<{wrap}{name()}>{body}</{wrap}>")
+            elif form < 0.84:
+                parts.append(f"<p>{MARK}{self.prose(1, 3)} {self.link(1, 4)} {self.prose(1, 3)}</p>")
+            elif form < 0.88 and wrap != "br":
+                parts.append(f"<{wrap}>{MARK}{text(1, 7)}</{wrap}>")
+            elif form < 0.93:
+                parts.append(f"<h3>{MARK}{text(1, 7)}</h3><p>{MARK}{self.prose(2, 6)}</p>")
+            else:
+                parts.append("<ul>" + self.many(lambda: f"<li>{MARK}{self.prose(1, 2)}</li>", 4) + "</ul>" + f"<p>{MARK}{self.prose(2, 6)}</p>")
+        inner = "".join(parts)
+        rows = lambda: self.many(lambda: rng.choice([f"<li>{self.link()}</li>", f"<p>{self.link(1, 6)}</p>", f"<div{name()}>{self.link()}</div>"]), 8)
+        beside = [
+            lambda: box(f"<ul>{rows()}</ul>"), lambda: box(rows()), lambda: box(" | ".join(self.link() for _ in range(rng.randint(2, 6)))), lambda: box(text(1, 5)), lambda: box(f"{text(3, 12)} {self.link()}"),
+            lambda: box(f"<h4>{text(1, 3)}</h4><ul>{rows()}</ul>"), lambda: box(f"© {rng.randint(1995, 2030)} {text(1, 6)}"), lambda: box(f"<p>{text(1, 8)}</p>"), lambda: box(f"{text(1, 3)} {rng.randint(1995, 2030)} {text(1, 4)}"), lambda: box(f"<p>{self.prose(1, 2)}</p><button>{text(1, 2)}</button>"), lambda: box(f"<span>{text(1, 3)}</span><span>{text(1, 3)}</span>"), lambda: f"<form{name()}>{text(1, 4)}<button>{text(1, 2)}</button></form>",
+        ]
+        before, after = ([rng.choice(beside)() for _ in range(rng.randint(0, 4))] for _ in range(2))
+        if rng.random() < 0.3:  # a layout table
+            cell = lambda x: f"<td{name()}>{x}</td>"
+            line = lambda *xs: "<tr>" + "".join(cell(x) for x in xs) + "</tr>"
+            sides = [rng.choice(beside)()] if rng.random() < 0.7 else []
+            cells = [*sides, inner] if rng.random() < 0.5 else [inner, *sides]
+            body = "<table>" + "".join(line(x) for x in before) + line(*cells) + "".join(line(x) for x in after) + "</table>"
+        else:
+            main = inner if rng.random() < 0.15 else box(inner) if rng.random() < 0.6 else box(box(inner) + (rng.choice(beside)() if rng.random() < 0.3 else ""))
+            body = "".join(before) + main + "".join(after)
+            body = box(body) if rng.random() < 0.4 else body
+        return f"{self.title()}</head><body>{body}</body></html>"
+
+
+def _labelled(page: str, rng: random.Random) -> list[Block]:
+    page = "<!DOCTYPE html><html><head><meta charset='utf-8'>" + page
     if rng.random() < 0.1:
         page = page[: rng.randint(len(page) // 2, len(page))]
     blocks = leaf_blocks(page)
     for b in blocks:
-        b.label = int(mark in b.text)
-        b.text = b.text.replace(mark, "")
+        b.label = int(MARK in b.text)
+        b.text = b.text.replace(MARK, "")
     return blocks
 
 
+def labelled_page(rng: random.Random) -> list[Block]:
+    """A page with semantic elements or conventional names; blocks of its main text are labelled 1."""
+    return _labelled(Composer(rng).named(), rng)
+
+
+def bare_page(rng: random.Random) -> list[Block]:
+    """A page without either; labelled alike."""
+    return _labelled(Composer(rng).bare(), rng)
+
+
 @lru_cache(maxsize=1)
 def default_field() -> Field:
     rng = random.Random(SEED)
-    return fit([labelled_page(rng) for _ in range(TRAINING_PAGES)])
+    return fit([make(rng) for _ in range(TRAINING_PAGES) for make in (labelled_page, labelled_page, bare_page)])
 
 
 def main_text(page: str | None, model: Field) -> str:
