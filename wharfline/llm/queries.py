@@ -40,7 +40,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
+    return warc.read_back(*warc.archive(table(spark, sf_dir, "pages")))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

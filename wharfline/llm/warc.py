@@ -1,20 +1,21 @@
 """WARC archives and a normaliser for monolithic gzip files.
 
 `records` plans the archives: which record of equal payloads is the response and which are revisits of it. `write_monolithic`
-packs records into archives that are one gzip stream each, as some crawlers leave them. `normalise` inflates such a stream
-once, front to back, rewrites every record as a gzip member of its own and keeps a sidecar index of offsets, so that a reader
-can fetch one record. `read_back` fetches records by that index.
+packs records into archives that are one gzip stream each, as some crawlers leave them; `read_files` takes such .warc.gz files from a folder. `normalise` inflates such a stream
+once, front to back, rewrites every record as a gzip member of its own and notes its offset. `archive` writes the archives and, as a table of its own,
+the sidecar index of offsets, by which a reader can fetch one record. `read_back` fetches records through that index.
 
 Archives are rows of a Parquet table in the shared folder (archive name, bytes), so executors on other machines see them and
 any store that Spark writes to will do. An archive closes at ARCHIVE_BYTES of records, so a task holds one archive and one page
 at most, whatever its partition holds.
 
-Scale: payloads are never shuffled. Equal payloads meet as (digest, page id) in an aggregation that map tasks combine, so a
-payload that a third of all pages share is a row a task. Only the join back is by digest; AQE splits it where one digest is hot.
+Scale: equal payloads meet as (digest, page id) in an aggregation that map tasks combine, so a payload that a third of all pages share is a row a
+task. What tells revisits from responses then meets the pages in one join, in which payloads are shuffled once, by digest and one of SALTS salts, so that
+a hot digest is no task's; where few payloads repeat, Spark sends that table to the tasks instead and nothing is shuffled. Archives meet their index by name.
 
 Defined results: null html is an empty payload; a null url is written as empty. Of equal payloads, those with the smallest
 page_id respond (rows that repeat that page_id all respond); a null page_id counts as larger than others and refers_to is then
-as usual; if all page_ids of a payload are null, all respond. An empty table gives an empty result. Extra columns are left alone.
+as usual; if all page_ids of a payload are null, all respond. Very long pages are records of their own archive. An empty table gives an empty result. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -22,16 +23,19 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wharfline.llm.common import map_arrow, shared_folder
+from wharfline.llm.common import map_arrow, shared_folder, written
 
 ARCHIVE_BYTES = 4 << 20
 #: Fixed value of the format's deduplication rule here: smaller payloads always respond.
 LEAST_REVISIT = 100
+SALTS = 16
 GZIP = 31
 LEVEL = 6
 PIECE = 1 << 16
@@ -49,8 +53,11 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     one = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= least
     first = one.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that its size is known when it meets the pages
+    first = written(first, "repeated").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return one.join(first, "digest", "left").select(
+    salted = one.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(first, ["digest", "salt"], "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
     )
 
@@ -70,9 +77,10 @@ def write_monolithic(planned: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, squeeze, parts, size = hashlib.sha256(), zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), [], 0
+        task, number = TaskContext.get().partitionId(), count()  # archives of equal records have names of their own
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"archive": [f"{names.hexdigest()[:24]}.warc.gz"], "content": [b"".join([*parts, squeeze.flush()])]}, schema=pa.schema([("archive", pa.string()), ("content", pa.binary())]))
+            return pa.RecordBatch.from_pydict({"archive": [f"{names.hexdigest()[:24]}-{task}-{next(number)}.warc.gz"], "content": [b"".join([*parts, squeeze.flush()])]}, schema=pa.schema([("archive", pa.string()), ("content", pa.binary())]))
 
         for batch in batches:
             columns = [batch.column(n) for n in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]
@@ -156,8 +164,8 @@ def _read(member: bytes) -> tuple:
     return number(headers["warc-record-id"]), size, digest, kind, number(headers.get("warc-refers-to"))
 
 
-def read_back(normalised: DataFrame) -> DataFrame:
-    """A row for each record, fetched through the index; a response's digest and size come from the bytes read."""
+def read_back(archives: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """A row for each record, fetched through the index (`sidecar`; without it, that in the archives' own rows); a response's digest and size come from the bytes read."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +175,23 @@ def read_back(normalised: DataFrame) -> DataFrame:
                 rows = [_read(whole.slice(a, n).to_pybytes()) for a, n in zip(offsets.as_py(), lengths.as_py(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return map_arrow(normalised, run, READ)
+    if index is not None:
+        asked = index.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places"))
+        archives = archives.select("archive", "content").join(asked, "archive").select("content", F.col("places.offset").alias("offsets"), F.col("places.length").alias("lengths"))
+    return map_arrow(archives.select("content", "offsets", "lengths"), run, READ)
 
 
-def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes the pages as monolithic archives, normalises those into folder, and returns the normalised table as read from there."""
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, content) of the .warc.gz files below path, for normalise. A file is one row, so 2 GB is the most."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("archive"), "content")
+
+
+def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Writes the pages as monolithic archives, then those normalised and their offset index, into folder; returns archives and index as read from there."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
     write_monolithic(records(pages)).write.option("compression", "none").parquet(f"{folder}/monolithic")
     normalise(spark.read.schema(ARCHIVES).parquet(f"{folder}/monolithic")).write.option("compression", "none").parquet(f"{folder}/records")
-    return spark.read.parquet(f"{folder}/records")
+    sidecar(spark.read.parquet(f"{folder}/records")).write.parquet(f"{folder}/index")
+    return spark.read.schema(ARCHIVES).parquet(f"{folder}/records"), spark.read.schema(INDEX).parquet(f"{folder}/index")
