@@ -21,7 +21,8 @@ Scale: what is shuffled is 40 bytes an anchor once, the surroundings of shared a
 CHUNK anchors of small groups, or one group of LARGE at most; no group is larger, whatever a passage's edges look like.
 
 Defined results: null text is no bytes. A null id counts as larger than every other, and rows with equal ids (repeated rows among
-them) never remove from each other. Texts shorter than LENGTH keep every byte. An empty table gives an empty result.
+them) never remove from each other. Texts shorter than LENGTH keep every byte; very long ones are a block of their own. Of equal anchors in one
+text each counts. Extra columns are left alone. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ LARGE = 100_000
 #: Odd, so that it has an inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-LAST_ID = (1 << 63) - 1
+#: Rows without an id have ids from here on, drawn from their texts; none of those is smaller than another.
+NULL_ID = (1 << 63) - (1 << 31)
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -113,10 +115,11 @@ def anchors_of_block(texts: list[bytes], ids: np.ndarray, keys: np.ndarray) -> t
     gram = mix(piece_hash(hashes, at, at + GRAM)).view(np.int64)
     settled = np.zeros(len(at), bool)
     if len(at):
-        order = np.lexsort((ids[doc], around))
+        rank = np.minimum(ids[doc], NULL_ID)
+        order = np.lexsort((rank, around))
         new = np.r_[True, around[order][1:] != around[order][:-1]]
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        later = ids[doc[order]] > ids[doc[lead]]
+        later = rank[order] > rank[lead]
         mine, first = order[later], lead[later]
         reach = np.arange(SPAN + LENGTH)
         for a in range(0, len(mine), 1 << 16):
@@ -187,13 +190,13 @@ def settle_sorted(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[n
         new_run = new_gram | np.r_[a[0] != around, a[1:] != a[:-1]]
         at = np.maximum.accumulate(np.where(new_run, np.arange(len(g)), -1))
         least = np.where(at < 0, i[0] if leader is None else leader, i[at])
-        late = i > least
+        late = np.minimum(i, NULL_ID) > np.minimum(least, NULL_ID)
         segment = np.cumsum(new_gram)  # 0: the open gram goes on
         n = int(segment[-1]) + 1
         begins = np.maximum.accumulate(np.where(new_gram, np.arange(len(g)), -1))
         first_id = np.where(begins < 0, i[0] if first is None else first, i[begins])
         many = np.bincount(segment[new_run & ~new_gram], minlength=n) > 0
-        differ = np.bincount(segment[i != first_id], minlength=n) > 0
+        differ = np.bincount(segment[np.minimum(i, NULL_ID) != np.minimum(first_id, NULL_ID)], minlength=n) > 0
         many[0] |= several
         differ[0] |= apart
         need = many & differ
@@ -393,7 +396,7 @@ def repeated_strings(around: DataFrame) -> DataFrame:
         ids, place = rows.column("id").to_numpy(), rows.column("place").to_numpy()
         binary = rows.column("around").chunk(0)
         offsets = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
-        bits = repeated_bits(rows.column("gram").to_numpy(), ids, rows.column("left").to_numpy().astype(np.int64), np.frombuffer(binary.buffers()[2], np.uint8), offsets)
+        bits = repeated_bits(rows.column("gram").to_numpy(), np.minimum(ids, NULL_ID), rows.column("left").to_numpy().astype(np.int64), np.frombuffer(binary.buffers()[2], np.uint8), offsets)
         row, start, stop = bit_ranges(place & 0xFFFFFFFF, bits)
         return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((place[row] >> 32 << 32) | start), pa.array(stop.astype(np.int32))], schema=schema)
 
@@ -435,7 +438,7 @@ def by_strings(around: DataFrame) -> DataFrame:
 
     strings = map_arrow(around.select("id", "place", "left", "around"), run, "string binary, id long, place long, stop int")
     least = strings.groupBy("string").agg(F.min("id").alias("first"))
-    return strings.join(least, "string").where("id > first").select("id", "place", "stop")
+    return strings.join(least, "string").where(f"least(id, {NULL_ID}) > least(first, {NULL_ID})").select("id", "place", "stop")
 
 
 def covered(size: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -451,8 +454,10 @@ RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, large: int = LARGE) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is what stays of each text's bytes."""
-    rows = df.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-    texts = rows.withColumn("key", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
+    # a text is told from others of its id by 31 bits of its hash, and one without an id by 62
+    rows = df.select(F.col(id_col).alias("own"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
+    bits = F.shiftright("hash", 31).bitwiseAND(0x7FFFFFFF)
+    texts = rows.select("own", F.coalesce(F.col("own").cast("long"), F.lit(NULL_ID) + bits).alias("id"), F.col("hash").bitwiseAND(0x7FFFFFFF).cast("int").alias("key"), "text")
     kept = written(shared(anchor_rows(texts.where(F.octet_length("text") >= LENGTH).select("id", "key", "text"))), "anchors")
     anchors = kept.where("stop < 0")
     crowded = written(anchors.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > large).select("gram"), "crowded")
