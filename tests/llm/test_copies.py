@@ -47,6 +47,57 @@ def test_jaccard_group_around_the_threshold(table):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.jaccard(docs)
 
 
+def test_jaccard_large_group_makes_few_pairs(spark, monkeypatch):
+    """3,000 copies of one base around the threshold, many of them beyond it: the components are right, and few pairs are verified."""
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for n in range(3000):
+        w = list(base)
+        for k in range(n % 14):
+            w[rnd.randrange(150)] = f"e{rnd.randrange(40)}"
+        docs.append((n, " ".join(w)))
+    asked = []
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    number: dict = {}
+    sets = [np.array(sorted(number.setdefault(x, len(number)) for x in plain.shingles(t))) for _, t in docs]
+    held = [[] for _ in number]
+    for i, s in enumerate(sets):
+        for x in s:
+            held[x].append(i)
+    held, size, root = [np.array(h) for h in held], np.array([len(s) for s in sets]), np.arange(3000)
+    for i, s in enumerate(sets):
+        both = np.bincount(np.concatenate([held[x] for x in s]), minlength=3000)
+        near = np.flatnonzero((both > 0) & (100 * both >= 80 * (size + len(s) - both)))
+        joined = np.isin(root, root[near])
+        root[joined] = root[joined].min()
+    assert got == {i: (len(s), int(root[i])) for i, s in enumerate(sets)}
+    assert sum(asked) < 5 * len(docs)
+
+
+def test_jaccard_frequent_shingles_are_dealt_out(table):
+    docs = edited(random.Random(8), 12) + EDGES
+    got = jaccard_join.join(table(docs), frequent=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.jaccard(docs)
+
+
+def test_jaccard_sets_with_equal_first_keys(table, monkeypatch):
+    """With keys of two bits, sets are told apart by the second key."""
+    keys = jaccard_join.node_keys
+
+    def few(offsets, hashes, twice=()):
+        one, two = keys(offsets, hashes)
+        one = np.where(one == 0, 0, (one & 3) + 1)
+        return np.where(np.isin(one, list(twice)), one ^ two, one), two
+
+    monkeypatch.setattr(jaccard_join, "node_keys", few)
+    docs = edited(random.Random(9), 8) + EDGES
+    got = jaccard_join.join(table(docs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain.jaccard(docs)
+
+
 def test_jaccard_repeated_rows_and_null_ids(table):
     text = " ".join(map(str, range(30)))
     got = sorted(map(tuple, jaccard_join.join(table([(5, text), (5, text), (3, text), (None, text), (None, None), (7, text + " z")])).collect()), key=str)
@@ -100,6 +151,23 @@ def test_repeats_equal_and_null_ids(table):
     assert got == [(4, 0), (4, 0), (None, 90), (None, 90)]
 
 
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 0])
+def test_repeats_many_null_ids(spark, large):
+    """Rows without an id lose what rows with one have, never to each other, each at its own places; extra columns have clashing names."""
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(60, 200))) for _ in range(20)]
+    docs = [(3, texts[0] + texts[1]), (9, texts[2])] + [(None, "x" * k + texts[k % 20] + texts[(k + 1) % 20]) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for name in ("id", "key", "own", "hash", "gram", "place"):
+        df = df.selectExpr("*", f"'x' as {name}")
+    got = suffix_dedup.dedup(df, with_bytes=False, large=large).collect()
+    wanted = plain.repeats([(10**6 if d is None else d, t) for d, t in docs[:2]])
+    kept = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is None)
+    one = [plain.repeats([*docs[:2], (10**6, t)])[10**6] for d, t in docs[2:]]
+    assert kept == sorted(one)
+    assert {r.doc_id: tuple(r)[1:] for r in got if r.doc_id is not None} == wanted
+
+
 def test_repeats_on_documents(spark, sf, documents):
     got = queries.op7_suffix_dedup(spark, sf).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == plain.repeats(documents)

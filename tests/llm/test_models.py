@@ -56,6 +56,56 @@ def test_threshold_is_calibrated():
     assert langid.threshold(scores, np.array([1, 1, 1, 1])) == 1.0
 
 
+def plain_scores(model, text):
+    """Subword by subword, in Python."""
+    data = text.encode().translate(langid.FOLD)
+    total, n = np.zeros(langid.DIMENSION), 0
+    for size in langid.SIZES:
+        for i in range(len(data) - size + 1):
+            h = data[i]
+            for c in data[i + 1 : i + size]:
+                h = (h * 0x01000193 ^ c) & 0xFFFFFFFF
+            total += model.table[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 17]
+            n += 1
+    z = (total / max(1, n) @ model.layer + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_language_equals_plain_scorer(spark, sf, monkeypatch):
+    """Predictions are those of a scorer that goes through one subword after another, whatever the size of pieces."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit_documents(docs)
+    rows = docs.where("length(text) < 3000").limit(40).collect()
+    for size in (langid.BLOCK_BYTES, 50):
+        monkeypatch.setattr(langid, "BLOCK_BYTES", size)
+        got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows, docs.schema).repartition(2), model).collect()}
+        for r in rows:
+            if got[r.doc_id].lang_pred != "und":
+                p = plain_scores(model, r.text or "")
+                assert got[r.doc_id].lang_pred == model.languages[int(p.argmax())]
+                assert got[r.doc_id].score == pytest.approx(float(p.max()), abs=1e-5)
+                assert got[r.doc_id].rejected == bool(got[r.doc_id].score < model.least)
+
+
+def test_every_label_is_learned(spark):
+    """201 labels with words of their own; repeated rows and extra columns too."""
+    word = lambda k: "".join("abcdefghijklmnopqrstuvwxyz"[k // 26**j % 26] * 2 for j in range(3))
+    rows = [(k * 10 + i, f"{word(k * 7)} " * (5 + i), f"l{k}") for k in range(201) for i in range(4)]
+    docs = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x"))
+    model = langid.fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
+    assert len(model.languages) == 201
+    assert langid.predict(docs, model).count() == len(rows) + 5
+
+
+def test_junk_is_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit_documents(docs)
+    assert model.least > 1 / len(model.languages)
+    kept = langid.keep_accepted(docs, model).count()
+    assert kept > 0.97 * docs.where("regexp_like(text, '[a-zA-Z]')").count()
+
+
 # --- extraction
 
 
@@ -115,6 +165,42 @@ def test_extraction_of_pages(spark, sf):
         assert r.n_chars == len(r.text)
 
 
+LONG = "This is a fairly long paragraph of the story, with commas and a full stop at its end. It goes on for a while, as stories do."
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f"<div class='menu9'><a href=a>Home</a> <a href=b>News</a></div><div class='c1'><h2>Headline here</h2><p>{LONG}</p><p>{LONG}</p><p>Short one.</p></div><div><a href=x>More</a></div>", f"Headline here\n\n{LONG}\n\n{LONG}\n\nShort one."),
+        (f"<table><tr><td><a href=1>A</a><br><a href=2>B</a></td><td><p>{LONG}</p><p>{LONG}</p></td></tr><tr><td colspan=2>Copyright 2020 Foo</td></tr></table>", f"{LONG}\n\n{LONG}"),
+        ('<article><p>Go to <a title="x > y" href="q">link</a> now.</p></article>', "Go to link now."),
+        ("<article><p>One <a title='a <b> c' href=q>two</a> three.</p><p data-x = \"</article>\">Four.</p></article>", "One two three.\n\nFour."),
+        (f"<title>My page</title><center>{LONG}<br><br>{LONG}</center>", f"{LONG} {LONG}"),
+        (f"<div class=zz><div>{LONG}</div><div>{LONG}</div></div><div><ul><li><a href=1>One</a></li></ul></div>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_main_text_where_no_name_tells(page, wanted):
+    assert html_extract.main_text(page, html_extract.default_field()) == wanted
+
+
+def test_bare_pages_held_out():
+    model, rng = html_extract.default_field(), random.Random(98)
+    pages = [html_extract.bare_page(rng) for _ in range(150)]
+    wrong = sum(y != b.label for p in pages for y, b in zip(html_extract.viterbi(model.scores(p), model.pair), p, strict=True))
+    assert wrong / sum(map(len, pages)) < 0.01
+
+
+def test_extraction_edges(spark):
+    """Nulls in any column, repeated rows, clashing columns, a very long page, an empty table."""
+    long = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article><div class='x'" + " y='<'" * 20_000
+    rows = [(1, "u", f"<article><p>{LONG}</p></article>"), (1, "u", f"<article><p>{LONG}</p></article>"), (None, None, None), (2, None, ""), (3, "v", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("t"), "n_chars": F.lit(1)})
+    got = html_extract.extract(pages).collect()
+    assert sorted(((r.page_id, r.url, r.text[:50], r.n_chars) for r in got), key=str) == sorted(
+        [(1, "u", LONG[:50], len(LONG))] * 2 + [(None, None, "", 0), (2, None, "", 0), (3, "v", LONG[:50], 20_000 * (len(LONG) + 2) - 2)], key=str)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
 def test_forward_backward_sums_to_one():
     chance, pairs = html_extract.marginals([0.3, -1.0, 2.0], [[0.1, -0.2], [0.4, 0.0]])
     assert sum(map(sum, pairs)) == pytest.approx(2.0)
@@ -140,6 +226,35 @@ def test_mix_edges(spark):
     assert mixing.mix(docs.limit(0), domain=F.col("domain")).count() == 0
 
 
+def test_budgets_of_many_sources(spark):
+    """Hundreds of children, many alike, against filling them one after another."""
+    rnd = random.Random(3)
+    leaves = [(f"d{rnd.randrange(3)}", f"l{rnd.randrange(2)}", f"s{i}", rnd.choice([0, 1, 7, 7, 7, 100, rnd.randrange(1, 5000)])) for i in range(400)]
+    weights = {"source": {f"s{i}": rnd.randrange(0, 4) for i in range(0, 400, 3)}, "lang": {"l0": 3}}
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    for budget in (0, 5, 3000, 90_000, 10**7):
+        given = {(): budget}
+        for n, level in enumerate(("domain", "lang", "source"), 1):
+            below = {}
+            for parent, b in given.items():
+                kids = Counter()
+                for *k, tokens in leaves:
+                    if tuple(k[: n - 1]) == parent:
+                        kids[tuple(k[:n])] += tokens * 3
+                w = {k: weights.get(level, {}).get(k[-1], 1) for k in kids}
+                order = sorted((k for k in kids if w[k]), key=lambda k: (kids[k] / w[k], k[-1]))
+                left, rest = b, sum(w[k] for k in order)
+                below |= dict.fromkeys(kids, 0)
+                for i, k in enumerate(order):
+                    if kids[k] * rest > w[k] * left:
+                        below |= {q: min(w[q] * left // rest, kids[q]) for q in order[i:]}
+                        break
+                    below[k], left, rest = kids[k], left - kids[k], rest - w[k]
+            given = below
+        got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, budget, weights, 3).collect()}
+        assert got == given
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("x", "l", "small", 10), ("x", "l", "large", 1000), ("y", "l", "other", 1000)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.budget for r in mixing.leaf_budgets(leaves, 200, {}, 1).collect()}
@@ -201,7 +316,7 @@ def test_warc(spark):
     page = "<p>" + "x" * 200
     rows = [(3, "u", page), (1, "u\r\nX: y", page), (2, None, page), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", ""), (8, "u", page + "é"), (9, "u", "a\r\n\r\nb" * 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    got = warc.read_back(warc.archive(pages)).collect()
+    got = warc.read_back(*warc.archive(pages)).collect()
     assert {r.page_id: tuple(r)[1:] for r in got} == plain.warc([(p, h) for p, _, h in rows])
     assert len(got) == len(rows)
 
@@ -225,12 +340,33 @@ def test_normaliser_makes_members_of_records(spark, tmp_path):
         list(warc.split_records(__import__("gzip").compress(b"WARC/1.0\r\nContent-Length: 50\r\n\r\nabc")))
 
 
+def test_warc_files_and_index(spark, tmp_path):
+    """Real .warc.gz files, monolithic or of several streams; one record fetched by the index alone."""
+    import gzip
+
+    made = [warc.record(i, f"u{i}", f"<p>{i}".encode() * 50, hashlib.sha256(f"<p>{i}".encode() * 50).hexdigest(), "response", None) for i in range(6)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc.gz").write_bytes(gzip.compress(b"".join(made[:4])))
+    (tmp_path / "in/b.warc.gz").write_bytes(b"".join(map(gzip.compress, made[4:])))
+    (tmp_path / "in/c.txt").write_text("no archive")
+    done = warc.normalise(warc.read_files(spark, str(tmp_path / "in")))
+    index = warc.sidecar(done)
+    assert sorted(r.page_id for r in warc.read_back(done, index).collect()) == list(range(6))
+    assert [r.page_id for r in warc.read_back(done, index.where("archive like '%a.warc.gz' and n = 2")).collect()] == [2]
+
+
+def test_warc_extra_columns_and_long_pages(spark):
+    rows = [(1, "u", "x" * 9_000_000), (2, "u", "x" * 9_000_000), (3, None, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "first": F.lit(1), "salt": F.lit(2), "payload": F.lit("p"), "n": F.lit(0)})
+    assert {r.page_id: tuple(r)[1:] for r in warc.read_back(*warc.archive(pages)).collect()} == plain.warc([(p, h) for p, _, h in rows])
+
+
 def test_warc_repeated_rows_nulls_and_empty(spark):
     page = "z" * 150
     pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", page), (None, "u", page)], "page_id long, url string, html string")
-    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_back(warc.archive(pages)).collect()), key=str)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.read_back(*warc.archive(pages)).collect()), key=str)
     assert got == sorted([(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1)], key=str)
-    assert warc.read_back(warc.archive(pages.limit(0))).count() == 0
+    assert warc.read_back(*warc.archive(pages.limit(0))).count() == 0
 
 
 # --- pipeline
