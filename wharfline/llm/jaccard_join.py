@@ -322,12 +322,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent
     known = texts.where("id is not null and text is not null")
     postings = written(shared(prefixes(known, sketch_of(first, bits), twice, frequent)), "postings")
 
-    sides = ("node", "n", "place", "matches")
+    sides = ("node", "n", "place")
     best = postings.groupBy("shingle").agg(F.min(F.struct((F.col("place") / F.col("n")).alias("part"), *sides)).alias("h"))
     star = postings.withColumnsRenamed({c: f"{c}_x" for c in sides}).join(best.select("shingle", *[F.col(f"h.{c}").alias(f"{c}_h") for c in sides]), "shingle")
-    star = star.where("node_h != node_x").groupBy(F.greatest("node_x", "node_h").alias("a"), F.least("node_x", "node_h").alias("b"))
-    star = star.agg(F.count("*").alias("met"), F.max(F.least("matches_x", "matches_h")).alias("l"), F.max(F.expr(can_link("h", "x"))).alias("fits"))
-    near = written(star.where("fits and met >= l").select("a", "b"), "near")
+    star = star.where(f"node_h != node_x AND {can_link('h', 'x')}").select(F.greatest("node_x", "node_h").alias("a"), F.least("node_x", "node_h").alias("b"))
+    near = written(sharing(written(star.distinct(), "star"), postings), "near")
     grown = components(verified(near, ids, known, twice))
 
     label = lambda rows, of: rows.join(of.select(F.col("node"), F.col("component").alias("c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
