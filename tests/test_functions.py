@@ -41,7 +41,7 @@ def test_title(spark, title, summary, wanted):
     assert tuple(df.select(*[c.alias(n) for c, n in zip(text.resolve_title(F.col("t"), F.col("s")), "ab", strict=True)]).first()) == wanted
 
 
-@pytest.mark.parametrize(("value", "wanted"), [("short", "too-short:5"), ("No results found" + "x" * 60, r"pattern:^No results found"), ("plain words " * 10, None), ("x" * 60 + "\n## Slack Brief", r"pattern:(?m)^##\s*Slack Brief")])
+@pytest.mark.parametrize(("value", "wanted"), [("short", "too-short:5"), ("No results found" + "x" * 60, r"pattern:^No results found"), ("plain words " * 10, None), ("x" * 60 + "\n## Slack Brief", r"pattern:^##\s*Slack Brief")])
 def test_noise(spark, value, wanted):
     assert one(spark, text.noise_reason(F.col("x")), x=value) == wanted
 
@@ -73,7 +73,7 @@ def test_since(value, wanted):
 
 @pytest.mark.parametrize("value", ["soon", "P", "P-3D", "12 moons ago"])
 def test_since_refuses(value):
-    with pytest.raises(ValueError, match="Invalid since"):
+    with pytest.raises(ValueError, match="no time in"):
         times.since(value, NOW)
 
 

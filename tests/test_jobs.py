@@ -40,35 +40,6 @@ def test_stand_down(spark, tmp_path):
     assert not control.standing_down(spark, path, NOW)
 
 
-def test_drain_for():
-    left, ticks = [3, 2, 0], iter(range(100))
-    assert control.drain_for(lambda: left.pop(0), 50, clock=lambda: next(ticks)) == (5, "drained")
-    assert control.drain_for(lambda: 1, 3, clock=lambda: next(ticks)) == (2, "out of time")
-    assert control.drain_for(lambda: 1, 3, stop=lambda: True) == (0, "stood down")
-
-
-def test_single_flight():
-    flight = control.SingleFlight()
-    assert flight.run(lambda: flight.run(lambda: 1)) is None
-    assert flight.run(lambda: 2) == 2
-
-
-def test_log_shipper(spark, tmp_path):
-    path = f"file://{tmp_path}/logs"
-    shipper = control.LogShipper(control.append_logs(spark, path), most=5, batch=2)
-    for n in range(7):
-        shipper.put(("m", "s", "log", f"line {n}", NOW))
-    assert shipper.flush() == 5 and shipper.dropped == 2
-    assert sorted(r.message for r in spark.read.parquet(path).collect()) == [f"line {n}" for n in range(2, 7)]
-
-    def broken(rows):
-        raise OSError
-
-    failing = control.LogShipper(broken)
-    failing.put(("m", "s", "log", "x", NOW))
-    assert failing.flush() == 0 and len(failing._queue) == 1
-
-
 def test_registered_functions(spark):
     assert set(register(spark)) >= {"cosine_sim", "strip_scaffolding"}
     row = spark.sql("SELECT cosine_sim(array(1D, 0D), array(1D, 1D)) AS c, simple_terms('A-b c') AS t, strip_scaffolding('<command-args>q</command-args>') AS s, rank_share(1) AS r").first()

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wharfline.functions import text
 from wharfline.operators import links, merge, pending, reading, reports, retrieval
 from wharfline.sources import pushed, transcripts
 from wharfline.streaming import jobs
@@ -99,10 +100,26 @@ def test_classes():
 # --- reading
 
 
+def pack(lengths: list[int], most: int = reading.CHUNK_CHARS) -> list[list[tuple[int, int, int]]]:
+    """Chunks of pieces (message, from, to): in order, filled while they fit; a message over a chunk is cut into pieces. Each piece costs its length and an overhead."""
+    piece = most - reading.PIECE_OVERHEAD
+    chunks: list[list[tuple[int, int, int]]] = []
+    room = 0
+    for i, n in enumerate(lengths):
+        for a in range(0, max(n, 1), piece):
+            b = min(n, a + piece)
+            if not chunks or b - a + reading.PIECE_OVERHEAD > room:
+                chunks.append([])
+                room = most
+            chunks[-1].append((i, a, b))
+            room -= b - a + reading.PIECE_OVERHEAD
+    return chunks
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 90), max_size=12), st.integers(11, 60))
 def test_pack_covers_everything_in_order(lengths, most):
-    chunks = reading.pack(lengths, most)
+    chunks = pack(lengths, most)
     pieces = [p for c in chunks for p in c]
     assert [i for i, _, _ in pieces] == sorted(i for i, _, _ in pieces)
     for i, n in enumerate(lengths):
@@ -284,11 +301,61 @@ def test_drift(spark, counts, wanted):
 def test_spool_is_idempotent(spark, tmp_path):
     root, spool = f"file://{tmp_path}/messages", tmp_path / "spool"
     spool.mkdir()
-    merge.swap(spark.createDataFrame([], "session_id string, external_id string, role string, content_text string"), root)
     for n in range(2):
         (spool / f"{n}.json").write_text(json.dumps(payload()))
         jobs.spool_messages(spark, str(spool), root, f"{tmp_path}/checkpoint")
-    assert merge.current(spark, root).count() == 3
+    assert jobs.spooled(spark, root).count() == 3
+
+
+def test_readers_during_swaps(spark, tmp_path):
+    """A reader that loops while versions are swapped always finds one of them."""
+    import threading
+
+    root, seen, failed, stop = f"file://{tmp_path}/t", set(), [], threading.Event()
+    merge.swap(spark.range(1), root)
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.add(merge.current(spark, root).count())
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for n in range(2, 8):
+        merge.swap(spark.range(n), root)
+    stop.set()
+    reader.join()
+    assert not failed and seen <= set(range(1, 8)) and merge.current(spark, root).count() == 7
+
+
+def test_summary_tree_of_levels(spark):
+    """Against packing and cutting text after text in Python."""
+    rows = [(s, s * 100 + i, i, "user", f"{s}-{i} " * (7 * s + i)) for s in range(1, 9) for i in range(s * 2)]
+    most, whole, keep = 700, 250, lambda t: t[:180]
+    df = spark.createDataFrame(rows, "session_id long, id long, sequence_num int, role string, content_text string").repartition(3)
+    got = {r.session_id: (r.summary, r.level) for r in reading.summary_tree(df, lambda t: F.substring(t, 1, 180), most, whole).collect()}
+    for s in range(1, 9):
+        texts, level = [f"[USER]: {r[4]}" for r in rows if r[0] == s], 0
+        while len(joined := reading.SEPARATOR.join(texts)) > most:
+            chunks = [reading.SEPARATOR.join(texts[i][a:b] for i, a, b in c) for c in pack([len(t) for t in texts], most)]
+            texts, level = [c[:5000] if len(keep(c).strip()) < 100 or len(keep(c).strip()) >= len(c) else keep(c) for c in chunks], level + 1
+        assert got[s] == (joined if len(joined) <= whole else keep(joined), level)
+    with pytest.raises(RuntimeError, match="do not fit"):
+        reading.summary_tree(df, lambda t: t, most, whole, levels=3).collect()
+
+
+def test_english_terms(spark):
+    words = "caresses ponies caress cats feed agreed plastered bled motoring sing hopping tanned falling hissing fizzed failing filing conflated happy sky".split()
+    wanted = "caress poni caress cat feed agree plaster bled motor sing hop tan fall hiss fizz fail file conflate happi sky".split()
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
+    assert [r.s for r in got] == wanted == [retrieval.stemmed(w) for w in words]
+
+
+def test_clean_json():
+    assert text.clean_json({"a\0": 1, "a": [2, "x\0"], "b\0": {"c": "\ud800d"}}) == {"a": [2, "x"], "b": {"c": "d"}}
+    assert text.clean_json(["toString", None, True]) == ["toString", None, True]
 
 
 def test_stream_rates_equal_batch(spark, sf, tmp_path):

@@ -28,9 +28,10 @@ class Library:
         return retrieval.search(self.corpus, retrieval.SearchParams(query=query, since=floor, limit=clamp(limit, 1, 100, 8), **options))
 
     def session(self, term: str) -> DataFrame:
-        """By number, or by a part of the title; the newest."""
+        """By number, by outside id, or by a part of the title; the newest."""
         s = self.corpus.sessions.where("deleted_at IS NULL")
         hit = F.ilike("title", F.lit(f"%{retrieval.text.escape_like(term)}%"))
+        hit = hit | (F.col("external_id") == term) if "external_id" in s.columns else hit
         return s.where(hit | (F.col("session_id") == int(term)) if term.isdigit() else hit).orderBy(F.desc("started_at"), "session_id").limit(1)
 
     def digest(self, session_id: int) -> DataFrame:

@@ -17,7 +17,7 @@ def canonical(path: Column) -> Column:
 
     def plain(p: Column) -> Column:
         slashed = F.regexp_replace(F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "^/{3,}", "//"), "(?<=[^/])/{2,}", "/")
-        drive = let(slashed, lambda s: F.when(like(s, "^[a-z]:(/|$)"), F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, 2, 1 << 20))).otherwise(s))
+        drive = let(slashed, lambda s: F.when(like(s, "^[a-z]:(/|$)"), F.concat(F.upper(F.left(s, F.lit(1))), F.substr(s, F.lit(2)))).otherwise(s))
         return let(drive, lambda d: F.when(like(d, "^[A-Za-z]:/*$"), F.concat(F.left(d, F.lit(2)), F.lit("/"))).when(like(d, "^/+$"), F.lit("/")).otherwise(F.regexp_replace(d, "/+$", "")))
 
     shaped = lambda p: F.contains(p, F.lit("/")) | F.contains(p, F.lit("\\")) | like(p, "^[A-Za-z]:$")
@@ -48,7 +48,7 @@ def variants(path: Column) -> Column:
     """The path and, for a Windows drive, its spelling on the other side of the mount."""
 
     def both(c: Column) -> Column:
-        rest, tail = F.substring(c, 3, 1 << 20), F.substring(c, 7, 1 << 20)
+        rest, tail = F.substr(c, F.lit(3)), F.substr(c, F.lit(7))
         mounted = F.concat(F.lit("/mnt/"), F.lower(F.left(c, F.lit(1))), F.when(rest == "/", F.lit("")).otherwise(rest))
         native = F.concat(F.upper(F.substring(c, 6, 1)), F.lit(":"), F.when(tail == "", F.lit("/")).otherwise(tail))
         return F.when(like(c, DRIVE), F.array(c, mounted)).when(like(c, MOUNT), F.array(c, native)).when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
@@ -60,13 +60,23 @@ def equivalence_key(path: Column, windows_host: Column) -> Column:
     """Equal for spellings of one directory; null for what is no path."""
 
     def key(c: Column) -> Column:
-        tail = F.substring(c, 7, 1 << 20)
+        tail = F.substr(c, F.lit(7))
         mounted = F.lower(F.concat(F.substring(c, 6, 1), F.lit(":"), F.when(tail == "", F.lit("/")).otherwise(tail)))
         return F.when(~F.contains(c, F.lit("/")), None).when(like(c, MOUNT) & windows_host, mounted).when(like(c, DRIVE), F.lower(c)).otherwise(c)
 
     return let(canonical(path), key)
 
 
+def decoded(dir_name: Column) -> Column:
+    """A directory name read as a path: every dash a slash, if it begins with one. Dashes of the path itself are lost, so this serves to filter, not to name."""
+    return F.when(dir_name.startswith("-"), F.replace(dir_name, F.lit("-"), F.lit("/"))).otherwise(dir_name)
+
+
+def most_specific(df, path: str):
+    """Rows by the length of their path, longest first."""
+    return df.orderBy(F.length(path).desc(), path)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
 

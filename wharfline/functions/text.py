@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SNIPPET_CHARS = 140
 EXCERPT_CHARS = 300
 #: Fixed value: the shortest real content, in characters, that is worth an embedding.
 LEAST_CONTENT = 50
-#: Openings of tool output and boilerplate (name, regular expression, searched in the whole text).
+#: Openings of tool output and boilerplate, as regular expressions searched in the whole text.
 NOISE = (
     r"^\[Request interrupted", r"^\[THINKING\]", r"^No results found", r"^No files found", r"^No matches found", r"^File created successfully",
-    r"^Updated task #", r"^MCP (error|tool call)", r"^To github\.com/", r"^Exit code \d", r"^\s*(CREATE TABLE|COPY \d|DROP TABLE|ALTER TABLE|INSERT \d)",
-    r"^\s*\d+ rows? affected", r'^\{"ok":false', r"(?m)^📬\s*\*?\*?Slack heads-up", r"(?m)^##\s*Slack Brief", r"(?m)^All clear! No urgent items",
-    r"(?s)ACCESSIBILITY ACCOMMODATION.*screen reader", r"(?s)IMMEDIATE DISMISSAL.*dismissed-urls\.txt",
+    r"^Updated task #", r"^MCP (error|tool call)", r"^To github\.com", r"^Exit code \d", r"^\s*(CREATE TABLE|COPY \d|DROP TABLE|ALTER TABLE|INSERT \d)",
+    r"^\s*\d+ rows? affected", r'^\{"ok":false', r"^📬\s*\*?\*?Slack heads-up", r"^##\s*Slack Brief", r"^All clear! No urgent items",
+    r"ACCESSIBILITY ACCOMMODATION.*screen reader", r"IMMEDIATE DISMISSAL.*dismissed-urls\.txt",
 )
+#: How those are read that do not begin where the text begins, or that pass over line ends.
+NOISE_FLAGS = {**dict.fromkeys(NOISE[13:16], "(?m)"), **dict.fromkeys(NOISE[16:], "(?s)")}
 #: First lines of sessions that no person started.
 AUTOMATED = (
     r"^You are a Slack monitoring assistant", r"^You are a curiosity curator", r"^You are an ADHD accessibility assistant",
@@ -70,13 +75,13 @@ def excerpt(raw: Column, headline: Column | None = None) -> Column:
 
 
 def first_meaningful_line(text: Column) -> Column:
-    """The first line that is not blank once heading marks and list bullets are off; null if none."""
+    """(The pattern is a fixed value.) The first line that is not blank once heading marks and list bullets are off; null if none."""
     lines = F.transform(F.split(text, "\n"), lambda x: trim_all(F.regexp_replace(x, r"^\s*(?:#{1,6}|[-*+])\s+", "")))
     return F.get(F.filter(lines, lambda x: F.length(x) > 0), F.lit(0))
 
 
 def opening_sentence(line: Column) -> Column:
-    """To the first sentence end that a capital, digit, quote or bracket follows, so versions and abbreviations stay whole."""
+    """(The pattern is a fixed value.) To the first sentence end that a capital, digit, quote or bracket follows, so versions and abbreviations stay whole."""
     return let(line, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"^(.*?[.!?])\s+(?=[\"'(\[]?[A-Z0-9])", 1), F.lit("")), t))
 
 
@@ -92,11 +97,12 @@ def not_warmup(title: Column) -> Column:
     return ~title.eqNullSafe(F.lit("Warmup"))
 
 
-def noise_reason(text: Column) -> Column:
-    """Why stripped text is not worth an embedding: too-short:<n>, pattern:<expression>, or null."""
-    found = F.when(F.length(text) < LEAST_CONTENT, F.concat(F.lit("too-short:"), F.length(text).cast("string")))
+def noise_reason(text: Column, only: Column | None = None) -> Column:
+    """Why stripped text is not worth an embedding: scaffolding-only (where `only` says so), too-short:<n>, pattern:<expression>, or null."""
+    found = F.when(F.coalesce(only, F.lit(False)), "scaffolding-only") if only is not None else F.when(F.lit(False), "")
+    found = found.when(F.length(text) < LEAST_CONTENT, F.concat(F.lit("too-short:"), F.length(text).cast("string")))
     for pattern in NOISE:
-        found = found.when(like(text, pattern), F.lit(f"pattern:{pattern}"))
+        found = found.when(like(text, NOISE_FLAGS.get(pattern, "") + pattern), F.lit(f"pattern:{pattern}"))
     return found
 
 
@@ -136,6 +142,52 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+#: The words that English text search leaves out.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below "
+    "to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split()
+)
+
+
+def stem(word: Column) -> Column:
+    """The first step of Porter's stemmer: plurals, -ed and -ing, -y. Other endings stay, so fewer words fall together than in the whole of it."""
+
+    def bare(w: Column) -> Column:
+        cut = F.regexp_replace(w, "(ed|ing)$", "")
+        twice = like(cut, "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$")
+        return let(cut, lambda c: F.when(like(c, "(at|bl|iz)$"), F.concat(c, F.lit("e"))).when(twice, F.left(c, F.length(c) - 1)).when(like(c, "^[^aeiou]*[aeiouy][^aeiouywx]$"), F.concat(c, F.lit("e"))).otherwise(c))
+
+    singular = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "ies$", "i"), "([^s])s$", "$1")
+    plain = let(singular, lambda w: F.when(like(w, "eed$"), F.when(like(w, "^[^aeiou]*[aeiouy]+[^aeiou].*eed$"), F.regexp_replace(w, "eed$", "ee")).otherwise(w)).when(like(w, "[aeiouy].*(ed|ing)$"), bare(w)).otherwise(w))
+    return F.regexp_replace(plain, "^(.*[aeiouy].*)y$", "$1i")
+
+
+def lexemes(text: Column) -> Column:
+    """The English analyser: tokens without stop words, stemmed."""
+    return F.transform(F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS)), stem)
+
+
+def clean_json(value):
+    """A parsed JSON value without NULs and lone surrogates in its strings, keys among them. Of keys that become equal, one that was clean wins, else the first."""
+    if isinstance(value, str):
+        return "".join(c for c in value if c != "\0" and not "\ud800" <= c <= "\udfff")
+    if isinstance(value, list):
+        return [clean_json(v) for v in value]
+    if isinstance(value, dict):
+        clean = {k: clean_json(v) for k, v in value.items() if clean_json(k) == k}
+        for k, v in value.items():
+            clean.setdefault(clean_json(k), clean_json(v))
+        return clean
+    return value
+
+
+@F.pandas_udf(StringType())
+def deep_clean_json(value: pd.Series) -> pd.Series:
+    """JSON text through clean_json; keys are any, so this is a walk and no expression."""
+    return value.map(lambda v: None if v is None else json.dumps(clean_json(json.loads(v)), ensure_ascii=False, separators=(",", ":")))
+
+
 def round_half_up(x: Column, places: int = 2) -> Column:
     """Half goes towards plus infinity, unlike F.round."""
     f = 10.0**places
@@ -144,6 +196,7 @@ def round_half_up(x: Column, places: int = 2) -> Column:
 
 # --- signals of bad summaries
 
+#: The names of the signals, and in `summary_signals` their patterns and bounds.
 SIGNALS = ("truncated", "marker_only", "no_update", "refusal", "raw_message_leak", "too_short", "over_compressed", "loopy", "json_dump", "code_dump", "unsummarizable")
 
 

@@ -8,38 +8,77 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DURATION = re.compile(r"[+-]?P(?=\d|T\d)(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?")
-_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 31557600}
+#: Seconds of a unit, by the letter of a duration's date part and time part, and by its name.
+_DATE = {"Y": 365 * 86400, "M": 30 * 86400, "W": 7 * 86400, "D": 86400}
+_TIME = {"H": 3600, "M": 60, "S": 1}
+_SHORT = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 31557600}
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 30 * 86400, "year": 365 * 86400}
+#: Spellings of the short units, and numbers as words.
+_SPELLINGS = {"ms": "ms", **dict.fromkeys("s sec secs second seconds".split(), "s"), **dict.fromkeys("m min mins minute minutes".split(), "m"), **dict.fromkeys("h hr hrs hour hours".split(), "h"), **dict.fromkeys("d day days".split(), "d"), **dict.fromkeys("w week weeks".split(), "w"), **dict.fromkeys("y yr yrs year years".split(), "y")}
 _WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7}
 
 
+def _designated(part: str, units: dict[str, int]) -> int | None:
+    """Seconds of numbers that each bear a unit's letter, in the units' order; None if part is anything else."""
+    total, left = 0, list(units)
+    while part:
+        digits = len(part) - len(part.lstrip("0123456789"))
+        letter = part[digits : digits + 1]
+        if not digits or letter not in left:
+            return None
+        total += int(part[:digits]) * units[letter]
+        left, part = left[left.index(letter) + 1 :], part[digits + 1 :]
+    return total
+
+
+def _duration(text: str) -> float | None:
+    """Seconds of an ISO 8601 duration."""
+    date, clock, time = text.removeprefix("+").removeprefix("-").partition("T")
+    if not date.startswith("P") or text == "P" or (clock and not time) or len(date) + len(time) < 2:
+        return None
+    days, seconds = _designated(date[1:], _DATE), _designated(time, _TIME)
+    return None if days is None or seconds is None else days + seconds
+
+
+def _ago(text: str) -> float | None:
+    """Seconds of '7d' or '3 days ago' and of 'today', 'yesterday', 'last week'."""
+    words = re.sub(r"^(\d+(?:\.\d+)?)(?=[a-z])", r"\1 ", text.lower()).split()
+    match words:
+        case ["now" | "today"]:
+            return 0
+        case ["yesterday"]:
+            return _UNITS["day"]
+        case ["last", ("day" | "week" | "month" | "year") as unit]:
+            return _UNITS[unit]
+        case [number, unit, "ago"] if unit.removesuffix("s") in _UNITS and (number.isdigit() or number in _WORDS):
+            return (int(number) if number.isdigit() else _WORDS[number]) * _UNITS[unit.removesuffix("s")]
+        case [number, unit] if unit in _SPELLINGS and re.fullmatch(r"\d+(\.\d+)?", number):
+            return float(number) * _SHORT[_SPELLINGS[unit]]
+    return None
+
+
+def _epoch(text: str) -> datetime | None:
+    """Seconds since 1970, or milliseconds where there are more than ten digits."""
+    if not re.fullmatch(r"\d+(\.\d+)?", text):
+        return None
+    return datetime.fromtimestamp(float(text) / (1000 if len(text.partition(".")[0]) > 10 else 1), timezone.utc)
+
+
 def since(value: str | None, now: datetime) -> datetime | None:
     """Epoch seconds or milliseconds, an ISO 8601 duration or date, '7d', '3 days ago', 'yesterday', 'last week'; None for none."""
-    text = (value or "").strip()
     if not value:
         return None
-    low = text.lower()
-    if re.fullmatch(r"\d+(\.\d+)?", text):
-        number = float(text)
-        return datetime.fromtimestamp(number / 1000 if len(text.split(".")[0]) > 10 else number, timezone.utc)
-    if (m := _DURATION.fullmatch(text)) and any(m.groups()):
-        y, mo, w, d, h, mi, s = (int(g or 0) for g in m.groups())
-        return now - timedelta(days=y * 365 + mo * 30 + w * 7 + d, hours=h, minutes=mi, seconds=s)
-    if m := re.fullmatch(r"(\d+(?:\.\d+)?)\s*(ms|s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|weeks?|y|yrs?|years?)", low):
-        return now - timedelta(seconds=float(m[1]) * (0.001 if m[2] == "ms" else _SECONDS[m[2][0]]))
-    if m := re.fullmatch(r"(\d+|\w+)\s+(second|minute|hour|day|week|month|year)s?\s+ago", low):
-        if (n := int(m[1]) if m[1].isdigit() else _WORDS.get(m[1])) is not None:
-            return now - timedelta(seconds=n * _UNITS[m[2]])
-    if low in ("today", "yesterday", "now"):
-        return now - timedelta(days=low == "yesterday")
-    if m := re.fullmatch(r"last\s+(day|week|month|year)", low):
-        return now - timedelta(seconds=_UNITS[m[1]])
+    text = value.strip()
+    for back in (_ago, _duration):
+        if (seconds := back(text)) is not None:
+            return now - timedelta(seconds=seconds)
+    if (at := _epoch(text)) is not None:
+        return at
     try:
         at = datetime.fromisoformat(text)
-        return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
     except ValueError:
-        raise ValueError(f"Invalid since value: {value}. Try a duration (7d, P3D, PT12H), words (3 days ago, yesterday) or a date (2024-01-15).") from None
+        raise ValueError(f"no time in {value!r}: give a date, a span such as 7d or PT12H, or words such as 'two weeks ago'") from None
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
 
 
 def bucket(ts: Column, width: str) -> Column:

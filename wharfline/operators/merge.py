@@ -1,17 +1,19 @@
 """Upserts on plain Parquet: post-images computed by joins, written as new versions.
 
-Every function returns the table as it is afterwards. `swap` writes such a table as a new version and then moves the pointer, so readers see the
+Every function returns the table as it is afterwards. `swap` writes such a table as a new version and then adds a pointer to it, so readers see the
 old one or the new one. Keys must be unique on both sides; `latest` makes them so.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+POINTER = "number long, path string"
 Rule = Callable[[Column, Column], Column]
 overwrite: Rule = lambda old, new: new
 keep_old: Rule = lambda old, new: F.coalesce(old, new)
@@ -86,15 +88,19 @@ def prune(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:
 
 
 def swap(df: DataFrame, root: str) -> str:
-    """Writes a new version below root and points `current` at it; the pointer is one small table, replaced whole. Returns the version's path."""
-    path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
+    """Writes a new version below root, then a pointer to it: one more small file, numbered by the clock, which appears whole or not at all. Pointers are never
+    replaced, so a reader finds the old version or the new one at any time. Returns the version's path. One writer at a time."""
+    base = root.rstrip("/")
+    path = f"{base}/v-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/current")
+    df.sparkSession.createDataFrame([(time.time_ns(), path)], POINTER).coalesce(1).write.mode("append").parquet(f"{base}/pointers")
     return path
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{root.rstrip('/')}/current").first()[0])
+    """The version that the newest pointer names."""
+    newest = spark.read.schema(POINTER).parquet(f"{root.rstrip('/')}/pointers").agg(F.max_by("path", "number")).first()[0]
+    return spark.read.parquet(newest)
 
 
 def snapshot_once(df: DataFrame, path: str) -> None:

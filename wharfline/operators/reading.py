@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wharfline.functions.text import excerpt
+from wharfline.functions.text import excerpt, strip_thinking
+from wharfline.storage import written
 
 #: Fixed values.
 PAGE_CHARS, PREVIEW_CHARS = 24_000, 2_000
@@ -48,41 +49,69 @@ def in_range(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     return messages.join(spans, "session_id").where(F.col("id").between(F.col("start_message_id"), F.col("end_message_id"))).drop("start_message_id", "end_message_id")
 
 
-def pack(lengths: list[int], most: int = CHUNK_CHARS) -> list[list[tuple[int, int, int]]]:
-    """Chunks of pieces (message, from, to): in order, filled while they fit; a message over a chunk is cut into pieces. Each piece costs its length and an overhead."""
-    piece = most - PIECE_OVERHEAD
-    chunks: list[list[tuple[int, int, int]]] = []
-    room = 0
-    for i, n in enumerate(lengths):
-        for a in range(0, max(n, 1), piece):
-            b = min(n, a + piece)
-            if not chunks or b - a + PIECE_OVERHEAD > room:
-                chunks.append([])
-                room = most
-            chunks[-1].append((i, a, b))
-            room -= b - a + PIECE_OVERHEAD
-    return chunks
+CHUNKS = "session_id long, chunk_index int, start_message_id long, end_message_id long, content_chars long, n_pieces int, text string"
 
 
 def chunk_sessions(messages: DataFrame, most: int = CHUNK_CHARS, least: int = WHOLE_CHARS) -> DataFrame:
     """(session_id, chunk_index, start_message_id, end_message_id, content_chars, n_pieces, text) of sessions longer than least.
 
-    A session's messages are packed in one task in order; sessions are many and bounded, so they spread by their ids.
+    A session's messages go through one task in order, in a stream: what is held is the open chunk, however long the session is.
     """
     spoken = messages.where(F.length("content_text") > 0).select("session_id", "id", "sequence_num", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), F.col("content_text")).alias("text"))
     long = spoken.groupBy("session_id").agg(F.sum(F.length("text") + PIECE_OVERHEAD).alias("n")).where(F.col("n") > least).select("session_id")
+    return chunk_texts(spoken.join(long, "session_id", "left_semi"), most)
+
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sequence_num", "id"])
-        texts, ids = rows["text"].tolist(), rows["id"].tolist()
-        out = []
-        for k, chunk in enumerate(pack([len(t) for t in texts], most)):
-            body = SEPARATOR.join(texts[i][a:b] for i, a, b in chunk)
-            out.append((int(rows["session_id"].iloc[0]), k, ids[chunk[0][0]], ids[chunk[-1][0]], sum(b - a for _, a, b in chunk), len(chunk), body))
-        return pd.DataFrame(out, columns=["session_id", "chunk_index", "start_message_id", "end_message_id", "content_chars", "n_pieces", "text"])
+def chunk_texts(rows: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
+    """The same of all sessions of rows (session_id, id, sequence_num, text)."""
+    schema = pa.schema([("session_id", pa.int64()), ("chunk_index", pa.int32()), ("start_message_id", pa.int64()), ("end_message_id", pa.int64()), ("content_chars", pa.int64()), ("n_pieces", pa.int32()), ("text", pa.string())])
+    piece = most - PIECE_OVERHEAD
 
-    schema = "session_id long, chunk_index int, start_message_id long, end_message_id long, content_chars long, n_pieces int, text string"
-    return spoken.join(long, "session_id", "left_semi").groupBy("session_id").applyInPandas(packed, schema)
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, index, room = None, 0, 0
+        chunk: list[tuple[int, str]] = []  # (message, piece of its text)
+        for batch in batches:
+            out: list[tuple] = []
+
+            def close(out=out) -> None:
+                nonlocal index, chunk
+                if chunk:
+                    out.append((session, index, chunk[0][0], chunk[-1][0], sum(len(t) for _, t in chunk), len(chunk), SEPARATOR.join(t for _, t in chunk)))
+                    index, chunk = index + 1, []
+
+            for s, i, text in zip(*(batch.column(n).to_pylist() for n in ("session_id", "id", "text")), strict=True):
+                if s != session:
+                    close()
+                    session, index, room = s, 0, 0
+                for a in range(0, len(text), piece):
+                    part = text[a : a + piece]
+                    if len(part) + PIECE_OVERHEAD > room:
+                        close()
+                        room = most
+                    chunk.append((i, part))
+                    room -= len(part) + PIECE_OVERHEAD
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+        if chunk:
+            last = (session, index, chunk[0][0], chunk[-1][0], sum(len(t) for _, t in chunk), len(chunk), SEPARATOR.join(t for _, t in chunk))
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, schema, strict=True)], schema=schema)
+
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "sequence_num", "id")
+    return ordered.select("session_id", "id", "text").mapInArrow(packed, CHUNKS)
+
+
+def manifest(chunks: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
+    """(session_id, chunk_index, start_message_id, end_message_id, content_chars, total_chunks, next_offset): a page of each session's chunk list; next_offset is null on the last."""
+    total = chunks.groupBy("session_id").agg(F.count("*").alias("total_chunks"))
+    shown = chunks.where(F.col("chunk_index").between(offset, offset + limit - 1)).select("session_id", "chunk_index", "start_message_id", "end_message_id", "content_chars")
+    return shown.join(total, "session_id").withColumn("next_offset", F.when(F.col("total_chunks") > offset + limit, offset + limit))
+
+
+def range_page(messages: DataFrame, first: int, last: int, budget: int = PAGE_CHARS) -> DataFrame:
+    """budget_page of the messages with ids from first to last, and where to go on: next_id is the first id that did not fit, null where all did."""
+    inside = messages.where(F.col("id").between(first, last))
+    shown = budget_page(inside, budget)
+    rest = inside.join(shown.select("id"), "id", "left_anti").groupBy("session_id").agg(F.min("id").alias("next_id"))
+    return shown.join(rest, "session_id", "left")
 
 
 def digest(sessions: DataFrame, messages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -93,13 +122,54 @@ def digest(sessions: DataFrame, messages: DataFrame, chunks: DataFrame) -> DataF
     return rows.select("session_id", "message_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), excerpt(F.coalesce("summary", "chunk", "message")).alias("excerpt"))
 
 
-def summarise(chunks: DataFrame, sentences: int = 1) -> DataFrame:
-    """Extractive stand-in for a model: each chunk's opening sentences, joined by session; one level of the summary tree."""
+def as_json(rows: DataFrame, by: str, columns: list[str], order: str) -> DataFrame:
+    """(by, json): each group's rows as one JSON array of objects, in order. For groups that fit a row, such as a session's messages to be shown."""
+    packed = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__o"), *columns))).alias("x"))
+    return packed.select(by, F.to_json(F.transform("x", lambda r: F.struct(*[r[c].alias(c) for c in columns]))).alias("json"))
 
-    @F.pandas_udf("string")
-    def lead(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: None if t is None else ". ".join(t.replace("\n", " ").split(". ")[:sentences])[:500])
 
-    made = chunks.withColumn("lead", lead("text"))
+def opening(text: Column, sentences: int = 1) -> Column:
+    """The first sentences: the stand-in for a model."""
+    return F.array_join(F.slice(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\. "), 1, sentences), ". ")
+
+
+Summarizer = Callable[[Column], Column]
+
+
+def summarise(chunks: DataFrame, sentences: int = 1) -> DataFrame:
+    """Extractive stand-in for a model: each chunk's opening sentences, whole, joined by session; one level of the summary tree."""
+    made = chunks.withColumn("lead", opening(F.col("text"), sentences))
     return made.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "lead"))).alias("x")).select("session_id", F.array_join(F.col("x.lead"), "\n").alias("summary"))
+
+
+def summary_tree(messages: DataFrame, summarizer: Summarizer = opening, most: int = CHUNK_CHARS, whole: int = WHOLE_CHARS, levels: int = 12) -> DataFrame:
+    """(session_id, summary, level): what is short is its own summary, what fits one call is summarised, and longer sessions are packed into chunks whose
+    summaries take the place of the messages, until they fit. A chunk whose summary is refused (`refused`) keeps its opening CUT characters. A level is a table; each is much
+    shorter than the one before. Raises if a summarizer does not shrink the texts within so many levels."""
+    rows = messages.where(F.length("content_text") > 0).select("session_id", "id", "sequence_num", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), F.col("content_text")).alias("text"))
+    done: DataFrame | None = None
+    for level in range(levels):
+        size = rows.groupBy("session_id").agg((F.sum(F.length("text") + len(SEPARATOR)) - len(SEPARATOR)).alias("chars"))
+        small = rows.join(size.where(F.col("chars") <= most), "session_id").groupBy("session_id", "chars").agg(F.sort_array(F.collect_list(F.struct("sequence_num", "id", "text"))).alias("x"))
+        joined = small.select("session_id", "chars", F.array_join(F.col("x.text"), SEPARATOR).alias("text"))
+        made = joined.select("session_id", F.when(F.col("chars") <= whole, F.col("text")).otherwise(summarizer(F.col("text"))).alias("summary"), F.lit(level).alias("level"))
+        done = made if done is None else done.unionByName(made)
+        large = rows.join(size.where(F.col("chars") > most).select("session_id"), "session_id", "left_semi")
+        chunks = chunk_texts(large, most)
+        summary = summarizer(F.col("text"))
+        kept = F.when(refused(F.col("text"), summary).isNotNull(), F.substring("text", 1, CUT)).otherwise(summary)
+        rows = written(chunks.select("session_id", F.col("chunk_index").cast("long").alias("id"), F.col("chunk_index").cast("long").alias("sequence_num"), kept.alias("text")), "summaries")
+        if rows.isEmpty():
+            return done
+    raise RuntimeError(f"the summaries still do not fit after {levels} levels")
+
+
+#: The least length of a summary, and what of a chunk stands in for a refused one.
+LEAST_SUMMARY, CUT = 100, 5000
+
+
+def refused(text: Column, summary: Column, prompt_tokens: Column | None = None, context: int = 16_384) -> Column:
+    """Why a summary does not count: it echoes a control marker, is too short, is not shorter than its text, or the prompt filled the context; else null."""
+    said = strip_thinking(summary)
+    why = F.when(F.regexp_like(said, F.lit("^<[A-Za-z]")), "control marker").when(F.length(said) < LEAST_SUMMARY, "too short").when(F.length(said) >= F.length(text), "not shrunk")
+    return F.when(prompt_tokens >= context - 64, "truncated").otherwise(why) if prompt_tokens is not None else why

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wharfline.functions import paths, text, vectors
+from wharfline.storage import written
 
 #: The constant of rank fusion, the flat bonus of the caller's own projects, and how far each arm fetches.
 RANK_K = 60
@@ -28,7 +29,8 @@ ARMS = ("session", "chunk", "message", "fts")
 DEFAULT_CLASSES = ("coding",)
 #: Parameters of Robertson and Zaragoza's ranking function.
 K1, B = 1.2, 0.75
-STOP_WORDS = frozenset("a an and are as at be by for from has he in is it its of on or that the to was were will with this but not you i we they".split())
+#: How text is cut into terms, on the side of the documents and of the query: by words alone, or as English.
+ANALYSERS = {"simple": text.tokens, "english": text.lexemes}
 
 
 # --- classes of data
@@ -92,14 +94,16 @@ class WebQuery:
         return list(dict.fromkeys(t for group in self.any_of for phrase in group for t in phrase))
 
 
-def parse_query(query: str, stop_words: frozenset[str] = frozenset()) -> WebQuery:
+def parse_query(query: str, analyser: str = "simple") -> WebQuery:
     out, joined = WebQuery(), False
     for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', query):
         quoted, word = m[2], m[3]
         if word and word.lower() == "or" and not m[1]:
             joined = bool(out.any_of)
             continue
-        phrase = [t for t in re.split("[^a-z0-9]+", (quoted if quoted is not None else word).lower()) if t and t not in stop_words]
+        phrase = [t for t in re.split("[^a-z0-9]+", (quoted if quoted is not None else word).lower()) if t]
+        if analyser == "english":
+            phrase = [stemmed(t) for t in phrase if t not in text.STOP_WORDS]
         if not phrase:
             continue
         if m[1]:
@@ -112,6 +116,23 @@ def parse_query(query: str, stop_words: frozenset[str] = frozenset()) -> WebQuer
     return out
 
 
+def stemmed(word: str) -> str:
+    """text.stem of a query's word, on the driver."""
+    for pattern, by in (("sses$", "ss"), ("ies$", "i"), ("([^s])s$", r"\1")):
+        word = re.sub(pattern, by, word)
+    if word.endswith("eed"):
+        word = word[:-1] if re.search("^[^aeiou]*[aeiouy]+[^aeiou].*eed$", word) else word
+    elif re.search("[aeiouy].*(ed|ing)$", word):
+        word = re.sub("(ed|ing)$", "", word)
+        if re.search("(at|bl|iz)$", word):
+            word += "e"
+        elif word[-2:-1] == word[-1:] and word[-1:] in set("bcdfghjkmnpqrtvwx"):
+            word = word[:-1]
+        elif re.search("^[^aeiou]*[aeiouy][^aeiouywx]$", word):
+            word += "e"
+    return re.sub("^(.*[aeiouy].*)y$", r"\1i", word)
+
+
 def has_phrase(terms: Column, phrase: Sequence[str]) -> Column:
     """Whether the terms hold the phrase's words in a row."""
     if len(phrase) == 1:
@@ -128,18 +149,19 @@ def matches(terms: Column, query: WebQuery) -> Column:
     return reduce(lambda a, p: a & ~has_phrase(terms, p), query.none_of, wanted)
 
 
-def text_match(docs: DataFrame, query: WebQuery, text_col: str, keep: Sequence[str]) -> DataFrame:
+def text_match(docs: DataFrame, query: WebQuery, text_col: str, keep: Sequence[str], analyser: str = "simple") -> DataFrame:
     """(keep.., terms) of the documents that match."""
-    return docs.withColumn("terms", text.tokens(F.col(text_col))).where(matches(F.col("terms"), query)).select(*keep, "terms")
+    return docs.withColumn("terms", ANALYSERS[analyser](F.col(text_col))).where(matches(F.col("terms"), query)).select(*keep, "terms")
 
 
-def bm25(docs: DataFrame, terms: Sequence[str], text_col: str, keep: Sequence[str], where: Column | None = None) -> DataFrame:
-    """docs' keep columns and score, Robertson and Zaragoza's BM25 of the terms. Statistics cover all documents, in one aggregation of
-    one row; nothing is exploded, so a word of every document makes no hot key."""
-    rows = docs.withColumn("__t", text.tokens(F.col(text_col)))
+def bm25(docs: DataFrame, terms: Sequence[str], text_col: str, keep: Sequence[str], query: WebQuery | None = None, without: WebQuery | None = None, analyser: str = "simple") -> DataFrame:
+    """(keep.., score) of documents that hold a term (and match query and not without), Robertson and Zaragoza's BM25. Texts are cut into terms once: frequencies and lengths
+    are written as a narrow table, which gives the statistics of all documents and then the scores. Nothing is exploded, so a word of every document makes no hot key."""
+    rows = docs.withColumn("__t", ANALYSERS[analyser](F.col(text_col)))
     frequency = lambda term: F.size(F.filter("__t", lambda x: x == term)).cast("double")
     tf = [frequency(t).alias(f"__tf{k}") for k, t in enumerate(terms)]
-    counted = rows.select(*keep, text_col, F.size("__t").cast("double").alias("__len"), *tf, (where if where is not None else F.lit(True)).alias("__use"))
+    use = (matches(F.col("__t"), query) if query is not None else F.lit(True)) & (~matches(F.col("__t"), without) if without is not None else F.lit(True))
+    counted = written(rows.select(*keep, F.size("__t").cast("double").alias("__len"), *tf, use.alias("__use")), "terms")
     stats = counted.agg(F.count("*").cast("double").alias("__n"), F.avg("__len").alias("__avg"), *[F.count_if(F.col(f"__tf{k}") > 0).cast("double").alias(f"__df{k}") for k in range(len(terms))])
     joined = counted.where("__use").crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
@@ -148,7 +170,26 @@ def bm25(docs: DataFrame, terms: Sequence[str], text_col: str, keep: Sequence[st
         idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
     hit = reduce(lambda a, b: a | b, [F.col(f"__tf{k}") > 0 for k in range(len(terms))], F.lit(False))
-    return joined.where(hit).select(*keep, text_col, score.alias("score"))
+    return joined.where(hit).select(*keep, score.alias("score"))
+
+
+def ranked_text(docs: DataFrame, query: str, text_col: str, keep: Sequence[str], limit: int, analyser: str = "english", exclude: str | None = None) -> DataFrame:
+    """(keep.., score, rank) of the best matches of a web-style query; ties by the first of keep."""
+    q = parse_query(query, analyser)
+    scored = bm25(docs, q.terms, text_col, keep, q, parse_query(exclude, analyser) if exclude else None, analyser).withColumn("score", F.round("score", 9))
+    return ranked(scored, [F.desc("score"), F.col(keep[0])], [*keep, "score"], limit)
+
+
+def search_messages(messages: DataFrame, sessions: DataFrame, query: str, limit: int = 20, source: str | None = None, analyser: str = "english") -> DataFrame:
+    """(id, session_id, project_id, source_name, score, rank): the best messages of live sessions, of one source if it is named."""
+    live = sessions.where("deleted_at IS NULL") if "deleted_at" in sessions.columns else sessions
+    live = live.where(F.col("source_name") == source) if source else live
+    said = messages.select("id", "session_id", "content_text").join(live.select("session_id", "project_id", "source_name"), "session_id")
+    return ranked_text(said, query, "content_text", ["id", "session_id", "project_id", "source_name"], limit, analyser)
+
+
+def search_session_summaries(sessions: DataFrame, query: str, limit: int = 20, analyser: str = "english") -> DataFrame:
+    return ranked_text(sessions.where("summary IS NOT NULL"), query, "summary", ["session_id", "project_id", "source_name"], limit, analyser)
 
 
 def best_window(words: list[str], wanted: set[str], most: int = 25, least: int = 10) -> tuple[int, int]:
@@ -162,9 +203,9 @@ def best_window(words: list[str], wanted: set[str], most: int = 25, least: int =
     return best, min(len(words), max(last + 1, best + least))
 
 
-def headline(column: Column, terms: Sequence[str]) -> Column:
+def headline(column: Column, terms: Sequence[str], analyser: str = "simple") -> Column:
     """A window of the text with the terms in bold; an Arrow-batched UDF, meant for the few rows left after ranking."""
-    wanted = set(terms)
+    wanted, same = set(terms), stemmed if analyser == "english" else str
 
     @F.pandas_udf(T.StringType())
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -172,8 +213,9 @@ def headline(column: Column, terms: Sequence[str]) -> Column:
             if value is None:
                 return None
             words = value.split()
-            a, b = best_window(words, wanted)
-            return " ".join(f"**{w}**" if re.sub("[^a-z0-9]", "", w.lower()) in wanted else w for w in words[a:b])
+            hit = [same(re.sub("[^a-z0-9]", "", w.lower())) for w in words]
+            a, b = best_window(hit, wanted)
+            return " ".join(f"**{w}**" if h in wanted else w for w, h in zip(words[a:b], hit[a:b], strict=True))
 
         for batch in batches:
             yield batch.map(one)
@@ -227,6 +269,7 @@ class SearchParams:
     include_automated: bool = False
     include_unsummarized: bool = False
     exclude_terms: str | None = None
+    analyser: str = "english"
 
 
 @dataclass
@@ -262,7 +305,7 @@ def eligible(corpus: Corpus, p: SearchParams) -> DataFrame:
 def search(corpus: Corpus, p: SearchParams) -> DataFrame:
     """(session_id, title, title_source, project_id, source_name, data_class, started_at, score, matched_tier, message_id, snippet), best first.
 
-    Filters run before the choice of neighbours, so none of the fetched rows is lost to a filter afterwards.
+    Each vector arm fetches some times the limit from its whole collection (more where classes will be left out), and filters run on those few rows.
     """
     steer = [resolve_centroids(c, ids, key) if c is not None else [] for c, ids, key in (
         (corpus.session_centroids, p.like_session, "session_id"), (corpus.session_centroids, p.unlike_session, "session_id"),
@@ -270,26 +313,27 @@ def search(corpus: Corpus, p: SearchParams) -> DataFrame:
     if not p.query and p.vector is None and not any(steer):
         raise ValueError("a search needs a query, a vector or centroids")
     sessions = eligible(corpus, p)
+    wide = CLASS_OVER_FETCH if resolve_classes(p.classes, p.source) is not None else 1
     arms: list[DataFrame] = []
     if p.mode in ("semantic", "hybrid") and (p.vector is not None or any(steer)):
         vector = vectors.compose(p.vector, p.negative_vector, steer[0] + steer[2], steer[1] + steer[3])
         for arm, collection in corpus.collections.items():
-            allowed = collection.join(sessions.select("session_id"), "session_id", "left_semi")
-            near = knn(allowed, vector, p.limit * OVER_FETCH[arm])
-            rows = near.join(collection.select("id", "session_id", "raw"), "id")
+            near = knn(collection, vector, p.limit * OVER_FETCH[arm] * wide)
+            rows = F.broadcast(near).join(collection.select("id", "session_id", "raw"), "id").join(sessions.select("session_id"), "session_id", "left_semi")
             arms.append(once_per(rows).select("session_id", F.col("id").alias("message_id"), "rank", "raw", F.lit(None).cast("string").alias("headline"), F.lit(ARMS.index(arm)).alias("arm_priority")))
     if p.mode in ("text", "hybrid") and p.query:
-        query = parse_query(p.query)
-        ok = matches(text.tokens(F.col("content_text")), query)
-        if p.exclude_terms:
-            ok = ok & ~matches(text.tokens(F.col("content_text")), parse_query(p.exclude_terms))
-        scored = bm25(corpus.messages, query.terms, "content_text", ("id", "session_id"), ok).join(sessions.select("session_id"), "session_id", "left_semi")
-        best = scored.withColumn("__n", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "id"))).where("__n = 1")
-        top = ranked(best, [F.desc("score"), F.col("id")], ["session_id", "id", "content_text"], p.limit * OVER_FETCH["fts"])
-        arms.append(top.select("session_id", F.col("id").alias("message_id"), "rank", F.lit(None).cast("string").alias("raw"), headline(F.col("content_text"), query.terms).alias("headline"), F.lit(ARMS.index("fts")).alias("arm_priority")))
+        query = parse_query(p.query, p.analyser)
+        without = parse_query(p.exclude_terms, p.analyser) if p.exclude_terms else None
+        scored = bm25(corpus.messages, query.terms, "content_text", ("id", "session_id"), query, without, p.analyser).join(sessions.select("session_id"), "session_id", "left_semi")
+        scored = scored.withColumn("score", F.round("score", 9))
+        best = scored.groupBy("session_id").agg(F.min(F.struct(-F.col("score"), "id"))["id"].alias("id"), F.max("score").alias("score"))
+        top = ranked(best, [F.desc("score"), F.col("id")], ["session_id", "id"], p.limit * OVER_FETCH["fts"])
+        shown = F.broadcast(top).join(corpus.messages.select("id", "content_text"), "id")
+        arms.append(shown.select("session_id", F.col("id").alias("message_id"), "rank", F.lit(None).cast("string").alias("raw"), headline(F.col("content_text"), query.terms, p.analyser).alias("headline"), F.lit(ARMS.index("fts")).alias("arm_priority")))
     if not arms:
         raise ValueError("no arm can answer this search")
-    union = reduce(DataFrame.unionByName, arms)
+    # some rows an arm, which three steps read: worked out once
+    union = written(reduce(DataFrame.unionByName, arms), "arms")
     hits = first_claim(union).join(fuse(union), "session_id").join(sessions, "session_id")
     title, origin = text.resolve_title(F.col("title"), F.col("summary"))
     score = F.col("score") + F.when(F.col("in_project"), PROJECT_BOOST).otherwise(0.0)

@@ -156,7 +156,7 @@ def fts_exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headline_top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked first, so the headline is cut for the rows shown alone."""
     scored = retrieval.bm25(messages(spark, sf_dir), ["the", "and"], "content_text", ["id"])
-    top = retrieval.ranked(scored, [F.round("score", 6).desc(), F.col("id")], ["id", "content_text"], 10)
+    top = F.broadcast(retrieval.ranked(scored, [F.round("score", 6).desc(), F.col("id")], ["id"], 10)).join(messages(spark, sf_dir).select("id", "content_text"), "id")
     return top.select("id", "rank", retrieval.headline(F.col("content_text"), ["the", "and"]).alias("headline"))
 
 

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
+
+
+def line(key: Column, title: Column, mine: Column, source: Column, at: Column, count: Column) -> Column:
+    """A session in one line, as a column."""
+    mark = F.when(mine, " [CURRENT PROJECT]").otherwise("")
+    return F.concat(F.lit("#"), key.cast("string"), F.lit(" "), F.coalesce(title, F.lit("(untitled)")), mark, F.lit(" | "), source, F.lit(" | "), F.date_format(at, "yyyy-MM-dd"), F.lit(" | "), count.cast("string"), F.lit(" messages"))
 
 
 def hits(found: DataFrame, own_projects: Iterable[int] = ()) -> str:

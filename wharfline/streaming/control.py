@@ -1,23 +1,16 @@
-"""Control of running jobs: a stand-down row with a deadline, one run at a time, drains that stop in time, logs in small batches."""
+"""Control of running jobs: a stand-down row with a deadline, and what the catalog knows."""
 
 from __future__ import annotations
 
-import threading
-import time
-from collections import deque
-from collections.abc import Callable
 from datetime import datetime, timedelta
-from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from wharfline.functions.times import clamp
 
 CONTROL = "until timestamp, reason string"
-#: Minutes of a stand-down, and how the log queue works.
+#: The least, most and usual minutes of a stand-down.
 STAND_DOWN = (1, 240, 15)
-QUEUE, BATCH = 5000, 250
-T = TypeVar("T")
 
 
 def stand_down(spark: SparkSession, path: str, now: datetime, minutes: int | None = None, reason: str = "") -> datetime:
@@ -40,76 +33,6 @@ def standing_down(spark: SparkSession, path: str, now: datetime) -> bool:
     return row is not None and row["until"] is not None and row["until"] > now
 
 
-def drain_for(step: Callable[[], int], seconds: float, stop: Callable[[], bool] = lambda: False, clock: Callable[[], float] = time.monotonic) -> tuple[int, str]:
-    """Runs step until it does nothing, stop() says so or the time is up: (what was done, why it ended). Each step is a job of its own."""
-    done, end = 0, clock() + seconds
-    while True:
-        if stop():
-            return done, "stood down"
-        if clock() >= end:
-            return done, "out of time"
-        n = step()
-        if n <= 0:
-            return done, "drained"
-        done += n
-
-
-class SingleFlight:
-    """Runs one call at a time; a second caller is told so rather than made to wait."""
-
-    def __init__(self) -> None:
-        self._lock = threading.Lock()
-
-    def run(self, job: Callable[[], T]) -> T | None:
-        if not self._lock.acquire(blocking=False):
-            return None
-        try:
-            return job()
-        finally:
-            self._lock.release()
-
-
-class LogShipper:
-    """A bounded queue of log rows, written in batches; when full the oldest go, and a batch that fails goes back to the front."""
-
-    def __init__(self, write: Callable[[list], None], most: int = QUEUE, batch: int = BATCH, failures: int = 3):
-        self._write, self._batch, self._failures, self._queue, self.dropped = write, batch, failures, deque(), 0
-        self._most = most
-
-    def put(self, row: tuple) -> None:
-        self._queue.append(row)
-        while len(self._queue) > self._most:
-            self._queue.popleft()
-            self.dropped += 1
-
-    def flush(self) -> int:
-        """Writes batches until the queue is empty or writing has failed so often in a row; returns the rows written."""
-        done, failed = 0, 0
-        while self._queue and failed < self._failures:
-            rows = [self._queue.popleft() for _ in range(min(self._batch, len(self._queue)))]
-            try:
-                self._write(rows)
-                done, failed = done + len(rows), 0
-            except Exception:  # noqa: BLE001
-                self._queue.extendleft(reversed(rows))
-                failed += 1
-        return done
-
-
-def append_logs(spark: SparkSession, path: str) -> Callable[[list], None]:
-    """A writer for LogShipper: rows of (machine, service, level, message, logged_at) appended to a table."""
-
-    def write(rows: list) -> None:
-        spark.createDataFrame(rows, "machine string, service string, level string, message string, logged_at timestamp").coalesce(1).write.mode("append").parquet(path)
-
-    return write
-
-
 def present(spark: SparkSession, names: list[str]) -> dict[str, bool]:
     """Which tables or views the catalog knows."""
     return {n: spark.catalog.tableExists(n) for n in names}
-
-
-def stream_logs(source: DataFrame, path: str, checkpoint: str, seconds: int = 5):
-    """Log rows as they come, in micro-batches."""
-    return source.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

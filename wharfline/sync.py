@@ -37,9 +37,9 @@ class Report:
     bad: int
 
 
-def sync(spark: SparkSession, root: str, tables: Tables, now: Column, source: str = "transcripts") -> tuple[Tables, Report]:
+def sync(spark: SparkSession, root: str, tables: Tables, now: Column, source: str = "transcripts", glob: str = "*.jsonl") -> tuple[Tables, Report]:
     """The tables afterwards, and what was done. Files whose time has not changed are not parsed; messages are keyed by session and outside id."""
-    found = written(transcripts.changed(transcripts.lines(spark, root), tables.stamps), "lines")
+    found = written(transcripts.changed(transcripts.lines(spark, root, glob), tables.stamps), "lines")
     parsed, bad = transcripts.parse(found)
     parsed = written(transcripts.number(parsed), "parsed")
     owner = transcripts.sessions(parsed).select("file_path", "session_id", "parent_session_id")
