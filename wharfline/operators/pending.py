@@ -37,6 +37,19 @@ def short_first(pending: DataFrame, limit: int) -> DataFrame:
     return pending.orderBy((F.length("content_text") > SHORT_CHARS).asc(), F.desc("id")).limit(limit)
 
 
+def newest_first(sessions: DataFrame, limit: int) -> DataFrame:
+    """The next sessions: those that ended (or began) last, ones without any time at the end."""
+    return sessions.orderBy(F.coalesce("ended_at", "started_at").desc_nulls_last(), F.desc("session_id")).limit(limit)
+
+
+def progress(messages: DataFrame, done: DataFrame) -> DataFrame:
+    """(size, done, pending) of short and of long messages."""
+    worth = messages.where((F.length("content_text") > LEAST_CHARS) & (F.col("role") != "tool"))
+    marked = worth.join(done.select(F.col("message_id").alias("id"), F.lit(True).alias("__done")).distinct(), "id", "left")
+    size = F.when(F.length("content_text") <= SHORT_CHARS, "short").otherwise("long")
+    return marked.groupBy(size.alias("size")).agg(F.count("__done").alias("done"), (F.count("*") - F.count("__done")).alias("pending"))
+
+
 def healed(done: DataFrame, collection: str) -> DataFrame:
     """Failure rows of messages that have a good row in the collection by now."""
     good = done.where((F.col("collection") == collection) & F.col("failure_reason").isNull()).select("message_id").distinct()

@@ -24,7 +24,7 @@ def session_with_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).where(keep).select("session_id", "message_count").join(said, "session_id", "left")
 
 
-@query("UDF-04 RET-17", f"WITH {SESSIONS_SQL} SELECT session_id FROM sessions WHERE list_contains(string_split_regex(lower(summary), '[^a-z0-9]+'), 'the')")
+@query("RET-03", f"WITH {SESSIONS_SQL} SELECT session_id FROM sessions WHERE list_contains(string_split_regex(lower(summary), '[^a-z0-9]+'), 'the')")
 def session_summary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.text_match(sessions(spark, sf_dir), retrieval.parse_query("the"), "summary", ["session_id"]).select("session_id")
 
@@ -41,7 +41,7 @@ def vector_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(1, 5, 9)).select("vec_id", "label", F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
 
 
-@query("FIL-03 FIL-07 FIL-25", f"WITH {SESSIONS_SQL} SELECT session_id, source_name FROM sessions WHERE project_id <> 4 AND contains(source_name, 'ce1') AND summary IS NOT NULL AND started_at >= TIMESTAMP '2024-01-01 05:00:00'")
+@query("FIL-03 FIL-25", f"WITH {SESSIONS_SQL} SELECT session_id, source_name FROM sessions WHERE project_id <> 4 AND contains(source_name, 'ce1') AND summary IS NOT NULL AND started_at >= TIMESTAMP '2024-01-01 05:00:00'")
 def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     automated = F.col("project_id") == 4
     include_automated = False
@@ -89,7 +89,7 @@ def _sane(events: DataFrame) -> DataFrame:
     return events.select("event_id", times.sane_timestamp(raw).cast("timestamp_ntz").alias("at"))
 
 
-@query("JSN-02 JSN-03 SRC-03", f"WITH {MESSAGES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN content_text ELSE content_text || chr(10) || 'done' END AS content, CASE WHEN id % 2 = 1 THEN 'run' END AS tool FROM messages WHERE content_text <> ''")
+@query("JSN-02", f"WITH {MESSAGES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN content_text ELSE content_text || chr(10) || 'done' END AS content, CASE WHEN id % 2 = 1 THEN 'run' END AS tool FROM messages WHERE content_text <> ''")
 def json_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content as plain text or as an array of parts, read by the same expression."""
     part = lambda **v: F.struct(*[v.get(k, F.lit(None).cast("string")).alias(k) for k in ("type", "text", "thinking", "name", "input", "content")])
@@ -108,7 +108,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", raw.alias("path"))
 
 
-@query("PTH-03 PTH-04 PTH-05 PTH-11", f"""WITH p AS (SELECT doc_id, {RAW} AS path FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN path ELSE 'other' END AS resolved,
+@query("PTH-03 PTH-04 PTH-05", f"""WITH p AS (SELECT doc_id, {RAW} AS path FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN path ELSE 'other' END AS resolved,
 CASE WHEN path LIKE 'D:%' THEN '/mnt/d' || substr(path, 3) WHEN path LIKE '/mnt/d/%' THEN 'D:' || substr(path, 7) ELSE path END AS twin FROM p""")
 def path_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
@@ -121,7 +121,7 @@ def path_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(spark, sf_dir).where(paths.related(F.col("path"), "/home/u/p5/deep"))
 
 
-@query("PTH-10 SRT-10 SRC-01 SRC-02", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 's' || doc_id % 9 END AS parent, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS depth FROM documents")
+@query("PTH-10 SRT-10", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 's' || doc_id % 9 END AS parent, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS depth FROM documents")
 def path_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(F.lit("/r/s"), (F.col("doc_id") % 9).cast("string"))
     path = F.when(F.col("doc_id") % 2 == 0, F.concat(s, F.lit("/subagents/a.jsonl"))).otherwise(F.concat(s, F.lit("/a.jsonl")))

@@ -31,7 +31,7 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.session_stats(messages(spark, sf_dir))
 
 
-@query("ANA-16 PRJ-02 DT-02 SRC-12", "SELECT user_id, count(*) AS n, round(epoch(max(ts)) - epoch(min(ts)))::BIGINT AS seconds, round(avg(value))::BIGINT AS mean_value FROM events GROUP BY 1")
+@query("ANA-16 PRJ-02 DT-02", "SELECT user_id, count(*) AS n, round(epoch(max(ts)) - epoch(min(ts)))::BIGINT AS seconds, round(avg(value))::BIGINT AS mean_value FROM events GROUP BY 1")
 def session_duration_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     return events(spark, sf_dir).groupBy("user_id").agg(
@@ -39,13 +39,13 @@ def session_duration_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("ANA-07 WIN-02 SRT-01 SRT-02 FIL-08 FIL-01 FIL-02 FIL-04", f"WITH {SESSIONS_SQL} SELECT session_id, project_id, started_at, message_count, count(*) OVER () AS total FROM sessions WHERE summary IS NOT NULL AND source_name = 'source1' ORDER BY started_at DESC NULLS LAST, session_id DESC LIMIT 10 OFFSET 5")
+@query("WIN-02 SRT-01 SRT-02 FIL-01 FIL-02 FIL-04", f"WITH {SESSIONS_SQL} SELECT session_id, project_id, started_at, message_count, count(*) OVER () AS total FROM sessions WHERE summary IS NOT NULL AND source_name = 'source1' ORDER BY started_at DESC NULLS LAST, session_id DESC LIMIT 10 OFFSET 5")
 def session_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sessions(spark, sf_dir).where("summary IS NOT NULL AND source_name = 'source1'").select("session_id", "project_id", "started_at", "message_count")
     return reports.page(rows, [F.col("started_at").desc_nulls_last(), F.col("session_id").desc()], 10, 5)
 
 
-@query("ANA-20 ANA-09", "SELECT event_id, ts, event_type, count(*) OVER () AS total FROM events WHERE event_type = 'error' ORDER BY ts DESC NULLS LAST, event_id LIMIT 20")
+@query("WIN-02 SRT-02", "SELECT event_id, ts, event_type, count(*) OVER () AS total FROM events WHERE event_type = 'error' ORDER BY ts DESC NULLS LAST, event_id LIMIT 20")
 def quarantine_style_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).where("event_type = 'error'").select("event_id", "ts", "event_type")
     return reports.page(rows, [F.col("ts").desc_nulls_last(), F.col("event_id")], 20)
@@ -109,7 +109,7 @@ def session_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- throughput
 
 
-@query("ANA-03 ANA-21 ANA-23 MTH-01 MTH-02 MTH-05 PRJ-01 FIL-17", """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click' AND ts > TIMESTAMP '2024-01-24') AS embedded, count(*) FILTER (event_type = 'view' AND ts > TIMESTAMP '2024-01-24') AS arrived, count(*) FILTER (event_type = 'signup') AS sp, count(*) FILTER (event_type = 'purchase' AND ts > TIMESTAMP '2024-01-24') AS summarized FROM events GROUP BY 1),
+@query("ANA-03 ANA-23 MTH-01 MTH-02 MTH-05 PRJ-01 FIL-17", """WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS pending, count(*) FILTER (event_type = 'click' AND ts > TIMESTAMP '2024-01-24') AS embedded, count(*) FILTER (event_type = 'view' AND ts > TIMESTAMP '2024-01-24') AS arrived, count(*) FILTER (event_type = 'signup') AS sp, count(*) FILTER (event_type = 'purchase' AND ts > TIMESTAMP '2024-01-24') AS summarized FROM events GROUP BY 1),
 r AS (SELECT *, floor(embedded / 60.0 * 100 + 0.5) / 100 AS e, floor(arrived / 60.0 * 100 + 0.5) / 100 AS a FROM c), n AS (SELECT *, floor((e - a) * 100 + 0.5) / 100 AS net FROM r),
 s AS (SELECT *, CASE WHEN embedded > 0 AND pending > 0 THEN CASE WHEN net > 0 THEN 'draining' WHEN net < 0 THEN 'falling-behind' ELSE 'holding' END WHEN summarized > 0 AND sp > 0 THEN 'summarizing' WHEN pending = 0 THEN 'caught-up' ELSE 'stalled' END AS state FROM n)
 SELECT user_id, pending, e::DOUBLE AS embedded_per_minute, net::DOUBLE AS net_per_minute, state, (CASE state WHEN 'caught-up' THEN 0 WHEN 'draining' THEN floor(pending / net * 60 + 0.5) END)::BIGINT AS seconds_remaining, CASE WHEN pending > 10 AND embedded < 2 THEN 'stalled: ' || pending || ' pending' END AS alert FROM s""")
@@ -126,14 +126,14 @@ def throughput_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pending work
 
 
-@query("STM-04 JOIN-04 FIL-19 STM-18", "SELECT d.doc_id, length(text)::BIGINT AS chars FROM documents d WHERE length(text) > 10 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("STM-04 JOIN-04 FIL-19", "SELECT d.doc_id, length(text)::BIGINT AS chars FROM documents d WHERE length(text) > 10 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def pending_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("user").alias("role"), F.col("text").alias("content_text"))
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("message_id"))
     return pending.pending_messages(docs, done).select(F.col("id").alias("doc_id"), F.length("content_text").cast("long").alias("chars"))
 
 
-@query("STM-06 FIL-23 DT-05 SNK-11", """WITH done AS (SELECT event_id AS message_id, CASE WHEN event_type = 'error' THEN 'nan' WHEN event_type = 'signup' THEN 'noise' END AS failure_reason, user_id % 5 AS retry_count, ts AS updated_at FROM events)
+@query("STM-06 FIL-23 DT-05", """WITH done AS (SELECT event_id AS message_id, CASE WHEN event_type = 'error' THEN 'nan' WHEN event_type = 'signup' THEN 'noise' END AS failure_reason, user_id % 5 AS retry_count, ts AS updated_at FROM events)
 SELECT doc_id FROM documents d WHERE length(text) > 10 AND NOT EXISTS (SELECT 1 FROM done e WHERE e.message_id = d.doc_id AND NOT coalesce(failure_reason = 'nan' AND retry_count < 3 AND updated_at < TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS, FALSE))""")
 def pending_retry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("user").alias("role"), F.col("text").alias("content_text"))
@@ -142,7 +142,7 @@ def pending_retry_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.pending_messages(docs, done, _now()).select(F.col("id").alias("doc_id"))
 
 
-@query("STM-05 STM-19 FIL-21 FIL-22", f"""WITH {SESSIONS_SQL}, done AS (SELECT session_id, max(content_chars - (session_id % 3) * 10) AS mark FROM sessions WHERE session_id % 2 = 0 GROUP BY 1)
+@query("STM-05 FIL-21 FIL-22", f"""WITH {SESSIONS_SQL}, done AS (SELECT session_id, max(content_chars - (session_id % 3) * 10) AS mark FROM sessions WHERE session_id % 2 = 0 GROUP BY 1)
 SELECT s.session_id, content_chars FROM sessions s LEFT JOIN done d USING (session_id) WHERE started_at < TIMESTAMP '2024-01-31' - INTERVAL 30 MINUTES AND title IS DISTINCT FROM 'Warmup' AND (d.mark IS NULL OR content_chars > d.mark OR coalesce(content_chars, 0) = 0)""")
 def growth_reembed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sessions(spark, sf_dir).withColumn("ended_at", F.col("started_at"))
@@ -150,7 +150,7 @@ def growth_reembed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.pending_sessions(rows, done, _now()).select("session_id", "content_chars")
 
 
-@query("STM-08 SRT-08 ANA-27", "SELECT doc_id, length(text)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY length(text) > 8000, doc_id DESC LIMIT 100")
+@query("STM-08", "SELECT doc_id, length(text)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) ORDER BY length(text) > 8000, doc_id DESC LIMIT 100")
 def short_first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"))
     return pending.short_first(rows, 100).select(F.col("id").alias("doc_id"), F.length("content_text").cast("long").alias("chars"))
@@ -173,7 +173,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.bad_summaries(rows)
 
 
-@query("TXT-14 AGG-06 AGG-12 ANA-04 FIL-13 FIL-14 STR-04 STR-08 STR-10 MTH-03", f"WITH {SIGNALS_SQL} SELECT count(*) AS total, {', '.join(f'count(*) FILTER ({n}) AS {n}' for n in SIGNAL_NAMES)}, count(*) FILTER ({' OR '.join(SIGNAL_NAMES)}) AS any_bad FROM flags")
+@query("TXT-14 AGG-06 AGG-12 FIL-13 FIL-14 STR-04 STR-08 STR-10 MTH-03", f"WITH {SIGNALS_SQL} SELECT count(*) AS total, {', '.join(f'count(*) FILTER ({n}) AS {n}' for n in SIGNAL_NAMES)}, count(*) FILTER ({' OR '.join(SIGNAL_NAMES)}) AS any_bad FROM flags")
 def summary_quality_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir)
 
@@ -183,24 +183,24 @@ def summary_quality_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.by_category(_signals(spark, sf_dir))
 
 
-@query("ANA-04 ANA-25", "SELECT count(*) AS total, count(l.doc_id) AS covered, count(*) - count(l.doc_id) AS missing, round(count(l.doc_id) * 100.0 / count(*), 2) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
+@query("JOIN-02", "SELECT count(*) AS total, count(l.doc_id) AS covered, count(*) - count(l.doc_id) AS missing, round(count(l.doc_id) * 100.0 / count(*), 2) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def coverage_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("TXT-03", r"SELECT doc_id, CASE WHEN length(text) < 50 THEN 'too-short:' || length(text) WHEN regexp_matches(text, '^Exit code \d') THEN 'pattern:^Exit code \d' END AS reason FROM documents WHERE length(text) < 50 OR regexp_matches(text, '^Exit code \d')")
+@query("STR-01", r"SELECT doc_id, CASE WHEN length(text) < 50 THEN 'too-short:' || length(text) WHEN regexp_matches(text, '^Exit code \d') THEN 'pattern:^Exit code \d' END AS reason FROM documents WHERE length(text) < 50 OR regexp_matches(text, '^Exit code \d')")
 def noise_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.noise_reason(F.col("text")).alias("reason")).where("reason IS NOT NULL")
 
 
-@query("TXT-04 SNK-27 STR-07 ANA-30", f"WITH {SESSIONS_SQL} SELECT count(*) AS total, count(title) AS titled, count(*) FILTER (length(title) = 40) AS full_length, count(*) FILTER (regexp_matches(trim(split_part(title, chr(10), 1)), '^(You are (a Slack monitoring assistant|a curiosity curator|an ADHD accessibility assistant|an MCP availability checker|Henchman, the theatrical lab assistant)|Huddle in #)')) AS automated FROM sessions")
+@query("TXT-04 STR-07", f"WITH {SESSIONS_SQL} SELECT count(*) AS total, count(title) AS titled, count(*) FILTER (length(title) = 40) AS full_length, count(*) FILTER (regexp_matches(trim(split_part(title, chr(10), 1)), '^(You are (a Slack monitoring assistant|a curiosity curator|an ADHD accessibility assistant|an MCP availability checker|Henchman, the theatrical lab assistant)|Huddle in #)')) AS automated FROM sessions")
 def automated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).agg(
         F.count("*").alias("total"), F.count("title").alias("titled"), F.count_if(F.length("title") == 40).alias("full_length"), F.count_if(text.automated_reason(F.col("title")).isNotNull()).alias("automated")
     )
 
 
-@query("WIN-08 AGG-09 JOIN-05 SNK-26", "WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) SELECT doc_id FROM f WHERE line IN (SELECT line FROM f GROUP BY line HAVING count(*) >= 3)")
+@query("WIN-08 AGG-09 JOIN-05", "WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents) SELECT doc_id FROM f WHERE line IN (SELECT line FROM f GROUP BY line HAVING count(*) >= 3)")
 def recurring_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring lines by an aggregation that map tasks combine, then a semi-join; a window would gather each line's rows."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.split_part("text", F.lit("\n"), F.lit(1))).alias("h"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
@@ -208,7 +208,7 @@ def recurring_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line").join(often, "line", "left_semi").select("doc_id")
 
 
-@query("TXT-01 TXT-02 TXT-12 SNK-23")
+@query("TXT-01 TXT-02 TXT-12")
 def scaffold_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as a tool would have wrapped them, stripped again; half of them say nothing but the command."""
     said = messages(spark, sf_dir)
@@ -221,7 +221,7 @@ def backfill_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaffold_strip(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("TXT-10 TXT-11 TXT-16 STR-17", "SELECT doc_id, length(text) < 100 AS short, round(n_chars / nullif(length(text), 0), 3)::DOUBLE AS ratio, length(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'))::BIGINT AS clean_chars FROM documents")
+@query("TXT-16 STR-17", "SELECT doc_id, length(text) < 100 AS short, round(n_chars / nullif(length(text), 0), 3)::DOUBLE AS ratio, length(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'))::BIGINT AS clean_chars FROM documents")
 def summary_output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", (F.length(text.strip_thinking(t)) < 100).alias("short"), F.round(F.try_divide("n_chars", F.length(t)), 3).alias("ratio"), F.length(text.sanitise(t)).cast("long").alias("clean_chars"))
@@ -230,7 +230,7 @@ def summary_output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stats
 
 
-@query("ANA-05 AGG-02 JOIN-01 AGG-17", "SELECT r_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS revenue FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
+@query("AGG-02 JOIN-01 AGG-17", "SELECT r_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS revenue FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
 def stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are counted by customer before they meet the customers, so nothing fans out and nothing needs to be distinct."""
     by_customer = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
@@ -239,13 +239,13 @@ def stats_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("r_name").agg(F.count("*").alias("customers"), F.coalesce(F.sum("n"), F.lit(0)).alias("orders"), F.round(F.coalesce(F.sum("s"), F.lit(0.0)), 2).alias("revenue"))
 
 
-@query("ANA-05 ANA-06 SRT-03", f"WITH {SESSIONS_SQL} SELECT project_id, count(*) AS n_sessions, sum(message_count)::BIGINT AS n_messages FROM sessions GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5")
+@query("ANA-06 SRT-03", f"WITH {SESSIONS_SQL} SELECT project_id, count(*) AS n_sessions, sum(message_count)::BIGINT AS n_messages FROM sessions GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 5")
 def top_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sessions(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("n_sessions"), F.sum("message_count").alias("n_messages"))
     return made.orderBy(F.desc("n_messages"), "project_id").limit(5)
 
 
-@query("ANA-18 AGG-05", "SELECT role, count(*) AS n, round(avg(length(text)))::BIGINT AS mean_chars FROM conversations GROUP BY 1")
+@query("AGG-05", "SELECT role, count(*) AS n, round(avg(length(text)))::BIGINT AS mean_chars FROM conversations GROUP BY 1")
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(F.length("content_text"))).cast("long").alias("mean_chars"))
 
@@ -261,13 +261,13 @@ def log_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_at"))
 
 
-@query("AGG-19 STR-06 JSN-01 ANA-11", r"SELECT nullif(regexp_extract(props, '\"k\": (\d+)', 1), '') AS k, count(*) AS n, count(DISTINCT user_id) AS users, max(ts) AS last_at FROM events GROUP BY 1")
+@query("AGG-19 STR-06 JSN-01", r"SELECT nullif(regexp_extract(props, '\"k\": (\d+)', 1), '') AS k, count(*) AS n, count(DISTINCT user_id) AS users, max(ts) AS last_at FROM events GROUP BY 1")
 def active_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.nullif(F.regexp_extract("props", r'"k": (\d+)', 1), F.lit(""))
     return events(spark, sf_dir).groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.max("ts").alias("last_at"))
 
 
-@query("JSN-01 AGG-20", "SELECT user_id, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k_sum FROM events GROUP BY 1")
+@query("JSN-01", "SELECT user_id, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k_sum FROM events GROUP BY 1")
 def json_props_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("k_sum"))
 
@@ -283,19 +283,19 @@ def project_activity_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).groupBy("project_id", "source_name").agg(F.count("*").alias("n_sessions"), F.sum("message_count").alias("n_messages"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at"))
 
 
-@query("ANA-17 AGG-13", "SELECT CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 2000 THEN '500-1999' WHEN n_chars < 8000 THEN '2000-7999' ELSE '>=8000' END AS bucket, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY 1")
+@query("AGG-13", "SELECT CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 2000 THEN '500-1999' WHEN n_chars < 8000 THEN '2000-7999' ELSE '>=8000' END AS bucket, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY 1")
 def size_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(reports.size_buckets(F.col("n_chars"), [500, 2000, 8000]).alias("bucket")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
 
 
-@query("ANA-12 ANA-13", "SELECT (SELECT count(*) FROM conversations) AS messages, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00') AS recent")
+@query("JOIN-12", "SELECT (SELECT count(*) FROM conversations) AS messages, (SELECT count(DISTINCT conv_id) FROM conversations) AS sessions, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-29 00:00:00') AS recent")
 def sync_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").agg(F.count("*").alias("messages"), F.count_distinct("conv_id").alias("sessions"))
     others = [table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors")), events(spark, sf_dir).where("ts > timestamp_ntz '2024-01-29 00:00:00'").agg(F.count("*").alias("recent"))]
     return said.crossJoin(others[0]).crossJoin(others[1])  # one row each
 
 
-@query("ANA-22 AGG-22", "SELECT coalesce(CASE event_type WHEN 'error' THEN 'nan' WHEN 'signup' THEN 'noise' END, 'ok') AS reason, count(*) AS n, min(user_id % 5) AS least_retries, max(user_id % 5) AS most_retries FROM events GROUP BY 1")
+@query("AGG-22", "SELECT coalesce(CASE event_type WHEN 'error' THEN 'nan' WHEN 'signup' THEN 'noise' END, 'ok') AS reason, count(*) AS n, min(user_id % 5) AS least_retries, max(user_id % 5) AS most_retries FROM events GROUP BY 1")
 def healing_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     why = F.when(F.col("event_type") == "error", "nan").when(F.col("event_type") == "signup", "noise")
     retries = F.col("user_id") % 5
@@ -305,7 +305,7 @@ def healing_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stores against each other
 
 
-@query("ANA-19 AGG-21 SNK-29", """WITH parsed AS (SELECT conv_id, count(DISTINCT turn) AS parsed FROM conversations GROUP BY 1), stored AS (SELECT conv_id, count(*) AS stored FROM conversations WHERE turn <> 1 OR conv_id % 3 <> 0 GROUP BY 1),
+@query("ANA-19 AGG-21", """WITH parsed AS (SELECT conv_id, count(DISTINCT turn) AS parsed FROM conversations GROUP BY 1), stored AS (SELECT conv_id, count(*) AS stored FROM conversations WHERE turn <> 1 OR conv_id % 3 <> 0 GROUP BY 1),
 c AS (SELECT conv_id, parsed, coalesce(stored, 0) AS stored, parsed - CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END AS counted, CASE WHEN conv_id % 6 = 0 THEN 1 ELSE 0 END AS quarantined FROM parsed LEFT JOIN stored USING (conv_id)),
 k AS (SELECT *, CASE WHEN stored + quarantined < parsed THEN 'missing-rows' WHEN stored > parsed THEN 'surplus-rows' WHEN counted <> stored THEN 'stale-stats' ELSE 'none' END AS drift FROM c) SELECT conv_id, drift, CASE drift WHEN 'missing-rows' THEN parsed - stored - quarantined WHEN 'surplus-rows' THEN stored - parsed ELSE 0 END AS rows_off FROM k""")
 def verify_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,19 +317,19 @@ def verify_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.drift(counts).select("conv_id", "drift", F.col("rows_off").cast("long").alias("rows_off"))
 
 
-@query("ANA-24 JOIN-16 SET-04 SNK-38 SNK-21", "SELECT vec_id AS doc_id, 'orphan' AS kind FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("ANA-24 JOIN-16 SET-04", "SELECT vec_id AS doc_id, 'orphan' AS kind FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def orphan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.orphans(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
 
 
-@query("SET-01 SET-03 SET-05 FIL-05 FIL-06", "SELECT DISTINCT data_class FROM (SELECT lang AS data_class FROM documents UNION SELECT role FROM conversations) WHERE data_class IS NOT NULL")
+@query("SET-01 SET-03", "SELECT DISTINCT data_class FROM (SELECT lang AS data_class FROM documents UNION SELECT role FROM conversations) WHERE data_class IS NOT NULL")
 def dataclass_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wharfline.operators.retrieval import class_vocabulary
 
     return class_vocabulary(table(spark, sf_dir, "documents").select(F.col("lang").alias("data_class")), table(spark, sf_dir, "conversations").select(F.col("role").alias("data_class")))
 
 
-@query("FIL-10 FIL-16 ARR-01", "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND source IS NOT DISTINCT FROM 'src2'")
+@query("FIL-10 FIL-16", "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr') AND source IS NOT DISTINCT FROM 'src2'")
 def membership_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr") & F.col("source").eqNullSafe("src2")).select("doc_id", "lang")
 
@@ -350,7 +350,7 @@ def lateral_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- writes
 
 
-@query("SNK-01 SNK-03 SNK-04 STM-14 SNK-31", "SELECT count(*) AS n, count(DISTINCT (conv_id, turn)) AS keys, sum(length(text))::BIGINT AS chars FROM conversations")
+@query("SNK-04 STM-14", "SELECT count(*) AS n, count(DISTINCT (conv_id, turn)) AS keys, sum(length(text))::BIGINT AS chars FROM conversations")
 def ingest_merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the messages are there, all come in, twice: each is there once."""
     said = messages(spark, sf_dir).select("id", "session_id", "content_text")
@@ -359,7 +359,7 @@ def ingest_merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.agg(F.count("*").alias("n"), F.count_distinct("id").alias("keys"), F.sum(F.length("content_text")).alias("chars"))
 
 
-@query("SNK-02 SNK-03 SNK-07 SNK-09 SNK-32 SNK-36", """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(o.n_chars, 0) + coalesce(n.n_chars, 0) AS n_chars FROM (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0) o
+@query("SNK-07", """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(o.n_chars, 0) + coalesce(n.n_chars, 0) AS n_chars FROM (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0) o
 FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS source, n_chars FROM documents WHERE doc_id % 5 <> 0) n USING (doc_id)""")
 def upsert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
@@ -367,7 +367,7 @@ def upsert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_by_key(docs.where("doc_id % 3 <> 0"), new, ["doc_id"], {"n_chars": merge.add})
 
 
-@query("SNK-10 SNK-13", "SELECT user_id AS message_id, (count(*) FILTER (event_type = 'error') + user_id % 4)::BIGINT AS retry_count FROM events GROUP BY 1, user_id % 4")
+@query("SNK-07", "SELECT user_id AS message_id, (count(*) FILTER (event_type = 'error') + user_id % 4)::BIGINT AS retry_count FROM events GROUP BY 1, user_id % 4")
 def unembeddable_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     errors = rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"))
@@ -375,13 +375,13 @@ def unembeddable_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_by_key(old, errors.select(F.col("user_id").alias("message_id"), F.col("n").alias("retry_count")), ["message_id"], {"retry_count": merge.add})
 
 
-@query("SNK-12 SNK-22 SNK-28 SNK-35", "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE source END AS source FROM documents")
+@query("SNK-12", "SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE source END AS source FROM documents")
 def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return merge.replace_groups(docs, docs.where("lang = 'de'").withColumn("source", F.lit(None).cast("string")), ["lang"]).select("doc_id", "source")
 
 
-@query("SNK-15 SNK-25", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN TIMESTAMP '2024-01-31' END AS deleted_at FROM documents")
+@query("SNK-15", "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN TIMESTAMP '2024-01-31' END AS deleted_at FROM documents")
 def soft_delete_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
     return merge.soft_delete(docs, table(spark, sf_dir, "labels").where("toxic = 1"), ["doc_id"], _now())
@@ -412,7 +412,7 @@ def path_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("doc_id", c.alias("canonical"), paths.encoded(c).alias("encoded"), paths.basename(c).alias("name"), paths.equivalence_key(F.col("path"), F.lit(True)).alias("key"))
 
 
-@query("PTH-07 PTH-12 SNK-30", f"""WITH c AS (SELECT doc_id, {CANONICAL_SQL} AS canonical FROM documents), k AS (SELECT doc_id, CASE WHEN canonical LIKE 'D:/%' THEN lower(canonical) WHEN canonical LIKE '/mnt/%' THEN 'd:' || lower(substr(canonical, 7)) WHEN canonical LIKE '/%' THEN canonical ELSE '#' || doc_id END AS key FROM c)
+@query("SNK-30", f"""WITH c AS (SELECT doc_id, {CANONICAL_SQL} AS canonical FROM documents), k AS (SELECT doc_id, CASE WHEN canonical LIKE 'D:/%' THEN lower(canonical) WHEN canonical LIKE '/mnt/%' THEN 'd:' || lower(substr(canonical, 7)) WHEN canonical LIKE '/%' THEN canonical ELSE '#' || doc_id END AS key FROM c)
 SELECT count(*) AS projects, (SELECT count(*) FROM documents) AS sessions FROM (SELECT DISTINCT key FROM k)""")
 def path_equivalence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paths(spark, sf_dir)
@@ -430,7 +430,7 @@ def parent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.apply_links(s, links.parent_links(s)).where("parent_id IS NOT NULL").select("session_id", "parent_id")
 
 
-@query("DT-06 DT-01 FIL-17 FIL-26", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 3 DAYS GROUP BY 1")
+@query("DT-06 DT-01 FIL-17", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 3 DAYS GROUP BY 1")
 def since_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datetime import datetime, timezone
 
@@ -438,7 +438,7 @@ def since_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).where(F.col("ts") >= F.expr(f"timestamp_ntz '{floor:%Y-%m-%d %H:%M:%S}'")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("WIN-06 SRC-04", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence_num FROM events")
+@query("WIN-06", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence_num FROM events")
 def sequence_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return events(spark, sf_dir).select("event_id", "user_id", (F.row_number().over(w) - 1).cast("long").alias("sequence_num"))

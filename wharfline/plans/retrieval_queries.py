@@ -34,7 +34,7 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "VEC-01 VEC-02 VEC-03 VEC-05 ANA-28 SNK-08",
+    "VEC-01 VEC-02 VEC-03 VEC-05 ANA-28",
     """WITH q AS (SELECT list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) AS v FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id = 1),
 s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS with_negative, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS plain FROM embeddings, q)
 SELECT vec_id, round(with_negative, 6) AS score, row_number() OVER (ORDER BY with_negative DESC, vec_id) AS rank, rank_plain FROM (SELECT *, row_number() OVER (ORDER BY plain DESC, vec_id) AS rank_plain FROM s) ORDER BY with_negative DESC, vec_id LIMIT 20""",
@@ -54,7 +54,7 @@ CENTROIDS_SQL = """flat AS (SELECT label, unnest(embedding) AS x, unnest(range(1
 means AS (SELECT label, place, avg(x::DOUBLE) AS m FROM flat GROUP BY ALL), c AS (SELECT label, list(m ORDER BY place) AS v, sqrt(sum(m * m)) AS len FROM means GROUP BY label)"""
 
 
-@query("AGG-15 VEC-03 SNK-18 SNK-19 UDF-05", f"WITH {CENTROIDS_SQL} SELECT c.label::INTEGER AS label, n, round(v[1] / len, 6) AS first, round(v[64] / len, 6) AS last FROM c JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)")
+@query("AGG-15 VEC-03", f"WITH {CENTROIDS_SQL} SELECT c.label::INTEGER AS label, n, round(v[1] / len, 6) AS first, round(v[64] / len, 6) AS last FROM c JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)")
 def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vectors.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return made.select("label", "n", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.get("centroid", F.lit(63)), 6).alias("last"))
@@ -73,7 +73,7 @@ def centroid_steered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("ARR-02 ARR-03 ANA-29 SNK-37", "SELECT count(*) AS n, count(*) FILTER (list_sum(list_transform(embedding, lambda x: abs(x))) = 0) AS zero, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS broken FROM embeddings")
+@query("ARR-02 ARR-03 ANA-29", "SELECT count(*) AS n, count(*) FILTER (list_sum(list_transform(embedding, lambda x: abs(x))) = 0) AS zero, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS broken FROM embeddings")
 def zero_nan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return rows.agg(F.count("*").alias("n"), F.count_if(vectors.is_zero(F.col("embedding"))).alias("zero"), F.count_if(vectors.is_broken(F.col("embedding"))).alias("broken"))
@@ -102,7 +102,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "RET-11 RET-12 RET-13 WIN-05 SRT-06 SRT-07 JOIN-13 JOIN-01",
+    "RET-11 WIN-05 SRT-06 JOIN-13 JOIN-01",
     f"""WITH {ARMS_SQL}, fused AS (SELECT session_id, sum(1.0 / (60 + rank)) AS fused FROM arms GROUP BY 1), claimed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY arm_priority, rank) AS n FROM arms)
 SELECT session_id, lang, round(fused + CASE WHEN source = 'src1' THEN 0.5 ELSE 0 END, 6) AS score, CASE arm_priority WHEN 0 THEN 'session' ELSE 'message' END AS matched_tier FROM claimed JOIN fused USING (session_id) JOIN documents ON doc_id = session_id
 WHERE n = 1 ORDER BY fused + CASE WHEN source = 'src1' THEN 0.5 ELSE 0 END DESC, arm_priority, rank, session_id LIMIT 10""",
@@ -129,7 +129,7 @@ stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, count(*) FILTER (a
 scored AS (SELECT doc_id, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / avg_len)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / avg_len)) AS score FROM counted, stats WHERE a > 0 OR b > 0)"""
 
 
-@query("RET-04 RET-16 UDF-02 JOIN-12", f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
+@query("RET-04 JOIN-12", f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def fts_rank_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = retrieval.bm25(table(spark, sf_dir, "documents"), ["this", "with"], "text", ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
@@ -138,7 +138,7 @@ def fts_rank_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 BEST_SQL = f"WITH {MESSAGES_SQL}, t AS (SELECT id, session_id, len(list_filter({TOKENS_SQL.format('content_text')}, lambda x: x IN ('the', 'you')))::BIGINT AS hits FROM messages)"
 
 
-@query("RET-08 WIN-03 WIN-04 RET-17", f"{BEST_SQL} SELECT session_id, id AS message_id, hits FROM t WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, id) = 1 ORDER BY hits DESC, id LIMIT 16")
+@query("RET-08 WIN-03", f"{BEST_SQL} SELECT session_id, id AS message_id, hits FROM t WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, id) = 1 ORDER BY hits DESC, id LIMIT 16")
 def fts_best_per_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = F.size(F.filter(text.tokens(F.col("content_text")), lambda t: t.isin("the", "you"))).cast("long")
     rows = messages(spark, sf_dir).select("session_id", F.col("id").alias("message_id"), hits.alias("hits")).where("hits > 0")
@@ -146,13 +146,13 @@ def fts_best_per_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.orderBy(F.desc("hits"), "message_id").limit(16)
 
 
-@query("RET-09 FIL-20", f"WITH {MESSAGES_SQL}, t AS (SELECT id, {TOKENS_SQL.format('content_text')} AS terms FROM messages) SELECT id FROM t WHERE list_contains(terms, 'the') AND NOT (list_contains(terms, 'and') AND list_contains(terms, 'of'))")
+@query("RET-09", f"WITH {MESSAGES_SQL}, t AS (SELECT id, {TOKENS_SQL.format('content_text')} AS terms FROM messages) SELECT id FROM t WHERE list_contains(terms, 'the') AND NOT (list_contains(terms, 'and') AND list_contains(terms, 'of'))")
 def fts_exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = text.tokens(F.col("content_text"))
     return messages(spark, sf_dir).where(retrieval.matches(terms, retrieval.parse_query("the")) & ~retrieval.matches(terms, retrieval.parse_query("and of"))).select("id")
 
 
-@query("RET-05 RET-13")
+@query("RET-05")
 def headline_top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked first, so the headline is cut for the rows shown alone."""
     scored = retrieval.bm25(messages(spark, sf_dir), ["the", "and"], "content_text", ["id"])
@@ -176,7 +176,7 @@ def title_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).where(text.not_warmup(F.col("title"))).select("session_id", title.alias("title"), origin.alias("title_source"))
 
 
-@query("RET-18 JOIN-11", f"""WITH {SESSIONS_SQL}, first AS (SELECT session_id, arg_min(content_text, sequence_num) AS m FROM messages GROUP BY 1), x AS (SELECT session_id, message_count, {SQUASH.format('coalesce(summary, m)')} AS t FROM sessions JOIN first USING (session_id))
+@query("JOIN-11", f"""WITH {SESSIONS_SQL}, first AS (SELECT session_id, arg_min(content_text, sequence_num) AS m FROM messages GROUP BY 1), x AS (SELECT session_id, message_count, {SQUASH.format('coalesce(summary, m)')} AS t FROM sessions JOIN first USING (session_id))
 SELECT session_id, message_count, 0::BIGINT AS chunk_count, CASE WHEN t = '' THEN NULL WHEN length(t) <= 300 THEN t ELSE rtrim(substr(t, 1, 299)) || '…' END AS excerpt FROM x""")
 def session_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = messages(spark, sf_dir)
@@ -193,12 +193,12 @@ def messages_budget_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.budget_page(messages(spark, sf_dir), 500).drop("role")
 
 
-@query("TXT-05 TXT-06 TXT-08 WIN-09 SNK-12")
+@query("TXT-05 TXT-06 TXT-08 WIN-09")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.chunk_sessions(messages(spark, sf_dir), most=1000, least=500).drop("text")
 
 
-@query("TXT-09 TXT-17")
+@query("TXT-06")
 def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.summarise(reading.chunk_sessions(messages(spark, sf_dir), most=1000, least=500))
 
@@ -210,13 +210,13 @@ def chunk_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.in_range(said, chunks).groupBy("session_id", "chunk_index").agg(F.count("*").alias("n"), F.sum(F.length("content_text")).alias("chars"))
 
 
-@query("RET-19 FIL-12 FIL-11 STR-13", f"WITH {SESSIONS_SQL} SELECT session_id, started_at FROM sessions WHERE title ILIKE '%re%' OR session_id = 12 ORDER BY started_at DESC, session_id LIMIT 5")
+@query("FIL-12 STR-13", f"WITH {SESSIONS_SQL} SELECT session_id, started_at FROM sessions WHERE title ILIKE '%re%' OR session_id = 12 ORDER BY started_at DESC, session_id LIMIT 5")
 def session_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = f"%{text.escape_like('re')}%"
     return sessions(spark, sf_dir).where(F.ilike("title", F.lit(pattern)) | (F.col("session_id") == 12)).orderBy(F.desc("started_at"), "session_id").select("session_id", "started_at").limit(5)
 
 
-@query("RET-22 RET-21 SRT-05", f"WITH {SESSIONS_SQL} SELECT session_id, project_id, started_at FROM sessions WHERE project_id IN (2, 3) ORDER BY started_at DESC, session_id LIMIT 10")
+@query("SRT-01 SRT-02", f"WITH {SESSIONS_SQL} SELECT session_id, project_id, started_at FROM sessions WHERE project_id IN (2, 3) ORDER BY started_at DESC, session_id LIMIT 10")
 def project_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).where(F.col("project_id").isin(2, 3)).orderBy(F.desc("started_at"), "session_id").select("session_id", "project_id", "started_at").limit(10)
 

@@ -12,7 +12,6 @@ from wharfline.plans.registry import query
 from wharfline.storage import shared_folder, written
 
 NOW = "timestamp_ntz '2024-01-31 00:00:00'"
-NEVER = F.lit(None).cast("timestamp_ntz")
 
 
 @query("SNK-01", "SELECT source AS name, CASE WHEN min(doc_id) % 2 = 0 THEN 'work' WHEN min(doc_id) % 3 = 0 THEN 'coding' ELSE 'personal' END AS data_class FROM documents WHERE source IS NOT NULL GROUP BY 1")

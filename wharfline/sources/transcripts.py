@@ -41,6 +41,17 @@ def content_text(content: Column) -> Column:
     return F.when(content.startswith("["), F.array_join(F.filter(said, lambda t: t.isNotNull()), "\n")).otherwise(F.coalesce(content, F.lit("")))
 
 
+def tool_used(content: Column) -> Column:
+    """The first use of a tool among the parts; null without one."""
+    return F.get(F.filter(parts_of(content), lambda p: p["type"] == "tool_use"), F.lit(0))
+
+
+def thinking(content: Column) -> Column:
+    """What all thinking parts say, a line each; null without any."""
+    said = F.transform(F.filter(parts_of(content), lambda p: p["type"] == "thinking"), lambda p: F.coalesce(p["thinking"], F.lit("")))
+    return F.nullif(F.array_join(said, "\n"), F.lit(""))
+
+
 def parse(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, bad lines). Lines of other types and messages without a sane time are neither."""
     read = found.withColumn("j", F.from_json("line", LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
@@ -50,15 +61,14 @@ def parse(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = sane_timestamp(F.col("j.timestamp"))
     good = read.where(~broken & F.col("j.type").isin("user", "assistant")).withColumn("at", at).where("at IS NOT NULL")
     content = F.col("j.message.content")
-    parts = parts_of(content)
-    tool = F.get(F.filter(parts, lambda p: p["type"] == "tool_use"), F.lit(0))
+    tool = tool_used(content)
     raw = content_text(content)
     messages = good.select(
         "file_path", "modified_at", "line_number", F.col("j.uuid").alias("uuid"), F.col("j.parentUuid").alias("parent_uuid"), F.col("j.sessionId").alias("session"), F.col("j.cwd").alias("cwd"),
         F.col("j.gitBranch").alias("git_branch"), F.col("j.version").alias("version"), F.when(F.col("j.type") == "assistant", F.col("j.message.model")).alias("model"),
         F.when(F.col("j.type") == "user", "user").when(F.nullif(tool["name"], F.lit("")).isNotNull(), "tool").otherwise("assistant").alias("role"),
         F.when(has_scaffolding(raw), strip_scaffolding(raw)).otherwise(raw).alias("content_text"), tool["name"].alias("tool_name"), tool["input"].alias("tool_input"),
-        F.nullif(F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "thinking"), lambda p: F.coalesce(p["thinking"], F.lit(""))), "\n"), F.lit("")).alias("thinking_text"),
+        thinking(content).alias("thinking_text"),
         F.coalesce("j.message.usage.input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("j.message.usage.output_tokens", F.lit(0)).alias("output_tokens"),
         "at", F.coalesce("j.isSidechain", F.lit(False)).alias("is_sidechain"),
     )
