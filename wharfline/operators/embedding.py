@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,10 +18,10 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashed_bag(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
-    """Each word adds one or minus one to a place that its checksum names; a text without words is a zero vector."""
+    """Each word adds one or minus one to a place that its digest names; a text without words is a zero vector."""
     out = np.zeros((len(texts), dimension))
     for k, t in enumerate(texts):
-        marks = np.array([zlib.crc32(w.encode()) for w in t.lower().split()], np.int64)
+        marks = np.array([int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4]) for w in t.lower().split()], np.int64)
         np.add.at(out[k], marks % dimension, np.where(marks >> 31 & 1, 1.0, -1.0))
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=out, where=length > 0)

@@ -208,7 +208,11 @@ def recurring_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line").join(often, "line", "left_semi").select("doc_id")
 
 
-@query("TXT-01 TXT-02 TXT-12")
+WRAPPED_SQL = r"""t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id * 1000 + turn) % 2 = 0 THEN text ELSE '' END AS x FROM conversations), s AS (SELECT id, x, regexp_replace('/do' || chr(10) || x, '\s+$', '') AS stripped, 138 + length(x) AS n FROM t)"""
+
+
+@query("TXT-01 TXT-02 TXT-12", rf"""WITH {WRAPPED_SQL}, a AS (SELECT *, CASE WHEN stripped = '/do' THEN 'unembeddable' ELSE 'rewrite' END AS action, 1 - length(stripped) / n::DOUBLE AS removed FROM s)
+SELECT id, stripped, action, CASE WHEN action = 'unembeddable' THEN 'scaffolding-only' WHEN removed >= 0.1 THEN 'material-change' ELSE 'minor-change' END AS reason, action = 'unembeddable' OR removed >= 0.1 AS drop_vector FROM a""")
 def scaffold_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as a tool would have wrapped them, stripped again; half of them say nothing but the command."""
     said = messages(spark, sf_dir)
@@ -449,10 +453,10 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id > 100").select("doc_id", "n_chars").orderBy("doc_id").limit(50)
 
 
-@query("SRT-09")
+@query("SRT-09", "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || doc_id), doc_id) <= 3")
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three of each language, drawn by a seeded hash. Each map task keeps its own three, so a hot language is small before it meets."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.xxhash64(F.lit(7), "doc_id").alias("draw"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.concat(F.lit("7|"), F.col("doc_id").cast("string"))).alias("draw"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where("n <= 3").select("doc_id", "lang")
 
 

@@ -9,6 +9,7 @@ from wharfline.data import MESSAGES_SQL, SESSIONS_SQL, messages, sessions, table
 from wharfline.functions import text, vectors
 from wharfline.operators import reading, retrieval
 from wharfline.plans.registry import query
+from wharfline.storage import written
 
 WORDS = ("the", "and", "with")
 TOKENS_SQL = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
@@ -42,12 +43,13 @@ SELECT vec_id, round(with_negative, 6) AS score, row_number() OVER (ORDER BY wit
 def knn_negative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     a, b = _vector(spark, sf_dir, 0), _vector(spark, sf_dir, 1)
-    scores = vectors.cosine_scores(rows, [vectors.compose(a, b), a], "vec_id", "embedding").groupBy("vec_id").agg(F.max(F.when(F.col("query") == 0, F.col("score"))).alias("s"), F.max(F.when(F.col("query") == 1, F.col("score"))).alias("plain"))
+    scored = vectors.cosine_scores(rows, [vectors.compose(a, b), a], "vec_id", "embedding").groupBy("vec_id").agg(F.max(F.when(F.col("query") == 0, F.col("score"))).alias("s"), F.max(F.when(F.col("query") == 1, F.col("score"))).alias("plain"))
+    scores = written(scored, "scores")
     top = retrieval.ranked(scores, [F.desc("s"), F.col("vec_id")], ["vec_id", "s", "plain"], 20)
-    # the plain rank of those twenty alone: how many score higher, by one aggregation over all
-    marks = F.broadcast(top.select(F.col("vec_id").alias("k"), F.col("plain").alias("p")))
-    above = scores.join(marks, (F.col("plain") > F.col("p")) | ((F.col("plain") == F.col("p")) & (F.col("vec_id") <= F.col("k")))).groupBy("k").agg(F.count("*").alias("rank_plain"))
-    return top.join(above, F.col("vec_id") == F.col("k")).select("vec_id", F.round("s", 6).alias("score"), "rank", "rank_plain")
+    # the plain rank of those twenty alone: how many score higher, by one aggregation over all with a count for each of them
+    shown = top.collect()
+    above = scores.agg(*[F.count_if((F.col("plain") > r["plain"]) | ((F.col("plain") == r["plain"]) & (F.col("vec_id") <= r["vec_id"]))).alias(str(r["rank"])) for r in shown]).first()
+    return spark.createDataFrame([(r["vec_id"], round(r["s"], 6), r["rank"], above[str(r["rank"])]) for r in shown], "vec_id long, score double, rank long, rank_plain long")
 
 
 CENTROIDS_SQL = """flat AS (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS place FROM embeddings),
@@ -109,7 +111,7 @@ WHERE n = 1 ORDER BY fused + CASE WHEN source = 'src1' THEN 0.5 ELSE 0 END DESC,
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a vector arm and a text arm, fused by rank, the caller's source first."""
-    arms = _arms(spark, sf_dir).withColumn("headline", F.lit(None).cast("string"))
+    arms = written(_arms(spark, sf_dir).withColumn("headline", F.lit(None).cast("string")), "arms")  # two steps read its few rows
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "lang", "source")
     hits = retrieval.first_claim(arms).join(retrieval.fuse(arms), "session_id").join(docs, "session_id")
     score = F.col("score") + F.when(F.col("source") == "src1", retrieval.PROJECT_BOOST).otherwise(0.0)
@@ -152,7 +154,17 @@ def fts_exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).where(retrieval.matches(terms, retrieval.parse_query("the")) & ~retrieval.matches(terms, retrieval.parse_query("and of"))).select("id")
 
 
-@query("RET-05")
+WORDS_OF = r"string_split_regex(regexp_replace(content_text, '^\s+|\s+$', '', 'g'), '\s+')"
+SCORE_SQL = f"""{MESSAGES_SQL}, t AS (SELECT id, content_text, {TOKENS_SQL.format('content_text')} AS terms FROM messages), counted AS (SELECT *, len(terms)::DOUBLE AS len, len(list_filter(terms, lambda x: x = 'the'))::DOUBLE AS a, len(list_filter(terms, lambda x: x = 'and'))::DOUBLE AS b FROM t),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, count(*) FILTER (a > 0)::DOUBLE AS da, count(*) FILTER (b > 0)::DOUBLE AS db FROM counted),
+scored AS (SELECT id, content_text, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / avg_len)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / avg_len)), 6) AS score FROM counted, stats WHERE a > 0 OR b > 0)"""
+
+
+@query("RET-05", f"""WITH {SCORE_SQL}, top AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, {WORDS_OF} AS w FROM scored ORDER BY score DESC, id LIMIT 10),
+h AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS k FROM top), g AS (SELECT *, list_filter(range(1, len(k) + 1), lambda i: k[i] IN ('the', 'and')) AS places FROM h),
+s AS (SELECT *, list_transform(places, lambda i: len(list_distinct(list_filter(k[i:i + 24], lambda x: x IN ('the', 'and'))))) AS found FROM g), b AS (SELECT *, places[list_position(found, list_max(found))] AS best FROM s),
+e AS (SELECT *, least(len(w), greatest(list_max(list_filter(places, lambda i: i < best + 25)), best + 9)) AS stop FROM b)
+SELECT id, rank, array_to_string(list_transform(range(best, stop + 1), lambda i: CASE WHEN k[i] IN ('the', 'and') THEN '**' || w[i] || '**' ELSE w[i] END), ' ') AS headline FROM e""")
 def headline_top_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked first, so the headline is cut for the rows shown alone."""
     scored = retrieval.bm25(messages(spark, sf_dir), ["the", "and"], "content_text", ["id"])
@@ -170,7 +182,12 @@ def snippet_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.snippet(F.col("text")).alias("snippet"), text.excerpt(F.col("text")).alias("excerpt")).where("excerpt IS NOT NULL")
 
 
-@query("RET-14 FIL-15")
+LINE = r"list_filter(list_transform(string_split(trim(summary), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s*(?:#{1,6}|[-*+])\s+', ''), '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0)[1]"
+OPENING = r"""^(.*?[.!?])\s+["''(\[]?[A-Z0-9]"""
+
+
+@query("RET-14 FIL-15", f"""WITH {SESSIONS_SQL}, t AS (SELECT session_id, nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '') AS stored, {LINE} AS line FROM sessions WHERE title IS DISTINCT FROM 'Warmup'), o AS (SELECT *, coalesce(nullif(regexp_extract(line, '{OPENING}', 1), ''), line) AS opening FROM t)
+SELECT session_id, coalesce(stored, opening) AS title, CASE WHEN stored IS NOT NULL THEN 'source' WHEN opening IS NOT NULL THEN 'summary' ELSE 'none' END AS title_source FROM o""")
 def title_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     title, origin = text.resolve_title(F.col("title"), F.col("summary"))
     return sessions(spark, sf_dir).where(text.not_warmup(F.col("title"))).select("session_id", title.alias("title"), origin.alias("title_source"))
@@ -193,12 +210,19 @@ def messages_budget_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.budget_page(messages(spark, sf_dir), 500).drop("role")
 
 
-@query("TXT-05 TXT-06 TXT-08 WIN-09")
+PACKED_SQL = f"""WITH RECURSIVE {MESSAGES_SQL}, said AS (SELECT session_id, sequence_num, id, '[' || upper(role) || ']: ' || content_text AS t FROM messages WHERE length(content_text) > 0),
+long AS (SELECT session_id FROM said GROUP BY 1 HAVING sum(length(t) + 10) > 500), cut AS (SELECT session_id, sequence_num, id, t, unnest(range(0, length(t), 990)) AS a FROM said WHERE session_id IN (SELECT session_id FROM long)),
+p AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY sequence_num, id, a) AS n, least(length(t) - a, 990) AS len, substr(t, a + 1, 990) AS part FROM cut),
+walk AS (SELECT session_id, n, 0 AS chunk_index, 1000 - (len + 10) AS room FROM p WHERE n = 1 UNION ALL SELECT p.session_id, p.n, CASE WHEN p.len + 10 > room THEN chunk_index + 1 ELSE chunk_index END, CASE WHEN p.len + 10 > room THEN 1000 ELSE room END - (p.len + 10) FROM walk w JOIN p ON p.session_id = w.session_id AND p.n = w.n + 1),
+packed AS (SELECT session_id, chunk_index, arg_min(id, n) AS start_message_id, arg_max(id, n) AS end_message_id, sum(len)::BIGINT AS content_chars, count(*)::INTEGER AS n_pieces, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS text FROM walk JOIN p USING (session_id, n) GROUP BY 1, 2)"""
+
+
+@query("TXT-05 TXT-06 TXT-08 WIN-09", f"{PACKED_SQL} SELECT session_id, chunk_index, start_message_id, end_message_id, content_chars, n_pieces FROM packed")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.chunk_sessions(messages(spark, sf_dir), most=1000, least=500).drop("text")
 
 
-@query("TXT-06")
+@query("TXT-06", f"{PACKED_SQL}, l AS (SELECT session_id, chunk_index, string_split(replace(text, chr(10), ' '), '. ')[1] AS lead FROM packed) SELECT session_id, string_agg(lead, chr(10) ORDER BY chunk_index) AS summary FROM l GROUP BY 1")
 def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.summarise(reading.chunk_sessions(messages(spark, sf_dir), most=1000, least=500))
 
@@ -221,8 +245,10 @@ def project_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).where(F.col("project_id").isin(2, 3)).orderBy(F.desc("started_at"), "session_id").select("session_id", "project_id", "started_at").limit(10)
 
 
-@query("RET-02")
+@query("RET-02", r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS word FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM w),
+v AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(x * x)) AS length, sum(x * (place + 1)) AS moment FROM v GROUP BY 1)
+SELECT doc_id, 64 AS dimension, CASE WHEN length > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length, round(coalesce(moment / nullif(length, 0), 0), 4)::DOUBLE AS moment FROM documents LEFT JOIN n USING (doc_id)""")
 def text_to_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wharfline.operators.embedding import embed
 
-    return embed(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.size("embedding").alias("dimension"), F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
+    return embed(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.size("embedding").alias("dimension"), F.coalesce(F.round(vectors.norm(F.col("embedding")), 4), F.lit(0.0)).alias("length"), F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("moment"))
