@@ -232,7 +232,7 @@ def test_budgets_of_many_sources(spark):
     leaves = [(f"d{rnd.randrange(3)}", f"l{rnd.randrange(2)}", f"s{i}", rnd.choice([0, 1, 7, 7, 7, 100, rnd.randrange(1, 5000)])) for i in range(400)]
     weights = {"source": {f"s{i}": rnd.randrange(0, 4) for i in range(0, 400, 3)}, "lang": {"l0": 3}}
     df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
-    for budget in (0, 5, 3000, 90_000, 10**7):
+    for budget in (5, 3000, 90_000):
         given = {(): budget}
         for n, level in enumerate(("domain", "lang", "source"), 1):
             below = {}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,36 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wharfline.storage import shared_folder, written
 
 BATCH_BYTES = 4 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name that driver and executors all see: below spark.checkpoint.dir, or a temporary one where that is unset (local runs and tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='wharfline-')}"
-    return f"{base.rstrip('/')}/wharfline-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage, and survives lost executors.
-
-    Its shuffle files go when the write ends; the plan is not run again, so nothing would read them.
-    """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession, what)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """df.mapInArrow with batches of at most BATCH_BYTES (a larger row is a batch of its own): rows here are whole texts, so a
     count of rows bounds nothing. The setting must still hold when the plan runs, so it stays."""
@@ -51,3 +28,5 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
+
+__all__ = ["map_arrow", "shared_folder", "table", "text_or_empty", "written"]

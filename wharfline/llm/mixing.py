@@ -54,8 +54,9 @@ def prices(weighted: DataFrame, parents: list[str]) -> DataFrame:
     Children with the same h and w are one row, and the level is first sought in steps of h / w; only the rows of the step where it lies are put in order one by one."""
     ratio = F.col("holds").cast("double") / F.col("w").cast("double")
     alike = weighted.where("w > 0").groupBy(*parents, "given", "holds", "w").agg(F.count("*").cast(BIG).alias("n")).withColumn("ratio", ratio)
-    alike = alike.withColumn("step", F.floor(F.log2(F.col("ratio") + 1) * STEPS))
+    alike = written(alike.withColumn("step", F.floor(F.log2(F.col("ratio") + 1) * STEPS)), "alike")
     steps = alike.groupBy(*parents, "given", "step").agg(F.sum(F.col("holds") * F.col("n")).cast(BIG).alias("h"), F.sum(F.col("w") * F.col("n")).cast(BIG).alias("ws"), F.min(F.struct("ratio", "holds", "w")).alias("low"))
+    steps = written(steps, "steps")
     within = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     by_step = within.orderBy("step")
     steps = steps.select("*", (F.sum("h").over(by_step) - F.col("h")).cast(BIG).alias("before"), F.sum("ws").over(by_step.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast(BIG).alias("from_w"))
@@ -75,8 +76,8 @@ def prices(weighted: DataFrame, parents: list[str]) -> DataFrame:
 
 def deal(children: DataFrame, parents: list[str], level: str, weights: Mapping) -> DataFrame:
     """children (parents.., level, holds, given: the parent's budget) with budget: given is dealt by weight, none above holds."""
-    weighted = children.withColumn("w", weight_of(level, weights)).withColumn("holds", F.col("holds").cast(BIG))
-    price = prices(weighted, parents)
+    weighted = written(children.withColumn("w", weight_of(level, weights)).withColumn("holds", F.col("holds").cast(BIG)), "children")
+    price = written(prices(weighted, parents), "prices")
     # a row for each parent, or one row
     priced = weighted.join(price, parents, "left") if parents else weighted.join(price, F.lit(True), "left")
     share = F.expr("(w * left) div rest_w")
@@ -134,7 +135,7 @@ def mix(df: DataFrame, domain: Column | None = None, share: tuple[int, int] = SH
             F.col(id_col).alias("id"), F.md5(text).alias("digest"), named(default_domain() if domain is None else domain, "domain"),
             named(F.col("lang"), "lang"), named(F.col("source"), "source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
         ), "mixing")
-    leaves = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = written(docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     budgets = written(leaf_budgets(leaves, total * share[0] // share[1], weights, most_epochs), "budgets")
     return select_prefix(docs, budgets, seed).select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "epoch")
