@@ -1,6 +1,11 @@
 """From raw documents to a training mix: language ID, near duplicates, decontamination, secrets, mixing.
 
 Each stage takes what the one before it kept, from Parquet. Only the last returns other columns than those of documents.
+
+Defined results: documents with a null text or without a letter end at the first stage, which cannot tell their language; nulls in other columns
+are kept. Documents without an id pass near_duplicates, since nothing can name them. Of copies the least id stays, with every row
+that repeats it; repeated rows are repeated in the mix. Very long texts go through whole. Ties (of language scores, copies, draws) are settled as
+each operator's docstring says. Extra columns come through up to the mix, whatever their names. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
