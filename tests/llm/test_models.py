@@ -88,6 +88,12 @@ def test_language_equals_plain_scorer(spark, sf, monkeypatch):
                 assert got[r.doc_id].rejected == bool(got[r.doc_id].score < model.least)
 
 
+def test_blocks_of_empty_texts(spark, sf):
+    model = langid.fit_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    for texts in ([b""], [b"", b""], [b"a"], [b"", b"abc"]):
+        assert langid.score_block(model, texts).shape == (len(texts), len(model.languages))
+
+
 def test_every_label_is_learned(spark):
     """201 labels with words of their own; repeated rows and extra columns too."""
     word = lambda k: "".join("abcdefghijklmnopqrstuvwxyz"[k // 26**j % 26] * 2 for j in range(3))
@@ -284,6 +290,27 @@ def test_media_columns(table):
     assert len({tuple(r)[1:] for r in got if r.doc_id in (1, 2)}) == 1
 
 
+def test_long_payloads_image_by_image():
+    data = jpeg_media.payload(np.random.default_rng(1).integers(0, 256, 2 * 8191 * 192 + 700, dtype=np.uint8).tobytes())
+    assert jpeg_media.encode_long(data) == jpeg_media.encode([data])[0]
+
+
+def test_media_query(spark, sf, documents):
+    """The payload's columns against plain digests; the stored form's against a second look at it; equal texts, equal values."""
+    got = {r.doc_id: r for r in queries.op6_media(spark, sf).collect()}
+    stored = {r.doc_id: bytes(r.media) for r in jpeg_media.store(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).collect()}
+    by_text = {}
+    for i, text in documents:
+        raw, r = (text or "").encode(), got[i]
+        data = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        rows = np.frombuffer(data, np.uint8).reshape(-1, 192)
+        assert r.feature.split(":")[0] == f"{192 * 8}x{len(rows) * 8}"
+        assert by_text.setdefault(text or "", tuple(r)[1:]) == tuple(r)[1:]
+    assert jpeg_media.digest(jpeg_media.features(jpeg_media.store(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
+
+
 def hand_made_jpeg() -> bytes:
     """16 x 16, two components, the first sampled 2 x 2, with AC values: DC differences 3, 0, -3, 1 and -2."""
     seg = jpeg_media._segment
@@ -390,6 +417,20 @@ def test_pipeline_equals_plain(spark, sf):
     assert got == Counter(plain.mix(rows, mixing.WEIGHTS))
 
 
+def test_run_on_nulls_extra_columns_and_nothing(spark, sf, tmp_path):
+    """The whole pipeline over few documents with nulls, copies and clashing columns, and over none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 4000").limit(30)
+    odd = docs.limit(1).selectExpr("doc_id", "text", "cast(null AS string) AS lang", "cast(null AS string) AS source", "n_chars").union(docs.limit(2)).union(spark.createDataFrame([(None, None, None, None, None), (9999, "", "en", "s", 0)], docs.schema))
+    every = docs.union(odd).withColumns({n: F.lit(n) for n in ("id", "node", "row", "key", "n", "salt", "__text")})
+    for name, rows in (("some", every), ("none", every.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/some")
+    assert got.columns == ["doc_id", "domain", "lang", "source", "n_tokens", "epoch"]
+    assert {r.doc_id for r in got.collect()} <= {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_columns_of_any_name(spark, sf):
     """Extra columns under the names that operators use inside come through as they are."""
     names = ["row", "key", "kinds", "text2", "n_words", "hit_runs", "hit_items", "lang_pred", "score", "rejected", "__text", "__copy", "id", "node", "n"]

@@ -9,10 +9,10 @@ payloads become several images one after another.
 components. Huffman codes must be read one after another, but restart intervals do not depend on each other, so all intervals
 of a group of images advance in step: each numpy operation reads one symbol of every interval.
 
-Scale: both directions are map-only; work is cut into groups of GROUP_BYTES whatever the rows' sizes, so memory does not
-depend on a partition's rows. Copies cost what other rows cost, and nothing is gathered.
+Scale: both directions are map-only; work is cut into groups of GROUP_BYTES whatever the rows' sizes, and a longer text into its images (1.5 MB each), so memory does not
+depend on a partition's rows, and on a text's length only as far as its bytes must be held. Copies cost what other rows cost, and nothing is gathered.
 
-Defined results: null or empty text is stored as one row of 192 spaces; what is no baseline JPEG has null features;
+Defined results: equal texts have equal values, whatever rows stand beside them; null or empty text is stored as one row of 192 spaces; what is no baseline JPEG has null features;
 repeated rows give repeated rows; an empty table gives an empty result; other columns of the input pass through untouched.
 """
 
@@ -325,6 +325,11 @@ def payload(text: bytes | None) -> bytes:
     return text + bytes([FILL]) * (max(1, -(-len(text) // ROW)) * ROW - len(text))
 
 
+def encode_long(data: bytes) -> bytes:
+    """encode of one payload, an image at a time."""
+    return b"".join(encode([data[at : at + MOST_ROWS * ROW]])[0] for at in range(0, len(data), MOST_ROWS * ROW))
+
+
 def store(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with its text (and any columns of these names) replaced by n_bytes and media, the text's payload as JPEG."""
     others = [f for f in df.schema.fields if f.name not in (text_col, "n_bytes", "media")]
@@ -337,7 +342,7 @@ def store(df: DataFrame, text_col: str = "text") -> DataFrame:
             rest = batch.drop_columns([text_col])
             sizes = np.array([x.as_buffer().size if x.is_valid else 0 for x in raw])
             for a, b in _grouped(sizes.tolist(), GROUP_BYTES):
-                media = encode([payload(raw[k].as_py()) for k in range(a, b)])
+                media = [encode_long(payload(raw[a].as_py()))] if b - a == 1 else encode([payload(raw[k].as_py()) for k in range(a, b)])
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sizes[a:b], pa.int64()), pa.array(media, pa.binary())], names=[*part.schema.names, "n_bytes", "media"])
 
@@ -370,7 +375,9 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
             for a, b in _grouped([x.as_buffer().size if x.is_valid else 0 for x in media], GROUP_BYTES):
                 datas = [media[k].as_py() for k in range(a, b)]
                 images = [parse(x) if x else [] for x in datas]
-                rows = [row(*x) for x in zip(datas, images, decode_dc([x or b"" for x in datas], images), strict=True)]
+                # the images of a long text one after another
+                thumbs = [[t for i in images[0] for t in decode_dc([datas[0]], [[i]])[0]]] if len(images) == 1 else decode_dc([x or b"" for x in datas], images)
+                rows = [row(*x) for x in zip(datas, images, thumbs, strict=True)]
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([r[k] for r in rows], ARROW[t]) for k, (_, t) in enumerate(FEATURES)]], names=[*part.schema.names, *[n for n, _ in FEATURES]])
 

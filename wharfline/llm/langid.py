@@ -187,6 +187,8 @@ def score_block(model: Model, texts: list[bytes]) -> np.ndarray:
     def add() -> None:
         starts = np.cumsum([0] + [len(p) + len(GAP) for p, _ in pieces])[:-1]
         for buckets in subwords(pieces):
+            if not len(buckets):  # one empty text
+                continue
             at = np.minimum(starts, len(buckets) - 1)
             np.add.at(sums, owner, np.add.reduceat(model.table[buckets], at, axis=0))
             np.add.at(n, owner, np.add.reduceat((buckets != BUCKETS).astype(np.int64), at))
