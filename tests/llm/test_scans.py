@@ -94,6 +94,22 @@ def test_checks_and_context(table):
     assert pii.redact(found).where("doc_id = 5").first().text == "card <card>"
 
 
+def test_masks_stand_at_the_place_of_their_spans(table):
+    rows = [(1, "host 1.2.3.4 and 11.2.3.45 or 1.2.3.4"), (2, None), (3, "call +1 415 555 0132 or a@b.co, +49 30 1234567"), (4, "+4222222222222 x"), (5, "é😀 1.2.3.4😀")]
+    got = {r.doc_id: r.text for r in pii.redact(pii.detect(table(rows))).collect()}
+    assert got[1] == "host <ip> and <ip> or <ip>" and got[2] == "" and got[3] == "call <phone> or <email>, <phone>" and got[5] == "é😀 <ip>😀"
+    assert got[4] == "<phone> x"  # a card inside it starts later
+
+
+def test_trigrams_beyond_the_bits_of_a_clause(spark):
+    """A long mandatory text is asked for in part, and verified whole."""
+    long = "".join(chr(97 + i % 26) + str(i % 10) for i in range(80))
+    rules = [secret_scan.Rule("long", long, base=True)]
+    df = spark.createDataFrame([(1, f"x {long} y"), (2, long[:-1]), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_long for r in secret_scan.digest(secret_scan.scan(df, rules), rules).collect()}
+    assert got == {1: 1, 2: 0, 3: 0}
+
+
 def test_account_numbers_end_with_their_country_s_length(table):
     spaced, plain_ = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
     texts = [
