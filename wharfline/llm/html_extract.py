@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from wharfline.llm.common import map_arrow
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 500
 EPOCHS = 8
 #: Blocks that the model is so sure of move no weight.
 LEAST_ERROR = 1e-3
@@ -176,6 +176,11 @@ def _scale(n: float) -> int:
     return min(9, int(math.log2(n + 1)))
 
 
+def _hashed(word: str) -> int:
+    """A class word's number; a plural has its singular's."""
+    return crc32(word.removesuffix("s").encode()) >> (32 - CLASS_BITS)
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     """For each block the names of what holds of it."""
     free = [max(0, len(b.text) - b.linked) for b in blocks]
@@ -199,7 +204,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
         tags = [t for t, _, _ in b.path]
         inside = {t for t in tags if t in TELLING}
         state = "in" if semantic[i] else "out" if marked else "none"
-        found = ["bias", state, *(f"in={t}" for t in inside), *{f"class={crc32(w.encode()) >> (32 - CLASS_BITS)}" for _, words, _ in b.path for w in words}]
+        named = [words for _, words, _ in b.path if words]
+        found = ["bias", state, *(f"in={t}" for t in inside), *{f"class={_hashed(w)}" for words in named for w in words}, *{f"inner={_hashed(w)}" for w in (named[-1] if named else ())}]
         if inside & FRAMES:
             found.append("framed")
         if b.text.startswith("©"):
