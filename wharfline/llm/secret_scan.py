@@ -18,7 +18,6 @@ whatever their names, are left alone. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from re import _parser as regex_parser
