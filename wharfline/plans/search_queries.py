@@ -50,8 +50,6 @@ def _ranked_sql(rows: str, key: str, column: str, terms: list[str], match: str,
 scored AS (SELECT {keep}, round({score}, 9) AS score FROM counted, stats WHERE ({hit}) AND {match}), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, {key}) AS rank FROM scored ORDER BY score DESC, {key} LIMIT {limit})"""
 
 
-
-
 @query("RET-16 UDF-02 SRC-13 JOIN-12", f"WITH {SESSIONS_SQL}, m AS (SELECT id, session_id, project_id, source_name, content_text FROM messages JOIN sessions USING (session_id) WHERE source_name = 'source1'), {_ranked_sql('m', 'id', 'content_text', ['tion', 'onan'], "(list_contains(t, 'tion') OR list_contains(t, 'onan')) AND NOT list_contains(t, 'wh')", 20, 'id, session_id, project_id, source_name')} SELECT * FROM ranked")
 def search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search_messages(messages(spark, sf_dir), sessions(spark, sf_dir), "tion or onan -wh", 20, "source1")
