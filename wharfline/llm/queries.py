@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wharfline.llm import decontaminate, html_extract, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, suffix_dedup, warc
+from wharfline.llm import decontaminate, html_extract, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, simhash_dedup, suffix_dedup, warc
 from wharfline.llm.common import table
 from wharfline.llm.oracles import ORACLE_SQL
 
@@ -52,6 +52,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_overlaps(docs.select("doc_id", "text"), benchmark))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op9_html, op10_decontaminate)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op9_html, op10_decontaminate, op11_simhash)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
