@@ -68,6 +68,26 @@ hit AS (SELECT doc_id, k, n, item FROM dw JOIN win USING (g, n)), pos AS (SELECT
 ids AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
+#: The checksum bit by bit; then, row by row, the best edits into each of the four states as (cost, audit), with what they make of the rows.
+CRC32 = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda s, b: list_reduce([xor(s, b)] || repeat([0::BIGINT], 8), lambda k, z: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END)), 4294967295)"
+LAST = "right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+REPAIR = f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM d, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text)) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM m),
+r AS (SELECT conv_id, i, role, text, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS b, CASE WHEN {LAST} = '' THEN 1 WHEN again THEN 2 WHEN {LAST} NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+ins(q, p, c, a, t) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+  (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 4, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+kept(p, c, o) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)), named(p, role, o) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+e AS (SELECT conv_id, i, p, p AS o, 3 AS cost, 'D' AS a, '' AS t FROM r, range(4) x(p) UNION ALL SELECT conv_id, i, p, o, CASE fault WHEN 3 THEN 1 ELSE 0 END, 'K', chr(10) || role || ':' || text FROM r JOIN kept USING (c) WHERE fault IN (0, 3)
+  UNION ALL SELECT conv_id, i, p, o, CASE fault WHEN 3 THEN 3 ELSE 2 END, 'R', chr(10) || named.role || ':' || text FROM r, named WHERE fault IN (0, 3)),
+s AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, lpad('0', 9, '0') AS k, '' AS t FROM r UNION ALL
+  SELECT conv_id, i, q, min(k), arg_min(t, k) FROM (SELECT s.conv_id, s.i + 1 AS i, e.o AS q, lpad((left(s.k, 9)::BIGINT + ins.c + e.cost)::VARCHAR, 9, '0') || substr(s.k, 10) || ins.a || e.a AS k, s.t || ins.t || e.t AS t
+    FROM s JOIN ins USING (q) JOIN e ON e.conv_id = s.conv_id AND e.i = s.i + 1 AND e.p = ins.p) GROUP BY ALL),
+n AS (SELECT conv_id, max(i) AS n, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND b || c NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+z AS (SELECT conv_id, min(k) AS k, arg_min(t, k) AS t FROM (SELECT s.conv_id, lpad((left(s.k, 9)::BIGINT + ins.c)::VARCHAR, 9, '0') || substr(s.k, 10) || ins.a AS k, s.t || ins.t AS t FROM s JOIN n ON n.conv_id = s.conv_id AND n.n = s.i JOIN ins USING (q) WHERE ins.p IN (0, 3)) GROUP BY 1),
+g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM m GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+coalesce(left(k, 9)::BIGINT, 0) AS cost, coalesce(substr(k, 10), '') AS audit, sha256(coalesce(substr(t, 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id) LEFT JOIN g USING (conv_id) LEFT JOIN z USING (conv_id)"""
 
 
 def _weight(level: str) -> str:
@@ -95,4 +115,4 @@ x AS (SELECT *, md5(concat_ws('|', '{SEED}', whole::VARCHAR, coalesce(id::VARCHA
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM x WHERE rest > 0)
 SELECT id AS doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch FROM x UNION ALL SELECT id, domain, lang, source, n_tokens, whole FROM c WHERE run <= rest"""
 
-ORACLE_SQL = {"op1_secrets": SECRETS, "op2_jaccard": JACCARD, "op4_mixing": MIXING, "op5_pii": PII, "op8_warc": WARC, "op10_decontaminate": OVERLAPS}
+ORACLE_SQL = {"op1_secrets": SECRETS, "op2_jaccard": JACCARD, "op4_mixing": MIXING, "op5_pii": PII, "op8_warc": WARC, "op10_decontaminate": OVERLAPS, "op12_repair": REPAIR}
