@@ -88,6 +88,12 @@ z AS (SELECT conv_id, min(k) AS k, arg_min(t, k) AS t FROM (SELECT s.conv_id, lp
 g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps FROM m GROUP BY 1)
 SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
 coalesce(left(k, 9)::BIGINT, 0) AS cost, coalesce(substr(k, 10), '') AS audit, sha256(coalesce(substr(t, 2), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN n USING (conv_id) LEFT JOIN g USING (conv_id) LEFT JOIN z USING (conv_id)"""
+TERMS = f"coalesce(regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), [])"
+RANKED = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents), k AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score FROM q JOIN df USING (term) JOIN tf USING (term), k WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
 
 
 def _weight(level: str) -> str:
@@ -115,4 +121,4 @@ x AS (SELECT *, md5(concat_ws('|', '{SEED}', whole::VARCHAR, coalesce(id::VARCHA
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM x WHERE rest > 0)
 SELECT id AS doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch FROM x UNION ALL SELECT id, domain, lang, source, n_tokens, whole FROM c WHERE run <= rest"""
 
-ORACLE_SQL = {"op1_secrets": SECRETS, "op2_jaccard": JACCARD, "op4_mixing": MIXING, "op5_pii": PII, "op8_warc": WARC, "op10_decontaminate": OVERLAPS, "op12_repair": REPAIR}
+ORACLE_SQL = {"op1_secrets": SECRETS, "op2_jaccard": JACCARD, "op4_mixing": MIXING, "op5_pii": PII, "op8_warc": WARC, "op10_decontaminate": OVERLAPS, "op12_repair": REPAIR, "op13_search": RANKED}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wharfline.llm import conversation_repair, decontaminate, html_extract, jaccard_join, jpeg_media, langid, mixing, pii, secret_scan, simhash_dedup, suffix_dedup, warc
+from wharfline.llm import conversation_repair, decontaminate, html_extract, jaccard_join, jpeg_media, langid, lexical_search, mixing, pii, secret_scan, simhash_dedup, suffix_dedup, warc
 from wharfline.llm.common import table
 from wharfline.llm.oracles import ORACLE_SQL
 
@@ -60,6 +60,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op9_html, op10_decontaminate, op11_simhash, op12_repair)}
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_jaccard, op3_langid, op4_mixing, op5_pii, op6_media, op7_suffix_dedup, op8_warc, op9_html, op10_decontaminate, op11_simhash, op12_repair, op13_search)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
