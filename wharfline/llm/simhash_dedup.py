@@ -51,6 +51,8 @@ GENERATOR = 0b101011100011
 PIECE_BYTES = 1 << 20
 MOST = 1 << 16
 BLOCK = 1 << 22
+#: Documents whose distinct fingerprints one task makes keys of: some 180 keys each.
+TASK_ROWS = 100_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -295,7 +297,10 @@ def around(prints: DataFrame) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """(id_col, fingerprint, component_id): documents linked directly or through others have the same component_id, the least id."""
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    found = written(links(keyed(docs.select("print").distinct()), most).distinct(), "links")
+    # a number of partitions, so that they are not joined because fingerprints are small: their keys are not
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TASK_ROWS))
+    distinct = docs.select("print").repartition(tasks, "print").distinct()
+    found = written(links(keyed(distinct), most).distinct(), "links")
     crowded = found.where("b is null").select(F.col("a").alias("print"))
     pairs = found.where("b is not null")
     if not crowded.isEmpty():
