@@ -305,10 +305,15 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: in
     pairs = found.where("b is not null")
     if not crowded.isEmpty():
         pairs = pairs.unionByName(around(crowded))
-    placed = docs.join(components(pairs).withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    # tables of their own, so that the large component's rows are joined, which Spark can split, and not aggregated in the same task
+    nodes = written(components(pairs), "nodes")
+    ids = docs.groupBy("print").agg(F.min("id").alias("id"))
+    least = written(ids.join(nodes.withColumnRenamed("node", "print"), "print").groupBy("component").agg(F.min("id").alias("component_id")), "least")
+    linked = written(nodes.join(least, "component").select(F.col("node").alias("print"), "component_id"), "linked")
+    alone = ids.join(linked, "print", "left_anti").select("print", F.col("id").alias("component_id"))
+    of_print = written(linked.unionByName(alone), "of_print")
     shown = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return placed.join(least, "component").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return docs.join(of_print, "print").select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
