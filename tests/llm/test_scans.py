@@ -1,5 +1,7 @@
 """Secrets, personal data and decontamination against plain versions."""
 
+import time
+
 import plain
 import pytest
 from hypothesis import given, settings
@@ -165,3 +167,27 @@ def test_empty_tables(spark, table):
     assert pii.digest(pii.detect(none)).count() == 0
     assert decontaminate.digest(decontaminate.find_overlaps(none, benchmark)).count() == 0
     assert decontaminate.digest(decontaminate.find_overlaps(table(TEXTS), benchmark)).where(F.col("contaminated")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["secrets", "personal data"])
+def test_many_matches_in_one_text(spark, kind):
+    """Time grows with a text's matches, and positions stay right beyond a block of them and a chunk of text."""
+
+    def run(n):
+        unit = "é 0123456789abcdef " if kind == "secrets" else "é joe@a.bc and 10.0.0.1 "
+        df = spark.createDataFrame([(1, n)], "doc_id long, n int").selectExpr("doc_id", f"repeat('{unit}', n) AS text")
+        began = time.time()
+        if kind == "secrets":
+            found = secret_scan.scan(df)
+            row, clean = secret_scan.digest(found).first(), secret_scan.redact(found).first().text
+            assert row.n_hex == n and clean == "é [SECRET] " * n
+            assert row.spans == ",".join(f"hex:{19 * k + 2}:{19 * k + 18}" for k in range(n))
+        else:
+            found = pii.detect(df)
+            row, clean = pii.digest(found).first(), pii.redact(found).first().text
+            assert (row.n_email, row.n_ip) == (n, n) and clean == "é <email> and <ip> " * n
+        return time.time() - began
+
+    run(10)
+    one, two = run(20_000), run(40_000)
+    assert two < 2.5 * one + 1

@@ -4,7 +4,7 @@ One narrow pass in DataFrame operations, without a shuffle: a text's spans depen
 tasks share the corpus evenly and a hot source or a group of copies costs no task more than its rows.
 
 Patterns use possessive quantifiers, and start a match only where a run of its characters starts or the last match
-ended. Neither changes a match (what follows a run is never in its class), and both keep the time linear on very long texts.
+ended. Neither changes a match (what follows a run is never in its class), and both keep the time linear on very long texts, as does `spans` with very many matches.
 
 Defined results: null text is empty text and has no spans; a null id stays null. Spans of different kinds may overlap, and all are reported. Very long texts
 are read whole. Repeated rows give repeated result rows. Other columns of the input,
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wharfline.llm.common import text_or_empty
-from wharfline.llm.spans import SPAN, joined, matches, replaced, sha256_hex
+from wharfline.llm.spans import SPAN, chunks, cut, joined, let, matches, replaced, sha256_hex
 
 
 def digits(found: Column) -> Column:
@@ -95,14 +95,14 @@ def detect(df: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id",
     texts = df.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     empty = F.array().cast(SPAN)
 
-    def spans(kind: Kind) -> Column:
+    def spans(kind: Kind, pieces: Column) -> Column:
         text = F.col("text")
         every = matches(text, kind.pattern, kind.check, int(kind.ahead), kind.ahead)
         every = F.when(F.contains(text, F.lit(kind.needs)), every).otherwise(empty) if kind.needs else every
 
         def scored(s: Column) -> Column:
-            before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-            around = F.lower(F.concat_ws(" ", before, F.substring(text, s["stop"] + 1, F.lit(CONTEXT))))
+            before = cut(pieces, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+            around = F.lower(F.concat_ws(" ", before, cut(pieces, s["stop"], s["stop"] + CONTEXT)))
             near = F.regexp_like(around, F.lit(rf"\b(?:{kind.words})"))
             score = F.lit(kind.prior) + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0))
             return F.struct(F.lit(kind.kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["found"].alias("found"), F.round(score, 2).alias("score"))
@@ -111,7 +111,8 @@ def detect(df: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id",
 
     always = [k.kind for k in kinds if k.base]
     kept = lambda s: s["kind"].isin(always) | (s["score"] >= MIN_SCORE)
-    return texts.select(id_col, "text", F.filter(F.concat(*[spans(k) for k in kinds]), kept).alias("spans"))
+    found = let(chunks(F.col("text")), lambda pieces: F.filter(F.concat(*[spans(k, pieces) for k in kinds]), kept))
+    return texts.select(id_col, "text", found.alias("spans"))
 
 
 def redact(detected: DataFrame, kinds: Sequence[Kind] = KINDS, id_col: str = "doc_id") -> DataFrame:
