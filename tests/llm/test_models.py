@@ -1,9 +1,13 @@
 """Language ID, extraction, mixing, media, archives, the pipeline."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 
 from wharfline.llm import html_extract, jpeg_media, langid, mixing, queries, warc
 
+ROOT = Path(__file__).resolve().parent.parent.parent
+
 
 def test_language_held_out_accuracy(spark, sf):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -37,6 +43,28 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and {900, 901, 903}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_numbers_are_no_letters(spark):
+    rows = [(i, "lorem ipsum dolor " * 5 if i % 2 else "xyzzy quux wqwq " * 5, "aa" if i % 2 else "bb") for i in range(40)] + [(900, "½ 12 ²", None), (901, "① Ⅳ", None), (902, "½ ж", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit_documents(docs)).where("doc_id >= 900").collect()}
+    assert got[900] == got[901] == ("und", 0.0) and got[902][0] != "und"
+
+
+def test_workers_need_no_copy_of_the_package(sf, tmp_path):
+    """The package is on the driver's path only, as on a cluster whose executors have the usual packages alone."""
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+import __spark_entry__
+from wharfline.session import build_session
+spark = build_session("local[2]", "alone", spark__sql__shuffle__partitions="2", spark__checkpoint__dir="file://{tmp_path}", spark__ui__showConsoleProgress="false")
+for name in ("op3_langid", "op11_simhash", "op12_repair", "op13_search"):
+    assert __spark_entry__.queries()[name](spark, {sf!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 def test_language_does_not_depend_on_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (langid.fit_documents(d) for d in (docs, docs.repartition(5)))

@@ -3,7 +3,7 @@
 Subwords are the runs of 2, 3 and 4 bytes of a text in which ASCII letters are lower-cased and other ASCII is a space; each has a bucket
 among BUCKETS. A text is the mean of its subwords' embeddings. `fit` learns embeddings and softmax together by stochastic
 gradient descent in numpy, on a sample of at most SAMPLE_ROWS labelled rows (this bound is the only one): an equal share of each
-language, one row at least, chosen by hash, so the sample depends on the rows alone and not on how they are partitioned. A fifth of it, held
+language, one row at least (so of more languages than SAMPLE_ROWS only that many are learned), chosen by hash, so the sample depends on the rows alone and not on how they are partitioned. A fifth of it, held
 back, sets the temperature of the softmax and the score below which a prediction is rejected: the least one from which on PRECISION of the
 predictions are right, and never less than half the way from chance to the lowest score of a held-back row that is right. So a
 text of a language never learned, or of no language, can be rejected even where the learned ones are told apart without fault.
@@ -11,7 +11,7 @@ text of a language never learned, or of no language, can be rejected even where
 `predict` is map-only. What is broadcast is the model: BUCKETS x DIMENSION embeddings (1 MB) and a layer of DIMENSION numbers a language.
 Texts go through whole, BLOCK_BYTES at a time, longer ones in pieces that overlap by a subword, so memory does not grow with a text.
 
-Defined results: null text or no letter: `und`, score 0, rejected. No labelled rows: everything is `und`, score 0, rejected. A null
+Defined results: null text or no letter (Unicode L; `½` and `Ⅳ` are numbers): `und`, score 0, rejected. No labelled rows: everything is `und`, score 0, rejected. A null
 label is not learned from; nor are rows with a null id in `fit_documents`. Of equal scores the first language by name is predicted. Repeated rows give repeated rows;
 an empty table an empty result; extra columns pass through `keep`.
 """
@@ -44,10 +44,15 @@ PRECISION = 0.98
 UNKNOWN = "und"
 BLOCK_BYTES = 1 << 19
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Letters, and numbers that are written with letters or fractions, which `has_letter` sorts out.
 LETTER = re.compile(r"[^\W\d_]")
 GAP = bytes(max(SIZES) - 1)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -208,16 +213,17 @@ def score_block(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, then lang_pred, score (0 to 1) and rejected."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    # its parts, since a broadcast names a class of this package by its module, which executors need not have
+    sent = df.sparkSession.sparkContext.broadcast((model.languages, model.table, model.layer, model.bias, model.temperature, model.least))
 
     def answer(text: str | None, p: np.ndarray, m: Model) -> tuple[str, float, bool]:
-        if text is None or not m.languages or not LETTER.search(text):
+        if text is None or not m.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
         k = int(p.argmax())
         return m.languages[k], float(p[k]), bool(p[k] < m.least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Model(*sent.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             rest, a = batch.select(list(range(batch.num_columns - 1))), 0
