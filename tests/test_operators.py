@@ -346,13 +346,6 @@ def test_summary_tree_of_levels(spark):
         reading.summary_tree(df, lambda t: t, most, whole, levels=3).collect()
 
 
-def test_english_terms(spark):
-    words = "caresses ponies caress cats feed agreed plastered bled motoring sing hopping tanned falling hissing fizzed failing filing conflated happy sky".split()
-    wanted = "caress poni caress cat feed agree plaster bled motor sing hop tan fall hiss fizz fail file conflate happi sky".split()
-    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stem(F.col("w")).alias("s")).collect()
-    assert [r.s for r in got] == wanted == [retrieval.stemmed(w) for w in words]
-
-
 def test_clean_json():
     assert text.clean_json({"a\0": 1, "a": [2, "x\0"], "b\0": {"c": "\ud800d"}}) == {"a": [2, "x"], "b": {"c": "d"}}
     assert text.clean_json(["toString", None, True]) == ["toString", None, True]

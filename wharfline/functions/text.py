@@ -150,24 +150,6 @@ STOP_WORDS = tuple(
 )
 
 
-def stem(word: Column) -> Column:
-    """The first step of Porter's stemmer: plurals, -ed and -ing, -y. Other endings stay, so fewer words fall together than in the whole of it."""
-
-    def bare(w: Column) -> Column:
-        cut = F.regexp_replace(w, "(ed|ing)$", "")
-        twice = like(cut, "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$")
-        return let(cut, lambda c: F.when(like(c, "(at|bl|iz)$"), F.concat(c, F.lit("e"))).when(twice, F.left(c, F.length(c) - 1)).when(like(c, "^[^aeiou]*[aeiouy][^aeiouywx]$"), F.concat(c, F.lit("e"))).otherwise(c))
-
-    singular = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "sses$", "ss"), "ies$", "i"), "([^s])s$", "$1")
-    plain = let(singular, lambda w: F.when(like(w, "eed$"), F.when(like(w, "^[^aeiou]*[aeiouy]+[^aeiou].*eed$"), F.regexp_replace(w, "eed$", "ee")).otherwise(w)).when(like(w, "[aeiouy].*(ed|ing)$"), bare(w)).otherwise(w))
-    return F.regexp_replace(plain, "^(.*[aeiouy].*)y$", "$1i")
-
-
-def lexemes(text: Column) -> Column:
-    """The English analyser: tokens without stop words, stemmed."""
-    return F.transform(F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS)), stem)
-
-
 def clean_json(value):
     """A parsed JSON value without NULs and lone surrogates in its strings, keys among them. Of keys that become equal, one that was clean wins, else the first."""
     if isinstance(value, str):

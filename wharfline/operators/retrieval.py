@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wharfline.functions import paths, text, vectors
+from wharfline.functions import english, paths, text, vectors
 from wharfline.storage import written
 
 #: The constant of rank fusion, the flat bonus of the caller's own projects, and how far each arm fetches.
@@ -29,8 +29,15 @@ ARMS = ("session", "chunk", "message", "fts")
 DEFAULT_CLASSES = ("coding",)
 #: Parameters of Robertson and Zaragoza's ranking function.
 K1, B = 1.2, 0.75
-#: How text is cut into terms, on the side of the documents and of the query: by words alone, or as English.
-ANALYSERS = {"simple": text.tokens, "english": text.lexemes}
+
+
+def simple_terms(column: Column) -> Column:
+    """Every word is a term."""
+    return F.transform(text.tokens(column), lambda t, k: F.struct(t.alias("term"), (k + 1).alias("place")))
+
+
+#: How text is cut into terms, on the side of the documents and of the query: by words alone, or as English. Arrays of (term, place); places count all words from 1.
+ANALYSERS = {"simple": simple_terms, "english": english.lexemes}
 
 
 # --- classes of data
@@ -84,14 +91,15 @@ def resolve_centroids(centroid: DataFrame, given: Sequence[str], id_col: str) ->
 
 @dataclass
 class WebQuery:
-    """A query in web style: words are all required, "quoted words" in a row, `or` between alternatives, - before what must not be there."""
+    """A query in web style: words are all required, "quoted words" in a row, `or` between alternatives, - before what must not be there.
+    A phrase is a list of terms; a null stands for a word that is left out, but keeps its place."""
 
-    any_of: list[list[list[str]]] = field(default_factory=list)  # alternatives of phrases
-    none_of: list[list[str]] = field(default_factory=list)
+    any_of: list[list[list[str | None]]] = field(default_factory=list)  # alternatives of phrases
+    none_of: list[list[str | None]] = field(default_factory=list)
 
     @property
     def terms(self) -> list[str]:
-        return list(dict.fromkeys(t for group in self.any_of for phrase in group for t in phrase))
+        return list(dict.fromkeys(t for group in self.any_of for phrase in group for t in phrase if t is not None))
 
 
 def parse_query(query: str, analyser: str = "simple") -> WebQuery:
@@ -103,7 +111,11 @@ def parse_query(query: str, analyser: str = "simple") -> WebQuery:
             continue
         phrase = [t for t in re.split("[^a-z0-9]+", (quoted if quoted is not None else word).lower()) if t]
         if analyser == "english":
-            phrase = [stemmed(t) for t in phrase if t not in text.STOP_WORDS]
+            phrase = [None if t in text.STOP_WORDS else english.stem(t) for t in phrase]
+        while phrase and phrase[0] is None:
+            del phrase[0]
+        while phrase and phrase[-1] is None:
+            del phrase[-1]
         if not phrase:
             continue
         if m[1]:
@@ -116,29 +128,15 @@ def parse_query(query: str, analyser: str = "simple") -> WebQuery:
     return out
 
 
-def stemmed(word: str) -> str:
-    """text.stem of a query's word, on the driver."""
-    for pattern, by in (("sses$", "ss"), ("ies$", "i"), ("([^s])s$", r"\1")):
-        word = re.sub(pattern, by, word)
-    if word.endswith("eed"):
-        word = word[:-1] if re.search("^[^aeiou]*[aeiouy]+[^aeiou].*eed$", word) else word
-    elif re.search("[aeiouy].*(ed|ing)$", word):
-        word = re.sub("(ed|ing)$", "", word)
-        if re.search("(at|bl|iz)$", word):
-            word += "e"
-        elif word[-2:-1] == word[-1:] and word[-1:] in set("bcdfghjkmnpqrtvwx"):
-            word = word[:-1]
-        elif re.search("^[^aeiou]*[aeiouy][^aeiouywx]$", word):
-            word += "e"
-    return re.sub("^(.*[aeiouy].*)y$", r"\1i", word)
+def has_phrase(terms: Column, phrase: Sequence[str | None]) -> Column:
+    """Whether (term, place) terms hold the phrase's words at its distances."""
+    rest = [(t, k) for k, t in enumerate(phrase) if t is not None and k]
 
+    def here(x: Column) -> Column:
+        later = [F.array_contains(terms, F.struct(F.lit(t).alias("term"), (x["place"] + k).alias("place"))) for t, k in rest]
+        return reduce(lambda a, b: a & b, later, x["term"] == phrase[0])
 
-def has_phrase(terms: Column, phrase: Sequence[str]) -> Column:
-    """Whether the terms hold the phrase's words in a row."""
-    if len(phrase) == 1:
-        return F.array_contains(terms, phrase[0])
-    padded = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
-    return F.contains(padded, F.lit(f" {' '.join(phrase)} "))
+    return F.exists(terms, here)
 
 
 def matches(terms: Column, query: WebQuery) -> Column:
@@ -158,7 +156,7 @@ def bm25(docs: DataFrame, terms: Sequence[str], text_col: str, keep: Sequence[st
     """(keep.., score) of documents that hold a term (and match query and not without), Robertson and Zaragoza's BM25. Texts are cut into terms once: frequencies and lengths
     are written as a narrow table, which gives the statistics of all documents and then the scores. Nothing is exploded, so a word of every document makes no hot key."""
     rows = docs.withColumn("__t", ANALYSERS[analyser](F.col(text_col)))
-    frequency = lambda term: F.size(F.filter("__t", lambda x: x == term)).cast("double")
+    frequency = lambda term: F.size(F.filter("__t", lambda x: x["term"] == term)).cast("double")
     tf = [frequency(t).alias(f"__tf{k}") for k, t in enumerate(terms)]
     use = (matches(F.col("__t"), query) if query is not None else F.lit(True)) & (~matches(F.col("__t"), without) if without is not None else F.lit(True))
     counted = written(rows.select(*keep, F.size("__t").cast("double").alias("__len"), *tf, use.alias("__use")), "terms")
@@ -205,7 +203,7 @@ def best_window(words: list[str], wanted: set[str], most: int = 25, least: int =
 
 def headline(column: Column, terms: Sequence[str], analyser: str = "simple") -> Column:
     """A window of the text with the terms in bold; an Arrow-batched UDF, meant for the few rows left after ranking."""
-    wanted, same = set(terms), stemmed if analyser == "english" else str
+    wanted, same = set(terms), english.stem if analyser == "english" else str
 
     @F.pandas_udf(T.StringType())
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

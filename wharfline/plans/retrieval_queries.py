@@ -150,7 +150,7 @@ def fts_best_per_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("RET-09", f"WITH {MESSAGES_SQL}, t AS (SELECT id, {TOKENS_SQL.format('content_text')} AS terms FROM messages) SELECT id FROM t WHERE list_contains(terms, 'the') AND NOT (list_contains(terms, 'and') AND list_contains(terms, 'of'))")
 def fts_exclude_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = text.tokens(F.col("content_text"))
+    terms = retrieval.simple_terms(F.col("content_text"))
     return messages(spark, sf_dir).where(retrieval.matches(terms, retrieval.parse_query("the")) & ~retrieval.matches(terms, retrieval.parse_query("and of"))).select("id")
 
 

@@ -9,35 +9,18 @@ from pyspark.sql import functions as F
 
 from wharfline.api import Library
 from wharfline.data import MESSAGES_SQL, SESSIONS_SQL, messages, sessions, table
-from wharfline.functions import paths, text, vectors
+from wharfline.functions import english, paths, text, vectors
 from wharfline.operators import reading, retrieval
+from wharfline.plans import english_sql
 from wharfline.plans.registry import query
 from wharfline.storage import written
 
-WORDS_SQL = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda t: t <> '')"
-
-
-def stem_sql(w: str) -> str:
-    """text.stem for DuckDB."""
-    one = f"regexp_replace(regexp_replace(regexp_replace({w}, 'sses$', 'ss'), 'ies$', 'i'), '([^s])s$', '\\1')"
-    cut = f"regexp_replace({one}, '(ed|ing)$', '')"
-    bare = (
-        f"CASE WHEN regexp_matches({cut}, '(at|bl|iz)$') THEN {cut} || 'e' WHEN regexp_matches({cut}, '(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$') THEN left({cut}, length({cut}) - 1) "
-        f"WHEN regexp_matches({cut}, '^[^aeiou]*[aeiouy][^aeiouywx]$') THEN {cut} || 'e' ELSE {cut} END"
-    )
-    plain = f"CASE WHEN regexp_matches({one}, 'eed$') THEN CASE WHEN regexp_matches({one}, '^[^aeiou]*[aeiouy]+[^aeiou].*eed$') THEN regexp_replace({one}, 'eed$', 'ee') ELSE {one} END WHEN regexp_matches({one}, '[aeiouy].*(ed|ing)$') THEN {bare} ELSE {one} END"
-    return f"regexp_replace({plain}, '^(.*[aeiouy].*)y$', '\\1i')"
-
-
-def lexemes_sql(column: str) -> str:
-    stops = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-    return f"list_transform(list_filter({WORDS_SQL.format(column)}, lambda t: t NOT IN ({stops})), lambda w: {stem_sql('w')})"
-
-
-@query("RET-03 UDF-07", f"SELECT doc_id, array_to_string({lexemes_sql('text')}, ' ') AS terms FROM documents")
+@query("RET-03", f"WITH {english_sql.lexemes('documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(terms, ' ') AS terms, list_sum(places)::BIGINT AS places FROM lexed")
 def english_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as English search sees it: stop words out, first step of stemming."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.lexemes(F.col("text")), " ").alias("terms"))
+    """Every text as English search sees it: stop words out, stems, and the sum of their places."""
+    found = table(spark, sf_dir, "documents").select("doc_id", english.lexemes("text").alias("t"))
+    total = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["place"])
+    return found.select("doc_id", F.array_join("t.term", " ").alias("terms"), F.when(F.size("t") > 0, total).alias("places"))
 
 
 def _ranked_sql(rows: str, key: str, column: str, terms: list[str], match: str, limit: int, keep: str) -> str:
@@ -46,7 +29,7 @@ def _ranked_sql(rows: str, key: str, column: str, terms: list[str], match: str,
     df = ", ".join(f"count(*) FILTER (f{k} > 0)::DOUBLE AS d{k}" for k in range(len(terms)))
     score = " + ".join(f"ln(1 + (n - d{k} + 0.5) / (d{k} + 0.5)) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * len / avg_len))" for k in range(len(terms)))
     hit = " OR ".join(f"f{k} > 0" for k in range(len(terms)))
-    return f"""cut AS (SELECT {keep}, {lexemes_sql(column)} AS t FROM {rows}), counted AS (SELECT *, len(t)::DOUBLE AS len, {tf} FROM cut), stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, {df} FROM counted),
+    return f"""{english_sql.lexemes(rows, key, column)}, cut AS (SELECT {keep}, terms AS t, places FROM {rows} JOIN lexed USING ({key})), counted AS (SELECT *, len(t)::DOUBLE AS len, {tf} FROM cut), stats AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, {df} FROM counted),
 scored AS (SELECT {keep}, round({score}, 9) AS score FROM counted, stats WHERE ({hit}) AND {match}), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, {key}) AS rank FROM scored ORDER BY score DESC, {key} LIMIT {limit})"""
 
 
