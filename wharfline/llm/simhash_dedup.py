@@ -299,7 +299,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: in
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
     # a number of partitions, so that they are not joined because fingerprints are small: their keys are not
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TASK_ROWS))
-    distinct = docs.select("print").repartition(tasks, "print").distinct()
+    distinct = docs.select("print").distinct().repartition(tasks, "print")
     found = written(links(keyed(distinct), most).distinct(), "links")
     crowded = found.where("b is null").select(F.col("a").alias("print"))
     pairs = found.where("b is not null")
