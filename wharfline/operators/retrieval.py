@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,7 @@ K1, B = 1.2, 0.75
 
 def simple_terms(column: Column) -> Column:
     """Every word is a term."""
-    return F.transform(text.tokens(column), lambda t, k: F.struct(t.alias("term"), (k + 1).alias("place")))
+    return F.transform(F.coalesce(text.tokens(column), F.array().cast("array<string>")), lambda t, k: F.struct(t.alias("term"), (k + 1).alias("place")))
 
 
 #: How text is cut into terms, on the side of the documents and of the query: by words alone, or as English. Arrays of (term, place); places count all words from 1.
@@ -273,13 +274,15 @@ class SearchParams:
 @dataclass
 class Corpus:
     """sessions (session_id, project_id, source_name, data_class, project_path, title, summary, started_at, is_automated, deleted_at),
-    messages (id, session_id, content_text), and vector collections (id, session_id, embedding, raw) by arm."""
+    messages (id, session_id, content_text), vector collections (id, session_id, embedding, raw) by arm, and an index of the messages."""
 
     sessions: DataFrame
     messages: DataFrame
     collections: dict[str, DataFrame] = field(default_factory=dict)
     session_centroids: DataFrame | None = None
     project_centroids: DataFrame | None = None
+    #: a postings.Index of the messages' texts; without one every text is cut into terms for each search
+    text_index: Any = None
 
 
 def eligible(corpus: Corpus, p: SearchParams) -> DataFrame:
@@ -303,7 +306,8 @@ def eligible(corpus: Corpus, p: SearchParams) -> DataFrame:
 def search(corpus: Corpus, p: SearchParams) -> DataFrame:
     """(session_id, title, title_source, project_id, source_name, data_class, started_at, score, matched_tier, message_id, snippet), best first.
 
-    Each vector arm fetches some times the limit from its whole collection (more where classes will be left out), and filters run on those few rows.
+    Each vector arm fetches some times the limit from its whole collection (more where classes will be left out), and filters run on those few rows: a narrow filter
+    can leave fewer hits than there are.
     """
     steer = [resolve_centroids(c, ids, key) if c is not None else [] for c, ids, key in (
         (corpus.session_centroids, p.like_session, "session_id"), (corpus.session_centroids, p.unlike_session, "session_id"),
@@ -322,7 +326,11 @@ def search(corpus: Corpus, p: SearchParams) -> DataFrame:
     if p.mode in ("text", "hybrid") and p.query:
         query = parse_query(p.query, p.analyser)
         without = parse_query(p.exclude_terms, p.analyser) if p.exclude_terms else None
-        scored = bm25(corpus.messages, query.terms, "content_text", ("id", "session_id"), query, without, p.analyser).join(sessions.select("session_id"), "session_id", "left_semi")
+        if corpus.text_index is not None and corpus.text_index.analyser == p.analyser:
+            scored = corpus.text_index.scores(query, without).withColumnRenamed("doc", "id").join(corpus.messages.select("id", "session_id"), "id")
+        else:
+            scored = bm25(corpus.messages, query.terms, "content_text", ("id", "session_id"), query, without, p.analyser)
+        scored = scored.join(sessions.select("session_id"), "session_id", "left_semi")
         scored = scored.withColumn("score", F.round("score", 9))
         best = scored.groupBy("session_id").agg(F.min(F.struct(-F.col("score"), "id"))["id"].alias("id"), F.max("score").alias("score"))
         top = ranked(best, [F.desc("score"), F.col("id")], ["session_id", "id"], p.limit * OVER_FETCH["fts"])

@@ -104,7 +104,11 @@ def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, query="tion or onan", vector=_vector(spark, sf_dir), classes=[" Coding ", "work"], cwd="/w/p2")
 
 
-@query("RET-13 RET-09 RET-04 WIN-03", _search_sql("session_id % 7 <> 3 AND source_name = 'source1'", 5, 1, None, ["tion", "onan"], f"{SAID} AND NOT list_contains(t, 'wh')"))
+def search_text_sql() -> str:
+    return _search_sql("session_id % 7 <> 3 AND source_name = 'source1'", 5, 1, None, ["tion", "onan"], f"{SAID} AND NOT list_contains(t, 'wh')")
+
+
+@query("RET-13 RET-09 RET-04 WIN-03", search_text_sql())
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text arm alone, in one source, which switches the classes off, without texts that hold a word."""
     return _found(spark, sf_dir, query="tion or onan", mode="text", limit=5, source="source1", exclude_terms="wh")
