@@ -1,5 +1,6 @@
 """Whole syncs, control of jobs, rendering, registered functions."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from test_operators import line, transcript  # noqa: F401
 from wharfline import render, sync
 from wharfline.functions.register import register
 from wharfline.operators import reports
+from wharfline.sources import transcripts
 from wharfline.streaming import control
 
 NOW = datetime(2024, 6, 1, 12)
@@ -23,14 +25,65 @@ def test_sync_twice(spark, transcript):  # noqa: F811
     assert report.files == 0 and again.messages.count() == 4 and again.letters.first().attempts == 1
     with (transcript / "deep" / "S.jsonl").open("a") as f:
         f.write("\n" + line(uuid="u9"))
-    import os
-
     os.utime(transcript / "deep" / "S.jsonl", (2_000_000_000, 2_000_000_000))
     grown, report = sync.sync(spark, str(transcript), again, now)
     assert report.files == 1 and grown.messages.count() == 5
     assert grown.letters.first().attempts == 2
 
 
+def test_unchanged_files_are_not_opened(spark, transcript, monkeypatch):  # noqa: F811
+    """After a sync every file's bytes are others, of the same length and time: nothing is noticed, since nothing is read."""
+    now = F.expr("timestamp '2024-06-01 00:00:00'")
+    tables, _ = sync.sync(spark, str(transcript), sync.Tables.empty(spark), now)
+    for path in transcript.rglob("*.jsonl"):
+        stat = path.stat()
+        path.write_bytes(b"x" * stat.st_size)
+        os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    asked = []
+    real = spark.read.__class__.text
+    monkeypatch.setattr(spark.read.__class__, "text", lambda self, paths, *a, **b: asked.append(paths) or real(self, paths, *a, **b))
+    again, report = sync.sync(spark, str(transcript), tables, now)
+    assert (report.files, report.lines, report.bad, asked) == (0, 0, 0, [])
+    assert again.messages.count() == 4 and report.errors == []
+
+
+def test_listing_asks_for_no_content(spark, transcript, capsys):  # noqa: F811
+    found, errors = transcripts.discover(spark, [str(transcript)])
+    assert errors == [] and sorted((r.file_path.rsplit("/", 1)[1], r.size) for r in found.collect()) == [(p.name, p.stat().st_size) for p in sorted(transcript.rglob("*.jsonl"), key=lambda p: p.name)]
+    found.explain("formatted")
+    assert "content" not in capsys.readouterr().out
+
+
+def test_folders_that_fail_are_named(spark, transcript, monkeypatch):  # noqa: F811
+    """One folder cannot be listed: its error is kept, the files of the others are found."""
+    gone = str(transcript / "gone")
+    found, errors = transcripts.discover(spark, [str(transcript / "deep"), gone, str(transcript)])
+    assert found.select("file_path").distinct().count() == 2
+    assert [e[0] for e in errors] == [gone] and "gone" in errors[0][1]
+    real = transcripts.discover
+    monkeypatch.setattr(transcripts, "discover", lambda s, roots, glob: real(s, [*roots, gone], glob) if roots == [str(transcript)] else real(s, [*roots, gone], glob))
+    _, report = sync.sync(spark, str(transcript), sync.Tables.empty(spark), F.expr("timestamp '2024-06-01 00:00:00'"))
+    assert report.files == 1 and [e[0] for e in report.errors] == [gone]
+
+
+def test_lines_of_byte_ranges_are_numbered(spark, tmp_path):
+    """Files read in ranges of some hundred bytes, with names that are patterns and need encoding, blank lines and other line ends."""
+    wanted = set()
+    for name in ("plain.jsonl", "a b+c%20é.jsonl", "[x]{y}*.jsonl", "empty.jsonl"):
+        rows = [] if name.startswith("empty") else [f"{name} line {k} " + "é" * (k % 37) if k % 5 else "" for k in range(300)]
+        (tmp_path / name).write_bytes(("\r\n" if name.startswith("plain") else "\n").join(rows).encode())
+        wanted |= {(name, k + 1, r) for k, r in enumerate(rows) if r.strip()}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = [(r.file_path.rsplit("/", 1)[1], r.line_number, r.line) for r in transcripts.lines(spark, str(tmp_path)).collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_stand_down(spark, tmp_path):
     path = f"file://{tmp_path}/control"
     assert not control.standing_down(spark, path, NOW)

@@ -1,32 +1,88 @@
-"""Transcripts in JSON lines: one read, good and bad lines split, sessions grouped from messages."""
+"""Transcripts in JSON lines: found by their metadata, read where changed, good and bad lines split, sessions grouped from messages."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wharfline.functions.scaffolding import has_scaffolding, strip_scaffolding
 from wharfline.functions.times import sane_timestamp
+from wharfline.storage import written
+
+FILES = "file_path string, modified_at timestamp, size long"
+LINES = "file_path string, modified_at timestamp, line_number int, line string"
 
 USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint>"
 LINE = f"type string, uuid string, parentUuid string, sessionId string, timestamp string, cwd string, gitBranch string, version string, isSidechain boolean, agentId string, message struct<role:string,model:string,content:string,usage:{USAGE}>, _bad string"
 PART = "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string>>"
 
 
-def lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """(file_path, modified_at, line_number, line) of every file below root; blank lines count but are left out.
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """root and the folders right below it, each of which is listed on its own if not all can be."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(s.getPath().toString() for s in found if s.isDirectory())
+
+
+def discover(spark: SparkSession, roots: Sequence[str], glob: str = "*.jsonl") -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Files below roots as (file_path, modified_at, size), and (folder, error) of the roots that cannot be listed. No file is opened: the reader of binary files
+    lists them, and its content column is not asked for. A folder that fails is found by halving, so the others are listed together."""
+
+    def listed(some: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+        try:
+            files(some)
+            return some, []
+        except Exception as error:
+            if len(some) == 1:
+                return [], [(some[0], str(error).split("\n")[0])]
+            half = len(some) // 2
+            (a, x), (b, y) = listed(some[:half]), listed(some[half:])
+            return a + b, x + y
+
+    def files(some: list[str]) -> DataFrame:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(some)
+        return found.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
+
+    good, errors = listed(list(roots)) if roots else ([], [])
+    return files(good) if good else spark.createDataFrame([], FILES), errors
 
-    Each file is one row of the binary reader's, so a line's number is known without ordering anything across tasks.
+
+def path_of(uri: Column) -> Column:
+    """The path, as the listing has it, of a file's encoded address."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
+def read(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """(file_path, modified_at, line_number, line) of files (file_path, modified_at); blank lines count but are left out.
+
+    Files are read in byte ranges, so one may be of any size. Rows of a range follow each other in its task, which numbers them within the range; lines in the
+    ranges before, a few sums a file, do the rest. The paths pass the driver, which has them from listing already.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    split = F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n"))
-    numbered = files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified_at"), split.alias("n", "line"))
-    return numbered.where(F.trim("line") != "").select("file_path", "modified_at", (F.col("n") + 1).alias("line_number"), "line")
+    # what a pattern would mean stands for itself
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file_path"]) for r in files.select("file_path").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], LINES)
+    text = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", "true").text(paths)
+    # written, so that numbers within a range stay what they are
+    rows = written(text.select(path_of(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")), "ranges")
+    ranges = rows.groupBy("file_path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.select("file_path", "block", (before - F.col("first") + 1).alias("shift")).join(files.select("file_path", "modified_at"), "file_path")
+    numbered = rows.join(starts, ["file_path", "block"]).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    return numbered.where(F.trim("line") != "").select("file_path", "modified_at", (F.col("at") + F.col("shift")).cast("int").alias("line_number"), "line")
+
+
+def lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    """`read` of every file below root."""
+    return read(spark, discover(spark, [root], glob)[0])
 
 
 def changed(found: DataFrame, stamps: DataFrame) -> DataFrame:
-    """Lines of files whose time is not exactly the one stamped at their last sync (file_path, modified_at)."""
-    return found.join(stamps, ["file_path", "modified_at"], "left_anti")
+    """Files, or their lines, whose time is not exactly the one stamped at their last sync (file_path, modified_at)."""
+    return found.join(stamps.select("file_path", "modified_at"), ["file_path", "modified_at"], "left_anti")
 
 
 def parts_of(content: Column) -> Column:

@@ -35,11 +35,17 @@ class Report:
     lines: int
     messages: int
     bad: int
+    #: (folder, error) of the folders that could not be listed; the others are synced
+    errors: list[tuple[str, str]]
 
 
 def sync(spark: SparkSession, root: str, tables: Tables, now: Column, source: str = "transcripts", glob: str = "*.jsonl") -> tuple[Tables, Report]:
-    """The tables afterwards, and what was done. Files whose time has not changed are not parsed; messages are keyed by session and outside id."""
-    found = written(transcripts.changed(transcripts.lines(spark, root, glob), tables.stamps), "lines")
+    """The tables afterwards, and what was done. Files whose time has not changed are not opened; messages are keyed by session and outside id."""
+    listed, errors = transcripts.discover(spark, [root], glob)
+    if errors and (below := transcripts.folders(spark, root)):
+        listed, errors = transcripts.discover(spark, below, glob)
+    fresh = written(transcripts.changed(listed, tables.stamps), "files")
+    found = written(transcripts.read(spark, fresh), "lines")
     parsed, bad = transcripts.parse(found)
     parsed = written(transcripts.number(parsed), "parsed")
     owner = transcripts.sessions(parsed).select("file_path", "session_id", "parent_session_id")
@@ -51,6 +57,5 @@ def sync(spark: SparkSession, root: str, tables: Tables, now: Column, source: st
     merged = merge.merge_by_key(tables.sessions, one, ["session_id"]).drop("message_count", "content_chars")
     sessions = written(merged.join(stats, "session_id", "left").select(*tables.sessions.columns), "sessions")
     letters = written(merge.quarantine(tables.letters, transcripts.dead_letters(bad, source, now)), "letters")
-    stamps = written(merge.merge_by_key(tables.stamps, found.select("file_path", "modified_at").distinct(), ["file_path"], default=merge.overwrite), "stamps")
-    seen = found.agg(F.count_distinct("file_path"), F.count("*")).first()
-    return Tables(messages, sessions, letters, stamps), Report(seen[0], seen[1], parsed.count(), bad.count())
+    stamps = written(merge.merge_by_key(tables.stamps, fresh.select("file_path", "modified_at"), ["file_path"], default=merge.overwrite), "stamps")
+    return Tables(messages, sessions, letters, stamps), Report(fresh.count(), found.count(), parsed.count(), bad.count(), errors)
