@@ -111,12 +111,3 @@ def cosine_scores(vectors: DataFrame, queries: Sequence[Sequence[float]], id_col
     source = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
     schema = T.StructType([source.schema[id_col], T.StructField("query", T.LongType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(run, schema)
-
-
-def centroids(df: DataFrame, key: str, vector_col: str) -> DataFrame:
-    """(key, n, centroid): the mean of each key's vectors, of length one. Summed by key and place in map tasks, so a key with
-    very many vectors sends one row for each place and task."""
-    flat = df.where(F.col(vector_col).isNotNull()).select(key, F.posexplode(vector_col).alias("place", "x"))
-    means = flat.groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    whole = means.groupBy(key).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "m"))).alias("v"))
-    return whole.select(key, "n", normalise(F.col("v.m")).alias("centroid"))

@@ -62,43 +62,72 @@ def chunk_sessions(messages: DataFrame, most: int = CHUNK_CHARS, least: int = WH
     return chunk_texts(spoken.join(long, "session_id", "left_semi"), most)
 
 
+class Packer:
+    """Packs texts, in order, into chunks of at most `most` characters; a text too long for one is cut into pieces. What is held is the open chunk."""
+
+    def __init__(self, most: int = CHUNK_CHARS) -> None:
+        self.most, self.piece, self.room, self.index = most, most - PIECE_OVERHEAD, 0, 0
+        self.open: list[tuple[int, str]] = []  # (message, piece of its text)
+
+    def close(self) -> Iterator[tuple]:
+        """The open chunk, if any: (chunk_index, start_message_id, end_message_id, content_chars, n_pieces, text)."""
+        if self.open:
+            texts = [t for _, t in self.open]
+            yield self.index, self.open[0][0], self.open[-1][0], sum(map(len, texts)), len(texts), SEPARATOR.join(texts)
+            self.index, self.open = self.index + 1, []
+
+    def add(self, message: int, text: str) -> Iterator[tuple]:
+        """The chunks that are full now."""
+        for a in range(0, len(text), self.piece):
+            part = text[a : a + self.piece]
+            if len(part) + PIECE_OVERHEAD > self.room:
+                yield from self.close()
+                self.room = self.most
+            self.open.append((message, part))
+            self.room -= len(part) + PIECE_OVERHEAD
+
+
 def chunk_texts(rows: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """The same of all sessions of rows (session_id, id, sequence_num, text)."""
     schema = pa.schema([("session_id", pa.int64()), ("chunk_index", pa.int32()), ("start_message_id", pa.int64()), ("end_message_id", pa.int64()), ("content_chars", pa.int64()), ("n_pieces", pa.int32()), ("text", pa.string())])
-    piece = most - PIECE_OVERHEAD
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, index, room = None, 0, 0
-        chunk: list[tuple[int, str]] = []  # (message, piece of its text)
+        session, packer = None, Packer(most)
+        shown = lambda out: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
         for batch in batches:
             out: list[tuple] = []
-
-            def close(out=out) -> None:
-                nonlocal index, chunk
-                if chunk:
-                    out.append((session, index, chunk[0][0], chunk[-1][0], sum(len(t) for _, t in chunk), len(chunk), SEPARATOR.join(t for _, t in chunk)))
-                    index, chunk = index + 1, []
-
             for s, i, text in zip(*(batch.column(n).to_pylist() for n in ("session_id", "id", "text")), strict=True):
                 if s != session:
-                    close()
-                    session, index, room = s, 0, 0
-                for a in range(0, len(text), piece):
-                    part = text[a : a + piece]
-                    if len(part) + PIECE_OVERHEAD > room:
-                        close()
-                        room = most
-                    chunk.append((i, part))
-                    room -= len(part) + PIECE_OVERHEAD
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
-        if chunk:
-            last = (session, index, chunk[0][0], chunk[-1][0], sum(len(t) for _, t in chunk), len(chunk), SEPARATOR.join(t for _, t in chunk))
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, schema, strict=True)], schema=schema)
+                    out += [(session, *c) for c in packer.close()]
+                    session, packer = s, Packer(most)
+                out += [(session, *c) for c in packer.add(i, text)]
+            yield shown(out)
+        if last := [(session, *c) for c in packer.close()]:
+            yield shown(last)
 
     ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "sequence_num", "id")
     return ordered.select("session_id", "id", "text").mapInArrow(packed, CHUNKS)
 
 
+class ChunkMessages:
+    """The same as a table function: of a table (session_id, id, text) partitioned by session and in order, and the most characters of a chunk."""
+
+    def __init__(self) -> None:
+        self.session, self.packer = None, None
+
+    def eval(self, row, most: int):
+        if self.packer is None:
+            self.session, self.packer = row["session_id"], Packer(most)
+        if row["text"]:
+            for chunk in self.packer.add(row["id"], row["text"]):
+                yield self.session, *chunk
+
+    def terminate(self):
+        if self.packer is not None:
+            for chunk in self.packer.close():
+                yield self.session, *chunk
+
+
 def manifest(chunks: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
     """(session_id, chunk_index, start_message_id, end_message_id, content_chars, total_chunks, next_offset): a page of each session's chunk list; next_offset is null on the last."""
     total = chunks.groupBy("session_id").agg(F.count("*").alias("total_chunks"))
@@ -173,3 +202,40 @@ def refused(text: Column, summary: Column, prompt_tokens: Column | None = None,
     said = strip_thinking(summary)
     why = F.when(F.regexp_like(said, F.lit("^<[A-Za-z]")), "control marker").when(F.length(said) < LEAST_SUMMARY, "too short").when(F.length(said) >= F.length(text), "not shrunk")
     return F.when(prompt_tokens >= context - 64, "truncated").otherwise(why) if prompt_tokens is not None else why
+
+
+# --- attempts
+
+#: Texts of at most so many characters are their own summary if the model refuses them.
+LEAST_ATTEMPT = 50
+MOST_ATTEMPTS = 60
+
+
+def summarise_with_attempts(texts: DataFrame, summarise: Callable[[Column], Column], refused: Callable[[Column, Column], Column], rewrite: Callable[[Column], Column], least: int = LEAST_ATTEMPT, between: str = " ") -> DataFrame:
+    """(id, summary, attempts, reasons) of texts (id, text): what the model refuses comes again, rewritten at first, then in halves, until nothing is refused.
+
+    refused(text, said) is the reason, null where said will do. An attempt is a table, all texts of it at once, and the next one has what it refused; a half that is no longer than least
+    is its own summary, so it ends. A text's summary joins those of its parts in order. attempts is the number of the last attempt that it took, reasons are the different ones, sorted.
+    A null text is its own summary."""
+    part = texts.select("id", F.lit("").alias("part"), "text")
+    kept: list[DataFrame] = []
+    for attempt in range(MOST_ATTEMPTS):
+        said = part.select("id", "part", "text", summarise(F.col("text")).alias("said"))
+        tried = said.withColumn("why", refused(F.col("text"), F.col("said")))
+        short = F.coalesce(F.length("text") <= least, F.lit(True)) & (attempt > 1 if attempt else F.col("text").isNull())
+        done = F.col("why").isNull() | short
+        tried = written(tried.withColumn("done", done), "attempt")
+        kept.append(tried.select("id", "part", F.when(F.col("why").isNull(), F.col("said")).otherwise(F.col("text")).alias("said"), "done", F.lit(attempt + 1).alias("attempt"), "why"))
+        rest = tried.where("NOT done")
+        if rest.isEmpty():
+            break
+        half = F.floor(F.length("text") / 2).cast("int")
+        halves = F.array(F.struct(F.lit("0").alias("side"), F.substring("text", F.lit(1), half).alias("text")), F.struct(F.lit("1").alias("side"), F.substring("text", half + 1, F.length("text")).alias("text")))
+        part = rest.select("id", "part", rewrite(F.col("text")).alias("text")) if attempt == 0 else rest.select("id", "part", F.explode(halves).alias("h")).select("id", F.concat("part", "h.side").alias("part"), "h.text")
+    else:
+        raise RuntimeError("texts are still refused")
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    ordered = F.sort_array(F.collect_list(F.when(F.col("done"), F.struct("part", "said"))))
+    return every.groupBy("id").agg(F.array_join(ordered["said"], between).alias("summary"), F.max("attempt").alias("attempts"), F.sort_array(F.collect_set("why")).alias("reasons"))

@@ -345,7 +345,7 @@ def computed_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(table(spark, sf_dir, "embeddings").select("label", key("vec_id")), "k").select("doc_id", "label")
 
 
-@query("JOIN-10 JOIN-17 AGG-10", "SELECT n_name, customers, segments FROM nation JOIN (SELECT c_nationkey, count(*) AS customers, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+@query("JOIN-10 AGG-10", "SELECT n_name, customers, segments FROM nation JOIN (SELECT c_nationkey, count(*) AS customers, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
 def lateral_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ", ").alias("segments"))
     return table(spark, sf_dir, "nation").join(made, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "customers", "segments")
@@ -363,7 +363,7 @@ def ingest_merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.agg(F.count("*").alias("n"), F.count_distinct("id").alias("keys"), F.sum(F.length("content_text")).alias("chars"))
 
 
-@query("SNK-07", """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(o.n_chars, 0) + coalesce(n.n_chars, 0) AS n_chars FROM (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0) o
+@query("SNK-07 JOIN-17", """SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(o.n_chars, 0) + coalesce(n.n_chars, 0) AS n_chars FROM (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0) o
 FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' END AS source, n_chars FROM documents WHERE doc_id % 5 <> 0) n USING (doc_id)""")
 def upsert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
@@ -371,7 +371,7 @@ def upsert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_by_key(docs.where("doc_id % 3 <> 0"), new, ["doc_id"], {"n_chars": merge.add})
 
 
-@query("SNK-07", "SELECT user_id AS message_id, (count(*) FILTER (event_type = 'error') + user_id % 4)::BIGINT AS retry_count FROM events GROUP BY 1, user_id % 4")
+@query("SNK-07 JOIN-17", "SELECT user_id AS message_id, (count(*) FILTER (event_type = 'error') + user_id % 4)::BIGINT AS retry_count FROM events GROUP BY 1, user_id % 4")
 def unembeddable_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     errors = rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wharfline.data import MESSAGES_SQL, SESSIONS_SQL, messages, sessions, table
 from wharfline.functions import text, vectors
-from wharfline.operators import reading, retrieval
+from wharfline.operators import centroids, reading, retrieval
 from wharfline.plans.registry import query
 from wharfline.storage import written
 
@@ -58,7 +58,7 @@ means AS (SELECT label, place, avg(x::DOUBLE) AS m FROM flat GROUP BY ALL), c AS
 
 @query("AGG-15 VEC-03", f"WITH {CENTROIDS_SQL} SELECT c.label::INTEGER AS label, n, round(v[1] / len, 6) AS first, round(v[64] / len, 6) AS last FROM c JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)")
 def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = vectors.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    made = centroids.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return made.select("label", "n", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.get("centroid", F.lit(63)), 6).alias("last"))
 
 
@@ -69,7 +69,7 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS sco
 )
 def centroid_steered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    made = vectors.centroids(rows, "label", "embedding")
+    made = centroids.centroids(rows, "label", "embedding")
     like, unlike = retrieval.resolve_centroids(made, ["1:0.5", "none"], "label"), retrieval.resolve_centroids(made, ["2"], "label")
     near = retrieval.knn(rows, vectors.compose(like=like, unlike=unlike, dimension=64), 10, "vec_id")
     return near.select("vec_id", F.round("score", 6).alias("score"))

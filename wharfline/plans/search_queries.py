@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from wharfline.api import Library
 from wharfline.data import MESSAGES_SQL, SESSIONS_SQL, messages, sessions, table
-from wharfline.functions import english, paths, text, vectors
-from wharfline.operators import reading, retrieval
+from wharfline.functions import english, paths, text
+from wharfline.functions.register import register
+from wharfline.operators import centroids, reading, retrieval
 from wharfline.plans import english_sql
 from wharfline.plans.registry import query
+from wharfline.plans.retrieval_queries import PACKED_SQL
 from wharfline.storage import written
 
 @query("RET-03", f"WITH {english_sql.lexemes('documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(terms, ' ') AS terms, list_sum(places)::BIGINT AS places FROM lexed")
@@ -58,7 +60,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> retrieval.Corpus:
         (F.col("session_id") % 7 == 3).alias("is_automated"), F.when(F.col("session_id") % 13 == 5, F.col("started_at")).alias("deleted_at"),
     )
     tier = lambda session: rows.select(F.col("vec_id").alias("id"), session.alias("session_id"), "embedding", F.lit(None).cast("string").alias("raw"))
-    made = vectors.centroids(rows, "label", "embedding").select(F.col("label").alias("session_id"), "centroid")
+    made = centroids.centroids(rows, "label", "embedding").select(F.col("label").alias("session_id"), "centroid")
     return retrieval.Corpus(s, messages(spark, sf_dir), {"session": tier(F.col("vec_id")), "message": tier(F.floor(F.col("vec_id") / 10))}, made, made.withColumnRenamed("session_id", "project_id"))
 
 
@@ -236,13 +238,29 @@ def summaries_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", reading.refused(t, said, tokens).alias("refused"))
 
 
-@query("TXT-09 TXT-17 TXT-08", f"""WITH {MESSAGES_SQL}, p AS (SELECT session_id, sequence_num, id, '[' || upper(role) || ']: ' || content_text AS text FROM messages WHERE length(content_text) > 0), j AS (SELECT session_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY sequence_num, id) AS text FROM p GROUP BY 1)
+@query("TXT-09 TXT-08", f"""WITH {MESSAGES_SQL}, p AS (SELECT session_id, sequence_num, id, '[' || upper(role) || ']: ' || content_text AS text FROM messages WHERE length(content_text) > 0), j AS (SELECT session_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY sequence_num, id) AS text FROM p GROUP BY 1)
 SELECT session_id, CASE WHEN length(text) <= 1500 THEN text ELSE substr(text, 1, 300) END AS summary, 0 AS level FROM j""")
 def summaries_in_one_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short sessions are their own summary, others take one call; the stand-in for the model keeps the first 300 characters."""
     return reading.summary_tree(messages(spark, sf_dir), lambda t: F.substring(t, 1, 300), 10**9, 1500)
 
 
+REFUSED = 300
+
+
+@query("TXT-17", f"""WITH RECURSIVE p AS (SELECT doc_id, '' AS part, text AS t, 1 AS attempt FROM documents UNION ALL
+  SELECT doc_id, CASE WHEN attempt = 1 THEN part ELSE part || side END, CASE WHEN attempt = 1 THEN regexp_replace(t, '[.,]? +', ' ', 'g') WHEN side = '0' THEN left(t, length(t) // 2) ELSE substr(t, length(t) // 2 + 1) END, attempt + 1
+  FROM p, (VALUES ('0'), ('1')) x(side) WHERE length(t) > {REFUSED} AND (attempt > 1 OR side = '0')),
+n AS (SELECT doc_id, max(attempt) AS attempts FROM p GROUP BY 1) SELECT doc_id, string_agg(left(t, 20), ' ' ORDER BY part) AS summary, any_value(attempts)::INTEGER AS attempts, CASE WHEN any_value(attempts) > 1 THEN 'too long' ELSE '' END AS reasons
+FROM p JOIN n USING (doc_id) WHERE length(t) <= {REFUSED} GROUP BY doc_id""")
+def summaries_after_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in for the model keeps the first 20 characters and refuses long texts: they come again with less punctuation, then in halves, until none is refused."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    refused = lambda t, said: F.when(F.length(t) > REFUSED, "too long")
+    done = reading.summarise_with_attempts(texts, lambda t: F.substring(t, 1, 20), refused, lambda t: F.regexp_replace(t, "[.,]? +", " "))
+    return done.select(F.col("id").alias("doc_id"), "summary", "attempts", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("TXT-09 TXT-05")
 def summaries_in_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sessions go through several levels; tests hold it against a plain version."""
@@ -278,3 +296,15 @@ def best_of_each_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
     arm = written(top.select((F.col("doc_id") % 50).alias("session_id"), F.col("doc_id").alias("id"), "rank"), "arm")
     return retrieval.once_per(arm)
+
+
+@query("UDF-07 TXT-05", f"""{PACKED_SQL}, {english_sql.lexemes("packed_rows", "k", "text").replace("words AS", "packed_rows AS (SELECT *, session_id * 100000 + chunk_index AS k FROM packed), words AS", 1)}
+SELECT session_id, chunk_index, start_message_id, end_message_id, content_chars, n_pieces, len(terms)::INTEGER AS n_terms FROM packed_rows JOIN lexed USING (k)""")
+def functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered functions in a statement: messages packed by a table function, and each chunk's English terms counted."""
+    register(spark)
+    said = messages(spark, sf_dir).where(F.length("content_text") > 0).select("session_id", "sequence_num", "id", F.concat(F.lit("["), F.upper("role"), F.lit("]: "), F.col("content_text")).alias("text"))
+    long = said.groupBy("session_id").agg(F.sum(F.length("text") + reading.PIECE_OVERHEAD).alias("n")).where("n > 500").select("session_id")
+    said.join(long, "session_id", "left_semi").createOrReplaceTempView("said_for_chunks")
+    return spark.sql("""SELECT session_id, chunk_index, start_message_id, end_message_id, content_chars, n_pieces, size(english_terms(text)) AS n_terms
+FROM chunk_messages(TABLE(said_for_chunks) PARTITION BY session_id ORDER BY (sequence_num, id), 1000)""")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.data import MESSAGES_SQL, SESSIONS_SQL, messages, sessions, table
-from wharfline.functions import vectors
-from wharfline.operators import links, merge, upkeep
+from wharfline.operators import centroids, links, merge, upkeep
 from wharfline.plans.registry import query
 from wharfline.storage import shared_folder, written
 
@@ -105,7 +104,7 @@ n AS (SELECT 'session' AS kind, vec_id % 5 AS k, count(*) AS n FROM embeddings G
 def centroids_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of sessions and of projects, written beside their keys and read again."""
     rows = table(spark, sf_dir, "embeddings").withColumn("session", F.col("vec_id") % 5)
-    made = [vectors.centroids(rows, key, "embedding").select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("k"), "n", "centroid") for kind, key in (("session", "session"), ("project", "label"))]
+    made = [centroids.centroids(rows, key, "embedding").select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("k"), "n", "centroid") for kind, key in (("session", "session"), ("project", "label"))]
     back = written(made[0].unionByName(made[1]), "centroids")
     return back.select("kind", "k", "n", F.round(F.get("centroid", F.lit(0)), 6).alias("first"))
 
