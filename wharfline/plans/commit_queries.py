@@ -10,6 +10,7 @@ from wharfline.operators import centroids, manifest
 from wharfline.plans.registry import query
 from wharfline.plans.source_queries import PAYLOAD_SQL, _payloads
 from wharfline.storage import shared_folder
+from wharfline.streaming import quiet
 from wharfline.streaming.spool import Spool
 
 
@@ -61,3 +62,17 @@ def centroids_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = moved.withColumn("label", F.expr("(label + 1) % 10").cast(rows.schema["label"].dataType))
     made = centroids.final(centroids.applied(state, "label", "embedding", added, moved), "label")
     return made.select(F.col("label").cast("int").alias("label"), "n", F.round(F.get("centroid", F.lit(0)), 6).alias("first"), F.round(F.get("centroid", F.lit(63)), 6).alias("last"))
+
+
+@query("STM-05 STM-07 STM-15", """WITH m AS (SELECT user_id, ts, length(props) AS chars, lead(ts) OVER w AS following, sum(length(props)) OVER w AS so_far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+e AS (SELECT *, max(ts) OVER (PARTITION BY user_id, ts) AS x, max(so_far) OVER (PARTITION BY user_id, ts) AS total FROM m)
+SELECT user_id AS session_id, ts AS ended_at, total::BIGINT AS content_chars FROM e WHERE (following IS NULL OR following - ts >= INTERVAL 30 MINUTES) AND ts + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def sessions_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream that is stopped in the middle and started again: every time that a user has been quiet for half an hour, with the characters until then."""
+    source, path, checkpoint = (shared_folder(spark, n) for n in ("said", "due", "due-checkpoint"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at"), F.length("props").alias("chars"))
+    middle = rows.agg(F.percentile_approx(F.unix_micros("at"), 0.5)).first()[0]
+    for part in (F.unix_micros("at") <= middle, F.unix_micros("at") > middle):
+        rows.where(part).write.mode("append").parquet(source)
+        quiet.run_due_sessions(spark.readStream.schema(rows.schema).parquet(source), path, checkpoint)
+    return spark.read.schema(quiet.DUE).parquet(path).select("session_id", F.col("ended_at").cast("timestamp_ntz").alias("ended_at"), "content_chars")
