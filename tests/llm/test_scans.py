@@ -1,5 +1,6 @@
 """Secrets, personal data and decontamination against plain versions."""
 
+import random
 import time
 
 import plain
@@ -191,3 +192,36 @@ def test_many_matches_in_one_text(spark, kind):
     run(10)
     one, two = run(20_000), run(40_000)
     assert two < 2.5 * one + 1
+
+
+@pytest.mark.parametrize("many", [0, 1, 1000])
+def test_frequent_pieces(monkeypatch, many):
+    """Items that share phrases: the same runs and items however a piece is looked up."""
+    monkeypatch.setattr(decontaminate, "MANY", many)
+    rnd = random.Random(many)
+    word = lambda: rnd.choice("abc")
+    block = [(str(k), " ".join(word() for _ in range(rnd.randrange(1, 40))).encode()) for k in range(60)]
+    found = decontaminate.Automaton(block, 10)
+    for _ in range(200):
+        w = [word().encode() for _ in range(rnd.randrange(0, 60))]
+        runs, items = found.hits(w)
+        hit, wanted = set(), set()
+        for item, line in block:
+            parts = line.split()
+            n = min(10, len(parts))
+            windows = {tuple(parts[k : k + n]) for k in range(len(parts) - n + 1)}
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    wanted.add(item)
+        assert {x for a, b in runs for x in range(a, b)} == hit and items == wanted
+
+
+def test_time_of_a_phrase_that_all_items_begin_with():
+    block = [(str(k), f"which of the following is number {k} of those that were named in the list above".encode()) for k in range(16_000)]
+    found = decontaminate.Automaton(block, 10)
+    w = b"which of the following is a good thing to say here and there ".split() * 200
+    began = time.time()
+    assert found.hits(w) == ([], set())
+    assert time.time() - began < 0.5
+    assert found.hits(block[77][1].split())[1] == {"77"}

@@ -41,6 +41,8 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(NORMAL).split()
 
 
+#: A piece at more places than this, such as a phrase that many items begin with, is not compared with what stands beside each of them: the windows around it are looked up.
+MANY = 32
 BASE = 64
 #: Digits begin at the third character: the first is what stands for unknown words, the second for the end of an item.
 UNKNOWN, END, ZERO = "\0", "\1", 2
@@ -75,9 +77,18 @@ class Automaton:
             self.ids.append(item)
             at += len(w) + 1
         self.flat, self.starts = END * self.width + "".join(lines) + END * self.width, np.array(starts, np.int64)
+        self.windows: dict[str, set[int]] = defaultdict(set)  # those around pieces of more than MANY places: the items that have them
+        stops = [*starts[1:], at]
+        for key, found in places.items():
+            if len(found) > MANY:
+                for p in found:
+                    item = int(np.searchsorted(self.starts, p, "right")) - 1
+                    for start in range(max(starts[item], p - window + self.piece), min(p, stops[item] - 1 - window) + 1):
+                        self.windows[self.flat[(start + 1) * self.width : (start + 1 + window) * self.width]].add(item)
+                places[key] = None
         self.found = ahocorasick.Automaton()
         for key in {**places, **self.short}:
-            self.found.add_word(key, (key if key in self.short else None, places[key] if key in places else ()))
+            self.found.add_word(key, (key if key in self.short else None, places.get(key, ())))
         if len(self.found):
             self.found.make_automaton()
 
@@ -89,7 +100,7 @@ class Automaton:
         if not len(self.found):
             return [], set()
         text, flat, width = self.coded(w), self.flat, self.width
-        runs, items, beside = [], set(), self.window - self.piece
+        runs, items, seen, beside = [], set(), set(), self.window - self.piece
         for at, (short, places) in self.found.iter(text):
             end, rest = divmod(at + 1, width)
             if rest:
@@ -99,6 +110,15 @@ class Automaton:
                 runs.append((end - n, end))
                 items.update(ids)
             begin = end - self.piece
+            if places is None:
+                for first in range(max(0, begin - beside), min(begin, len(w) - self.window) + 1):
+                    code = text[first * width : (first + self.window) * width]
+                    if code in self.windows:
+                        runs.append((first, first + self.window))
+                        if code not in seen:
+                            seen.add(code)
+                            items.update(self.ids[i] for i in self.windows[code])
+                continue
             for p in places:
                 left = right = 0
                 # flat begins with an END, so its word p has place p + 1
