@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wharfline.data import MESSAGES_SQL, messages, table
-from wharfline.operators import centroids, manifest
+from wharfline.operators import centroids, digests, manifest
 from wharfline.plans.registry import query
 from wharfline.plans.source_queries import PAYLOAD_SQL, _payloads
 from wharfline.storage import shared_folder
@@ -76,3 +76,13 @@ def sessions_due(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(part).write.mode("append").parquet(source)
         quiet.run_due_sessions(spark.readStream.schema(rows.schema).parquet(source), path, checkpoint)
     return spark.read.schema(quiet.DUE).parquet(path).select("session_id", F.col("ended_at").cast("timestamp_ntz").alias("ended_at"), "content_chars")
+
+
+@query("JOIN-16 SET-04 ANA-24", "SELECT vec_id AS doc_id, 'orphan' AS kind FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'missing' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def orphans_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors without a label and labels without a vector, found through the digests of both stores."""
+    stores = []
+    for rows in (table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), table(spark, sf_dir, "labels").select("doc_id").distinct()):
+        stores.append(digests.Store(spark, shared_folder(spark, "store"), "doc_id"))
+        stores[-1].append(rows)
+    return digests.differences(*stores)
