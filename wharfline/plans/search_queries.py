@@ -50,8 +50,8 @@ def search_session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLASSES = ("coding", "personal", "work")
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> retrieval.Corpus:
-    """Sessions with classes dealt by project, some automated and some deleted; vectors stand for sessions and, ten to a session, for messages."""
+def _corpus(spark: SparkSession, sf_dir: str, chunks: bool = False) -> retrieval.Corpus:
+    """Sessions with classes dealt by project, some automated and some deleted; vectors stand for sessions, ten to a session for messages and, if asked for, five to a session for chunks."""
     rows = table(spark, sf_dir, "embeddings")
     s = sessions(spark, sf_dir)
     named = F.get(F.array(*[F.lit(c) for c in CLASSES]), (F.col("project_id") % 3).cast("int"))
@@ -61,23 +61,24 @@ def _corpus(spark: SparkSession, sf_dir: str) -> retrieval.Corpus:
     )
     tier = lambda session: rows.select(F.col("vec_id").alias("id"), session.alias("session_id"), "embedding", F.lit(None).cast("string").alias("raw"))
     made = centroids.centroids(rows, "label", "embedding").select(F.col("label").alias("session_id"), "centroid")
-    return retrieval.Corpus(s, messages(spark, sf_dir), {"session": tier(F.col("vec_id")), "message": tier(F.floor(F.col("vec_id") / 10))}, made, made.withColumnRenamed("session_id", "project_id"))
+    arms = {"session": tier(F.col("vec_id")), **({"chunk": tier(F.floor(F.col("vec_id") / 5))} if chunks else {}), "message": tier(F.floor(F.col("vec_id") / 10))}
+    return retrieval.Corpus(s, messages(spark, sf_dir), arms, made, made.withColumnRenamed("session_id", "project_id"))
 
 
 COSINE_OF = "list_cosine_similarity(embedding::DOUBLE[], {0})"
 VECTOR_0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 
 
-def _search_sql(where: str, limit: int, wide: int, vector: str | None, terms: list[str] | None, match: str = "TRUE", boost: str = "FALSE", before: str = "") -> str:
+def _search_sql(where: str, limit: int, wide: int, vector: str | None, terms: list[str] | None, match: str = "TRUE", boost: str = "FALSE", before: str = "", tiers: tuple = ((0, "vec_id", 2), (2, "vec_id // 10", 3))) -> str:
     arms = []
     ctes = [f"""{SESSIONS_SQL}, ok AS (SELECT *, coalesce({boost}, FALSE) AS here FROM (SELECT *, ['coding', 'personal', 'work'][project_id % 3 + 1] AS data_class, '/w/p' || project_id AS project_path FROM sessions WHERE session_id % 13 <> 5) WHERE summary IS NOT NULL AND {where})"""]
     if before:
         ctes.append(before)
     if vector:
-        for n, (key, factor) in enumerate((("vec_id", 2), ("vec_id // 10", 3))):
+        for n, key, factor in tiers:
             cos = COSINE_OF.format(vector)
             ctes.append(f"near{n} AS (SELECT vec_id AS id, ({key})::BIGINT AS session_id, row_number() OVER (ORDER BY {cos} DESC, vec_id) AS r FROM embeddings QUALIFY r <= {limit * factor * wide})")
-            ctes.append(f"arm{n} AS (SELECT session_id, id AS message_id, row_number() OVER (ORDER BY r) AS rank, {(0, 2)[n]} AS arm_priority FROM (SELECT * FROM near{n} WHERE session_id IN (SELECT session_id FROM ok) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r) = 1))")
+            ctes.append(f"arm{n} AS (SELECT session_id, id AS message_id, row_number() OVER (ORDER BY r) AS rank, {n} AS arm_priority FROM (SELECT * FROM near{n} WHERE session_id IN (SELECT session_id FROM ok) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY r) = 1))")
             arms.append(f"SELECT * FROM arm{n}")
     if terms:
         ctes.append(_ranked_sql("messages", "id", "content_text", terms, match, 10**9, "id, session_id"))
@@ -116,6 +117,16 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, query="tion or onan", mode="text", limit=5, source="source1", exclude_terms="wh")
 
 
+TIERS = ((0, "vec_id", 2), (1, "vec_id // 5", 3), (2, "vec_id // 10", 3))
+
+
+@query("RET-13 SRT-07 RET-11 WIN-05", _search_sql("session_id % 7 <> 3", 12, 1, VECTOR_0, ["tion", "onan"], SAID, tiers=TIERS))
+def search_all_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, chunks, messages and text: a session that only a chunk of it speaks for is found as such."""
+    hits = retrieval.search(_corpus(spark, sf_dir, chunks=True), retrieval.SearchParams(query="tion or onan", vector=_vector(spark, sf_dir), classes=["*"], limit=12))
+    return hits.select("session_id", "project_id", "data_class", F.round("score", 6).alias("score"), "matched_tier", "message_id", F.col("snippet").isNotNull().alias("has_headline"))
+
+
 CENTROID = """flat AS (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS place FROM embeddings), means AS (SELECT label, place, avg(x::DOUBLE) AS m FROM flat GROUP BY ALL), cent AS (SELECT label, list(m ORDER BY place) AS v, sqrt(sum(m * m)) AS len FROM means GROUP BY label),
 q AS (SELECT list_transform(range(1, 65), lambda i: 0.5 * a.v[i] / a.len - 0.2 * b.v[i] / b.len) AS v FROM cent a, cent b WHERE a.label = 1 AND b.label = 2)"""
 
