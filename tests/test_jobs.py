@@ -115,3 +115,21 @@ def test_render(spark):
 def test_stand_down_is_clamped(spark, tmp_path, minutes):
     until = control.stand_down(spark, f"file://{tmp_path}/c", NOW, minutes)
     assert timedelta(minutes=1) <= until - NOW <= timedelta(minutes=240)
+
+
+def test_texts_of_columns(spark):
+    one = spark.range(1)
+    said = lambda c: one.select(c.alias("t")).first().t
+    assert [said(render.age(F.lit(n).cast("long"))) for n in (None, 0, 59, 60, 3599, 3600, 86399, 86400, 200000)] == ["never", "0s ago", "59s ago", "1m ago", "59m ago", "1h ago", "23h ago", "1d ago", "2d ago"]
+    entry = lambda k, s: F.struct(F.lit(k).alias("chunk_index"), F.lit(10 * k).alias("start_message_id"), F.lit(10 * k + 9).alias("end_message_id"), F.lit(500).alias("content_chars"), F.lit(s).alias("summary"))
+    assert said(render.chunk(F.lit(7), entry(1, "About it."))) == "chunk [1] of session 7, messages 10-19, 500 chars\n\nAbout it."
+    at = F.expr("timestamp_ntz '2024-05-06 07:00:00'")
+    page = render.digest(F.lit(7), F.lit("Parser"), F.lit(2), at, F.lit(40), F.lit("Fixed."), F.lit(None).cast("string"), F.array(entry(2, " two \n lines"), entry(3, "x")), 2, F.lit(6))
+    assert said(page) == "# Parser\nsession 7 | project 2 | 2024-05-06 | 40 messages\n\n## Summary\nFixed.\n\n## Chunks 2-3 of 6\n- [2] messages 20-29, 500 chars: two lines\n- [3] messages 30-39, 500 chars: x\nmore chunks from 4"
+    bare = render.digest(F.lit(8), F.lit(None).cast("string"), F.lit(2), at, F.lit(1), F.lit(None).cast("string"), F.lit("said"), F.lit(None).cast("array<struct<chunk_index:int,start_message_id:int,end_message_id:int,content_chars:int,summary:string>>"), 0, F.lit(0))
+    assert said(bare) == "# Session 8 (no title yet)\nsession 8 | project 2 | 2024-05-06 | 1 messages\n\n## Excerpt (no summary yet)\nsaid\n\nno chunks: read the whole session"
+    state = render.health({"sessions": F.lit(9), "coverage": F.lit("88.9%")}, {"loopy": F.lit(0), "refusal": F.lit(2)}, {"newest session vector": F.lit(90), "newest message vector": F.lit(None).cast("long")})
+    assert said(state) == "# Health\n- sessions: 9\n- coverage: 88.9%\n- bad summaries:\n  - refusal: 2\n- newest session vector: 1m ago\n- newest message vector: never"
+    assert said(render.health({}, {"loopy": F.lit(0)}, {})) == "# Health\n- bad summaries:\n  - none"
+    row = {"title": F.lit(""), "session_id": F.lit(3), "source_name": F.lit("s"), "started_at": at, "matched_tier": F.lit("chunk"), "score": F.lit(0.51234), "snippet": F.lit("so")}
+    assert said(render.hit(F.lit(1), row, F.lit(True))) == "1. (untitled) [CURRENT PROJECT]\n   session 3, s, 2024-05-06, chunk, score 0.512\n   so"

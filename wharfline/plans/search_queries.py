@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wharfline import render
 from wharfline.api import Library
 from wharfline.data import MESSAGES_SQL, SESSIONS_SQL, messages, sessions, table
 from wharfline.functions import english, paths, text
@@ -237,6 +238,23 @@ def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", line(F.col("session_id"), F.col("title"), F.col("project_id") == 2, F.col("source_name"), F.col("started_at"), F.col("message_count")).alias("line"))
 
 
+SHOWN_SQL = f"""{PACKED_SQL.replace('WITH RECURSIVE ' + MESSAGES_SQL, 'WITH RECURSIVE ' + SESSIONS_SQL)}, c AS (SELECT session_id, string_agg('- [' || chunk_index || '] messages ' || start_message_id || '-' || end_message_id || ', ' || content_chars || ' chars: '
+  || trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g')), chr(10) ORDER BY chunk_index) FILTER (chunk_index < 2) AS lines, count(*) AS total FROM packed GROUP BY 1)"""
+
+
+@query("TXT-18 RET-18 RET-15", f"""{SHOWN_SQL} SELECT session_id, '# ' || coalesce(title, 'Session ' || session_id || ' (no title yet)') || chr(10) || 'session ' || session_id || ' | project ' || project_id || ' | ' || strftime(started_at, '%Y-%m-%d') || ' | ' || message_count || ' messages' || chr(10) || chr(10)
+|| CASE WHEN summary <> '' THEN '## Summary' || chr(10) || summary ELSE '## Summary' || chr(10) || 'none' END || chr(10) || chr(10)
+|| CASE WHEN total IS NULL THEN 'no chunks: read the whole session' ELSE CASE WHEN total > 2 THEN '## Chunks 0-1 of ' || total ELSE '## Chunks' END || chr(10) || lines || CASE WHEN total > 2 THEN chr(10) || 'more chunks from 2' ELSE '' END END AS shown FROM sessions LEFT JOIN c USING (session_id)""")
+def digests_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session as a page of text, with the first two of its chunks."""
+    packed = reading.chunk_sessions(messages(spark, sf_dir), most=1000, least=500)
+    entry = F.struct("chunk_index", "start_message_id", "end_message_id", "content_chars", F.substring("text", 1, 60).alias("summary"))
+    of = packed.groupBy("session_id").agg(F.sort_array(F.collect_list(F.when(F.col("chunk_index") < 2, entry))).alias("chunks"), F.count("*").alias("total"))
+    rows = sessions(spark, sf_dir).join(of, "session_id", "left")
+    shown = render.digest(F.col("session_id"), F.col("title"), F.col("project_id"), F.col("started_at"), F.col("message_count"), F.col("summary"), F.lit(None).cast("string"), F.col("chunks"), 0, F.coalesce("total", F.lit(0)))
+    return rows.select("session_id", shown.alias("shown"))
+
+
 # --- summaries
 
 
