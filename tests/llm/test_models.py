@@ -224,6 +224,77 @@ def test_bare_pages_held_out():
     assert wrong / sum(map(len, pages)) < 0.01
 
 
+HAN = "这是一个相当长的段落，里面有逗号，也有句号。它继续讲述故事，就像所有的故事一样，直到最后一句话为止。"
+THAI = "นี่คือย่อหน้าที่ค่อนข้างยาวของเรื่อง มีหลายประโยคและดำเนินต่อไปเรื่อยๆ เหมือนกับเรื่องราวทั่วไปจนถึงประโยคสุดท้าย"
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        (f"<div><a href=a>首页</a> <a href=b>新闻</a></div><div class=x>{f'<div>{HAN}</div>' * 10}</div><div>© 2020 公司</div>", "\n\n".join([HAN] * 10)),
+        (f"<div><a href=a>หน้าแรก</a></div><div class=x>{f'<div>{THAI}</div>' * 10}</div><div>© 2020</div>", "\n\n".join([THAI] * 10)),
+        ("<div><a href=x>Home</a></div><div>The shop is closed today.</div>", "The shop is closed today."), ("<div><a href=x>首页</a></div><div>今天商店关门。</div>", "今天商店关门。"),
+        (f"<article><h1>T</h1><p>{LONG}</p><footer>Filed under news</footer></article>", f"T\n\n{LONG}"), ("<article><p>a</p <p>b</p></article>", "a\n\nb"),
+        ("a text without any tag", "a text without any tag"), (f"{LONG} {LONG}", f"{LONG} {LONG}"), (HAN, HAN),
+    ],
+)
+def test_main_text_of_scripts_short_pages_and_broken_tags(page, wanted):
+    assert html_extract.main_text(page, html_extract.default_field()) == wanted
+
+
+def test_short_pages_held_out():
+    model, rng = html_extract.default_field(), random.Random(97)
+    pages = [html_extract.short_page(rng) for _ in range(300)]
+    wrong = sum(y != b.label for p in pages for y, b in zip(html_extract.viterbi(model.scores(p), model.pair), p, strict=True))
+    assert wrong / sum(map(len, pages)) < 0.01
+
+
+def test_scores_are_sums_of_features_and_viterbi_finds_the_best_chain():
+    import itertools
+
+    model, rng = html_extract.default_field(), random.Random(5)
+    for make in (html_extract.labelled_page, html_extract.bare_page, html_extract.short_page) * 10:
+        blocks = make(rng)
+        scores = model.scores(blocks)
+        found = html_extract.features(blocks)
+        assert all(len(set(fs)) == len(fs) for fs in found)
+        assert scores == pytest.approx([sum(model.weight.get(f, 0.0) for f in fs) for fs in found])
+        for at in range(0, len(scores), 8):
+            some = scores[at : at + 8]
+            worth = lambda ys: sum(s for s, y in zip(some, ys) if y) + sum(model.pair[a][b] for a, b in zip(ys, ys[1:]))  # noqa: B023, B905, E731
+            assert worth(html_extract.viterbi(some, model.pair)) == pytest.approx(max(map(worth, itertools.product((0, 1), repeat=len(some)))))
+
+
+def test_elements_know_their_path():
+    """What is kept with elements is what a walk over the path finds."""
+    blocks = html_extract.leaf_blocks("<main class='a b'><div id=a>one<section class=c>two</section><form class='b d'><p>three</div>four</main>five")
+    assert [b.text for b in blocks] == ["one", "two", "three", "four", "five"]
+    for b, fs in zip(blocks, html_extract.features(blocks), strict=True):
+        path, e = [], b.at
+        while e:
+            path.append(e)
+            e = e.parent
+        assert [e.depth for e in path] == list(range(len(path), 0, -1))
+        tags = {e.tag for e in path}
+        assert {f for f in fs if f.startswith("in=")} == {f"in={t}" for t in tags & html_extract.TELLING}
+        assert ("framed" in fs) == bool(tags & html_extract.FRAMES) and ("in" in fs) == bool(tags & {"article", "main"})
+    names = [len([f for f in fs if f.startswith("class=")]) for fs in html_extract.features(blocks)]
+    assert names == [2, 3, 3, 2, 0]
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<div class='c{0} x'>", "<section id=a{0}>x "])
+def test_time_grows_with_a_page_not_with_its_depth(opened):
+    import time
+
+    model, took = html_extract.default_field(), []
+    for n in (20_000, 80_000):
+        page = "".join(opened.format(i) for i in range(n)) + "end"
+        begin = time.process_time()
+        html_extract.main_text(page, model)
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_extraction_edges(spark):
     """Nulls in any column, repeated rows, clashing columns, a very long page, an empty table."""
     long = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article><div class='x'" + " y='<'" * 20_000
