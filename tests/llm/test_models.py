@@ -481,6 +481,50 @@ def test_warc_files_and_index(spark, tmp_path):
     assert [r.page_id for r in warc.read_back(done, index.where("archive like '%a.warc.gz' and n = 2")).collect()] == [2]
 
 
+def test_warc_of_other_makers(spark, tmp_path):
+    """Records of other kinds, payloads in HTTP messages, revisits that tell no size, digests of another scheme, archives that break off or hold something else."""
+    import gzip
+
+    def made(kind, number, block, *more):
+        head = [b"WARC/1.0", f"WARC-Type: {kind}".encode(), f"WARC-Record-ID: <urn:uuid:{number}>".encode(), *more, f"Content-Length: {len(block)}".encode()]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http, body = b"Content-Type: application/http; msgtype=response", b"<p>caf\xc3\xa9</p>\r\n\r\n<p>two"
+    whole = [
+        made("warcinfo", 0, b"software: other"), made("request", 1, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b"Content-Type: application/http; msgtype=request"),
+        made("response", 2, b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body, http, b"WARC-Target-URI: http://a/"), made("resource", 3, b"raw", b"no header"),
+        made("revisit", 4, b"HTTP/1.1 200 OK\r\n\r\n", http, b"WARC-Refers-To: <urn:uuid:2>", b"WARC-Payload-Digest: sha1:ABC"), made("revisit", 5, b"", b"WARC-Refers-To: <urn:uuid:99>"),
+    ]
+    (tmp_path / "in").mkdir()
+    files = {"whole": gzip.compress(b"".join(whole)), "members": b"".join(map(gzip.compress, whole)), "cut": gzip.compress(b"".join(whole))[:-40], "short": gzip.compress(whole[0] + whole[2][:-9]),
+             "foreign": gzip.compress(whole[0] + b"something else\r\n\r\n"), "junk": b"no gzip"}
+    for name, content in files.items():
+        (tmp_path / f"in/{name}.warc.gz").write_bytes(content)
+    done = warc.normalise(warc.read_files(spark, str(tmp_path / "in")))
+    state = {r.archive.rsplit("/", 1)[1].split(".")[0]: (len(r.offsets), r.broken) for r in done.collect()}
+    assert state["whole"] == state["members"] == (6, None)
+    assert state["short"] == (1, "the archive ends within a record") and state["foreign"] == (1, "a record without a length")
+    assert state["junk"][0] == 0 and state["junk"][1].startswith("the archive cannot be inflated") and state["cut"][0] < 6 and state["cut"][1]
+    one = done.where("archive like '%whole.warc.gz'")
+    sha = hashlib.sha256(body).hexdigest()
+    rows = {r.record_id: r for r in warc.read_records(one, warc.sidecar(one)).collect()}
+    assert [rows[f"<urn:uuid:{n}>"].record_type for n in range(6)] == ["warcinfo", "request", "response", "resource", "revisit", "revisit"]
+    got = rows["<urn:uuid:2>"]
+    assert (got.page_id, got.payload_bytes, got.payload_digest, got.target_uri) == (None, len(body), sha, "http://a/")
+    assert (rows["<urn:uuid:3>"].payload_bytes, rows["<urn:uuid:4>"].payload_bytes, rows["<urn:uuid:4>"].payload_digest) == (3, None, None)
+    full = {r.record_id: (r.payload_bytes, r.payload_digest) for r in warc.resolved(warc.read_records(one)).collect()}
+    assert len(full) == 6 and full["<urn:uuid:4>"] == (len(body), sha) and full["<urn:uuid:5>"] == (None, None)
+
+
+def test_warc_records_are_of_the_format():
+    data = warc.record(7, "http://a/\nb", b"<p>x", "d" * 64, "revisit", 3, "2024-01-02T03:04:05Z")
+    head, _, rest = data.partition(b"\r\n\r\n")
+    headers = warc.headers_of(head)
+    assert {"warc-type", "warc-record-id", "warc-date", "content-length"} <= set(headers) and headers["warc-target-uri"] == "http://a/%0Ab"
+    assert headers["warc-refers-to"] == warc.record_id(3, "d" * 64) != headers["warc-record-id"] and rest.endswith(b"\r\n\r\n")
+    assert int(headers["content-length"]) == len(rest) - 4 and rest.startswith(b"HTTP/1.1 200 OK\r\n")
+
+
 def test_warc_extra_columns_and_long_pages(spark):
     rows = [(1, "u", "x" * 9_000_000), (2, "u", "x" * 9_000_000), (3, None, "y")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit("d"), "first": F.lit(1), "salt": F.lit(2), "payload": F.lit("p"), "n": F.lit(0)})
