@@ -200,8 +200,9 @@ def names_in(attributes: str) -> tuple[str, ...]:
 TELLING = frozenset("article main nav header footer aside form head title figure ul ol table section dl blockquote pre button label".split())
 FRAMES = frozenset("nav header footer aside form head title".split())
 CLASS_BITS = 16
-#: Ends of sentences and clauses; where words are written without spaces, a space is one.
-STOP = re.compile(r"[。！？，；：、؟،؛।॥።፣፤]|[.!?;:…](?:[\"'”’»)\]]|\s|$)|,\s|(?<=[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff])\s")
+#: Ends of sentences and clauses, and those of other scripts; where words are written without spaces, a space is one.
+STOP = re.compile(r"[.!?;:…](?:[\"'”’»)\]]|\s|$)|,\s")
+OTHER_STOP = re.compile(r"[。！？，；：、؟،؛।॥።፣፤]|[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff](?=\s)")
 #: Characters that say about as much as three letters.
 WIDE = re.compile("[\u2e80-\u2fff\u3040-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]+")
 #: A block with so many letters that are no link counts as running text.
@@ -225,7 +226,7 @@ def local_features(blocks: list[Block]) -> list[list[str]]:
     """For each block the names of what holds of it beside the classes and telling tags of its path."""
     lengths = [_length(b.text) for b in blocks]
     free = [n * (len(b.text) - min(b.linked, len(b.text))) // max(1, len(b.text)) for b, n in zip(blocks, lengths, strict=True)]
-    stops = [len(STOP.findall(b.text)) for b in blocks]
+    stops = [len(STOP.findall(b.text)) + (0 if b.text.isascii() else len(OTHER_STOP.findall(b.text))) for b in blocks]
     # running text by the elements that hold it directly or as parents of a block's own element
     held: Counter = Counter()
     for b, n in zip(blocks, free, strict=True):
