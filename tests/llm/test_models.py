@@ -57,7 +57,7 @@ import sys; sys.path.insert(0, {str(ROOT)!r})
 import __spark_entry__
 from wharfline.session import build_session
 spark = build_session("local[2]", "alone", spark__sql__shuffle__partitions="2", spark__checkpoint__dir="file://{tmp_path}", spark__ui__showConsoleProgress="false")
-for name in ("op3_langid", "op11_simhash", "op12_repair", "op13_search"):
+for name in ("op3_langid", "op8_warc", "op9_html", "op11_simhash", "op12_repair", "op13_search"):
     assert __spark_entry__.queries()[name](spark, {sf!r}).count() > 0
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
