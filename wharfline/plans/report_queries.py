@@ -31,12 +31,17 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.session_stats(messages(spark, sf_dir))
 
 
-@query("ANA-16 PRJ-02 DT-02", "SELECT user_id, count(*) AS n, round(epoch(max(ts)) - epoch(min(ts)))::BIGINT AS seconds, round(avg(value))::BIGINT AS mean_value FROM events GROUP BY 1")
+@query("ANA-16 PRJ-02 DT-02", """WITH e AS (SELECT user_id, ts, value, round(value * 1e6)::HUGEINT AS millionths FROM events), s AS (SELECT user_id, count(*) AS n, count(value) AS given, epoch_us(max(ts)) - epoch_us(min(ts)) AS us, sum(millionths)::HUGEINT AS total FROM e GROUP BY 1)
+SELECT user_id, n, ((us + 500000) // 1000000)::BIGINT AS seconds, (sign(total) * ((2 * abs(total) + 1000000::HUGEINT * given) // (2000000::HUGEINT * given)))::BIGINT AS mean_value FROM s""")
 def session_duration_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds from first to last event, and the mean of values taken in whole millionths; halves go away from zero. All in whole numbers, so halves do not depend on the order of additions."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return events(spark, sf_dir).groupBy("user_id").agg(
-        F.count("*").alias("n"), F.round((micros(F.max("ts")) - micros(F.min("ts"))) / 1e6).cast("long").alias("seconds"), F.round(F.avg("value")).cast("long").alias("mean_value")
+    millionths = F.round(F.col("value") * 1e6).cast("decimal(38,0)")
+    sums = events(spark, sf_dir).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.count("value").cast("decimal(20,0)").alias("given"), (micros(F.max("ts")) - micros(F.min("ts"))).alias("us"), F.sum(millionths).alias("total")
     )
+    mean = F.expr("CAST(sign(total) AS INT) * ((2 * abs(total) + 1000000 * given) div nullif(2000000 * given, 0))")
+    return sums.select("user_id", "n", F.expr("(us + 500000) div 1000000").alias("seconds"), mean.cast("long").alias("mean_value"))
 
 
 @query("WIN-02 SRT-01 SRT-02 FIL-01 FIL-02 FIL-04", f"WITH {SESSIONS_SQL} SELECT session_id, project_id, started_at, message_count, count(*) OVER () AS total FROM sessions WHERE summary IS NOT NULL AND source_name = 'source1' ORDER BY started_at DESC NULLS LAST, session_id DESC LIMIT 10 OFFSET 5")
