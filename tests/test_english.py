@@ -56,3 +56,27 @@ def test_phrases_keep_the_places_of_stop_words(spark):
     assert found('king -"king of spain"') == [1, 2, 3, 5]
     assert found('"king of spain"', "simple") == [0]
     assert found('"of the"') == []
+
+
+def test_words_of_few_texts_are_python_objects_at_a_time(monkeypatch):
+    """A batch of many texts: what is held beside Arrow's buffers does not grow with the batch; slices, null, empty and long texts come out as one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "The kings of Spain were walking beside rivers and castles " * 40
+    held = []
+    for n in (100, 1600):
+        tracemalloc.start()
+        out = list(english.lexemes.func(iter([pa.array([text] * n)])))
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(out) == 1 and len(out[0]) == n and out[0][0] == out[0][n - 1]
+    assert held[1] < 40_000_000 and held[1] < 8 * held[0]
+    texts = [None, "", "the of", "Kings of Spain", text, None, "running river", text * 3]
+    one = [english.analyse(t or "", {}) for t in texts]
+    monkeypatch.setattr(english, "SLICE_BYTES", 30)
+    got = next(english.lexemes.func(iter([pa.array(texts)]))).to_pylist()
+    assert got == [[{"term": w, "place": k} for w, k in zip(*row, strict=True)] for row in one]
+    assert next(english.terms_of.func(iter([pa.array(texts)]))).to_pylist() == [None if t is None else row[0] for t, row in zip(texts, one, strict=True)]
+    assert next(english.lexemes.func(iter([pa.array([], pa.string())]))).to_pylist() == []

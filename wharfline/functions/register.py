@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from wharfline.functions.english import analyse
+from wharfline.functions.english import terms_of
 from wharfline.functions.scaffolding import scaffolding_only, strip_scaffolding
 
 #: Name, parameters and body of each; bodies are plain SQL, so they are inlined and optimised like any expression.
@@ -18,13 +16,6 @@ SQL_FUNCTIONS = {
 }
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def english_terms(texts: pd.Series) -> pd.Series:
-    """A text's English terms in order; null for null."""
-    known: dict[str, str | None] = {}
-    return texts.map(lambda t: None if t is None else [w for w, _ in analyse(t, known)])
-
-
 def register(spark: SparkSession) -> list[str]:
     """Registers everything for the session; returns the names. chunk_messages is a table function of reading.CHUNKS' columns:
     SELECT * FROM chunk_messages(TABLE(m) PARTITION BY session_id ORDER BY (sequence_num, id), 28000)."""
@@ -34,6 +25,6 @@ def register(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {body}")
     spark.udf.register("strip_scaffolding", strip_scaffolding)
     spark.udf.register("scaffolding_only", scaffolding_only)
-    spark.udf.register("english_terms", english_terms)
+    spark.udf.register("english_terms", terms_of)
     spark.udtf.register("chunk_messages", F.udtf(ChunkMessages, returnType=CHUNKS))
     return [*SQL_FUNCTIONS, "strip_scaffolding", "scaffolding_only", "english_terms", "chunk_messages"]

@@ -51,6 +51,12 @@ def bucket_of(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def plain(text: str) -> tuple[list[str], list[int]]:
+    """Every word and its place."""
+    words = WORD.findall(text.lower())
+    return words, list(range(1, len(words) + 1))
+
+
 def cut(docs: DataFrame, analyser: str) -> DataFrame:
     """Of docs (doc, text): a row (doc, len, terms, places) each, terms distinct, places a list of lists."""
     schema = pa.schema([("doc", pa.int64()), ("len", pa.int32()), ("terms", pa.list_(pa.string())), ("places", pa.list_(pa.list_(pa.int32())))])
@@ -60,9 +66,9 @@ def cut(docs: DataFrame, analyser: str) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = analyse(text or "", known) if analyser == "english" else [(w, k) for k, w in enumerate(WORD.findall((text or "").lower()), 1)]
+                words, at = analyse(text or "", known) if analyser == "english" else plain(text or "")
                 places: dict[str, list[int]] = {}
-                for term, place in words:
+                for term, place in zip(words, at, strict=True):
                     places.setdefault(term, []).append(place)
                 rows.append((doc, len(words), list(places), list(places.values())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
