@@ -84,3 +84,16 @@ def test_empty_table_and_other_dimensions(spark, tmp_path):
     mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "id long, embedding array<float>")
     with pytest.raises(Exception, match="dimensions|inhomogeneous"):
         cells.VectorIndex.build(mixed, f"file://{tmp_path}/mixed")
+
+
+def test_many_queries_are_ranked_in_one_place(stored, monkeypatch):
+    """Queries of several groups: the same neighbours, and the plan sorts as often as for one group, so a task's buffers do not grow with the number of queries."""
+    df, index = stored
+    queries = clouds(7, seed=6).tolist()
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    one = index.search(queries, 6, exact=True)
+    monkeypatch.setattr(cells, "QUERY_ROWS", 2)
+    many = index.search(queries, 6, exact=True, probes=1)
+    for q, v in enumerate(queries):
+        assert got(many, q) == got(one, q) == brute(df, v, 6)
+    assert plan(many).count("Window [") == plan(one).count("Window [") == 2

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ class VectorIndex:
         """How many cells hold RECALL of the true neighbours of sampled vectors."""
         drawn = vectors.orderBy(F.xxhash64(F.col(self.id_col)), self.id_col).limit(PROBES_ROWS).select(self.id_col, self.vector_col).collect()
         queries = np.array([list(r[1]) for r in drawn], float)
-        true = self._best(queries, list(range(len(queries))), None, NEAREST, None, with_cell=True).select("query", "cell").collect()
+        true = self._best([(queries, list(range(len(queries))), None)], NEAREST, None, with_cell=True).select("query", "cell").collect()
         order = np.argsort(-(unit(queries) @ self.centroids.T), axis=1, kind="stable")
         place = np.argsort(order, axis=1)
         needed = np.sort([place[r["query"], r["cell"]] + 1 for r in true if r["cell"] >= 0])
@@ -140,8 +141,17 @@ class VectorIndex:
         found = self.spark.read.schema(self.schema).parquet(f"{self.root}/vectors")
         return found if cells is None else found.where(F.col("cell").isin([NO_CELL, *cells]))
 
-    def _best(self, queries: np.ndarray, names: list[int], opened: np.ndarray | None, n: int, where: Column | None, with_cell: bool = False) -> DataFrame:
-        """(query, id_col, score, cell): each query's n best in the cells opened for it (a row of booleans; null: all)."""
+    def _best(self, groups: Sequence[tuple[np.ndarray, list[int], np.ndarray | None]], n: int, where: Column | None, with_cell: bool = False) -> DataFrame:
+        """(query, id_col, score, rank, cell): each query's n best, of groups (queries, names, cells opened for each). All groups are ranked in the same two steps:
+        a task that ranked each group by itself would hold the buffers of all of them."""
+        found = reduce(DataFrame.unionByName, [self._near(*group, n, where) for group in groups])
+        order = [F.desc("score"), F.col(self.id_col)]
+        for by in (["query", "salt"], ["query"]):
+            found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
+        return found.select("query", self.id_col, "score", "rank", *(["cell"] if with_cell else []))
+
+    def _near(self, queries: np.ndarray, names: list[int], opened: np.ndarray | None, n: int, where: Column | None) -> DataFrame:
+        """(query, id_col, score, cell, salt): each task's n best of each query in the cells opened for it (a row of booleans; null: all)."""
         cells = None if opened is None else np.flatnonzero(opened.any(axis=0)).tolist()
         stored = self.rows(cells)
         stored = (stored.where(where) if where is not None else stored).where(F.col(self.vector_col).isNotNull())
@@ -173,38 +183,33 @@ class VectorIndex:
                 if had is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(had[0]), pa.int64()), had[1], pa.array(had[0]), pa.array(had[2], pa.int32())], names=["query", id_col, "score", "cell"])
 
-        found = stored.select(self.id_col, self.vector_col, "cell").mapInArrow(run, f"query long, `{self.id_col}` {id_type}, score double, cell int").withColumn("salt", F.spark_partition_id() % SALTS)
-        order = [F.desc("score"), F.col(self.id_col)]
-        for by in (["query", "salt"], ["query"]):
-            found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
-        return found.select("query", self.id_col, "score", "rank", *(["cell"] if with_cell else []))
+        return stored.select(self.id_col, self.vector_col, "cell").mapInArrow(run, f"query long, `{self.id_col}` {id_type}, score double, cell int").withColumn("salt", F.spark_partition_id() % SALTS)
 
     def search(self, queries: Sequence[Sequence[float]], n: int = NEAREST, probes: int | None = None, exact: bool = False, where: Column | None = None) -> DataFrame:
         """(query, id_col, score, rank): the n best of each query, numbered from 0."""
-        found = [self._some(np.array(queries[a : a + QUERY_ROWS], float).reshape(-1, self.dimension), a, n, probes, exact, where) for a in range(0, len(queries), QUERY_ROWS)] if len(self.centroids) else []
-        if not found:
+        if not len(self.centroids) or not len(queries):
             kind = self.rows().schema[self.id_col].dataType.simpleString()
             return self.spark.createDataFrame([], f"query long, `{self.id_col}` {kind}, score double, rank long")
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
-
-    def _some(self, queries: np.ndarray, start: int, n: int, probes: int | None, exact: bool, where: Column | None) -> DataFrame:
-        near = unit(queries) @ self.centroids.T
-        order = np.argsort(-near, axis=1, kind="stable")
-        opened = np.zeros(near.shape, bool)
-        np.put_along_axis(opened, order[:, : max(1, min(probes or self.probes, near.shape[1]))], True, axis=1)
-        names = list(range(start, start + len(queries)))
-        first = written(self._best(queries, names, opened, n, where), "nearest")
+        groups, near = [], []
+        for start in range(0, len(queries), QUERY_ROWS):
+            some = np.array(queries[start : start + QUERY_ROWS], float).reshape(-1, self.dimension)
+            near.append(unit(some) @ self.centroids.T)
+            order = np.argsort(-near[-1], axis=1, kind="stable")
+            opened = np.zeros(near[-1].shape, bool)
+            np.put_along_axis(opened, order[:, : max(1, min(probes or self.probes, opened.shape[1]))], True, axis=1)
+            groups.append((some, list(range(start, start + len(some))), opened))
+        first = written(self._best(groups, n, where), "nearest")
         least = {r["query"]: (r["n"], r["s"]) for r in first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("s")).collect()}
-        for q, name in enumerate(names):
-            have, score = least.get(name, (0, 0.0))
-            if have < n:
-                opened[q] = True
-            elif exact:
-                opened[q] |= self.bounds(near[q]) >= score - SLACK
-        return self._best(queries, names, opened, n, where) if exact or any(least.get(name, (0, 0))[0] < n for name in names) else first
+        if not exact and all(least.get(name, (0, 0))[0] >= n for name in range(len(queries))):
+            return first
+        for (_, names, opened), close in zip(groups, near, strict=True):
+            for q, name in enumerate(names):
+                have, score = least.get(name, (0, 0.0))
+                if have < n:
+                    opened[q] = True
+                elif exact:
+                    opened[q] |= self.bounds(close[q]) >= score - SLACK
+        return self._best(groups, n, where)
 
     def bounds(self, near: np.ndarray) -> np.ndarray:
         """The highest cosine to a query that a cell's vectors can have, from the query's to the centroid and the cell's radius: angles add up."""
