@@ -80,3 +80,13 @@ def test_words_of_few_texts_are_python_objects_at_a_time(monkeypatch):
     assert got == [[{"term": w, "place": k} for w, k in zip(*row, strict=True)] for row in one]
     assert next(english.terms_of.func(iter([pa.array(texts)]))).to_pylist() == [None if t is None else row[0] for t, row in zip(texts, one, strict=True)]
     assert next(english.lexemes.func(iter([pa.array([], pa.string())]))).to_pylist() == []
+
+
+def test_a_search_cuts_each_text_once(spark):
+    """However many phrases a query has."""
+    docs = spark.range(3).selectExpr("id", "concat('the king of spain ', id) AS t")
+    query = retrieval.parse_query('the king or from -are "of spain" spain')
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    made = retrieval.text_match(docs, query, "t", ["id"])
+    assert made.count() == 3 and plan(made).count("split(") == 1
+    assert plan(docs.where(retrieval.matches(retrieval.simple_terms(F.col("t")), query))).count("split(") == 1

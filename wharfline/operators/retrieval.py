@@ -144,13 +144,19 @@ def matches(terms: Column, query: WebQuery) -> Column:
     """Every group of alternatives is met and nothing that is excluded is there; an empty query matches nothing."""
     if not query.any_of:
         return F.lit(False)
-    wanted = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [has_phrase(terms, p) for p in group]) for group in query.any_of])
-    return reduce(lambda a, p: a & ~has_phrase(terms, p), query.none_of, wanted)
+
+    def fits(terms: Column) -> Column:
+        wanted = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [has_phrase(terms, p) for p in group]) for group in query.any_of])
+        return reduce(lambda a, p: a & ~has_phrase(terms, p), query.none_of, wanted)
+
+    return F.exists(F.array(terms), fits)  # a filter that names the terms again for each phrase would cut the text again each time
 
 
 def text_match(docs: DataFrame, query: WebQuery, text_col: str, keep: Sequence[str], analyser: str = "simple") -> DataFrame:
     """(keep.., terms) of the documents that match."""
-    return docs.withColumn("terms", ANALYSERS[analyser](F.col(text_col))).where(matches(F.col("terms"), query)).select(*keep, "terms")
+    cut = docs.select(*keep, ANALYSERS[analyser](F.col(text_col)).alias("__t"))
+    # a generator gives a row or none and works its terms out once, where a filter would move below them and repeat them
+    return cut.select(*keep, F.explode(F.filter(F.array("__t"), lambda t: matches(t, query))).alias("terms"))
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], text_col: str, keep: Sequence[str], query: WebQuery | None = None, without: WebQuery | None = None, analyser: str = "simple") -> DataFrame:
