@@ -107,3 +107,18 @@ def test_blocks_below_the_threshold_are_not_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(index, "_scored", lambda q, w, s, t, blocks, a: asked.append(blocks.count()) or real(q, w, s, t, blocks, a))
     same(found(index, "king", 3), brute(spark, docs, "king", 3, "english"))
     assert sum(asked) < 40
+
+
+def test_documents_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Postings are made from documents dealt out by block: no text is shuffled where ids are single, and no posting after it is made. Of rows of one id the greatest text still counts."""
+    plans, shaped = {}, postings.Index._shaped
+    monkeypatch.setattr(postings.Index, "_shaped", lambda self, name, rows, segment: plans.setdefault(name, shaped(self, name, rows, segment)))
+    docs = spark.createDataFrame(texts(random.Random(4), 60), "id long, text string")
+    postings.Index(spark, f"file://{tmp_path}/index").extend(docs)
+    plan = plans["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression [block" in plan and "Exchange" in plans["postings"]._jdf.queryExecution().executedPlan().toString()
+    executed = plans["postings"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert executed.count("Exchange ") == 1
+    assert "Aggregate" not in postings.once_each(docs.selectExpr("id AS doc", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    twice = spark.createDataFrame([(1, "b"), (1, "c"), (1, None), (2, None), (2, None), (3, "x")], "doc long, text string")
+    assert sorted(map(tuple, postings.once_each(twice).collect())) == [(1, "c"), (2, None), (3, "x")]

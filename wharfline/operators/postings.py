@@ -5,14 +5,14 @@ the statistics (negative for what it outdates). Its row in `totals` comes last,
 readers, so a writer that fails leaves nothing behind that anybody sees. One writer at a time.
 
 A segment's documents fall into blocks by a hash of their ids, and a posting row holds one block's documents for one term: ids, frequencies, lengths and places as arrays, in front of
-them the block's greatest frequency and least length. Rows lie in `bucket` folders by a hash of the term, in order of term, so a search opens the folders of its terms, and
-Parquet's statistics leave the row groups of other terms unread.
+them the block's greatest frequency and least length. Rows lie in `bucket` folders by a hash of the term; a task writes a file of its blocks to each, in order of term, so a search opens the folders of its terms, and
+Parquet's statistics leave the pages of other terms unread.
 
 `search` finds the best k by MaxScore over blocks. The heads of the rows (term, block, greatest frequency, least length), which are all it reads of most blocks, bound what a document
 of each block can score. The most promising blocks are scored first; the k-th score so found is a threshold, and only blocks whose bound reaches it are
 read at all. The result is exact, ties included.
 
-Scale: a term that every document holds is as many rows as there are blocks, never one group. A search brings to the driver the statistics of its terms and the numbers of the first blocks.
+Scale: documents are dealt out by block, once, before their terms become rows, so a term that every document holds is as many rows as there are blocks, never one group. A search brings to the driver the statistics of its terms and the numbers of the first blocks.
 
 Defined results: null text has no terms but counts as a document of length 0. A null id is left out. Of rows of one id in a delta the one with the greatest text counts. Documents that come
 again replace what they were; ids in `gone` are deleted. An index without segments finds nothing.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wharfline.functions.english import WORD, analyse
+from wharfline.functions.english import WORD, analyse, slices
 from wharfline.operators.retrieval import K1, B, WebQuery
 from wharfline.storage import written
 
@@ -57,6 +57,14 @@ def plain(text: str) -> tuple[list[str], list[int]]:
     return words, list(range(1, len(words) + 1))
 
 
+def once_each(docs: DataFrame) -> DataFrame:
+    """docs (doc, text), of rows of one id the one with the greatest text. Only ids are shuffled, and the texts of those that are there more than once."""
+    again = written(docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "again")
+    if again.isEmpty():
+        return docs
+    return docs.join(again, "doc", "left_anti").unionByName(docs.join(again, "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text")))
+
+
 def cut(docs: DataFrame, analyser: str) -> DataFrame:
     """Of docs (doc, text): a row (doc, len, terms, places) each, terms distinct, places a list of lists."""
     schema = pa.schema([("doc", pa.int64()), ("len", pa.int32()), ("terms", pa.list_(pa.string())), ("places", pa.list_(pa.list_(pa.int32())))])
@@ -64,14 +72,17 @@ def cut(docs: DataFrame, analyser: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, at = analyse(text or "", known) if analyser == "english" else plain(text or "")
-                places: dict[str, list[int]] = {}
-                for term, place in zip(words, at, strict=True):
-                    places.setdefault(term, []).append(place)
-                rows.append((doc, len(words), list(places), list(places.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+            at = 0
+            for texts in slices(batch.column(1)):
+                rows = []
+                for doc, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    words, found = analyse(text or "", known) if analyser == "english" else plain(text or "")
+                    places: dict[str, list[int]] = {}
+                    for term, place in zip(words, found, strict=True):
+                        places.setdefault(term, []).append(place)
+                    rows.append((doc, len(words), list(places), list(places.values())))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return docs.mapInArrow(run, "doc long, len int, terms array<string>, places array<array<int>>")
 
@@ -93,8 +104,8 @@ class Index:
 
     def _shaped(self, name: str, rows: DataFrame, segment: int) -> DataFrame:
         if "bucket" in SCHEMAS[name]:
-            rows = rows.withColumn("bucket", bucket_of("term"))
-            rows = rows.repartitionByRange("bucket", "term", *(["block"] if name == "postings" else [])).sortWithinPartitions("bucket", "term", *(["block"] if name == "postings" else []))
+            # in the tasks that made them: to deal them out once more by range would shuffle every posting and work all of them out twice, once to sample
+            rows = rows.withColumn("bucket", bucket_of("term")).sortWithinPartitions("bucket", "term", *(["block"] if name == "postings" else []))
         return rows.withColumn("segment", F.lit(segment))
 
     def segments(self) -> list[int]:
@@ -108,13 +119,14 @@ class Index:
         """Adds the documents of delta, in place of what the index has under their ids, and drops the ids of gone (id_col). Returns the segment's number."""
         segments, segment = self.segments(), time.time_ns()
         empty = self.spark.createDataFrame([], "doc long, text string")
-        given = empty if delta is None else delta.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).groupBy("doc").agg(F.max("text").alias("text"))
+        given = empty if delta is None else once_each(delta.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")))
         fresh = written(cut(given, self.analyser), "cut")
         blocks = max(1, -(-fresh.count() // BLOCK_DOCS))
         fresh = fresh.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
         self._add("docs", fresh.select("doc", "block", "len", "terms"), segment)
 
-        each = fresh.select("doc", "block", "len", F.explode(F.arrays_zip("terms", "places")).alias("x")).select("block", F.col("x.terms").alias("term"), F.struct("doc", "len", F.col("x.places").alias("places")).alias("p"))
+        # dealt out by block before terms become rows: a document travels once, and the rows of a term and block are then in one task
+        each = fresh.repartition("block").select("doc", "block", "len", F.explode(F.arrays_zip("terms", "places")).alias("x")).select("block", F.col("x.terms").alias("term"), F.struct("doc", "len", F.col("x.places").alias("places")).alias("p"))
         grouped = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
         sizes = F.transform("p.places", lambda x: F.size(x))
         rows = grouped.select("term", "block", F.col("p.doc").alias("docs"), sizes.alias("times"), F.col("p.len").alias("lens"), F.col("p.places").alias("places"), F.array_max(sizes).alias("most"), F.array_min("p.len").alias("least"))
