@@ -90,3 +90,15 @@ def test_a_search_cuts_each_text_once(spark):
     made = retrieval.text_match(docs, query, "t", ["id"])
     assert made.count() == 3 and plan(made).count("split(") == 1
     assert plan(docs.where(retrieval.matches(retrieval.simple_terms(F.col("t")), query))).count("split(") == 1
+
+
+def test_words_without_ends_are_their_own_stems():
+    """No step changes a word that `stem` lets through at once."""
+    rnd = random.Random(9)
+    words = {"".join(rnd.choices("abcdeghiklmnorstuyz", k=rnd.randrange(3, 9))) for _ in range(20000)}
+    through = [w for w in words if not w.endswith(english.ENDS)]
+    assert len(through) > 1000
+    for word in through:
+        starts = (0, *english.regions(word))
+        assert english.stem(word) == word == english.verbs(english.plurals(word), starts[1]) == english.last_letters(word, starts)
+        assert all(english.by_rules(word, rules, starts) == word for rules in english.STEPS)

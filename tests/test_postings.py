@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wharfline.functions.english import analyse
 from wharfline.operators import postings, retrieval
 
 WORDS = "king kings spain walks walked the of and castle towers tower river running ran".split()
@@ -122,3 +123,42 @@ def test_documents_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert "Aggregate" not in postings.once_each(docs.selectExpr("id AS doc", "text"))._jdf.queryExecution().optimizedPlan().toString()
     twice = spark.createDataFrame([(1, "b"), (1, "c"), (1, None), (2, None), (2, None), (3, "x")], "doc long, text string")
     assert sorted(map(tuple, postings.once_each(twice).collect())) == [(1, "c"), (2, None), (3, "x")]
+
+
+def test_postings_are_made_block_by_block(spark, tmp_path, monkeypatch):
+    """Rows by term come from a block's documents at once, not from grouping every place; a block with many places is several rows a term, with the same matches, in files by bucket and term."""
+    plans, shaped = {}, postings.Index._shaped
+    monkeypatch.setattr(postings.Index, "_shaped", lambda self, name, rows, segment: plans.setdefault(name, shaped(self, name, rows, segment)))
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(postings, "MOST_PLACES", 60)
+    docs = texts(random.Random(8), 200) + [(900, None), (901, "the")]
+    index = postings.Index(spark, f"file://{tmp_path}/index")
+    index.extend(spark.createDataFrame(docs, "id long, text string").repartition(3))
+    assert "Aggregate" not in plans["postings"]._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.read.parquet(f"{tmp_path}/index/postings").collect()
+    assert len(rows) > len({(r.term, r.block) for r in rows})
+    want = {}
+    for doc, text in docs:
+        for term, place in zip(*analyse(text or "", {}), strict=True):
+            want.setdefault((term, doc), []).append(place)
+    got = [((r.term, d), p, n) for r in rows for d, p, n in zip(r.docs, r.places, r.times, strict=True)]
+    assert len(got) == len(want) and {k: p for k, p, _ in got} == want and all(len(p) == n for _, p, n in got)
+    assert all(r.most == max(r.times) and r.least == min(r.lens) and r.docs == sorted(r.docs) for r in rows)
+    ordered = [(r.bucket, r.term, r.block) for r in plans["postings"].coalesce(1).collect()]
+    runs = 1 + sum(a > b for a, b in zip(ordered, ordered[1:], strict=False))
+    assert runs <= plans["postings"].rdd.getNumPartitions()
+    for query, k in QUERIES[:3]:
+        same(found(index, query, k, first_blocks=2), brute(spark, docs, query, k, "english"))
+
+
+def test_codes_are_the_terms_of_the_analyser():
+    """Words to numbers of terms, also after the dictionary was emptied."""
+    words = "the walks walked walking king of kings spain generously 12".split()
+    codes = postings.Codes("english")
+    for _ in range(2):
+        terms = [codes[w] for w in words]
+        assert [codes.terms[c] for c in terms if c >= 0] == analyse(" ".join(words), {})[0]
+        codes.forget()
+        assert not codes and not codes.terms
+    plain = postings.Codes("simple")
+    assert [plain.terms[plain[w]] for w in words] == words

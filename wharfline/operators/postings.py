@@ -12,7 +12,8 @@ Parquet's statistics leave the pages of other terms unread.
 of each block can score. The most promising blocks are scored first; the k-th score so found is a threshold, and only blocks whose bound reaches it are
 read at all. The result is exact, ties included.
 
-Scale: documents are dealt out by block, once, before their terms become rows, so a term that every document holds is as many rows as there are blocks, never one group. A search brings to the driver the statistics of its terms and the numbers of the first blocks.
+Scale: documents are dealt out by block, once, before their terms become rows, so a term that every document holds is as many rows as there are blocks, never one group. A task turns one block
+after another (or MOST_PLACES places of it: then a term has several rows in that block, and its bound is only greater) from rows by document to rows by term, in Arrow arrays. A search brings to the driver the statistics of its terms and the numbers of the first blocks.
 
 Defined results: null text has no terms but counts as a document of length 0. A null id is left out. Of rows of one id in a delta the one with the greatest text counts. Documents that come
 again replace what they were; ids in `gone` are deleted. An index without segments finds nothing.
@@ -24,11 +25,14 @@ import time
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wharfline.functions.english import WORD, analyse, slices
+from wharfline.functions.english import MOST_WORDS, WORD, lists, slices, stem
+from wharfline.functions.text import STOP_WORDS
 from wharfline.operators.retrieval import K1, B, WebQuery
 from wharfline.storage import written
 
@@ -36,9 +40,12 @@ BUCKETS = 32
 #: Documents of a block, and how many blocks are scored first.
 BLOCK_DOCS = 256
 FIRST_BLOCKS = 8
+#: Places that are put in order of term at a time.
+MOST_PLACES = 1 << 22
 #: Bounds are rounded up by so much, since scores are sums of doubles.
 SLACK = 1e-9
 POSTINGS = "term string, block int, docs array<long>, times array<int>, lens array<int>, places array<array<int>>, most int, least int, segment long, bucket int"
+ROWS = ["term", "block", "docs", "times", "lens", "places", "most", "least"]
 DOCS = "doc long, block int, len int, terms array<string>, segment long"
 DEAD = "doc long, of_segment long, segment long"
 TERMS = "term string, holders long, segment long, bucket int"
@@ -51,10 +58,33 @@ def bucket_of(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def plain(text: str) -> tuple[list[str], list[int]]:
-    """Every word and its place."""
-    words = WORD.findall(text.lower())
-    return words, list(range(1, len(words) + 1))
+def first_letters(bucket: str, term: str) -> Column:
+    """Bucket and seven letters as a number: rows in its order, then by term, are in order of bucket and term, and most are told apart without their terms being read."""
+    letters = [F.ascii(F.substring(term, k + 1, 1)).cast("long") * (1 << 8 * (6 - k)) for k in range(7)]
+    return reduce(lambda a, b: a + b, letters, F.col(bucket).cast("long") * (1 << 56))
+
+
+class Codes(dict):
+    """The number of each word's term, -1 for a stop word; terms by number. A word is analysed when it is first met."""
+
+    def __init__(self, analyser: str) -> None:
+        super().__init__()
+        self.english, self.terms, self.numbers = analyser == "english", [], {}
+
+    def __missing__(self, word: str) -> int:
+        number = -1
+        if not self.english or word not in STOP_WORDS:
+            term = stem(word) if self.english else word
+            number = self.numbers.setdefault(term, len(self.terms))
+            if number == len(self.terms):
+                self.terms.append(term)
+        self[word] = number
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        self.numbers.clear()
+        self.terms.clear()
 
 
 def once_each(docs: DataFrame) -> DataFrame:
@@ -65,26 +95,81 @@ def once_each(docs: DataFrame) -> DataFrame:
     return docs.join(again, "doc", "left_anti").unionByName(docs.join(again, "doc", "left_semi").groupBy("doc").agg(F.max("text").alias("text")))
 
 
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
 def cut(docs: DataFrame, analyser: str) -> DataFrame:
-    """Of docs (doc, text): a row (doc, len, terms, places) each, terms distinct, places a list of lists."""
-    schema = pa.schema([("doc", pa.int64()), ("len", pa.int32()), ("terms", pa.list_(pa.string())), ("places", pa.list_(pa.list_(pa.int32())))])
+    """Of docs (doc, text): a row (doc, len, terms, times, places) each, terms distinct, places of all terms end to end, of each as many as its times."""
+    schema = pa.schema([("doc", pa.int64()), ("len", pa.int32()), ("terms", pa.list_(pa.string())), ("times", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
+        known = Codes(analyser)
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1)):
-                rows = []
-                for doc, text in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
-                    words, found = analyse(text or "", known) if analyser == "english" else plain(text or "")
-                    places: dict[str, list[int]] = {}
-                    for term, place in zip(words, found, strict=True):
-                        places.setdefault(term, []).append(place)
-                    rows.append((doc, len(words), list(places), list(places.values())))
+                if len(known) > MOST_WORDS:
+                    known.forget()
+                found = [WORD.findall((text or "").lower()) for text in texts]
+                words = np.array([len(f) for f in found], np.int64)
+                code = np.concatenate([np.fromiter(map(known.__getitem__, f), np.int64, len(f)) for f in found])
+                row, place = np.repeat(np.arange(len(texts)), words), np.arange(len(code)) - np.repeat(starts_of(words), words) + 1
+                counts = code >= 0
+                code, row, place = code[counts], row[counts], place[counts]
+                # by row and term; the sort is stable, so places stay in order
+                key = row * (len(known.terms) + 1) + code
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                times = np.diff(first, append=len(order))
+                used, number = np.unique(code[order][first], return_inverse=True)
+                terms = pa.array([known.terms[c] for c in used.tolist()], pa.string()).take(pa.array(number))
+                length, distinct = np.bincount(row, minlength=len(texts)), np.bincount(row[order][first], minlength=len(texts))
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(length, pa.int32()), lists(distinct, terms), lists(distinct, pa.array(times, pa.int32())), lists(length, pa.array(place[order], pa.int32()))]
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.mapInArrow(run, "doc long, len int, terms array<string>, times array<int>, places array<int>")
+
+
+def inverted(pieces: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    """The posting rows of a block's documents (rows of `cut` with their block, in order of doc), without a Python object for a word."""
+    rows = pa.Table.from_batches(pieces).combine_chunks()
+    flat = {name: rows[name].combine_chunks().flatten() for name in ("terms", "times", "places")}
+    if not len(flat["terms"]):
+        return None
+    coded = flat["terms"].dictionary_encode()
+    code, times, places = (x.to_numpy(zero_copy_only=False) for x in (coded.indices, flat["times"], flat["places"]))
+    # stable: within a term documents stay in order
+    order = np.argsort(code, kind="stable")
+    row = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["terms"]).to_numpy())[order]
+    sizes = times[order]
+    took = np.repeat(starts_of(times)[order] - starts_of(sizes), sizes) + np.arange(len(places))
+    holders = np.bincount(code, minlength=len(coded.dictionary))
+    docs, lens = rows["doc"].to_numpy()[row], rows["len"].to_numpy()[row]
+    block = pa.repeat(rows["block"][0], len(holders))
+    columns = [coded.dictionary, block, *(lists(holders, pa.array(x)) for x in (docs, sizes, lens)), lists(holders, lists(sizes, pa.array(places[took])))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.maximum.reduceat(sizes, starts_of(holders))), pa.array(np.minimum.reduceat(lens, starts_of(holders)))], names=ROWS)
+
+
+def posted(docs: DataFrame, most_places: int) -> DataFrame:
+    """Posting rows of cut documents that lie together by block, in order of doc. A block's documents with more than so many places are several rows a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, places = [], None, 0
+        for batch in batches:
+            at, sizes = 0, pc.list_value_length(batch.column("places")).to_pylist()
+            for k, (b, size) in enumerate(zip(batch.column("block").to_pylist(), sizes, strict=True)):
+                if b != block or places + size > most_places:
+                    held.append(batch.slice(at, k - at))
+                    if (made := inverted(held)) is not None:
+                        yield made
+                    held, block, places, at = [], b, 0, k
+                places += size
+            held.append(batch.slice(at))
+        if held and (made := inverted(held)) is not None:
+            yield made
 
-    return docs.mapInArrow(run, "doc long, len int, terms array<string>, places array<array<int>>")
+    return docs.select("doc", "block", "len", "terms", "times", "places").mapInArrow(run, POSTINGS.removesuffix(", segment long, bucket int"))
 
 
 class Index:
@@ -105,7 +190,8 @@ class Index:
     def _shaped(self, name: str, rows: DataFrame, segment: int) -> DataFrame:
         if "bucket" in SCHEMAS[name]:
             # in the tasks that made them: to deal them out once more by range would shuffle every posting and work all of them out twice, once to sample
-            rows = rows.withColumn("bucket", bucket_of("term")).sortWithinPartitions("bucket", "term", *(["block"] if name == "postings" else []))
+            rows = rows.withColumn("bucket", bucket_of("term"))
+            rows = rows.sortWithinPartitions(first_letters("bucket", "term"), "term", *(["block"] if name == "postings" else []))
         return rows.withColumn("segment", F.lit(segment))
 
     def segments(self) -> list[int]:
@@ -125,11 +211,8 @@ class Index:
         fresh = fresh.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
         self._add("docs", fresh.select("doc", "block", "len", "terms"), segment)
 
-        # dealt out by block before terms become rows: a document travels once, and the rows of a term and block are then in one task
-        each = fresh.repartition("block").select("doc", "block", "len", F.explode(F.arrays_zip("terms", "places")).alias("x")).select("block", F.col("x.terms").alias("term"), F.struct("doc", "len", F.col("x.places").alias("places")).alias("p"))
-        grouped = each.groupBy("term", "block").agg(F.sort_array(F.collect_list("p")).alias("p"))
-        sizes = F.transform("p.places", lambda x: F.size(x))
-        rows = grouped.select("term", "block", F.col("p.doc").alias("docs"), sizes.alias("times"), F.col("p.len").alias("lens"), F.col("p.places").alias("places"), F.array_max(sizes).alias("most"), F.array_min("p.len").alias("least"))
+        # dealt out by block before terms become rows: a document travels once, and the rows of a term and block are made in one task, block by block
+        rows = posted(fresh.repartition("block").sortWithinPartitions("block", "doc"), MOST_PLACES)
         self._add("postings", rows, segment)
 
         ids = fresh.select("doc") if gone is None else fresh.select("doc").unionByName(gone.select(F.col(id_col).cast("long").alias("doc"))).distinct()
